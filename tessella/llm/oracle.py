@@ -1,3 +1,72 @@
 """DuckDB SQL for the operators that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE["op9_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM rep, range(5) AS r(k)) GROUP BY doc_id),
+lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
+top AS (SELECT doc_id, max(c) AS n FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+        coalesce(cov.n, 0) AS n_repeat_words, coalesce(top.n, 0) AS top_word,
+        len(regexp_extract_all(text, '[A-Za-z]|[^\x00-\x7f]')) AS letters
+      FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN top USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 2 * n_dup_lines > n_lines OR 2 * letters < word_chars OR 2 * top_word > n_words) AS kept
+FROM b
+"""
+
+
+def _fill(nodes: str, parent: str, child: str) -> str:
+    """Splits parent_budget over the siblings of ``nodes``, as mixing.water_fill does."""
+    of = f"PARTITION BY {parent}" if parent else ""
+    by = f"{of} ORDER BY cap / weight, {child}"
+    return f"""
+    SELECT * EXCLUDE (l, wl, r, filled), CASE WHEN filled THEN cap
+        ELSE (first_value(CASE WHEN NOT filled THEN l END IGNORE NULLS) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) * weight
+          // (first_value(CASE WHEN NOT filled THEN wl END IGNORE NULLS) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) END AS budget
+    FROM (SELECT *, cap * wl <= l * weight AS filled FROM (SELECT *,
+        greatest(parent_budget - coalesce(sum(cap) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT AS l,
+        (sum(weight) OVER ({of}) - coalesce(sum(weight) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS wl, 0 AS r
+      FROM ({nodes})))"""
+
+
+MIXING = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN '?'
+        ELSE 'domain' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4 AS VARCHAR) END AS domain,
+      coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, CAST(len({_WORDS}) AS BIGINT) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS leaf_tokens, CAST(2 * sum(tokens) AS BIGINT) AS cap FROM d GROUP BY ALL),
+dom AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, (SELECT CAST(sum(leaf_tokens) AS BIGINT) // 2 FROM leaves) AS parent_budget,
+      CAST(CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS BIGINT) AS weight FROM leaves GROUP BY domain),
+dom_b AS ({_fill('SELECT * FROM dom', '', 'domain')}),
+lan AS (SELECT domain, lang, CAST(sum(leaves.cap) AS BIGINT) AS cap, any_value(dom_b.budget) AS parent_budget,
+      CAST(CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS BIGINT) AS weight FROM leaves JOIN dom_b USING (domain) GROUP BY domain, lang),
+lan_b AS ({_fill('SELECT * FROM lan', 'domain', 'lang')}),
+src AS (SELECT domain, lang, source, leaf_tokens, leaves.cap, lan_b.budget AS parent_budget, CAST(1 AS BIGINT) AS weight FROM leaves JOIN lan_b USING (domain, lang)),
+src_b AS ({_fill('SELECT * FROM src', 'domain, lang', 'source')}),
+e AS (SELECT d.*, epoch, leaf_tokens, budget, md5('17:' || CAST(epoch AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS k
+      FROM d JOIN src_b USING (domain, lang, source), range(2) AS r(epoch)),
+c AS (SELECT *, CAST(epoch * leaf_tokens + coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY k, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before_tokens FROM e)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INT) AS epoch, tokens, before_tokens, CAST(least(tokens, budget - before_tokens) AS BIGINT) AS take_tokens
+FROM c WHERE before_tokens < budget
+"""
+ORACLE["op10_mixing"] = MIXING
+
+ORACLE["op8_ann"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""

@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.quality import quality_rules
 
     return quality_rules(_documents(spark, sf_dir))
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.mixing import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir))
+
+
+QUERIES = {"op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
