@@ -10,6 +10,26 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.bpe import digests
+
+    return digests(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.language import fold, identify, learn
+
+    docs = _documents(spark, sf_dir)
+    profiles = learn(docs.where(fold(F.col("doc_id"), 4) != 2))
+    return identify(docs, profiles).withColumn("held_out", fold(F.col("doc_id"), 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.ann import nearest
 
@@ -28,4 +48,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
