@@ -16,6 +16,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.suffixes import suffix_dedup
+
+    return suffix_dedup(_documents(spark, sf_dir))
+
+
 def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.minhash import near_duplicates
 
@@ -54,4 +60,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
