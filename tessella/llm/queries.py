@@ -28,6 +28,12 @@ def op2_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.substrings import substring_dedup
+
+    return substring_dedup(_documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.bpe import digests
 
@@ -60,4 +66,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
