@@ -34,6 +34,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.language import fold
+    from tessella.llm.lm import lm_scores
+
+    part = fold(F.col("doc_id"), 7)
+    scores = lm_scores(_documents(spark, sf_dir), part != 2, part == 3)
+    return scores.withColumn("held_out", fold(F.col("doc_id"), 7) == 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.bpe import digests
 
@@ -66,4 +75,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
