@@ -1,0 +1,387 @@
+"""Personal data by patterns and a linear-chain conditional random field.
+
+Patterns give the base spans (email, ip, card, phone). The field adds spans of
+the same kinds in other writings, and secrets. Its chains are stretches of
+words around a word with a digit, ``@`` or ``=``: all words at most ``REACH``
+words from one. Each word has a shape (counts of letters, digits and marks in
+bands, and whether it is a key word like *token*); a word's features are its
+own shape's and its neighbours'. Weights are trained by gradient ascent on a
+small labelled table; chains are decoded by Viterbi, many at a time in numpy.
+Runs of words with one kind that touch no base span are added.
+
+Null and empty texts have no spans. Whole texts are searched; offsets count
+code points, ends are exclusive. Repeated rows are judged one by one.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessella.llm.packed import Texts, pieces
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+LABELS = ("", *KINDS)
+REACH = 3
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _luhn(digits: str) -> bool:
+    double = [2 * int(d) for d in digits[-2::-2]]
+    return (sum(map(int, digits[-1::-2])) + sum(d - 9 if d > 9 else d for d in double)) % 10 == 0
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) by the patterns, by kind and then start."""
+    out = []
+    if "@" in text:
+        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and len(x.lstrip("0")) <= 3 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 16:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and _luhn(digits):
+                out.append((2, m.start(), m.end()))
+    if "+" in text:
+        out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
+    return out
+
+
+# --- word shapes -----------------------------------------------------------------
+
+_CLASSES = {"lower": range(97, 123), "upper": range(65, 91), "digit": range(48, 58), "at": b"@", "dot": b".", "equals": b"=", "quote": b"\"'`", "dash": b"-", "bracket": b"()[]{}<>", "plus": b"+", "colon": b":", "other": range(128, 256)}
+_MEMBER = np.zeros((len(_CLASSES), 256), bool)
+for _row, _codes in enumerate(_CLASSES.values()):
+    _MEMBER[_row, list(_codes)] = True
+_NUMBER = {name: i for i, name in enumerate(_CLASSES)}
+#: Words after which a secret may stand.
+KEY_WORDS = ("token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential")
+#: Words after which a phone number, an address of a machine or a card may stand.
+CALL_WORDS = ("phone", "tel", "tel.", "call", "mobile", "fax")
+_BANDS = np.array([1, 2, 4, 8, 12, 16, 20])
+N_SHAPE = 8 * 5 + 12 + 4
+
+
+def _key_hashes() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for words in (KEY_WORDS, CALL_WORDS):
+        forms = [w + tail for w in words for tail in ("", ":", "=")]
+        out.append(Texts(pa.array([" ".join(forms)]), lower=True).word_hashes())
+    return out[0], out[1]
+
+
+def shape_features(t: Texts) -> np.ndarray:
+    """Binary features of each word of a piece whose texts are in lower case only for the hashes."""
+    n = len(t.starts)
+    counts = np.zeros((len(_CLASSES), n), np.int64)
+    for i in range(len(_CLASSES)):
+        sums = np.zeros(len(t.raw) + 1, np.int32)
+        np.cumsum(_MEMBER[i][t.raw], out=sums[1:])
+        counts[i] = sums[t.ends] - sums[t.starts]
+    length = t.ends - t.starts
+    letters = counts[_NUMBER["lower"]] + counts[_NUMBER["upper"]]
+    out = np.zeros((n, N_SHAPE), bool)
+
+    def band(column, values):
+        out[np.arange(n), column + np.searchsorted(_BANDS, values, "right")] = True
+
+    band(0, length)
+    band(8, counts[_NUMBER["digit"]])
+    band(16, letters)
+    band(24, counts[_NUMBER["upper"]])
+    # changes between letters and digits inside the word
+    kind = np.where(_MEMBER[_NUMBER["digit"]][t.raw], 1, np.where(_MEMBER[0][t.raw] | _MEMBER[1][t.raw], 2, 0)).astype(np.int8)
+    change = np.zeros(len(t.raw) + 1, np.int32)
+    if len(kind) > 1:
+        np.cumsum((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0), out=change[2:])
+    band(32, change[t.ends] - change[np.minimum(t.starts + 1, t.ends)])
+    for i in range(len(_CLASSES)):
+        out[:, 40 + i] = counts[i] > 0
+    hashes = t.word_hashes()
+    keys, calls = _key_hashes()
+    out[:, 52] = np.isin(hashes, keys)
+    out[:, 53] = np.isin(hashes, calls)
+    out[:, 54] = (counts[_NUMBER["digit"]] == 0) & (counts[_NUMBER["at"]] == 0) & (counts[_NUMBER["equals"]] == 0)
+    out[:, 55] = counts[_NUMBER["dot"]] >= 3
+    return out
+
+
+def marked(t: Texts) -> np.ndarray:
+    """Words with a digit, @ or =."""
+    mark = _MEMBER[_NUMBER["digit"]] | _MEMBER[_NUMBER["at"]] | _MEMBER[_NUMBER["equals"]]
+    sums = np.zeros(len(t.raw) + 1, np.int32)
+    np.cumsum(mark[t.raw], out=sums[1:])
+    return sums[t.ends] > sums[t.starts]
+
+
+def chains(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length of every chain."""
+    n = len(t.starts)
+    at = np.flatnonzero(marked(t))
+    doc = t.word_doc[at] if len(at) else at
+    low, high = np.maximum(at - REACH, t.first[doc]), np.minimum(at + REACH + 1, t.first[doc + 1])
+    edge = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
+    inside = np.cumsum(edge[:n]) > 0
+    word_doc = t.word_doc
+    begins = inside & np.append(True, ~inside[:-1] | (word_doc[1:] != word_doc[:-1]))[:n]
+    first = np.flatnonzero(begins)
+    stops = inside & np.append(~inside[1:] | (word_doc[1:] != word_doc[:-1]), True)[-n:] if n else inside
+    return first, np.flatnonzero(stops) - first + 1
+
+
+# --- the field -------------------------------------------------------------------
+
+
+class Field:
+    """Weights: own, before, after (features x labels each), transitions and starts."""
+
+    def __init__(self, own, before, after, move, begin):
+        self.own, self.before, self.after, self.move, self.begin = own, before, after, move, begin
+
+    def emissions(self, x: np.ndarray, first: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Label scores of the words of each chain; x: features of the words of all chains, one after the other."""
+        own, before, after = (x @ w for w in (self.own, self.before, self.after))
+        edge = np.cumsum(length)
+        score = own.copy()
+        score[1:] += before[:-1]
+        score[edge[:-1]] -= before[edge[:-1] - 1]
+        score[:-1] += after[1:]
+        score[edge[:-1] - 1] -= after[edge[:-1]]
+        return score
+
+    def viterbi(self, score: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best labels of the words of all chains."""
+        order = np.argsort(-length, kind="stable")
+        start = (np.cumsum(length) - length)[order]
+        size = length[order]
+        best = self.begin + score[start]
+        back = []
+        for step in range(1, int(size[0]) if len(size) else 1):
+            live = int(np.searchsorted(-size, -step, "left"))  # chains with more words than step
+            through = best[:live, :, None] + self.move
+            back.append(through.argmax(1))
+            best[:live] = through.max(1) + score[start[:live] + step]
+        out = np.zeros(len(score), np.int64)
+        label = best.argmax(1)
+        for step in range(len(back), -1, -1):
+            live = int(np.searchsorted(-size, -step, "left"))
+            out[start[:live] + step] = label[:live]
+            if step:
+                label[:live] = back[step - 1][np.arange(live), label[:live]]
+        return out
+
+
+def labelled_table(rows: int = 600, seed: int = 3) -> list[tuple[list[str], list[int]]]:
+    """A small labelled table: rows of words with the kind of each, made of phrases around ordinary words."""
+    r = np.random.default_rng(seed)
+    pick = lambda s, n: "".join(r.choice(list(s), n))
+    digits, hexes, letters, big = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+    def plain():
+        w = pick(letters, int(r.integers(1, 12)))
+        return (w.capitalize() if r.random() < 0.12 else w) + ("" if r.random() < 0.85 else str(r.choice([",", ".", "&&&", "###"])))
+
+    def phrase():
+        k = int(r.integers(0, 22))
+        group = lambda n: pick(digits, n)
+        if k == 0:
+            return [(f"{pick(letters, 5)}.{group(2)}@{pick(letters, 5)}{group(1)}.{pick(letters, 6)}.com", 1)]
+        if k == 1:
+            return [(f"{pick(letters, 8)}@{pick(letters, 7)}.org", 1)]
+        if k == 2:
+            return [(".".join(str(int(r.integers(0, 256))) for _ in range(4)), 2)]
+        if k == 3:
+            return [(group(16), 3)]
+        if k == 4:
+            return [(group(4), 3), (group(4), 3), (group(4), 3), (group(4), 3)]
+        if k == 5:
+            return [("-".join(group(4) for _ in range(4)), 3)]
+        if k == 6:
+            return [("+1", 4), (f"({group(3)})", 4), (f"{group(3)}-{group(4)}", 4)]
+        if k == 7:
+            return [(f"+{group(2)}", 4), (group(3), 4), (group(7), 4)]
+        if k == 8:
+            return [(str(r.choice(["phone", "tel", "call"])), 0), (f"{group(3)}-{group(3)}-{group(4)}", 4)]
+        if k == 9:
+            return [(f"password={pick(hexes, 18)}", 5)]
+        if k == 10:
+            return [("token", 0), ("=", 0), (f'"{pick(hexes, 40)}"', 5)]
+        if k in (11, 12):
+            return [("AKIA" + pick(big, 16), 5)]
+        if k == 13:
+            return [(str(r.choice(["secret:", "api_key:", "key="])), 0), (pick(hexes + "ghijk", 24), 5)]
+        # what is not personal: versions, years, counts, dates, times, sums, references
+        other = [f"{group(1)}.{group(1)}", f"{group(1)}.{group(1)}.", f"{group(1)}.", str(int(r.integers(1, 2100))), f"({int(r.integers(1900, 2030))})", f"{group(2)}:{group(2)}", f"20{group(2)}-{group(2)}-{group(2)}", f"{group(1)},{group(3)}", f"{group(2)}%", f"v{group(1)}.{group(1)}.{group(1)}", f"{pick(letters, 3)}{group(1)}", "=", f"{pick(letters, 1)}=1", f"${group(3)}.00", f"[{group(2)}]", f"{group(1)}th", f"#{group(3)}", f"@{pick(letters, 6)}"]
+        lead = [("version", 0)] if r.random() < 0.2 else []
+        return [*lead, (str(r.choice(other)), 0)]
+
+    out = []
+    for _ in range(rows):
+        row = [(plain(), 0) for _ in range(int(r.integers(1, 5)))]
+        for _ in range(int(r.integers(1, 3))):
+            row += phrase() + [(plain(), 0) for _ in range(int(r.integers(1, 5)))]
+        out.append(([w for w, _ in row], [y for _, y in row]))
+    return out
+
+
+def train(table: list[tuple[list[str], list[int]]] | None = None, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Field:
+    """Maximum-likelihood weights with a small penalty, by Adam over forward-backward gradients."""
+    table = labelled_table() if table is None else table
+    t = Texts(pa.array([" ".join(words) for words, _ in table]), lower=True)
+    x = shape_features(t).astype(np.float64)
+    n, steps, k = len(table), max(len(w) for w, _ in table), len(LABELS)
+    size = np.array([len(w) for w, _ in table])
+    pos = np.full((n, steps), len(x))
+    for i in range(n):
+        pos[i, : size[i]] = np.arange(t.first[i], t.first[i] + size[i])
+    y = np.zeros((n, steps), np.int64)
+    for i, (_, labels) in enumerate(table):
+        y[i, : size[i]] = labels
+    x = np.vstack([x, np.zeros((1, x.shape[1]))])
+    real = pos < len(x) - 1
+    own = x[pos]
+    before = np.concatenate([np.zeros((n, 1, x.shape[1])), own[:, :-1]], axis=1)
+    after = np.concatenate([own[:, 1:], np.zeros((n, 1, x.shape[1]))], axis=1)
+    features = np.concatenate([own, before, after], axis=2) * real[:, :, None]
+    flat = features.reshape(-1, features.shape[2])
+    w, move, begin = np.zeros((features.shape[2], k)), np.zeros((k, k)), np.zeros(k)
+    truth = np.zeros((n, steps, k))
+    truth[np.arange(n)[:, None], np.arange(steps), y] = 1
+    truth *= real[:, :, None]
+    moves_true = np.einsum("nsa,nsb->ab", truth[:, :-1], truth[:, 1:])
+    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, move, begin)]
+    log_sum = lambda a, axis: (m := a.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis))
+    for turn in range(1, rounds + 1):
+        e = (flat @ w).reshape(n, steps, k)
+        alpha, beta = np.zeros((n, steps, k)), np.zeros((n, steps, k))
+        alpha[:, 0] = begin + e[:, 0]
+        for s in range(1, steps):
+            step = log_sum(alpha[:, s - 1, :, None] + move, 1) + e[:, s]
+            alpha[:, s] = np.where(real[:, s, None], step, alpha[:, s - 1])
+        for s in range(steps - 2, -1, -1):
+            step = log_sum(move + (e[:, s + 1] + beta[:, s + 1])[:, None, :], 2)
+            beta[:, s] = np.where(real[:, s + 1, None], step, 0)
+        z = log_sum(alpha[:, -1], 1)
+        p = np.exp(alpha + beta - z[:, None, None]) * real[:, :, None]
+        pair = np.exp(alpha[:, :-1, :, None] + move + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
+        grads = [flat.T @ (truth - p).reshape(-1, k) / n - decay * w, (moves_true - pair.sum((0, 1))) / n - decay * move, (truth[:, 0] - p[:, 0]).sum(0) / n - decay * begin]
+        for param, g, m in zip((w, move, begin), grads, moments):
+            m[0] = 0.9 * m[0] + 0.1 * g
+            m[1] = 0.999 * m[1] + 0.001 * g * g
+            param += rate * (m[0] / (1 - 0.9**turn)) / (np.sqrt(m[1] / (1 - 0.999**turn)) + 1e-8)
+    f = N_SHAPE
+    return Field(w[:f], w[f : 2 * f], w[2 * f :], move, begin)
+
+
+_TRIM = " \t\"'`()[]{}<>,.;:!?"
+
+
+def added_spans(t: Texts, texts: list[str], field: Field) -> list[list[tuple[int, int, int]]]:
+    """Per document (kind, start, end) of labelled runs, in code points."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    first, length = chains(t)
+    if not len(first):
+        return out
+    at = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    x = _features_of(t, at)
+    score = field.emissions(x, first, length)
+    label = field.viterbi(score, length)
+    own = np.repeat(np.arange(len(first)), length)
+    turn = np.append(True, (label[1:] != label[:-1]) | (own[1:] != own[:-1]))
+    begin = np.flatnonzero(turn)
+    end = np.append(begin[1:], len(label)) - 1
+    keep = label[begin] > 0
+    points = np.zeros(len(t.raw) + 1, np.int64)
+    np.cumsum((t.raw & 0xC0) != 0x80, out=points[1:])
+    word_doc = t.word_doc
+    for b, e in zip(begin[keep].tolist(), end[keep].tolist()):
+        doc = int(word_doc[at[b]])
+        base = points[t.offsets[doc]]
+        low, high = int(points[t.starts[at[b]]] - base), int(points[t.ends[at[e]]] - base)
+        s = texts[doc][low:high]
+        if label[b] == 5 and "=" in s.rstrip("="):
+            cut = s.index("=") + 1
+            low, s = low + cut, s[cut:]
+        inner = s.strip(_TRIM)
+        if inner:
+            low += s.index(inner)
+            out[doc].append((int(label[b]) - 1, low, low + len(inner)))
+    return out
+
+
+def _features_of(t: Texts, words: np.ndarray) -> np.ndarray:
+    """Features of some words only."""
+    part = Texts.__new__(Texts)
+    part.__dict__ = dict(t.__dict__)
+    part._starts, part._ends = t.starts[words], t.ends[words]
+    return shape_features(part).astype(np.float64)
+
+
+def all_spans(texts: pa.Array, field: Field) -> list[tuple[list, list]]:
+    """(base spans, base and added spans) of each text, both by kind and then start."""
+    strings = texts.fill_null("").to_pylist()
+    extra = added_spans(Texts(texts, lower=True), strings, field)
+    out = []
+    for s, more in zip(strings, extra):
+        base = base_spans(s)
+        free = [m for m in more if all(m[2] <= b[1] or m[1] >= b[2] for b in base)] if base else more
+        out.append((base, sorted(base + free)))
+    return out
+
+
+def _joined(spans) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+
+
+def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """Counts and digests of base spans, and all spans, of every row of ``docs`` (doc_id, text)."""
+    field = train() if field is None else field
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                found = all_spans(part.column("text"), field)
+                counts = np.zeros((part.num_rows, 4), np.int64)
+                for i, (base, _) in enumerate(found):
+                    for k, _, _ in base:
+                        counts[i, k] += 1
+                digest = [hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(counts[:, k]) for k in range(4)), pa.array(digest, pa.string()), pa.array([_joined(s) for _, s in found], pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span, or run of overlapping spans, replaced by the kind of its first."""
+    out, at = [], 0
+    for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"<{KINDS[k].upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced; all columns stay. A null text stays null."""
+    field = train() if field is None else field
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                texts = part.column("text")
+                found = all_spans(texts, field)
+                clean = [s if s is None or not spans else redacted(s, spans) for s, (_, spans) in zip(texts.to_pylist(), found)]
+                yield part.set_column(at, "text", pa.array(clean, texts.type))
+
+    return docs.mapInArrow(run, docs.schema)

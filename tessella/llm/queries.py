@@ -57,6 +57,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, profiles).withColumn("held_out", fold(F.col("doc_id"), 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import find_pii
+
+    return find_pii(_documents(spark, sf_dir))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.ann import nearest
 
@@ -75,4 +81,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op7_pii": op7_pii, "op4_lm_scoring": op4_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
