@@ -1,6 +1,77 @@
-STAGES = []
+"""A corpus from raw documents to token ids, in five stages.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame over all rows that
+its predecessor kept. All but the last return the columns of ``docs``, extra
+ones included.
+
+1. language_id: profiles are learnt from the documents with a language; texts
+   without a letter, or far from every profile, go. A missing ``lang`` is filled.
+2. near_dedup: of each group of near-duplicates the smallest doc_id stays.
+3. pii: personal data and secrets in the text are replaced by their kind.
+4. mixing: documents are chosen to meet the target weights of the tree of
+   domains, languages and sources; a second epoch of a document is a second row.
+5. bpe: token ids.
+
+Null texts have no letter and go in the first stage. Rows without a doc_id
+can't be compared and stay in the second.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, language, minhash, mixing, pii
+from tessella.llm.queries import tokenizer_path
+from tessella.llm.store import stored
+
+#: Documents further from every profile than this are no language that was learnt.
+LEAST_SCORE = 0.1
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language."""
+    profiles = language.learn(docs)
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    judged = language.identify(docs.withColumnRenamed("lang_pred", "_lang_pred").withColumnRenamed("score", "_score") if {"lang_pred", "score"} & set(docs.columns) else docs, profiles, keep=tuple({"lang_pred": "_lang_pred", "score": "_score"}.get(c, c) for c in rest))
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data in the text; ``n_chars`` follows."""
+    out = pii.redact(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Chooses documents by target weights; one row for each epoch of a document."""
+    chosen = mixing.mix_sources(docs).where("take_tokens > 0 or tokens = 0").select(F.col("doc_id").alias("_chosen"), F.col("epoch").alias("_epoch")).distinct()
+    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_chosen"))).select(*(docs[c] for c in docs.columns))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row."""
+    return bpe.encode(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", redact_pii), ("mixing", mix), ("bpe", encode)]
+#: SQL can't express language identification by learnt profiles and what follows from it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder, each stored before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,14 +24,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(low.select("a", F.col("low").alias("b")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (a, b) of node ids to rows (node, component) for all nodes but the smallest of each component."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Rows (a, b) of node ids to rows (node, component) for all nodes but the smallest of each component.
+
+    rounds: stop after so many steps; nodes with one label are then connected,
+    but a component may still have several labels.
+    """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    mark = None
+    mark, done = None, 0
     while True:
         after = stored(_small_star(_large_star(now)).distinct())
         dropped(now)
-        now = after
+        now, done = after, done + 1
+        if rounds and done == rounds:
+            low = now.groupBy("a").agg(F.min("b").alias("component"))
+            return low.select(F.col("a").alias("node"), "component")
         # stable once every node points at a root: no node that is pointed at points on
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:

@@ -161,11 +161,11 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFI
                     pred[doc[start]] = np.array(names, object)[best]
                     score[doc[start]] = 1 - share[np.arange(len(best)), best]
                 pred[~has], score[~has] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *(part.column(c) for c in extra)], names=["doc_id", "lang_pred", "score", *extra])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *(part.column("text" if c == "_keep_text" else c) for c in extra)], names=["doc_id", "lang_pred", "score", *extra])
 
     extra = [f"_keep_{c}" for c in keep]
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in extra)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"_keep_{c}") for c in keep if c != "text"))
+    kinds = "".join(f", `_keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return slim.mapInArrow(run, RESULT + kinds).withColumnsRenamed({f"_keep_{c}": c for c in keep})
 
 

@@ -34,7 +34,7 @@ from tessella.llm.packed import Texts, mix, pieces, sequence_hashes, window_star
 from tessella.llm.store import dropped, stored
 
 U64 = np.uint64
-TREES, DEPTH, TAIL = 32, 4, 4
+TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
 SMALL_REGION, NEIGHBOURS = 8, 3
 #: Equal signature values (of 128) below which a pair of 0.75 is five standard errors away.
@@ -42,7 +42,8 @@ LEAST_EQUAL = 72
 _RNG = np.random.Generator(np.random.PCG64(99))
 _A = _RNG.integers(0, 1 << 64, HASHES, dtype=U64) | U64(1)
 _B = _RNG.integers(0, 1 << 64, HASHES, dtype=U64)
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, orders binary"
+PAIRS = "a long, b long"
+SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
 
 
 def shingles(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -76,28 +77,31 @@ def _sketches(batches):
                     sig[full, j] = np.minimum.reduceat((keys * _A[j] + _B[j]) >> U64(32), start)
                 d1[full] = np.add.reduceat(mix(keys), start)
                 d2[full] = np.add.reduceat(mix(keys ^ U64(0x5851F42D4C957F2D)), start)
-            # per tree: a hash of the first values, and the next ones, 16 bits each
-            orders = np.zeros((n, TREES, 2), U64)
-            for t in range(TREES):
-                first = np.full(n, t + 1, U64)
-                for k in range(DEPTH):
-                    first = mix(first * U64(31) + sig[:, t * DEPTH + k])
-                tail = np.zeros(n, U64)
-                for k in range(DEPTH, DEPTH + TAIL):
-                    tail = (tail << U64(16)) | (sig[:, (t * DEPTH + k) % HASHES].astype(U64) & U64(0xFFFF))
-                orders[:, t, 0], orders[:, t, 1] = first, tail
-            sketch = sig.astype(np.uint8)
+            # low bytes of all values, then high bytes
+            both = np.concatenate([sig.astype(np.uint8), (sig >> np.uint32(8)).astype(np.uint8)], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in orders], pa.binary())],
-                names=["doc_id", "n_shingles", "d1", "d2", "sketch", "orders"],
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array([x.tobytes() for x in both], pa.binary())],
+                names=["doc_id", "n_shingles", "d1", "d2", "signature"],
             )
 
 
 def _forest_rows(batches):
+    """A row per tree: the first values, 16 bits each, with the tree in the lowest, and the next values."""
+    extra = None
     for batch in batches:
-        ids = batch.column("rep").to_numpy()
-        orders = np.frombuffer(b"".join(batch.column("orders").to_pylist()), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(orders[:, 0]), pa.array(orders[:, 1]), pa.array(np.repeat(ids, TREES))], names=["region", "tail", "rep"])
+        extra = [c for c in batch.schema.names if c == "component"]
+        ids = np.repeat(batch.column("rep").to_numpy(), TREES)
+        raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * HASHES)
+        values = raw[:, :HASHES].astype(U64) | (raw[:, HASHES:].astype(U64) << U64(8))
+
+        def packed(first):
+            out = np.zeros((len(values), TREES), U64)
+            for k in range(DEPTH):
+                out = (out << U64(16)) | values[:, (np.arange(TREES) * DEPTH + first + k) % HASHES]
+            return out
+
+        region = mix(packed(0) * U64(0x9E3779B97F4A7C15) + np.arange(TREES, dtype=U64)).ravel().view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(packed(DEPTH).ravel().view(np.int64)), pa.array(ids), *(pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in extra)], names=["region", "tail", "rep", *extra])
 
 
 def _regions(batches, columns):
@@ -121,7 +125,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _propose(batches):
-    """Pairs from sorted (region, tail, rep)."""
+    """Pairs from sorted (region, tail, rep); a document with itself marks that it stands in a large region."""
     for region, _, rep in _regions(batches, ("region", "tail", "rep")):
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(start, len(region)))
@@ -133,6 +137,7 @@ def _propose(batches):
             a.append(rep[i]), b.append(rep[i - k])
         i = np.flatnonzero(many & (at > NEIGHBOURS))
         a.append(rep[i]), b.append(rep[i - at[i]])
+        a.append(rep[many]), b.append(rep[many])
         yield _pairs(np.concatenate(a), np.concatenate(b))
 
 
@@ -161,10 +166,10 @@ def _equal_values(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal, pa.int32())], names=["a", "b", "equal"]).filter(near)
 
 
-def _near_enough(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs with the number of equal signature values, without the hopeless ones."""
-    s = sketches.select("rep", "sketch")
-    both = pairs.join(s.withColumnsRenamed({"rep": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"rep": "b", "sketch": "sb"}), "b")
+def _near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs with the number of equal signature values (their low bytes), without the hopeless ones."""
+    s = reps.select("rep", F.substring("signature", 1, HASHES).alias("sketch"))
+    both = pairs.join(s.withColumnsRenamed({"rep": "a", "sketch": "sa"}).hint("merge"), "a").join(s.withColumnsRenamed({"rep": "b", "sketch": "sb"}).hint("merge"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(_equal_values, "a long, b long, equal int")
 
 
@@ -185,7 +190,7 @@ def _confirm(batches):
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked, from full sets."""
     t = texts.select("doc_id", "text")
-    both = pairs.select("a", "b").join(t.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(t.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
+    both = pairs.select("a", "b").join(t.withColumnsRenamed({"doc_id": "a", "text": "ta"}).hint("merge"), "a").join(t.withColumnsRenamed({"doc_id": "b", "text": "tb"}).hint("merge"), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
@@ -202,34 +207,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketched = stored(slim.mapInArrow(_sketches, SKETCH))
     slices = max(1, slim.sparkSession.sparkContext.defaultParallelism, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = stored(sketched.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "sketch", "orders").dropDuplicates(["rep"]))
-    forest = reps.select("rep", "orders").mapInArrow(_forest_rows, "region long, tail long, rep long").repartitionByRange(slices, "region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-    near = stored(_near_enough(forest.mapInArrow(_propose, "a long, b long").where("a <> b").distinct(), reps))
-    # only texts that a proposal needs
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(slim.where("doc_id is not null").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    reps = stored(sketched.join(classes.hint("merge"), ["d1", "d2"]).where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep"]))
+
+    def sorted_forest(rows: DataFrame, kept: str) -> DataFrame:
+        trees = rows.mapInArrow(_forest_rows, kept)
+        return trees.repartitionByRange(slices, "region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
+
+    proposed = stored(sorted_forest(reps, "region long, tail long, rep long").mapInArrow(_propose, PAIRS).distinct())
+    near = stored(_near_enough(proposed.where("a <> b"), reps))
+    crowded = proposed.where("a = b").select(F.col("a").alias("rep"))
+    # only texts that a proposal needs, now or later
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded).distinct()
+    texts = stored(slim.where("doc_id is not null").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # the most similar partner of each document first
     best = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "equal"), F.struct(F.col("b").alias("node"), "a", "b", "equal"))).alias("x")).select("x.*")
     best = best.groupBy("node").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     tried = stored(_confirmed(best, texts))
-    comps = components(tried.where("linked"))
-    rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), comps)
+    # two rounds find most of the components, which is enough to see what is left to try
+    rough = components(tried.where("linked"), rounds=2)
+    rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rough)
     tried_more = stored(_confirmed(rest, texts))
     links = tried.where("linked").select("a", "b").union(tried_more.where("linked").select("a", "b"))
     known = tried.select("a", "b").union(tried_more.select("a", "b"))
     comps = components(links)
+    crowd = stored(reps.join(crowded.hint("merge"), "rep", "left_semi"))
     while True:
-        labelled = reps.select("rep", "orders").mapInArrow(_forest_rows, "region long, tail long, rep long")
-        # regions with several components only
-        labelled = labelled.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = labelled.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("n") > SMALL_REGION).where("low <> high").select("region")
-        labelled = labelled.join(mixed, "region").select("region", "tail", "rep", "component").repartitionByRange(slices, "region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-        more = labelled.mapInArrow(_propose_across, "a long, b long").distinct().join(known, ["a", "b"], "left_anti")
-        more = stored(_near_enough(more, reps))
+        labelled = crowd.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        forest = sorted_forest(labelled, "region long, tail long, rep long, component long")
+        more = stored(_near_enough(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), reps))
         if more.isEmpty():
             break
-        wanted = more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        found = stored(_confirmed(more, slim.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+        found = stored(_confirmed(more, texts))
         if found.where("linked").isEmpty():
             break
         links, known = links.union(found.where("linked").select("a", "b")), known.union(found.select("a", "b"))
@@ -237,5 +245,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("full")).join(label, ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when(F.col("full"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    dropped(texts)
+    dropped(texts, near, proposed, crowd, reps)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
