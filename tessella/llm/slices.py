@@ -83,7 +83,8 @@ def slice_rows(docs: DataFrame, words: bool, length: int, k: int) -> DataFrame:
 
 
 #: kind 0: a slice whose windows all start elsewhere (or earlier); 1: a slice to compare
-#: window by window; 2: a row of an anchor that may go on in another partition.
+#: window by window; 2: the first row of a class whose anchor may go on in another
+#: partition, with the rows that the class has here in ``classes``.
 JUDGED = "kind int, anchor long, digest long, doc_id long, at long, old boolean, many boolean, classes int"
 
 
@@ -141,8 +142,9 @@ def judged(rows: DataFrame, earlier: bool, partitions: int) -> DataFrame:
     """Verdicts for slices of ``rows`` (ROWS and old: from history, never removed), as JUDGED.
 
     A range partitioning by (anchor, digest, doc_id) spreads frequent anchors
-    over partitions. Anchors at the ends of a partition, which includes all that
-    fill more than one, are aggregated and joined instead.
+    over partitions. What is equal within a partition is settled there. Of the
+    anchors at the ends of a partition, which includes all that fill more than
+    one, each class hands on its first row and its count.
     """
     columns = ("anchor", "digest", "doc_id", "at", "old")
 
@@ -152,12 +154,13 @@ def judged(rows: DataFrame, earlier: bool, partitions: int) -> DataFrame:
 
     def run(batches):
         for x, edge in _sorted_groups(batches, columns):
-            if edge:
-                i = np.arange(len(x["anchor"]))
-                yield batch_of(2, x, i, np.zeros(len(i), bool), np.zeros(len(i), np.int32))
-                continue
             gone, contested, many, classes = judge(x, earlier)
             yield batch_of(0, x, gone, np.zeros(len(gone), bool), np.zeros(len(gone), np.int32))
+            if edge:
+                turn = (x["anchor"][1:] != x["anchor"][:-1]) | (x["digest"][1:] != x["digest"][:-1])
+                i = np.flatnonzero(np.append(True, turn))
+                yield batch_of(2, x, i, np.zeros(len(i), bool), np.diff(np.append(i, len(x["anchor"]))))
+                continue
             yield batch_of(1, x, contested, many, classes)
 
     order = ("anchor", "digest", "doc_id", "at")
@@ -165,15 +168,15 @@ def judged(rows: DataFrame, earlier: bool, partitions: int) -> DataFrame:
 
 
 def settled(found: DataFrame, earlier: bool) -> DataFrame:
-    """Rows of kind 0 and 1 only: those of kind 2 are judged by aggregates and joins."""
+    """Rows of kind 0 and 1 only: those of kind 2, one for each class and partition, are settled among themselves."""
     edge = found.where("kind = 2")
-    classes = edge.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "at", "old")).alias("m"), F.count("*").alias("n"))
-    per_anchor = classes.groupBy("anchor").agg(F.count("*").cast("int").alias("classes"))
+    classes = edge.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "at", "old")).alias("m"), F.sum("classes").alias("n"))
+    per_anchor = classes.groupBy("anchor").agg(F.count("*").cast("int").alias("n_classes"))
     marked = edge.select("anchor", "digest", "doc_id", "at", "old").join(classes, ["anchor", "digest"])
     here = (F.col("doc_id") == F.col("m.doc_id")) & (F.col("at") == F.col("m.at"))
     gone = marked.where(~F.col("old") & (~here if earlier else F.col("n") > 1))
     gone = gone.select(F.lit(0).alias("kind"), "anchor", "digest", "doc_id", "at", "old", F.lit(False).alias("many"), F.lit(0).alias("classes"))
-    contested = classes.join(per_anchor.where("classes > 1"), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), "classes")
+    contested = classes.join(per_anchor.where("n_classes > 1"), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), F.col("n_classes").alias("classes"))
     return found.where("kind < 2").unionByName(gone).unionByName(contested)
 
 
