@@ -26,6 +26,11 @@ def _gathered(pixels: DataFrame, order: Column, channels: str) -> DataFrame:
     return rows.select("image_id", "width", "height", F.concat_ws("", F.transform("p", lambda p: p["h"])).alias("body"))
 
 
+def once(value: Column) -> Column:
+    """A value worked out once per row: it passes through a generator, into which later projections are not merged."""
+    return F.explode(F.array(value))
+
+
 def write_bmp(pixels: DataFrame, ppi: float = 72.0) -> DataFrame:
     """32-bit bitmaps with channel masks, bottom-up: image_id, width, height, content."""
     g = _gathered(pixels, F.struct(-F.col("y"), F.col("x")), "bgra")
@@ -35,7 +40,7 @@ def write_bmp(pixels: DataFrame, ppi: float = 72.0) -> DataFrame:
     fields = [(area + 122, 4), (zero, 4), (F.lit(122), 4), (F.lit(108), 4), (w, 4), (h, 4), (F.lit(1), 2), (F.lit(32), 2), (F.lit(3), 4), (area, 4), (per_metre, 4), (per_metre, 4), (zero, 4), (zero, 4)]
     masks = "0000FF00" + "00FF0000" + "FF000000" + "000000FF" + "42475273" + "00" * 48
     head = F.concat(F.lit("424D"), *(hex_uint(v, n) for v, n in fields), F.lit(masks))
-    return g.select("image_id", "width", "height", F.unhex(F.concat(head, "body")).alias("content"))
+    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body"))).alias("content"))
 
 
 def write_tga(pixels: DataFrame) -> DataFrame:
@@ -43,7 +48,7 @@ def write_tga(pixels: DataFrame) -> DataFrame:
     g = _gathered(pixels, F.struct("y", "x"), "bgra")
     head = F.concat(F.lit("000002" + "00" * 9), hex_uint(F.col("width"), 2), hex_uint(F.col("height"), 2), F.lit("2028"))
     foot = "00" * 8 + "TRUEVISION-XFILE.".encode().hex().upper() + "00"
-    return g.select("image_id", "width", "height", F.unhex(F.concat(head, "body", F.lit(foot))).alias("content"))
+    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body", F.lit(foot)))).alias("content"))
 
 
 def write_tiff(pixels: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def write_tiff(pixels: DataFrame) -> DataFrame:
     entries = [one(256, long, F.col("width")), one(257, long, F.col("height")), F.concat(F.lit("0201" + short + "04000000"), hex_uint(area + 8, 4)), one(259, short, F.lit(1)), one(262, short, F.lit(2)), one(273, long, F.lit(8)), one(277, short, F.lit(4)), one(278, long, F.col("height")), one(279, long, area), one(338, short, F.lit(2))]
     head = F.concat(F.lit("49492A00"), hex_uint(area + 16, 4))
     tail = F.concat(F.lit("0800" * 4), F.lit("0A00"), *entries, F.lit("00000000"))
-    return g.select("image_id", "width", "height", F.unhex(F.concat(head, "body", tail)).alias("content"))
+    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body", tail))).alias("content"))
 
 
 def _adler32(bytes_: Column) -> Column:
@@ -71,18 +76,19 @@ def write_png(pixels: DataFrame) -> DataFrame:
     rows = pixels.groupBy("image_id", "y").agg((F.max("x") + 1).alias("width"), F.sort_array(F.collect_list(F.struct("x", digits.alias("h")))).alias("p"))
     rows = rows.select("image_id", "y", "width", F.concat(F.lit("00"), F.concat_ws("", F.transform("p", lambda p: p["h"]))).alias("line"))
     g = rows.groupBy("image_id").agg(F.max("width").alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(F.struct("y", "line"))).alias("p"))
-    g = g.select("image_id", "width", "height", F.concat_ws("", F.transform("p", lambda p: p["line"])).alias("body"))
+    g = g.select("image_id", "width", "height", once(F.concat_ws("", F.transform("p", lambda p: p["line"]))).alias("body"))
     size = F.length("body") / 2
     values = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.conv(F.substring(F.col("body"), i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    stored = F.concat(F.lit("780101"), hex_uint(size, 2), hex_uint(65535 - size, 2), F.col("body"), hex_uint(_adler32(values), 4, little=False))
+    g = g.where(F.length("body") <= 131_070).select("*", once(_adler32(values)).alias("adler"))
+    g = g.select("image_id", "width", "height", once(F.concat(F.lit("780101"), hex_uint(size, 2), hex_uint(65535 - size, 2), F.col("body"), hex_uint(F.col("adler"), 4, little=False))).alias("data"))
 
     def chunk(name: str, data: Column) -> Column:
         typed = F.concat(F.lit(name.encode().hex().upper()), data)
         return F.concat(hex_uint(F.length(data) / 2, 4, little=False), typed, hex_uint(F.crc32(F.unhex(typed)), 4, little=False))
 
     head = F.concat(hex_uint(F.col("width"), 4, little=False), hex_uint(F.col("height"), 4, little=False), F.lit("0806000000"))
-    whole = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", head), chunk("IDAT", stored), chunk("IEND", F.lit("")))
-    return g.where(F.length("body") <= 131_070).select("image_id", "width", "height", F.unhex(whole).alias("content"))
+    whole = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", head), chunk("IDAT", F.col("data")), chunk("IEND", F.lit("")))
+    return g.select("image_id", "width", "height", once(F.unhex(whole)).alias("content"))
 
 
 # --- headers ---------------------------------------------------------------------
@@ -90,8 +96,8 @@ def write_png(pixels: DataFrame) -> DataFrame:
 
 def inspect(files: DataFrame) -> DataFrame:
     """Adds format, width, height, bits, ppi_x and ppi_y from headers, without reading pixels."""
-    c = F.col("content")
-    form = image_format(c)
+    files = files.select("*", once(image_format("content")).alias("format"))
+    c, form = F.col("content"), F.col("format")
     be = lambda at, n: uint(c, at, n, little=False)
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
     bmp = (uint(c, 14, 4) >= 40) & (form == "bmp")
@@ -99,7 +105,7 @@ def inspect(files: DataFrame) -> DataFrame:
     width = F.when(bmp, signed(uint(c, 18, 4))).when(form == "png", be(16, 4)).when(form == "qoi", be(4, 4)).when(form == "tga", uint(c, 12, 2))
     height = F.when(bmp, F.abs(signed(uint(c, 22, 4)))).when(form == "png", be(20, 4)).when(form == "qoi", be(8, 4)).when(form == "tga", uint(c, 14, 2))
     ppi = lambda at: F.when(bmp & (signed(uint(c, at, 4)) > 0), signed(uint(c, at, 4)) / INCH)
-    return files.withColumns({"format": form, "width": width.cast("long"), "height": height.cast("long"), "bits": bits.cast("int"), "ppi_x": ppi(38), "ppi_y": ppi(42)})
+    return files.withColumns({"width": width.cast("long"), "height": height.cast("long"), "bits": bits.cast("int"), "ppi_x": ppi(38), "ppi_y": ppi(42)})
 
 
 def within_budget(inspected: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES, channels: int = 4) -> DataFrame:
@@ -112,12 +118,18 @@ def within_budget(inspected: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes:
 
 
 def _exploded(files: DataFrame, offset: Column, order: str, bottom_up: Column) -> DataFrame:
-    rows = files.withColumn("y", F.explode(F.expr("sequence(0, cast(height - 1 as int))"))).withColumn("x", F.explode(F.expr("sequence(0, cast(width - 1 as int))")))
-    line = F.when(bottom_up, F.col("height") - 1 - F.col("y")).otherwise(F.col("y"))
-    at = offset + (line * F.col("width") + F.col("x")) * 4
-    h = F.hex(F.substring(F.col("content"), (at + 1).cast("int"), F.lit(4)))
-    sample = {c: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") for i, c in enumerate(order)}
-    return rows.select("image_id", "y", "x", *(sample[c].alias(c) for c in "rgba"))
+    """Pixels from the bytes at ``offset``: first lines, then samples, so that no row carries a whole file.
+
+    The header fields pass through a generator, which keeps the optimizer from
+    working them out again for every line.
+    """
+    head = F.struct(F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), offset.cast("int").alias("at"), bottom_up.alias("up"), "content")
+    one = files.select("image_id", once(head).alias("f")).select("image_id", "f.*")
+    line = F.expr("if(up, h - 1 - y, y)")
+    lines = one.select("*", F.explode(F.expr("sequence(0, h - 1)")).alias("y")).select("image_id", "y", "w", F.hex(F.substring(F.col("content"), F.col("at") + line * F.col("w") * 4 + 1, F.col("w") * 4)).alias("line"))
+    samples = lines.select("image_id", "y", F.posexplode(F.expr("transform(sequence(0, w - 1), i -> substring(line, 8 * i + 1, 8))")).alias("x", "s"))
+    value = {c: F.conv(F.substring("s", 2 * i + 1, 2), 16, 10).cast("int") for i, c in enumerate(order)}
+    return samples.select("image_id", "y", "x", *(value[c].alias(c) for c in "rgba"))
 
 
 def read_bmp(files: DataFrame) -> DataFrame:
@@ -134,10 +146,9 @@ def read_tga(files: DataFrame) -> DataFrame:
 
 def read_tiff(files: DataFrame) -> DataFrame:
     """Pixels of little-endian RGBA TIFF of one uncompressed strip (image_id, content); the directory is walked as an array."""
-    start = uint("content", 4, 4)
-    seen = files.where(image_format("content") == "tiff").where(F.hex(F.substring("content", 1, 2)) == "4949").withColumn("dir", start)
+    seen = files.where(image_format("content") == "tiff").where(F.hex(F.substring("content", 1, 2)) == "4949").select("*", once(uint("content", 4, 4)).alias("dir"))
     entries = F.transform(F.sequence(F.lit(0), (uint("content", F.col("dir"), 2) - 1).cast("int")), lambda i: F.struct(uint("content", F.col("dir") + 2 + i * 12, 2).alias("tag"), uint("content", F.col("dir") + 10 + i * 12, 4).alias("value")))
-    seen = seen.withColumn("entries", entries)
+    seen = seen.select("*", once(entries).alias("entries"))
     value = lambda tag: F.element_at(F.filter("entries", lambda e: e["tag"] == tag), 1)["value"]
     seen = seen.withColumns({"width": value(256), "height": value(257), "strip": value(273), "coding": value(259), "samples": value(277), "bits": F.lit(8)})
     return _exploded(within_budget(seen.where("coding = 1 and samples = 4")), F.col("strip"), "rgba", F.lit(False))
