@@ -162,8 +162,8 @@ ORACLE["sniff_formats"] = f"{_META} SELECT image_id, format FROM m"
 ORACLE["inspect_headers"] = f"{_META} SELECT image_id, format, {_SEEN.format('w')} AS width, {_SEEN.format('h')} AS height, CAST({_SEEN.format('8')} AS INTEGER) AS bits, CASE WHEN format = 'bmp' THEN round(2835 / 39.37007874015748, 6) END AS ppi_x FROM m WHERE format <> 'tiff'"
 ORACLE["budget_filter"] = f"{_META} SELECT image_id, w AS width, h AS height FROM m WHERE format <> 'tiff' AND w * h <= 600"
 ORACLE["png_chunks"] = f"""WITH {_SIZES} SELECT image_id, CAST(k AS INTEGER) AS n, ['IHDR', 'IDAT', 'IEND'][k + 1] AS name, CAST([13, 11 + h * (4 * w + 1), 0][k + 1] AS BIGINT) AS size, true AS ok FROM z, range(3) AS t(k) WHERE h * (4 * w + 1) <= 65535"""
-ORACLE["format_inventory"] = f"{_META} SELECT format, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, CASE WHEN format <> 'tiff' THEN max(h) END AS tallest FROM m GROUP BY format"
-ORACLE["format_cube"] = f"{_META}, t AS (SELECT format, CAST(coalesce({_SEEN.format('h')} > 38, false) AS INTEGER) AS tall FROM m) SELECT format, tall, count(*) AS n, CAST(grouping(format) * 2 + grouping(tall) AS BIGINT) AS level FROM t GROUP BY CUBE (format, tall)"
+ORACLE["format_inventory"] = f"{_META} SELECT coalesce(format, 'none') AS format, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, coalesce(CASE WHEN format <> 'tiff' THEN max(h) END, 0) AS tallest FROM m GROUP BY m.format"
+ORACLE["format_cube"] = f"{_META}, t AS (SELECT coalesce(format, 'none') AS f, CAST(coalesce({_SEEN.format('h')} > 38, false) AS INTEGER) AS t FROM m) SELECT coalesce(f, 'all') AS format, coalesce(t, -1) AS tall, count(*) AS n, CAST(grouping(f) * 2 + grouping(t) AS BIGINT) AS level FROM t GROUP BY CUBE (f, t)"
 ORACLE["top_k_largest"] = f"{_META} SELECT image_id, format, CAST(length AS BIGINT) AS length FROM m ORDER BY length DESC, image_id LIMIT 10"
 ORACLE["rank_by_height"] = f"{_META} SELECT image_id, format, CAST(rank() OVER (PARTITION BY format ORDER BY {_SEEN.format('h')} DESC NULLS LAST) AS INTEGER) AS rank FROM m WHERE format IS NOT NULL"
 ORACLE["sniff_signatures"] = "SELECT CAST(k AS INTEGER) AS k, f AS format FROM (VALUES (0, 'bmp'), (10, 'gif'), (11, 'gif'), (20, 'png'), (30, 'jbig2'), (40, 'jpeg'), (50, 'jpeg_xl'), (51, 'jpeg_xl'), (60, 'open_exr'), (70, 'webp'), (80, 'qoi'), (90, 'tiff'), (91, 'tiff')) AS t(k, f)"

@@ -419,13 +419,15 @@ def _meta(s, d):
 
 @query
 def format_inventory(s, d):
-    return _meta(s, d).groupBy("format").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.max("height").alias("tallest"))
+    m = _meta(s, d).withColumn("format", F.coalesce("format", F.lit("none")))
+    return m.groupBy("format").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.coalesce(F.max("height"), F.lit(0)).alias("tallest"))
 
 
 @query
 def format_cube(s, d):
-    m = _meta(s, d).withColumn("tall", F.coalesce(F.col("height") > 38, F.lit(False)).cast("int"))
-    return m.cube("format", "tall").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+    m = _meta(s, d).withColumn("format", F.coalesce("format", F.lit("none"))).withColumn("tall", F.coalesce(F.col("height") > 38, F.lit(False)).cast("int"))
+    cube = m.cube("format", "tall").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+    return cube.select(F.coalesce("format", F.lit("all")).alias("format"), F.coalesce("tall", F.lit(-1)).alias("tall"), "n", "level")
 
 
 @query
