@@ -13,15 +13,18 @@ from tessella.llm.store import dropped, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """Links each larger neighbour of a node to the smallest of its neighbours and itself."""
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = edges.select(ends.alias("e")).select("e.a", "e.b")
     low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
     return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    low = down.groupBy("a").agg(F.min("b").alias("low"))
-    return down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(low.select("a", F.col("low").alias("b")))
+    """Links a node and its smaller neighbours to the smallest of them; edges have a > b."""
+    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    ends = F.explode(F.array("a", "b"))
+    return edges.join(low, "a").select(ends.alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -30,11 +33,12 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     rounds: stop after so many steps; nodes with one label are then connected,
     but a component may still have several labels.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), slim=True)
     mark, done = None, 0
     while True:
-        after = stored(_small_star(_large_star(now)).distinct())
-        dropped(now)
+        wide = stored(_large_star(now), slim=True)
+        after = stored(_small_star(wide), slim=True)
+        dropped(now, wide)
         now, done = after, done + 1
         if rounds and done == rounds:
             low = now.groupBy("a").agg(F.min("b").alias("component"))

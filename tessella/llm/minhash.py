@@ -10,14 +10,14 @@ groups are the connected components.
    signature values. A global sort per tree puts those with long common
    prefixes side by side. Documents that share the first four values form a
    region; a small region proposes all its pairs, a larger one goes deeper: a
-   document is proposed with its neighbours in the order, which share the
-   longest prefixes, and with the head of its region.
+   document is proposed with its neighbour in the order, which shares the
+   longest prefix.
 3. Proposals that the signatures put far under the threshold go. Of the rest
    each document's most similar one is confirmed on the full texts first; links
    make components; then every proposal that still joins two components is
    confirmed.
 4. Large regions that still hold several components propose again, between
-   neighbours of different components, until no link is found.
+   neighbours of different components and with the head, until no link is found.
 
 Rows repeated with one doc_id are one document. Extra columns are ignored.
 """
@@ -36,7 +36,7 @@ from tessella.llm.store import dropped, stored
 U64 = np.uint64
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
-SMALL_REGION, NEIGHBOURS = 8, 3
+SMALL_REGION, NEIGHBOURS = 8, 1
 #: Equal signature values (of 128) below which a pair of 0.75 is five standard errors away.
 LEAST_EQUAL = 72
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -135,8 +135,6 @@ def _propose(batches):
         for k in range(1, SMALL_REGION):
             i = np.flatnonzero((at >= k) & (~many | (k <= NEIGHBOURS)))
             a.append(rep[i]), b.append(rep[i - k])
-        i = np.flatnonzero(many & (at > NEIGHBOURS))
-        a.append(rep[i]), b.append(rep[i - at[i]])
         a.append(rep[many]), b.append(rep[many])
         yield _pairs(np.concatenate(a), np.concatenate(b))
 
@@ -213,8 +211,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         trees = rows.mapInArrow(_forest_rows, kept)
         return trees.repartitionByRange(slices, "region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
 
-    proposed = stored(sorted_forest(reps, "region long, tail long, rep long").mapInArrow(_propose, PAIRS).distinct())
-    near = stored(_near_enough(proposed.where("a <> b"), reps))
+    proposed = stored(sorted_forest(reps, "region long, tail long, rep long").mapInArrow(_propose, PAIRS).distinct(), slim=True)
+    near = stored(_near_enough(proposed.where("a <> b"), reps), slim=True)
     crowded = proposed.where("a = b").select(F.col("a").alias("rep"))
     # only texts that a proposal needs, now or later
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded).distinct()
@@ -222,11 +220,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the most similar partner of each document first
     best = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "equal"), F.struct(F.col("b").alias("node"), "a", "b", "equal"))).alias("x")).select("x.*")
     best = best.groupBy("node").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = stored(_confirmed(best, texts))
+    tried = stored(_confirmed(best, texts), slim=True)
     # two rounds find most of the components, which is enough to see what is left to try
     rough = components(tried.where("linked"), rounds=2)
     rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rough)
-    tried_more = stored(_confirmed(rest, texts))
+    tried_more = stored(_confirmed(rest, texts), slim=True)
     links = tried.where("linked").select("a", "b").union(tried_more.where("linked").select("a", "b"))
     known = tried.select("a", "b").union(tried_more.select("a", "b"))
     comps = components(links)
@@ -234,10 +232,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         labelled = crowd.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         forest = sorted_forest(labelled, "region long, tail long, rep long, component long")
-        more = stored(_near_enough(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), reps))
+        more = stored(_near_enough(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), reps), slim=True)
         if more.isEmpty():
             break
-        found = stored(_confirmed(more, texts))
+        found = stored(_confirmed(more, texts), slim=True)
         if found.where("linked").isEmpty():
             break
         links, known = links.union(found.where("linked").select("a", "b")), known.union(found.select("a", "b"))

@@ -21,9 +21,14 @@ def folder(spark: SparkSession) -> str:
     return f"{base}/tessella-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back."""
+def stored(df: DataFrame, slim: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared folder and reads it back.
+
+    slim: rows of a few numbers, which go to four files for each core of the cluster at most.
+    """
     path = folder(df.sparkSession)
+    if slim:
+        df = df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessella_path = path  # noqa: SLF001
