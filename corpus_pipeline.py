@@ -31,11 +31,13 @@ LEAST_SCORE = 0.1
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a known language."""
-    profiles = language.learn(docs)
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language.identify(docs.withColumnRenamed("lang_pred", "_lang_pred").withColumnRenamed("score", "_score") if {"lang_pred", "score"} & set(docs.columns) else docs, profiles, keep=tuple({"lang_pred": "_lang_pred", "score": "_score"}.get(c, c) for c in rest))
-    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    # columns of the input may be called like those of the prediction
+    columns = [f"in_{c}" for c in docs.columns]
+    named = docs.toDF(*columns).withColumnsRenamed({"in_doc_id": "doc_id", "in_text": "text"})
+    rest = tuple(c for c in named.columns if c != "doc_id")
+    judged = language.identify(named, language.learn(docs), keep=rest)
+    kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumn("in_lang", F.coalesce("in_lang", "lang_pred"))
+    return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
