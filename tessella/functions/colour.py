@@ -125,3 +125,50 @@ def channel_order(order: str, s: list[Column]) -> tuple[Column, Column, Column,
         return s[0], s[0], s[0], s[1]
     at = {c: s[i] for i, c in enumerate(order)}
     return at["r"], at["g"], at["b"], at.get("a", opaque)
+
+
+def lab_to_srgb(lightness: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Lab under D50 in the 0..1 encoding to sRGB in 0..1 (double)."""
+    fy = (lightness * 100 + 16) / 116
+    fx, fz = fy + (a * 255 - 128) / 500, fy - (b * 255 - 128) / 200
+    open_ = lambda f: F.when(f > 6 / 29, f * f * f).otherwise((f - 4 / 29) * (3 * (6 / 29) * (6 / 29)))
+    # fixed values: the D50 white and the matrix from D50 XYZ to linear sRGB
+    white = (0.96422, 1.0, 0.82521)
+    matrix = ((3.1338561, -1.6168667, -0.4906146), (-0.9787684, 1.9161415, 0.0334540), (0.0719453, -0.2289914, 1.4052427))
+    xyz = [open_(f) * w for f, w in zip((fx, fy, fz), white)]
+    return tuple(srgb_encode(F.least(F.greatest(sum((v * m for v, m in zip(xyz[1:], row[1:])), xyz[0] * row[0]), F.lit(0.0)), F.lit(1.0))) for row in matrix)
+
+
+def rct_inverse_type(kind: Column, a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    """Inverse of the reversible transforms 0 to 6: additions of the first channel or a half sum, or the lifting of ``rct``."""
+    third = F.when(kind.isin(1, 3, 5), c + a).otherwise(c)
+    second = F.when(kind.isin(2, 3), b + a).when(kind.isin(4, 5), b + F.shiftright(a + third, 1)).otherwise(b)
+    r, g, blue = rct_inverse(a, b, c)
+    pick = lambda lifted, plain: _int(F.when(kind == 6, lifted).otherwise(plain))
+    return pick(r, a), pick(g, second), pick(blue, third)
+
+
+def signed8(v: Column) -> Column:
+    return F.when(v > 127, v - 256).otherwise(v)
+
+
+def cross_colour(r: Column, g: Column, b: Column, green_red: int, green_blue: int, red_blue: int) -> tuple[Column, Column, Column]:
+    """Adds to red a share of green and to blue shares of green and of the new red, modulo 256; shares are signed, in 32nds."""
+    red = (r + F.shiftright(signed8(g) * green_red, 5)).bitwiseAND(255)
+    blue = (b + F.shiftright(signed8(g) * green_blue, 5) + F.shiftright(signed8(red) * red_blue, 5)).bitwiseAND(255)
+    return _int(red), _int(g), _int(blue)
+
+
+def colour_key(r: Column, g: Column, b: Column, key: tuple[int, int, int]) -> Column:
+    """Alpha 0 where all samples equal the key."""
+    return F.when((r == key[0]) & (g == key[1]) & (b == key[2]), 0).otherwise(255).cast("int")
+
+
+def blend(mode: str, new: Column, old: Column, alpha: Column) -> Column:
+    """A sample of a frame on a canvas, samples and alpha in 0..1 (double)."""
+    return {"replace": new, "add": new + old, "blend": new * alpha + old * (1 - alpha), "multiply_add": old + new * alpha, "multiply": new * old}[mode]
+
+
+def microseconds(ticks: Column, per_second: Column, scale: Column) -> Column:
+    """Length of a frame; 0 if the image has no tick rate."""
+    return F.when(per_second == 0, F.lit(0)).otherwise(F.floor(ticks * scale * 1_000_000 / per_second)).cast("long")

@@ -169,3 +169,28 @@ ORACLE["rank_by_height"] = f"{_META} SELECT image_id, format, CAST(rank() OVER (
 ORACLE["sniff_signatures"] = "SELECT CAST(k AS INTEGER) AS k, f AS format FROM (VALUES (0, 'bmp'), (10, 'gif'), (11, 'gif'), (20, 'png'), (30, 'jbig2'), (40, 'jpeg'), (50, 'jpeg_xl'), (51, 'jpeg_xl'), (60, 'open_exr'), (70, 'webp'), (80, 'qoi'), (90, 'tiff'), (91, 'tiff')) AS t(k, f)"
 _BLOCK_BMP = _BMP
 ORACLE["duplicates_by_hash"] = f"WITH {BLOCKS}, i AS (SELECT image_id, CAST(35 AS BIGINT) AS w, CAST(22 AS BIGINT) AS h, " + _BODY.format(order="b, g, r >> 7, a", by="-y, x") + f" AS body FROM bl GROUP BY image_id), e AS (SELECT image_id, md5({_BMP} || body) AS digest FROM i) SELECT digest, count(*) AS n, min(image_id) AS first FROM e GROUP BY digest"
+
+_LAB = """, f AS (SELECT image_id, y, x, (100.0::DOUBLE * r / 255 + 16) / 116 AS fy, g::DOUBLE AS ga, b::DOUBLE AS bb FROM r2),
+ h AS (SELECT *, fy + (ga / 255 * 255 - 128) / 500 AS fx, fy - (bb / 255 * 255 - 128) / 200 AS fz FROM f),
+ v AS (SELECT image_id, y, x, 0.96422::DOUBLE * {0} AS px, {1} AS py, 0.82521::DOUBLE * {2} AS pz FROM h),
+ q AS (SELECT image_id, y, x, {3} AS l0, {4} AS l1, {5} AS l2 FROM v)
+ SELECT image_id, y, x, {6} FROM q""".format(
+    *(f"(CASE WHEN {c} > 6::DOUBLE / 29 THEN {c} * {c} * {c} ELSE 3 * (6::DOUBLE / 29) * (6::DOUBLE / 29) * ({c} - 4::DOUBLE / 29) END)" for c in ("fx", "fy", "fz")),
+    *(f"least(greatest({a}::DOUBLE * px + {b}::DOUBLE * py + {c}::DOUBLE * pz, 0), 1)" for a, b, c in (("3.1338561", "-1.6168667", "-0.4906146"), ("-0.9787684", "1.9161415", "0.0334540"), ("0.0719453", "-0.2289914", "1.4052427"))),
+    ", ".join(f"round(CASE WHEN l{i} <= 0.0031308 THEN 12.92 * l{i} ELSE 1.055 * pow(l{i}, 1 / 2.4) - 0.055 END, 6) AS c{i}" for i in range(3)),
+)
+ORACLE["lab_to_srgb"] = _r2(_LAB)
+ORACLE["rct_inverse_types"] = _r2(""", k AS (SELECT image_id, y, x, CAST(image_id % 7 AS INTEGER) AS kind, r AS a, g - 128 AS b, b - 128 AS c FROM r2),
+ t AS (SELECT *, a - (c >> 1) AS tmp, CASE WHEN kind IN (1, 3, 5) THEN a + c ELSE c END AS c2 FROM k)
+ SELECT image_id, y, x, kind, CAST(CASE WHEN kind = 6 THEN tmp - (b >> 1) + b ELSE a END AS INTEGER) AS c0,
+  CAST(CASE kind WHEN 6 THEN c + tmp WHEN 2 THEN b + a WHEN 3 THEN b + a WHEN 4 THEN b + ((a + c2) >> 1) WHEN 5 THEN b + ((a + c2) >> 1) ELSE b END AS INTEGER) AS c1,
+  CAST(CASE WHEN kind = 6 THEN tmp - (b >> 1) ELSE c2 END AS INTEGER) AS c2 FROM t""")
+ORACLE["cross_colour"] = _r2(""", s AS (SELECT *, CASE WHEN g > 127 THEN g - 256 ELSE g END AS sg FROM r2), n AS (SELECT *, (r + ((sg * -20) >> 5) + 256) % 256 AS nr FROM s)
+ SELECT image_id, y, x, CAST(nr AS INTEGER) AS c0, g AS c1, CAST((b + ((sg * 13) >> 5) + ((CASE WHEN nr > 127 THEN nr - 256 ELSE nr END * 7) >> 5) + 512) % 256 AS INTEGER) AS c2 FROM n""")
+ORACLE["colour_key"] = f"WITH {BLOCKS} SELECT image_id, y, x, CAST(CASE WHEN r = 0 AND g = 0 AND b = 0 THEN 0 ELSE 255 END AS INTEGER) AS a FROM bl"
+ORACLE["invert_gray"] = _r2("SELECT image_id, y, x, CAST(255 - r AS INTEGER) AS v FROM r2")
+ORACLE["upsample_replicate"] = f"""WITH {R3}, c AS (SELECT image_id, y, x, ((-38 * r - 74 * g + 112 * b + 128) >> 8) + 128 AS u FROM r3)
+ SELECT image_id, y, x, CAST((2 * sum(u) OVER w + count(*) OVER w) // (2 * count(*) OVER w) AS INTEGER) AS u FROM c WINDOW w AS (PARTITION BY image_id, y // 2, x // 2)"""
+for _k, _v in {"replace": "n", "add": "n + o", "blend": "n * a + o * (1 - a)", "multiply_add": "o + n * a", "multiply": "n * o"}.items():
+    ORACLE[f"frame_{_k}"] = _r2(f", s AS (SELECT image_id, y, x, r::DOUBLE / 255 AS n, g::DOUBLE / 255 AS o, a::DOUBLE / 255 AS a FROM r2) SELECT image_id, y, x, round({_v}, 9) AS v FROM s")
+ORACLE["frame_durations"] = "SELECT event_id, CAST(CASE WHEN event_id % 90 = 0 THEN 0 ELSE user_id * 7 * 1000000 // (event_id % 90) END AS BIGINT) AS us FROM events"

@@ -470,3 +470,52 @@ def stream_states(s, d):
 def arriving_totals(s, d):
     out = ingest.arriving_totals(rasters.table(s, d, "events"))
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "bytes")
+
+
+# more colour
+@query
+def lab_to_srgb(s, d):
+    return _rgb(_r2(s, d), [F.round(c, 6) for c in colour.lab_to_srgb(R / 255, G / 255, B / 255)])
+
+
+@query
+def rct_inverse_types(s, d):
+    p = _r2(s, d).withColumn("kind", (F.col("image_id") % 7).cast("int"))
+    out = colour.rct_inverse_type(F.col("kind"), R, G - 128, B - 128)
+    return p.select("image_id", "y", "x", "kind", *(c.alias(k) for c, k in zip(out, ("c0", "c1", "c2"))))
+
+
+@query
+def cross_colour(s, d):
+    return _rgb(_r2(s, d), colour.cross_colour(R, G, B, -20, 13, 7))
+
+
+@query
+def colour_key(s, d):
+    return rasters.block_pixels(s, d).select("image_id", "y", "x", colour.colour_key(R, G, B, (0, 0, 0)).alias("a"))
+
+
+@query
+def invert_gray(s, d):
+    return _r2(s, d).select("image_id", "y", "x", (255 - R).cast("int").alias("v"))
+
+
+@query
+def upsample_replicate(s, d):
+    half = pixels.chroma_420(_r3(s, d)).select("image_id", F.col("y").alias("hy"), F.col("x").alias("hx"), "u")
+    full = _r3(s, d).select("image_id", "y", "x", F.shiftright("y", 1).alias("hy"), F.shiftright("x", 1).alias("hx"))
+    return full.join(half, ["image_id", "hy", "hx"]).select("image_id", "y", "x", "u")
+
+
+def _blend(mode):
+    return lambda s, d: _r2(s, d).select("image_id", "y", "x", F.round(colour.blend(mode, R / 255, G / 255, A / 255), 9).alias("v"))
+
+
+for _o in ("replace", "add", "blend", "multiply_add", "multiply"):
+    QUERIES[f"frame_{_o}"] = _blend(_o)
+
+
+@query
+def frame_durations(s, d):
+    e = rasters.table(s, d, "events")
+    return e.select("event_id", colour.microseconds(F.col("user_id"), F.col("event_id") % 90, F.lit(7)).alias("us"))
