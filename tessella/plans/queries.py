@@ -13,7 +13,23 @@ from tessella.streaming import ingest
 
 RGBA = ("r", "g", "b", "a")
 QUERIES: dict = {}
-R, G, B, A = (F.col(c) for c in RGBA)
+
+
+def red():
+    return F.col("r")
+
+
+def green():
+    return F.col("g")
+
+
+def blue():
+    return F.col("b")
+
+
+def alpha():
+    return F.col("a")
+
 
 
 def query(f):
@@ -64,7 +80,7 @@ def _order(order):
     def run(s, d):
         p = _r2(s, d)
         n = {"red": 1, "gray_alpha": 2}.get(order, len(order))
-        out = colour.channel_order(order, [R, G, B, A][:n])
+        out = colour.channel_order(order, [red(), green(), blue(), alpha()][:n])
         return p.select("image_id", "y", "x", *(c.cast("int").alias(k) for c, k in zip(out, RGBA)))
 
     return run
@@ -96,27 +112,27 @@ def _rgb(p, cols):
 
 @query
 def white_composite(s, d):
-    return _rgb(_r2(s, d), [colour.over_white(c, A) for c in (R, G, B)])
+    return _rgb(_r2(s, d), [colour.over_white(c, alpha()) for c in (red(), green(), blue())])
 
 
 @query
 def matte_composite(s, d):
-    return _rgb(_r2(s, d), [colour.over_matte(c, A, 64) for c in (R, G, B)])
+    return _rgb(_r2(s, d), [colour.over_matte(c, alpha(), 64) for c in (red(), green(), blue())])
 
 
 @query
 def rgb_to_ycbcr(s, d):
-    return _rgb(_r2(s, d), colour.rgb_to_ycbcr(R, G, B))
+    return _rgb(_r2(s, d), colour.rgb_to_ycbcr(red(), green(), blue()))
 
 
 @query
 def ycbcr_to_rgb(s, d):
-    return _rgb(_r2(s, d), colour.ycbcr_to_rgb(R, G, B))
+    return _rgb(_r2(s, d), colour.ycbcr_to_rgb(red(), green(), blue()))
 
 
 @query
 def yuv_limited(s, d):
-    return _rgb(_r2(s, d), colour.limited_yuv(R, G, B))
+    return _rgb(_r2(s, d), colour.limited_yuv(red(), green(), blue()))
 
 
 @query
@@ -126,18 +142,18 @@ def chroma_420(s, d):
 
 @query
 def cmyk_to_rgb(s, d):
-    return _rgb(_r2(s, d), [colour.cmyk_to_rgb(c, A) for c in (R, G, B)])
+    return _rgb(_r2(s, d), [colour.cmyk_to_rgb(c, alpha()) for c in (red(), green(), blue())])
 
 
 @query
 def rct_forward(s, d):
-    return _rgb(_r2(s, d), colour.rct(R, G, B))
+    return _rgb(_r2(s, d), colour.rct(red(), green(), blue()))
 
 
 @query
 def rct_roundtrip(s, d):
     p = _r2(s, d)
-    y, co, cg = colour.rct(R, G, B)
+    y, co, cg = colour.rct(red(), green(), blue())
     p = p.withColumns({"k0": y, "k1": co, "k2": cg})
     r, g, b = colour.rct_inverse(F.col("k0"), F.col("k1"), F.col("k2"))
     return p.select("image_id", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"), "a")
@@ -145,12 +161,12 @@ def rct_roundtrip(s, d):
 
 @query
 def subtract_green(s, d):
-    return _rgb(_r2(s, d), colour.subtract_green(R, G, B))
+    return _rgb(_r2(s, d), colour.subtract_green(red(), green(), blue()))
 
 
 @query
 def unpremultiply(s, d):
-    return _rgb(_r2(s, d), [colour.unpremultiply(c, A) for c in (R, G, B)])
+    return _rgb(_r2(s, d), [colour.unpremultiply(c, alpha()) for c in (red(), green(), blue())])
 
 
 @query
@@ -167,30 +183,30 @@ def unpack_bits(s, d):
 
 @query
 def float_to_byte(s, d):
-    return _rgb(rasters.float_pixels(s, d), [colour.unit_to_byte(c) for c in (R, G, B)])
+    return _rgb(rasters.float_pixels(s, d), [colour.unit_to_byte(c) for c in (red(), green(), blue())])
 
 
 @query
 def extended_srgb(s, d):
-    return _rgb(rasters.float_pixels(s, d), [F.round(colour.srgb_encode(c), 6) for c in (R, G, B)])
+    return _rgb(rasters.float_pixels(s, d), [F.round(colour.srgb_encode(c), 6) for c in (red(), green(), blue())])
 
 
 @query
 def spot_composite(s, d):
-    mixed = lambda c: F.round(A / 255 * 200 + (1 - A / 255) * c, 6)
-    return _rgb(_r2(s, d), [mixed(c) for c in (R, G, B)])
+    mixed = lambda c: F.round(alpha() / 255 * 200 + (1 - alpha() / 255) * c, 6)
+    return _rgb(_r2(s, d), [mixed(c) for c in (red(), green(), blue())])
 
 
 # bilevel
 @query
 def bilevel_threshold(s, d):
-    black = colour.luma_threshold(R, G, B, A, 128)
+    black = colour.luma_threshold(red(), green(), blue(), alpha(), 128)
     return _r2(s, d).groupBy("image_id").agg(F.sum(black.cast("long")).alias("n_black"), F.count("*").alias("n"))
 
 
 def _bitop(op):
     def run(s, d):
-        f = {"or": lambda: R.bitwiseOR(G), "and": lambda: R.bitwiseAND(G), "xor": lambda: R.bitwiseXOR(G), "xnor": lambda: F.bitwise_not(R.bitwiseXOR(G)).bitwiseAND(255), "replace": lambda: G}[op]()
+        f = {"or": lambda: red().bitwiseOR(green()), "and": lambda: red().bitwiseAND(green()), "xor": lambda: red().bitwiseXOR(green()), "xnor": lambda: F.bitwise_not(red().bitwiseXOR(green())).bitwiseAND(255), "replace": lambda: green()}[op]()
         return _r2(s, d).select("image_id", "y", "x", f.cast("int").alias("v"))
 
     return run
@@ -202,13 +218,13 @@ for _o in ("or", "and", "xor", "xnor", "replace"):
 
 @query
 def polarity(s, d):
-    return _r2(s, d).select("image_id", "y", "x", F.bitwise_not(R).bitwiseAND(F.when(F.col("x") == 15, 240).otherwise(255)).cast("int").alias("v"))
+    return _r2(s, d).select("image_id", "y", "x", F.bitwise_not(red()).bitwiseAND(F.when(F.col("x") == 15, 240).otherwise(255)).cast("int").alias("v"))
 
 
 @query
 def is_bilevel(s, d):
-    pure = (A == 255) & (R == G) & (G == B) & R.isin(0, 255)
-    return _r2(s, d).groupBy("image_id").agg(F.bool_and(pure).alias("bilevel"), F.bool_and(A == 255).alias("opaque"), F.bool_or(A != 255).alias("alpha_used"))
+    pure = (alpha() == 255) & (red() == green()) & (green() == blue()) & red().isin(0, 255)
+    return _r2(s, d).groupBy("image_id").agg(F.bool_and(pure).alias("bilevel"), F.bool_and(alpha() == 255).alias("opaque"), F.bool_or(alpha() != 255).alias("alpha_used"))
 
 
 # neighbours and runs
@@ -313,7 +329,7 @@ def box_downsample(s, d):
 
 @query
 def opaque_fix(s, d):
-    p = _r2(s, d).withColumn("a", F.when(F.col("image_id") % 2 == 0, 0).otherwise(A).cast("int"))
+    p = _r2(s, d).withColumn("a", F.when(F.col("image_id") % 2 == 0, 0).otherwise(alpha()).cast("int"))
     return pixels.opaque_if_empty(p)
 
 
@@ -332,7 +348,7 @@ def line_cover(s, d):
 def palette_lookup(s, d):
     """Nation number as an index into the regions: indices out of range give no colour."""
     n = rasters.table(s, d, "nation").select(F.col("n_nationkey").alias("entry"))
-    p = _r3(s, d).select("image_id", "y", "x", (R % 32).alias("entry"))
+    p = _r3(s, d).select("image_id", "y", "x", (red() % 32).alias("entry"))
     return p.join(n.withColumn("colour", F.col("entry") * 10), "entry", "left").groupBy("image_id").agg(F.count("*").alias("n"), F.count("colour").alias("found"), F.sum("colour").cast("long").alias("total"))
 
 
@@ -475,29 +491,29 @@ def arriving_totals(s, d):
 # more colour
 @query
 def lab_to_srgb(s, d):
-    return _rgb(_r2(s, d), [F.round(c, 6) for c in colour.lab_to_srgb(R / 255, G / 255, B / 255)])
+    return _rgb(_r2(s, d), [F.round(c, 6) for c in colour.lab_to_srgb(red() / 255, green() / 255, blue() / 255)])
 
 
 @query
 def rct_inverse_types(s, d):
     p = _r2(s, d).withColumn("kind", (F.col("image_id") % 7).cast("int"))
-    out = colour.rct_inverse_type(F.col("kind"), R, G - 128, B - 128)
+    out = colour.rct_inverse_type(F.col("kind"), red(), green() - 128, blue() - 128)
     return p.select("image_id", "y", "x", "kind", *(c.alias(k) for c, k in zip(out, ("c0", "c1", "c2"))))
 
 
 @query
 def cross_colour(s, d):
-    return _rgb(_r2(s, d), colour.cross_colour(R, G, B, -20, 13, 7))
+    return _rgb(_r2(s, d), colour.cross_colour(red(), green(), blue(), -20, 13, 7))
 
 
 @query
 def colour_key(s, d):
-    return rasters.block_pixels(s, d).select("image_id", "y", "x", colour.colour_key(R, G, B, (0, 0, 0)).alias("a"))
+    return rasters.block_pixels(s, d).select("image_id", "y", "x", colour.colour_key(red(), green(), blue(), (0, 0, 0)).alias("a"))
 
 
 @query
 def invert_gray(s, d):
-    return _r2(s, d).select("image_id", "y", "x", (255 - R).cast("int").alias("v"))
+    return _r2(s, d).select("image_id", "y", "x", (255 - red()).cast("int").alias("v"))
 
 
 @query
@@ -508,7 +524,7 @@ def upsample_replicate(s, d):
 
 
 def _blend(mode):
-    return lambda s, d: _r2(s, d).select("image_id", "y", "x", F.round(colour.blend(mode, R / 255, G / 255, A / 255), 9).alias("v"))
+    return lambda s, d: _r2(s, d).select("image_id", "y", "x", F.round(colour.blend(mode, red() / 255, green() / 255, alpha() / 255), 9).alias("v"))
 
 
 for _o in ("replace", "add", "blend", "multiply_add", "multiply"):

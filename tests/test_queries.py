@@ -32,3 +32,14 @@ def test_entry_has_a_row_per_image(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["image_id", "n_pixels", "mean_r", "mean_g", "mean_b", "n_colours"]
     assert df.count() > 0
+
+
+def test_names_need_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= int(out[1]) >= 80
