@@ -226,19 +226,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rough)
     tried_more = stored(_confirmed(rest, texts), slim=True)
     links = tried.where("linked").select("a", "b").union(tried_more.where("linked").select("a", "b"))
-    known = tried.select("a", "b").union(tried_more.select("a", "b"))
+    known = proposed.where("a <> b")
     comps = components(links)
     crowd = stored(reps.join(crowded.hint("merge"), "rep", "left_semi"))
     while True:
         labelled = crowd.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         forest = sorted_forest(labelled, "region long, tail long, rep long, component long")
-        more = stored(_near_enough(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), reps), slim=True)
+        # what the signatures put under the threshold once is not compared again
+        asked = stored(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), slim=True)
+        known = known.union(asked)
+        more = stored(_near_enough(asked, reps), slim=True)
         if more.isEmpty():
             break
         found = stored(_confirmed(more, texts), slim=True)
         if found.where("linked").isEmpty():
             break
-        links, known = links.union(found.where("linked").select("a", "b")), known.union(found.select("a", "b"))
+        links = links.union(found.where("linked").select("a", "b"))
         comps = components(links)
     label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("full")).join(label, ["d1", "d2"], "left")
