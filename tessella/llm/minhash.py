@@ -16,8 +16,9 @@ groups are the connected components.
    each document's most similar one is confirmed on the full texts first; links
    make components; then every proposal that still joins two components is
    confirmed.
-4. Large regions that still hold several components propose again, between
-   neighbours of different components and with the head, until no link is found.
+4. Large regions that still hold several components propose again, each
+   document with its neighbour in another component and with the most similar
+   one of another component within reach, until no link is found.
 
 Rows repeated with one doc_id are one document. Extra columns are ignored.
 """
@@ -37,6 +38,8 @@ U64 = np.uint64
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
 SMALL_REGION, NEIGHBOURS = 8, 1
+#: Rows before and after one in a tree's order among which the most alike is sought, by the low bytes of so many values.
+REACH, GLANCE = 32, 64
 #: Equal signature values (of 128) below which a pair of 0.75 is five standard errors away.
 LEAST_EQUAL = 72
 _RNG = np.random.Generator(np.random.PCG64(99))
@@ -89,7 +92,7 @@ def _forest_rows(batches):
     """A row per tree: the first values, 16 bits each, with the tree in the lowest, and the next values."""
     extra = None
     for batch in batches:
-        extra = [c for c in batch.schema.names if c == "component"]
+        extra = [c for c in batch.schema.names if c in ("component", "glance")]
         ids = np.repeat(batch.column("rep").to_numpy(), TREES)
         raw = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * HASHES)
         values = raw[:, :HASHES].astype(U64) | (raw[:, HASHES:].astype(U64) << U64(8))
@@ -101,14 +104,14 @@ def _forest_rows(batches):
             return out
 
         region = mix(packed(0) * U64(0x9E3779B97F4A7C15) + np.arange(TREES, dtype=U64)).ravel().view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(packed(DEPTH).ravel().view(np.int64)), pa.array(ids), *(pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in extra)], names=["region", "tail", "rep", *extra])
+        yield pa.RecordBatch.from_arrays([pa.array(region), pa.array(packed(DEPTH).ravel().view(np.int64)), pa.array(ids), *(batch.column(c).take(pa.array(np.repeat(np.arange(batch.num_rows), TREES))) for c in extra)], names=["region", "tail", "rep", *extra])
 
 
 def _regions(batches, columns):
     """Sorted rows, cut so that a region is whole; only one longer than 100,000 rows is cut."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch.column(c).to_numpy() for c in columns]
+        now = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GLANCE) if c == "glance" else batch.column(c).to_numpy() for c in columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if end == 0 and len(held[0]) > 100_000:
@@ -139,9 +142,22 @@ def _propose(batches):
         yield _pairs(np.concatenate(a), np.concatenate(b))
 
 
+def _most_alike(region: np.ndarray, comp: np.ndarray, glance: np.ndarray) -> np.ndarray:
+    """For each row the row of another component in its region, within reach in the order, with most equal values; -1 if there is none."""
+    n = len(region)
+    best, at = np.zeros(n, np.int64), np.full(n, -1)
+    for k in range(1, min(REACH + 1, n)):
+        i = np.flatnonzero((region[k:] == region[:-k]) & (comp[k:] != comp[:-k]))
+        equal = np.count_nonzero(glance[i + k] == glance[i], axis=1)
+        for one, other in ((i + k, i), (i, i + k)):
+            more = equal > best[one]
+            best[one[more]], at[one[more]] = equal[more], other[more]
+    return at
+
+
 def _propose_across(batches):
-    """Pairs of different components, from large regions in sorted (region, tail, rep, component)."""
-    for region, _, rep, comp in _regions(batches, ("region", "tail", "rep", "component")):
+    """Pairs of different components, from large regions in sorted (region, tail, rep, component, glance)."""
+    for region, _, rep, comp, glance in _regions(batches, ("region", "tail", "rep", "component", "glance")):
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(start, len(region)))
         head = np.repeat(start, size)
@@ -149,11 +165,10 @@ def _propose_across(batches):
         # the last row before each one that has another component
         turn = np.append(False, comp[1:] != comp[:-1])
         before = np.maximum.accumulate(np.where(turn, np.arange(len(comp)), 0)) - 1
-        a, b = [], []
-        for other in (before, head):
-            i = np.flatnonzero(many & (other >= head) & (comp[other] != comp))
-            a.append(rep[i]), b.append(rep[other[i]])
-        yield _pairs(np.concatenate(a), np.concatenate(b))
+        i = np.flatnonzero(many & (before >= head))
+        alike = _most_alike(region, comp, glance)
+        j = np.flatnonzero(many & (alike >= 0))
+        yield _pairs(np.concatenate([rep[i], rep[j]]), np.concatenate([rep[before[i]], rep[alike[j]]]))
 
 
 def _equal_values(batches):
@@ -230,8 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links)
     crowd = stored(reps.join(crowded.hint("merge"), "rep", "left_semi"))
     while True:
-        labelled = crowd.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        forest = sorted_forest(labelled, "region long, tail long, rep long, component long")
+        labelled = crowd.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).withColumn("glance", F.substring("signature", 1, GLANCE))
+        forest = sorted_forest(labelled, "region long, tail long, rep long, component long, glance binary")
         # what the signatures put under the threshold once is not compared again
         asked = stored(forest.mapInArrow(_propose_across, PAIRS).distinct().join(known, ["a", "b"], "left_anti"), slim=True)
         known = known.union(asked)
