@@ -84,3 +84,21 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = brute.components(edges)
     assert got == {n: c for n, c in want.items() if n != c}
+
+
+def test_most_alike_within_reach():
+    import numpy as np
+
+    from tessella.llm.minhash import GLANCE, REACH, _most_alike
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    n = 300
+    region, comp = np.sort(rng.integers(0, 4, n)), rng.integers(0, 30, n)
+    glance = rng.integers(0, 3, (n, GLANCE)).astype(np.uint8)
+    at = _most_alike(region, comp, glance)
+    for i in range(n):
+        near = [j for j in range(max(0, i - REACH), min(n, i + REACH + 1)) if region[j] == region[i] and comp[j] != comp[i]]
+        most = max(((glance[i] == glance[j]).sum() for j in near), default=0)
+        assert at[i] == -1 if most == 0 else at[i] in near and (glance[i] == glance[at[i]]).sum() == most
+    assert _most_alike(region[:1], comp[:1], glance[:1]).tolist() == [-1]
+    assert len(_most_alike(region[:0], comp[:0], glance[:0])) == 0
