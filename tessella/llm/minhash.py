@@ -19,6 +19,11 @@ groups are the connected components.
 4. Large regions that still hold several components propose again, each
    document with its neighbour in another component and with the most similar
    one of another component within reach, until no link is found.
+5. What still could link two components is found exactly: all documents of
+   large regions are joined on the rarest shingles of their sets. Two sets at
+   the threshold share one among them, early enough in both that the rest can
+   reach the threshold. A shingle whose documents are one component is left
+   out; of the others only pairs across components are compared.
 
 Rows repeated with one doc_id are one document. Extra columns are ignored.
 """
@@ -42,6 +47,8 @@ SMALL_REGION, NEIGHBOURS = 8, 1
 REACH, GLANCE = 32, 64
 #: Equal signature values (of 128) below which a pair of 0.75 is five standard errors away.
 LEAST_EQUAL = 72
+#: Counters of shingles by hash, from which the order of rarity is taken; any order gives the same links.
+COUNTERS = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(99))
 _A = _RNG.integers(0, 1 << 64, HASHES, dtype=U64) | U64(1)
 _B = _RNG.integers(0, 1 << 64, HASHES, dtype=U64)
@@ -127,12 +134,24 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _with_edges(regions):
+    """(region, rep, may the row's region go on elsewhere): the first and the last region of a partition, and one that was cut."""
+    held, before = None, None
+    for region, _, rep in regions:
+        if held is not None:
+            yield *held, (held[0] == held[0][-1]) & (held[0][-1] == region[0]) | (True if before is None else held[0] == before) & (held[0] == held[0][0])
+            before = held[0][-1]
+        held = (region, rep)
+    if held is not None:
+        yield *held, (held[0] == held[0][-1]) | (True if before is None else held[0] == before) & (held[0] == held[0][0])
+
+
 def _propose(batches):
-    """Pairs from sorted (region, tail, rep); a document with itself marks that it stands in a large region."""
-    for region, _, rep in _regions(batches, ("region", "tail", "rep")):
+    """Pairs from sorted (region, tail, rep); a document with itself marks that it stands in a large region, or one that may go on in another partition."""
+    for region, rep, cut in _with_edges(_regions(batches, ("region", "tail", "rep"))):
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(start, len(region)))
-        many = np.repeat(size, size) > SMALL_REGION
+        many = (np.repeat(size, size) > SMALL_REGION) | cut
         at = np.arange(len(region)) - np.repeat(start, size)
         a, b = [], []
         for k in range(1, SMALL_REGION):
@@ -207,6 +226,63 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long, linked boolean")
 
 
+def _shingle_counts(batches):
+    """Counters of the shingles of all texts."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for part in pieces(batch):
+            _, keys = shingles(part.column("text"))
+            total += np.bincount((keys % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+
+def _rarest(counts: np.ndarray):
+    """The rarest shingles of each text with their place i among its n: those that can be the first one shared with a set of the least size that still links."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch):
+                doc, keys = shingles(part.column("text"))
+                often = counts[(keys % U64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((keys, often, doc))
+                doc, keys, often = doc[order], keys[order], often[order]
+                size = np.bincount(doc, minlength=part.num_rows)
+                i = np.arange(len(doc)) - (np.cumsum(size) - size)[doc]
+                # a counter of 1 is a shingle that no other text has
+                at = np.flatnonzero((4 * i <= size[doc]) & (often > 1))
+                d = pa.array(doc[at])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), part.column("doc_id").take(d), part.column("component").take(d), pa.array(size[doc[at]].astype(np.int32)), pa.array(i[at].astype(np.int32))], names=["shingle", "rep", "component", "n", "i"])
+
+    return run
+
+
+def _across(texts: DataFrame) -> DataFrame:
+    """All pairs of (doc_id, text, component) across components that can link: a superset of the links, without a signature.
+
+    Sets of n and m shingles link if they share 3/7 of n + m. The first shared one in the
+    order of rarity, at places i and j, leaves n - i and m - j at most.
+    """
+    counts = np.zeros(COUNTERS, np.int32)
+    sums = texts.mapInArrow(_shingle_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums.column("counter").to_numpy()] = np.minimum(sums.column("n").to_numpy(), (1 << 31) - 1)
+    rows = stored(texts.mapInArrow(_rarest(counts), "shingle long, rep long, component long, n int, i int"))
+    shared = rows.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.count("*").alias("k"), F.max_by("component", "c").alias("main"))
+    mixed = stored(rows.join(shared.where("k > 1").select("shingle", "main").hint("merge"), "shingle"))
+    # every pair has an end outside the shingle's largest component
+    x, y = mixed.where("component <> main").drop("main").alias("x"), mixed.drop("main").alias("y")
+    fits = F.expr("x.shingle = y.shingle and x.component <> y.component and 7 * x.i <= 4 * x.n - 3 * y.n and 7 * y.i <= 4 * y.n - 3 * x.n")
+    out = stored(x.join(y.hint("merge"), fits).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), slim=True)
+    dropped(rows, mixed)
+    return out
+
+
+def _best_partners(near: DataFrame) -> DataFrame:
+    """a, b: the pair of each document with most equal values."""
+    best = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "equal"), F.struct(F.col("b").alias("node"), "a", "b", "equal"))).alias("x")).select("x.*")
+    return best.groupBy("node").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+
+
 def _crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     c = comps.select("node", "component")
@@ -233,9 +309,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded).distinct()
     texts = stored(slim.where("doc_id is not null").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # the most similar partner of each document first
-    best = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b", "equal"), F.struct(F.col("b").alias("node"), "a", "b", "equal"))).alias("x")).select("x.*")
-    best = best.groupBy("node").agg(F.max(F.struct("equal", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    tried = stored(_confirmed(best, texts), slim=True)
+    tried = stored(_confirmed(_best_partners(near), texts), slim=True)
     # two rounds find most of the components, which is enough to see what is left to try
     rough = components(tried.where("linked"), rounds=2)
     rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rough)
@@ -258,6 +332,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         links = links.union(found.where("linked").select("a", "b"))
         comps = components(links)
+    # what no proposal brought up, exactly
+    labelled = texts.join(crowded.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    unmet = _across(stored(labelled.select("doc_id", "text", "component"))).join(known, ["a", "b"], "left_anti")
+    last = stored(_near_enough(unmet, reps), slim=True)
+    if not last.isEmpty():
+        tried = stored(_confirmed(_best_partners(last), texts), slim=True)
+        links = links.union(tried.where("linked").select("a", "b"))
+        rest = _crossing(last.join(tried.select("a", "b"), ["a", "b"], "left_anti"), components(links))
+        links = links.union(stored(_confirmed(rest, texts), slim=True).where("linked").select("a", "b"))
+        comps = components(links)
     label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("full")).join(label, ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.when(F.col("full"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))

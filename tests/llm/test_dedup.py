@@ -102,3 +102,42 @@ def test_most_alike_within_reach():
         assert at[i] == -1 if most == 0 else at[i] in near and (glance[i] == glance[at[i]]).sum() == most
     assert _most_alike(region[:1], comp[:1], glance[:1]).tolist() == [-1]
     assert len(_most_alike(region[:0], comp[:0], glance[:0])) == 0
+
+
+def hot_template(seed=7, many=600):
+    """Texts of one template about 0.7 alike, and a few pairs at 0.76 among them."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    new = iter(range(10**9))
+
+    def changed(words, n):
+        out = list(words)
+        for at in r.sample(range(5, len(words) - 5), n):
+            out[at] = f"x{next(new)}"
+        return out
+
+    docs = [changed(base, 5) for _ in range(many)]
+    for k in range(30):
+        near = changed(base, 14)
+        docs += [near, changed(near, 5)]
+    r.shuffle(docs)
+    return list(enumerate(" ".join(d) for d in docs))
+
+
+def test_links_of_a_crowded_region_are_all_found(spark):
+    docs = hot_template()
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_duplicates(spark.createDataFrame(rows(docs), SCHEMA).repartition(3)).collect()}
+    want = brute.near_duplicates(docs)
+    assert len({c for _, c, _ in want.values()}) > 100
+    assert got == want
+
+
+def test_regions_at_an_edge_count_as_large():
+    import numpy as np
+
+    from tessella.llm.minhash import _with_edges
+
+    piece = lambda *x: [np.array(x), np.zeros(len(x)), np.arange(len(x))]
+    got = [cut.tolist() for _, _, cut in _with_edges(iter([piece(1, 1, 2, 3), piece(4, 5, 5), piece(5, 6), piece(7, 8)]))]
+    assert got == [[True, True, False, False], [False, True, True], [True, False], [False, True]]
+    assert [c.tolist() for _, _, c in _with_edges(iter([piece(1, 2, 2)]))] == [[True, True, True]]
