@@ -141,3 +141,17 @@ def test_regions_at_an_edge_count_as_large():
     got = [cut.tolist() for _, _, cut in _with_edges(iter([piece(1, 1, 2, 3), piece(4, 5, 5), piece(5, 6), piece(7, 8)]))]
     assert got == [[True, True, False, False], [False, True, True], [True, False], [False, True]]
     assert [c.tolist() for _, _, c in _with_edges(iter([piece(1, 2, 2)]))] == [[True, True, True]]
+
+
+def test_every_link_across_components_is_compared(spark):
+    from tessella.llm.minhash import _across
+
+    docs = hot_template(8, 60)
+    text = dict(docs)
+    df = spark.createDataFrame([(i, t, i % 3) for i, t in docs], "doc_id long, text string, component long")
+    got = {tuple(r) for r in _across(df.repartition(3)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in text.items())}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    # also a document's second and later partners
+    assert {(a, b) for a, b in links if a % 3 != b % 3} <= got
+    assert all(a < b and a % 3 != b % 3 for a, b in got)
