@@ -26,6 +26,8 @@ U64 = np.uint64
 ROWS = "anchor long, digest long, doc_id long, at long"
 #: Low bits of ``at`` hold the number of windows of a slice, the others its first window.
 COUNT_BITS = 12
+#: Windows of which the anchors are sought together; their places fit into 24 bits.
+STRETCH = 1 << 23
 
 
 class Units:
@@ -44,23 +46,33 @@ class Units:
         return mix(self.texts.hash_ranges(a, b) + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def cut(u: Units, length: int, k: int):
-    """(document, first window, number of windows, anchor position) of each slice; positions count over the whole piece."""
-    grams = max(u.size - k + 1, 0)
-    starts, doc = window_starts(u.first, length)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    at = np.arange(grams)
-    low = (u.hash(at, at + k) & U64(0xFFFFFFFFFF000000)) | at.astype(U64)
+def smallest_grams(u: Units, begin: int, end: int, length: int, k: int) -> np.ndarray:
+    """Position of the anchor of every window that starts in ``begin`` to ``end``; at most 2^24 - length windows."""
+    span = length - k + 1
+    at = np.arange(begin, end + span - 1)
+    # the place in this stretch in the low bits
+    low = (u.hash(at, at + k) & U64(0xFFFFFFFFFF000000)) | (at - begin).astype(U64)
     # minimum over the grams of each window, by doubling
-    reach, span = 1, length - k + 1
+    reach = 1
     while 2 * reach <= span:
         low = np.minimum(low[: len(low) - reach], low[reach:])
         reach *= 2
     rest = span - reach
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    anchor = (low[starts] & U64(0xFFFFFF)).astype(np.int64)
+    return (low & U64(0xFFFFFF)).astype(np.int64) + begin
+
+
+def cut(u: Units, length: int, k: int, stretch: int = STRETCH):
+    """(document, first window, number of windows, anchor position) of each slice; positions count over the whole piece.
+
+    stretch: so many windows are looked at together; where a stretch ends doesn't change the anchors.
+    """
+    starts, doc = window_starts(u.first, length)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    windows = u.size - length + 1
+    anchor = np.concatenate([smallest_grams(u, b, min(b + stretch, windows), length, k) for b in range(0, windows, stretch)])[starts]
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
     return doc[new], starts[new], np.diff(np.append(new, len(starts))), anchor[new]
 

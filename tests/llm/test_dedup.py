@@ -155,3 +155,35 @@ def test_every_link_across_components_is_compared(spark):
     # also a document's second and later partners
     assert {(a, b) for a, b in links if a % 3 != b % 3} <= got
     assert all(a < b and a % 3 != b % 3 for a, b in got)
+
+
+@pytest.mark.parametrize("words", [False, True])
+def test_anchors_do_not_depend_on_the_stretch(words):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm.slices import Units, cut
+
+    u = Units(pa.array([t for _, t in corpus(5)]), words)
+    length, k = (20, 6) if words else (200, 64)
+    whole = cut(u, length, k)
+    for stretch in (1, 7, 1000):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, cut(u, length, k, stretch)))
+
+
+def test_anchors_of_a_very_long_text_lie_in_their_windows():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm.slices import Units, cut
+
+    part = "".join(random.Random(6).choices("abcdefgh ", k=3000))
+    u = Units(pa.array([part + "".join(map(chr, range(97, 123))) * ((1 << 24) // 26 + 200) + part]), False)
+    _, first, count, anchor = cut(u, 200, 64)
+    assert int(count.sum()) == u.size - 199
+    assert ((anchor >= first + count - 1) & (anchor + 64 <= first + 200)).all()
+    # the same slices on both sides, but for those at the joint
+    last = u.size - 3000
+    early = {(int(a), int(f), int(c)) for f, c, a in zip(first, count, anchor) if f + c + 199 < 3000 and f > 200}
+    late = {(int(a) - last, int(f) - last, int(c)) for f, c, a in zip(first, count, anchor) if f > last + 200}
+    assert early and early <= late
