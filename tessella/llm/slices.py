@@ -120,30 +120,38 @@ def judge(rows: dict[str, np.ndarray], earlier: bool):
     return np.flatnonzero(gone), contested, size[classes > 1] > 1, classes[classes > 1]
 
 
-def _sorted_groups(batches, columns):
-    """Runs of whole anchor groups from a sorted partition, each with a mark: does it hold the first or the last anchor of the partition."""
-    held, first = None, True
+def _sorted_groups(batches, columns, most: int = 1 << 20):
+    """Runs of whole anchor groups from a sorted partition, each with a mark: does its anchor go the other way.
+
+    Those are the first and the last anchor of the partition, and one with more than ``most``
+    rows. All rows of such an anchor have the mark, in however many runs they come.
+    """
+    held, first, edge = None, True, None
     for batch in batches:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
         held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in columns}
         a = held["anchor"]
         if not len(a):
             continue
-        if first and a[0] == a[-1] and len(a) < 1 << 20:
-            continue  # the first anchor may go on
         if first:
-            end = int(np.searchsorted(a, a[0], "right"))
-            yield {c: x[:end] for c, x in held.items()}, True
+            edge, first = a[0], False
+        if edge is not None:
+            end = int(np.searchsorted(a, edge, "right"))
+            if end == len(a) and end < most:
+                continue  # it may go on
+            if end:
+                yield {c: x[:end] for c, x in held.items()}, True
             if end == len(a):
                 held = None
-                continue  # rows of one anchor beyond a million: they all go the other way
-            held, first = {c: x[end:] for c, x in held.items()}, False
+                continue  # what follows of it goes the same way
+            held, edge = {c: x[end:] for c, x in held.items()}, None
             a = held["anchor"]
         end = int(np.searchsorted(a, a[-1]))
         if end:
             yield {c: x[:end] for c, x in held.items()}, False
             held = {c: x[end:] for c, x in held.items()}
-        elif len(a) > 1 << 20:
+        if len(a) - end > most:
+            edge = a[-1]
             yield held, True
             held = None
     if held is not None and len(held["anchor"]):

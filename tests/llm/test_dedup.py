@@ -187,3 +187,23 @@ def test_anchors_of_a_very_long_text_lie_in_their_windows():
     early = {(int(a), int(f), int(c)) for f, c, a in zip(first, count, anchor) if f + c + 199 < 3000 and f > 200}
     late = {(int(a) - last, int(f) - last, int(c)) for f, c, a in zip(first, count, anchor) if f > last + 200}
     assert early and early <= late
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 100])
+def test_all_rows_of_a_cut_anchor_go_the_other_way(size):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm.slices import _sorted_groups
+
+    for counts in ([2, 1, 9, 1, 1], [9, 1, 1, 8, 2], [1, 9, 9, 3], [3], [9], [1] * 6, [2, 12]):
+        anchor = np.repeat(np.arange(len(counts)), counts)
+        table = pa.table({"anchor": anchor, "at": np.arange(len(anchor))})
+        ways, seen = {}, []
+        for x, edge in _sorted_groups(table.to_batches(size), ("anchor", "at"), 3):
+            seen += x["at"].tolist()
+            for a in set(x["anchor"].tolist()):
+                ways.setdefault(a, []).append(edge)
+        assert seen == list(range(len(anchor)))
+        assert all(len(set(w)) == 1 and (w[0] or len(w) == 1) for w in ways.values()), (counts, ways)
+        assert ways[0][0] and ways[len(counts) - 1][0]
