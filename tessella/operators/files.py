@@ -17,6 +17,8 @@ from tessella.functions.binary import byte_at, hex_uint, image_format, uint
 MAX_PIXELS, MAX_BYTES = 100_000_000, 400_000_000
 #: Pixels per metre of one pixel per inch, a fixed value.
 INCH = 39.37007874015748
+#: Bytes of a stored block at most.
+STORED = 65_535
 
 
 def _gathered(pixels: DataFrame, order: Column, channels: str) -> DataFrame:
@@ -71,16 +73,23 @@ def _adler32(bytes_: Column) -> Column:
 
 
 def write_png(pixels: DataFrame) -> DataFrame:
-    """8-bit RGBA PNG with unfiltered rows in stored blocks; images of at most 65,535 bytes of rows."""
+    """8-bit RGBA PNG with unfiltered rows in as many stored blocks as they need."""
     digits = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba"))
     rows = pixels.groupBy("image_id", "y").agg((F.max("x") + 1).alias("width"), F.sort_array(F.collect_list(F.struct("x", digits.alias("h")))).alias("p"))
     rows = rows.select("image_id", "y", "width", F.concat(F.lit("00"), F.concat_ws("", F.transform("p", lambda p: p["h"]))).alias("line"))
     g = rows.groupBy("image_id").agg(F.max("width").alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(F.struct("y", "line"))).alias("p"))
-    g = g.select("image_id", "width", "height", once(F.concat_ws("", F.transform("p", lambda p: p["line"]))).alias("body"))
-    size = F.length("body") / 2
-    values = F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda i: F.conv(F.substring(F.col("body"), i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    g = g.where(F.length("body") <= 131_070).select("*", once(_adler32(values)).alias("adler"))
-    g = g.select("image_id", "width", "height", once(F.concat(F.lit("780101"), hex_uint(size, 2), hex_uint(65535 - size, 2), F.col("body"), hex_uint(F.col("adler"), 4, little=False))).alias("data"))
+    g = g.select("image_id", "width", "height", once(F.unhex(F.concat_ws("", F.transform("p", lambda p: p["line"])))).alias("raw"))
+    size = F.octet_length("raw")
+    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.hex(F.substring(F.col("raw"), i + 1, F.lit(1))), 16, 10).cast("long"))
+    g = g.select("*", once(_adler32(values)).alias("adler"))
+    last = F.floor((size - 1) / STORED).cast("int")
+
+    def block(i):
+        n = F.least(F.lit(STORED), size - i * STORED)
+        return F.concat(F.when(i == last, "01").otherwise("00"), hex_uint(n, 2), hex_uint(STORED - n, 2), F.hex(F.substring(F.col("raw"), i * STORED + 1, n)))
+
+    blocks = F.concat_ws("", F.transform(F.sequence(F.lit(0), last), block))
+    g = g.select("image_id", "width", "height", once(F.concat(F.lit("7801"), blocks, hex_uint(F.col("adler"), 4, little=False))).alias("data"))
 
     def chunk(name: str, data: Column) -> Column:
         typed = F.concat(F.lit(name.encode().hex().upper()), data)
@@ -165,7 +174,7 @@ def chunks(files: DataFrame) -> DataFrame:
         good = F.crc32(F.substring(c, (s["at"] + 5).cast("int"), (size + 4).cast("int"))) == uint(c, s["at"] + 8 + size, 4, little=False)
         return F.when(s["at"] + 12 > F.octet_length(c), s).otherwise(F.struct((s["at"] + size + 12).alias("at"), F.concat(s["found"], F.array(F.struct(name.alias("name"), size.alias("size"), good.alias("ok")))).alias("found")))
 
-    walked = files.where(image_format(c) == "png").withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step))
+    walked = files.where(image_format(c) == "png").withColumn("w", F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("octet_length(content) div 12").cast("int"))), start, step))
     return walked.select("image_id", F.posexplode("w.found").alias("n", "k")).select("image_id", "n", "k.name", "k.size", "k.ok")
 
 

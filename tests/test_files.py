@@ -38,6 +38,25 @@ def test_png_is_valid(small):
     assert len(raw) == 3 * 21 and raw[0] == 0 and raw[1:5] == bytes([0, 0, 0, 255])
 
 
+def test_png_of_many_stored_blocks(spark):
+    n = 3 * 65535 // 1204 + 1
+    tall = spark.range(n * 300).selectExpr("1L as image_id", "cast(id div 300 as int) as y", "cast(id % 300 as int) as x", "cast(id % 251 as int) as r", "cast(id % 13 as int) as g", "cast(id div 300 % 256 as int) as b", "255 as a")
+    data = bytes(files.write_png(tall).first()["content"])
+    rows = files.chunks(files.write_png(tall).select("image_id", "content")).orderBy("n").collect()
+    assert [(r["name"], r["ok"]) for r in rows] == [("IHDR", True), ("IDAT", True), ("IEND", True)]
+    size = rows[1]["size"]
+    raw = zlib.decompress(data[41 : 41 + size])
+    want = b"".join(b"\0" + b"".join(bytes([(y * 300 + x) % 251, (y * 300 + x) % 13, y % 256, 255]) for x in range(300)) for y in range(n))
+    assert raw == want and size == 6 + 4 * 5 + len(want)
+
+
+def test_chunk_walk_reaches_the_end(spark):
+    piece = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    data = b"\x89PNG\r\n\x1a\n" + piece(b"IHDR", bytes(13)) + b"".join(piece(b"IDAT", bytes(k % 3)) for k in range(300)) + piece(b"IEND", b"")
+    rows = files.chunks(spark.createDataFrame([(1, data)], "image_id long, content binary")).orderBy("n").collect()
+    assert [r["name"] for r in rows] == ["IHDR"] + ["IDAT"] * 300 + ["IEND"] and all(r["ok"] for r in rows)
+
+
 def test_png_chunks_notice_damage(spark, small):
     data = bytearray(files.write_png(small).first()["content"])
     data[20] ^= 1
