@@ -66,8 +66,8 @@ def block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image_id", "y", "x", (bx * 51 + F.col("image_id")).bitwiseAND(255).alias("r"), (by * 29).bitwiseAND(255).alias("g"), ((bx + by) * 13).bitwiseAND(255).alias("b"), F.lit(255).alias("a"))
 
 
-def text_bytes(spark: SparkSession, sf_dir: str, longest: int = 400) -> DataFrame:
-    """Short documents as rows of gray bytes: image_id, x, v."""
-    docs = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "UTF-8")).where(F.octet_length("raw").between(1, longest))
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows of gray bytes: image_id, x, v."""
+    docs = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "UTF-8")).where(F.octet_length("raw") > 0)
     rows = docs.select(F.col("doc_id").alias("image_id"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - 1)).alias("x"))
     return rows.select("image_id", "x", F.conv(F.hex(F.substring("raw", F.col("x") + 1, F.lit(1))), 16, 10).cast("int").alias("v"))

@@ -95,3 +95,16 @@ def test_files_stream_once(spark, tmp_path):
     q = file_stream(spark, str(tmp_path / "in")).select("length", image_format("content").alias("f")).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("arrived").collect()] == [(62, "bmp")]
+
+
+def test_text_bytes_are_of_whole_texts(spark, tmp_path):
+    from tessella.plans.queries import QUERIES
+
+    texts = {1: "ab", 2: "", 3: None, 4: "é" * 200, 5: "é" * 200 + "x", 6: "".join(chr(33 + k * k % 90) for k in range(33047))}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    raw = {k: t.encode() for k, t in texts.items() if t}
+    got = {tuple(r) for r in QUERIES["raster_r4"](spark, str(tmp_path)).collect()}
+    assert got == {(k, x, v) for k, b in raw.items() for x, v in enumerate(b)}
+    got = {tuple(r) for r in QUERIES["byte_delta"](spark, str(tmp_path)).collect()}
+    dealt = {k: b[::2] + b[1::2] for k, b in raw.items()}
+    assert got == {(k, x, (v - b[x - 1] + 128) % 256 if x else v) for k, b in dealt.items() for x, v in enumerate(b)}
