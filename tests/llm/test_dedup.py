@@ -207,3 +207,13 @@ def test_all_rows_of_a_cut_anchor_go_the_other_way(size):
         assert seen == list(range(len(anchor)))
         assert all(len(set(w)) == 1 and (w[0] or len(w) == 1) for w in ways.values()), (counts, ways)
         assert ways[0][0] and ways[len(counts) - 1][0]
+
+
+def test_compacted_runs_match_brute_force(spark, monkeypatch):
+    from tessella.llm.substrings import FingerprintIndex
+
+    ran, compact = [], FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (ran.append(len(self.runs)), compact(self)))
+    docs = corpus(2)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(spark.createDataFrame(rows(docs), SCHEMA).repartition(5), 6).collect()}
+    assert ran and got == brute.substring_dedup(docs)
