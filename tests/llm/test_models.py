@@ -216,6 +216,37 @@ def test_mixing_odd_cases(spark, odd):
     assert mix_sources(odd.limit(0)).count() == 0
 
 
+def test_words_of_a_column(spark):
+    from tessella.llm.mixing import first_words, n_words
+
+    texts = [None, "", " ", "\t a\n\x0b b\x0c\r ", "a", "a b", " é\x01\x02\u00a0x  y", "x " * 30_000 + "z" * 2_000_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", n_words(F.col("text")).alias("n"), first_words(F.col("text"), F.lit(2)).alias("head"))
+    for text, n, head in df.collect():
+        words = (text or "").encode().split()
+        assert n == len(words) and (text is None or head.encode() == b" ".join(words[:2]))
+
+
+def test_mixed_cuts_the_last_document(spark):
+    from tessella.llm.mixing import mixed
+
+    rows = [(None, f"a{i} b c  d", "en", "src1", i, 10) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens int, n_chars int")
+    out = mixed(docs, budget=F.lit(10), max_epochs=1).collect()
+    # rows without an id are documents of their own
+    assert len(out) == 3 and out[0].asDict().keys() == set(docs.columns)
+    assert sorted(len(r["text"].split()) for r in out) == [2, 4, 4] and len({r["tokens"] for r in out}) == 3
+    assert [r["n_chars"] for r in out if len(r["text"].split()) == 2] == [4]
+
+
+def test_weights_and_tokens_whose_product_passes_64_bits(spark):
+    from tessella.llm.mixing import leaf_budgets
+
+    rows = [("a", "x", f"s{i}", 10**14) for i in range(3)]
+    weights = {"s0": 10**6, "s1": 2 * 10**6, "s2": 10**6}
+    got = {r["source"]: r["budget"] for r in leaf_budgets(spark.createDataFrame(rows, "domain string, lang string, source string, leaf_tokens long"), F.lit(2 * 10**14), 1, {}, {}, weights).collect()}
+    assert got == {"s0": 5 * 10**13, "s1": 10**14, "s2": 5 * 10**13}
+
+
 # language model
 def test_lm_base_and_held_out(spark, sample):
     from tessella.llm.language import fold
