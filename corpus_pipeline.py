@@ -56,9 +56,11 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chooses documents by target weights; one row for each epoch of a document."""
-    chosen = mixing.mix_sources(docs).where("take_tokens > 0 or tokens = 0").select(F.col("doc_id").alias("_chosen"), F.col("epoch").alias("_epoch")).distinct()
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_chosen"))).select(*(docs[c] for c in docs.columns))
+    """Chooses documents by target weights; one row for each epoch of a document.
+
+    The last document of a leaf's budget is cut after the words that the budget has room for.
+    """
+    return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
