@@ -127,21 +127,90 @@ def test_pii_field_adds_secrets_and_leaves_prose():
     assert redacted("ab cd", [(0, 0, 2), (4, 3, 5)]) == "<EMAIL> <SECRET>"
 
 
-def test_viterbi_is_the_best_of_all_paths():
+def test_labels_are_the_best_of_all_paths():
     import itertools
 
     from tessella.llm.pii import Field
 
     r = np.random.default_rng(0)
-    f = Field(None, None, None, r.normal(size=(3, 3)), r.normal(size=3))
-    sizes = np.array([1, 4, 2, 5])
-    score = r.normal(size=(sizes.sum(), 3))
-    got, at = f.viterbi(score, sizes), 0
-    for n in sizes:
-        s = score[at : at + n]
-        value = lambda p: f.begin[p[0]] + sum(s[i, x] for i, x in enumerate(p)) + sum(f.move[a, b] for a, b in zip(p, p[1:]))
-        assert tuple(got[at : at + n]) == max(itertools.product(range(3), repeat=n), key=value)
-        at += n
+    cut = 0
+    for turn in range(40):
+        f = Field(None, None, None, r.normal(size=(3, 3)) / 2, r.normal(size=3) / 2)
+        sizes = np.array([1, 4, 0, 2, 6, 3])
+        first = np.append(0, np.cumsum(sizes))
+        score = r.normal(size=(sizes.sum(), 3))
+        score[r.random(len(score)) < 0.4, 0] += 9  # words that are surely nothing
+        cut += int((~f.uncertain(score)).sum())
+        got = f.labels(score, first)
+        for at, n in zip(first, sizes):
+            s = score[at : at + n]
+            value = lambda p: f.begin[p[0]] + sum(s[i, x] for i, x in enumerate(p)) + sum(f.move[a, b] for a, b in zip(p, p[1:]))
+            assert n == 0 or tuple(got[at : at + n]) == max(itertools.product(range(3), repeat=n), key=value)
+    assert cut > 100
+
+
+def test_emissions_add_neighbours_within_a_text():
+    from tessella.llm.pii import Field
+
+    r = np.random.default_rng(1)
+    f = Field(*(r.normal(size=(4, 3)) for _ in range(3)), None, None)
+    x, which, first = r.normal(size=(3, 4)), np.array([0, 2, 1, 1, 0]), np.array([0, 0, 2, 5])
+    want = [x[which[i]] @ f.own + (x[which[i - 1]] @ f.before if i not in (0, 2) else 0) + (x[which[i + 1]] @ f.after if i not in (1, 4) else 0) for i in range(5)]
+    assert np.allclose(f.emissions(x, which, first), want)
+
+
+def test_training_climbs_the_likelihood_of_all_paths():
+    """On two short rows the trained weights make the true labels likelier, counted over every path."""
+    import itertools
+
+    import pyarrow as pa
+
+    from tessella.llm.packed import Texts
+    from tessella.llm.pii import LABELS, shape_features, train
+
+    table = [(["token", "=", "a1b2c3d4"], [0, 0, 5]), (["the", "cat"], [0, 0])]
+    k, last = len(LABELS), -math.inf
+    for rounds in (0, 5, 40):
+        f, total = train(table, rounds=rounds), 0.0
+        for words, truth in table:
+            t = Texts(pa.array([" ".join(words)]))
+            score = f.emissions(shape_features(t, t, t.starts, t.ends).astype(float), np.arange(len(words)), t.first)
+            value = lambda p: f.begin[p[0]] + sum(score[i, y] for i, y in enumerate(p)) + sum(f.move[a, b] for a, b in zip(p, p[1:]))
+            every = np.array([value(p) for p in itertools.product(range(k), repeat=len(words))])
+            total += value(truth) - np.logaddexp.reduce(every)
+            assert rounds or math.isclose(total if words[0] == "token" else total - kept, -len(words) * math.log(k))
+            kept = total
+        assert total > last
+        last = total
+
+
+def test_patterns_are_linear_in_the_text():
+    import time
+
+    from tessella.llm.pii import base_spans, emails
+
+    n = 1_000_000
+    began = time.time()
+    for text in ("1" * n, "1." * (n // 2), "a" * n, "a" * n + "@", "a@" * (n // 2), "a@b" * (n // 3), "a.b-" * (n // 4) + "@x", "+1" * (n // 2), "@" * n, "1 " * (n // 2)):
+        base_spans(text)
+    assert time.time() - began < 60
+    assert base_spans("x" * n + "@a.b " + "7" * n + " 1.2.3.4") == [(0, 0, n + 4), (1, 2 * n + 6, 2 * n + 13)]
+    r = random.Random(8)
+    for _ in range(4000):
+        s = "".join(r.choice("ab@@..-_ 1é") for _ in range(r.randint(0, 25)))
+        assert [("email", *e) for e in emails(s)] == [x for x in brute.base_pii(s) if x[0] == "email"], s
+        s = "".join(r.choice("12.. a") for _ in range(r.randint(0, 25)))
+        assert [("ip", *x[1:]) for x in base_spans(s) if x[0] == 1] == [x for x in brute.base_pii(s) if x[0] == "ip"], s
+
+
+def test_pii_reads_all_words_of_a_text():
+    import pyarrow as pa
+
+    from tessella.llm.pii import KINDS, all_spans, train
+
+    text = "quiet words only " * 3000 + "password: bluegarden " + "quiet words only " * 3000
+    (base, found), = all_spans(pa.array([text]), train())
+    assert not base and [(KINDS[k], text[a:b]) for k, a, b in found] == [("secret", "bluegarden")]
 
 
 # neighbours
