@@ -17,19 +17,39 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.packed import Texts, mix, pieces, sequence_hashes, window_starts
 
 U64 = np.uint64
 ROWS = "anchor long, digest long, doc_id long, at long"
-#: Low bits of ``at`` hold the number of windows of a slice, the others its first window.
-COUNT_BITS = 12
+#: ``at`` holds the number of windows of a slice in its low bits, above them its first window,
+#: and on top a few bits of the text's hash, which tell texts of one doc_id apart.
+COUNT_BITS, FIRST_BITS, TAG_BITS = 12, 36, 15
 #: Windows of which the anchors are sought together; their places fit into 24 bits.
 STRETCH = 1 << 23
 
 
+def first_of(at: np.ndarray) -> np.ndarray:
+    """First window of slices."""
+    return (at >> COUNT_BITS) & ((1 << FIRST_BITS) - 1)
+
+
+def count_of(at: np.ndarray) -> np.ndarray:
+    """Number of windows of slices."""
+    return at & ((1 << COUNT_BITS) - 1)
+
+
+def tag_of(at: np.ndarray) -> np.ndarray:
+    """The bits of the text's hash."""
+    return at >> (COUNT_BITS + FIRST_BITS)
+
+
+def text_tags(t: Texts) -> np.ndarray:
+    return (t.hash_ranges(t.offsets[:-1], t.offsets[1:]) >> U64(64 - TAG_BITS)).astype(np.int64)
+
+
 class Units:
     """Bytes or words of a few texts, with hashes of ranges of them."""
 
@@ -87,7 +107,7 @@ def slice_rows(docs: DataFrame, words: bool, length: int, k: int) -> DataFrame:
                 doc, first, count, anchor = cut(u, length, k)
                 keys = u.hash(anchor, anchor + k)
                 digest = u.hash(first, first + count - 1 + length, 7) + (anchor - first).astype(U64)
-                at = ((first - u.first[doc]) << COUNT_BITS) | count
+                at = (text_tags(u.texts)[doc] << (COUNT_BITS + FIRST_BITS)) | ((first - u.first[doc]) << COUNT_BITS) | count
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["anchor", "digest", "doc_id", "at"])
 
@@ -196,7 +216,8 @@ def settled(found: DataFrame, earlier: bool) -> DataFrame:
     here = (F.col("doc_id") == F.col("m.doc_id")) & (F.col("at") == F.col("m.at"))
     gone = marked.where(~F.col("old") & (~here if earlier else F.col("n") > 1))
     gone = gone.select(F.lit(0).alias("kind"), "anchor", "digest", "doc_id", "at", "old", F.lit(False).alias("many"), F.lit(0).alias("classes"))
-    contested = classes.join(per_anchor.where("n_classes > 1"), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), F.col("n_classes").alias("classes"))
+    # anchors at the ends of partitions: at most two for each
+    contested = classes.join(F.broadcast(per_anchor.where("n_classes > 1")), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), F.col("n_classes").alias("classes"))
     return found.where("kind < 2").unionByName(gone).unionByName(contested)
 
 
@@ -216,46 +237,62 @@ def slice_contents(contested: DataFrame, docs: DataFrame, words: bool, length: i
                 flat = lists.flatten()
                 at = flat.field("at").to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                first = u.first[doc] + (at >> COUNT_BITS)
-                last = first + (at & ((1 << COUNT_BITS) - 1)) - 1 + length
+                first = u.first[doc] + first_of(at)
+                last = first + count_of(at) - 1 + length
+                # slices of another text with this doc_id are not in this one
+                mine = np.flatnonzero((tag_of(at) == text_tags(u.texts)[doc]) & (last <= u.first[doc + 1]))
+                flat, first, last = flat.take(pa.array(mine)), first[mine], last[mine]
                 keys = flat.field("anchor").to_numpy(zero_copy_only=False)
                 # the anchor's place: the gram with its hash, leftmost among those of every window
                 grams = u.hash(np.arange(max(u.size - k + 1, 0)), np.arange(max(u.size - k + 1, 0)) + k).view(np.int64)
-                place = np.zeros(len(at), np.int32)
+                place = np.full(len(mine), -1, np.int32)
                 raw = u.texts.raw.tobytes()
                 content = []
                 low, high = (u.texts.starts[first], u.texts.ends[last - 1]) if words else (first, last)
-                for i in range(len(at)):
-                    # in the first window or, with many windows, up to the start of the last
-                    place[i] = int(np.flatnonzero(grams[first[i] : last[i] - k + 1] == keys[i])[0])
+                for i in range(len(mine)):
+                    here = np.flatnonzero(grams[first[i] : last[i] - k + 1] == keys[i])
+                    place[i] = here[0] if len(here) else -1
                     s = raw[low[i] : high[i]]
                     content.append(b" ".join(s.split()) if words else s)
-                yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(np.asarray(part.column("doc_id"))[doc], pa.int64()), flat.field("at"), flat.field("old"), flat.field("many"), flat.field("classes"), pa.array(place), pa.array(content, pa.binary())], names=["anchor", "doc_id", "at", "old", "many", "classes", "place", "content"])
+                ids = np.asarray(part.column("doc_id"))[doc[mine]]
+                out = pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(ids, pa.int64()), *(flat.field(c) for c in ("at", "old", "many", "classes")), pa.array(place), pa.array(content, pa.binary())], names=["anchor", "doc_id", "at", "old", "many", "classes", "place", "content"])
+                yield out.filter(pa.array(place >= 0))
 
     return both.select("doc_id", "text", "slices").mapInArrow(run, SLICE)
 
 
-#: Removed units of a document: half-open ranges.
-RANGES = "doc_id long, low long, high long"
+#: Removed units of a document, half-open ranges, and the tag of its text.
+RANGES = "doc_id long, tag int, low long, high long"
+
+
+def first_column() -> Column:
+    """First window of a slice, from the column ``at``."""
+    return F.shiftright("at", COUNT_BITS).bitwiseAND((1 << FIRST_BITS) - 1)
+
+
+def tag_column() -> Column:
+    return F.shiftright("at", COUNT_BITS + FIRST_BITS).cast("int")
 
 
 def whole_slices(found: DataFrame, length: int) -> DataFrame:
     """RANGES of the slices of kind 0."""
-    low = F.shiftright("at", COUNT_BITS)
-    return found.where("kind = 0").select("doc_id", low.alias("low"), (low + F.col("at").bitwiseAND((1 << COUNT_BITS) - 1) - 1 + length).alias("high"))
+    count = F.col("at").bitwiseAND((1 << COUNT_BITS) - 1)
+    return found.where("kind = 0").select("doc_id", tag_column().alias("tag"), first_column().alias("low"), (first_column() + count - 1 + length).alias("high"))
 
 
 def per_document(ranges: DataFrame) -> DataFrame:
     """One row for each document: its ranges as a list (no longer than the document has windows)."""
-    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return ranges.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "low", "high")).alias("ranges"))
 
 
-def removed_units(part: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
+def removed_units(part: pa.RecordBatch, t: Texts, bounds: np.ndarray) -> np.ndarray:
     """Flags over all units of a piece from its column ``ranges``; ``bounds``: where each document's units begin."""
     lists = part.column("ranges").fill_null([])
     flat = lists.flatten()
     doc = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-    low, high = (np.minimum(flat.field(c).to_numpy(zero_copy_only=False) + bounds[doc], bounds[doc + 1]) for c in ("low", "high"))
+    mine = flat.field("tag").to_numpy(zero_copy_only=False) == text_tags(t)[doc]
+    doc = doc[mine]
+    low, high = (np.minimum(flat.field(c).to_numpy(zero_copy_only=False)[mine] + bounds[doc], bounds[doc + 1]) for c in ("low", "high"))
     size = int(bounds[-1])
     edge = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
     return np.cumsum(edge[:size]) > 0

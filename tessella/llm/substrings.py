@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.packed import Texts, mix, pieces, sequence_hashes
-from tessella.llm.slices import COUNT_BITS, RANGES, judged, per_document, removed_units, settled, slice_contents, slice_rows, whole_slices
+from tessella.llm.slices import RANGES, first_of, judged, per_document, removed_units, settled, slice_contents, slice_rows, tag_of, whole_slices
 from tessella.llm.store import dropped, stored
 from tessella.llm.suffixes import BATCH, _anchor_batches, ranges_of
 
@@ -84,7 +84,7 @@ def later_windows(content: list[bytes], anchor: np.ndarray, doc_id: np.ndarray,
     shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     start = base[owner] + shift
     key = mix(sequence_hashes(t.word_hashes(), start, start + length) + anchor[owner].view(U64) * U64(0x9E3779B97F4A7C15))
-    place = (at >> COUNT_BITS)[owner] + shift
+    place = first_of(at)[owner] + shift
     ids = doc_id[owner]
     order = np.lexsort((place, ids, key))
     k, p, d = key[order], place[order], ids[order]
@@ -116,15 +116,16 @@ def _window_rows(batches):
             shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             start = base[owner] + shift
             key = sequence_hashes(t.word_hashes(), start, start + LENGTH)
-            low = shift + (part.column("at").to_numpy() >> COUNT_BITS)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(part.column("anchor").to_numpy()[owner]), pa.array(key.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[owner]), pa.array(low), pa.array(part.column("old").to_numpy(zero_copy_only=False)[owner])], names=["anchor", "key", "doc_id", "low", "old"])
+            low = shift + first_of(part.column("at").to_numpy())[owner]
+            tag = tag_of(part.column("at").to_numpy())[owner].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part.column("anchor").to_numpy()[owner]), pa.array(key.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[owner]), pa.array(tag), pa.array(low), pa.array(part.column("old").to_numpy(zero_copy_only=False)[owner])], names=["anchor", "key", "doc_id", "tag", "low", "old"])
 
 
 def _kept(batches):
     for batch in batches:
         for part in pieces(batch):
             t = Texts(part.column("text"))
-            gone = removed_units(part, t.first)
+            gone = removed_units(part, t, t.first)
             removed, digest = [], []
             raw = t.raw.tobytes()
             for i in range(t.n):
@@ -158,9 +159,9 @@ def repeated_ranges(docs: DataFrame, batches: int = 2) -> DataFrame:
     contents = slice_contents(contested, docs, True, LENGTH, GRAM)
     contents = stored(contents.repartition(partitions, F.when(F.col("classes") <= BATCH, F.col("anchor")).otherwise(F.xxhash64("anchor", "doc_id", "at"))).sortWithinPartitions("anchor"))
     compared = contents.where(F.col("classes") <= BATCH).mapInArrow(_compare, RANGES)
-    windows = contents.where(F.col("classes") > BATCH).mapInArrow(_window_rows, "anchor long, key long, doc_id long, low long, old boolean")
+    windows = contents.where(F.col("classes") > BATCH).mapInArrow(_window_rows, "anchor long, key long, doc_id long, tag int, low long, old boolean")
     first = windows.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "low")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    crowded = windows.join(first, ["anchor", "key"]).where((F.col("doc_id") != F.col("m.doc_id")) | (F.col("low") != F.col("m.low"))).select("doc_id", "low", (F.col("low") + LENGTH).alias("high"))
+    crowded = windows.join(first, ["anchor", "key"]).where((F.col("doc_id") != F.col("m.doc_id")) | (F.col("low") != F.col("m.low"))).select("doc_id", "tag", "low", (F.col("low") + LENGTH).alias("high"))
     return whole_slices(found, LENGTH).unionByName(compared).unionByName(crowded)
 
 

@@ -8,16 +8,23 @@ higher. In the end a group holds the suffixes with one longest Lyndon prefix.
 A second pass over the growing array writes each group's order: a suffix, once
 placed, places those before it that point past it. No names, no recursion.
 
-At scale: all windows of 200 bytes are grouped into slices (see slices.py).
-Equal slices count as one with a multiplicity. Slices that share an anchor but
-differ go by anchor to bounded batches; there they are laid out as symbols of
-24 bytes, aligned to the anchor, the suffix array brings together all starts
-with seven equal symbols (168 bytes), and their windows are compared in full.
-An anchor with more slices than a batch holds is compared by window hash over
-all partitions.
+At scale: all windows of 200 bytes are grouped into slices (see slices.py), which
+are the bounded texts that suffix arrays are built over. Equal slices are one,
+with a multiplicity. Slices that share an anchor go to one batch. There they
+are laid out as symbols of 24 bytes, aligned to the anchor and numbered in
+lexical order, so that the suffix array of the symbols has the order of the
+byte strings. The common prefix of neighbours in the array is counted in bytes.
+A window begins less than a symbol before one of these suffixes: it occurs
+twice if another suffix in the unbroken stretch of the array, whose common
+prefixes reach the window's end, has the same bytes before it.
+
+An anchor with more slices than a batch holds is split by the bytes around it:
+windows that begin within 8 bytes of each other share 193 bytes, which make the
+anchor of a shorter slice; what is still crowded is split into single windows,
+and equal ones are one again. All parts go through the same suffix arrays.
 
 Null texts are empty. A null doc_id takes no part and is kept whole. Rows that
-share a doc_id must share the text; they count as separate places.
+share a doc_id count as separate places, also with different texts.
 """
 
 from __future__ import annotations
@@ -30,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.packed import Texts, mix, pieces
-from tessella.llm.slices import COUNT_BITS, RANGES, judged, per_document, removed_units, settled, slice_contents, slice_rows, whole_slices
+from tessella.llm.slices import COUNT_BITS, RANGES, count_of, first_column, first_of, judged, per_document, removed_units, settled, slice_contents, slice_rows, tag_column, tag_of, whole_slices
 from tessella.llm.store import stored
 
 U64 = np.uint64
 LENGTH, GRAM, SYMBOL = 200, 64, 24
-#: Slices of one anchor that a batch may hold.
-BATCH = 8_192
+#: Slices of one anchor that a batch may hold; windows of a crowded anchor that stay together, step by step.
+BATCH, STEPS = 8_192, (8, 1)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -120,56 +127,87 @@ def _sentinel_chain(before: list[int], n: int):
         p = before[p]
 
 
-def repeated_windows(content: list[bytes], place: np.ndarray, anchor: np.ndarray, many: np.ndarray, length: int = LENGTH, g: int = SYMBOL) -> list[np.ndarray]:
-    """For each slice: which of its windows occur in another slice of the same anchor, or in a repeated slice."""
+def _words_of(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of 24 bytes as three numbers each, whose order is that of the bytes."""
+    wide = np.ascontiguousarray(rows).view(">u8")
+    return [wide[:, i].astype(U64) for i in range(wide.shape[1])]
+
+
+def _ranks(columns: list[np.ndarray]) -> np.ndarray:
+    """Number of each row among the distinct rows in lexical order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def common_prefixes(data: np.ndarray, begin: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, ``most`` at most; 0 for the first."""
+    out = np.zeros(len(begin), np.int64)
+    reach = np.arange(most)
+    for low in range(1, len(begin), 1 << 14):
+        i = np.arange(low, min(low + (1 << 14), len(begin)))
+        lines = [data[np.minimum(begin[j][:, None] + reach, len(data) - 1)] for j in (i - 1, i)]
+        differ = lines[0] != lines[1]
+        first = np.where(differ.any(1), differ.argmax(1), most)
+        out[i] = np.minimum(first, np.minimum(room[i - 1], room[i]))
+    return out
+
+
+def repeated_windows(content: list[bytes], place: np.ndarray, many: np.ndarray, length: int = LENGTH, g: int = SYMBOL) -> list[np.ndarray]:
+    """For each slice: which of its windows occur in another slice, or in a repeated slice.
+
+    place: the anchor's place in each slice; equal windows have it at the same distance.
+    """
     size = np.fromiter(map(len, content), np.int64, len(content))
     base = np.concatenate([[0], np.cumsum(size)])
-    t = Texts(pa.array([b"".join(content)], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
-    # symbols: blocks of g bytes at the anchor and at multiples of g from it
+    data = np.frombuffer(b"".join(content), np.uint8)
+    # symbols: blocks of g bytes at the anchor and at multiples of g from it; zeros fill up the last one, which comes before a block with as many zero bytes
     offset = place % g
-    blocks = np.maximum((size - offset) // g, 0)
+    blocks = np.maximum(-(-(size - offset) // g), 0)
     which = np.repeat(np.arange(len(size)), blocks)
     number = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = base[which] + offset[which] + number * g
-    names = np.unique(t.hash_ranges(begin, begin + g), return_inverse=True)[1]
+    at = begin[:, None] + np.arange(g)
+    room = base[which + 1] - begin
+    names = _ranks([*_words_of(np.where(np.arange(g) < room[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)), np.minimum(room, g)])
     # one text with an end mark of its own after each slice, smaller than all symbols
     ends = np.cumsum(blocks + 1) - 1
-    text = np.empty(int(blocks.sum()) + len(size), np.int64)
+    text = np.empty(len(which) + len(size), np.int64)
     text[ends] = np.arange(len(size))
-    spot = np.arange(len(which)) + which
-    text[spot] = names + len(size)
-    order = np.array(suffix_array(text.tolist()), np.int64)
-    # neighbours in the array whose first symbols are equal form a set
-    need = (length - g + 1) // g
-    room = np.zeros(len(text), np.int64)
-    room[spot] = blocks[which] - number
-    keep = order[room[order] >= need]
-    first = np.zeros(len(text), np.int64)
-    first[spot] = begin
-    print_ = t.hash_ranges(first[keep], first[keep] + need * g)
-    turn = np.append(True, print_[1:] != print_[:-1]) if len(keep) else np.zeros(0, bool)
-    sets = np.cumsum(turn) - 1
-    crowd = np.bincount(sets, minlength=1)
-    label = np.full(len(text), -1, np.int64)
-    label[keep] = sets
-    # windows: their first whole symbol says in which set they are
-    count = size - length + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    lead = (offset[owner] - shift) % g
-    at = (ends - blocks)[owner] + (shift + lead - offset[owner]) // g
-    mine = label[at]
-    out = np.zeros(len(owner), bool)
-    twice = np.flatnonzero((mine >= 0) & (crowd[mine] > 1))
-    start = base[owner[twice]] + shift[twice]
-    key = mix(t.hash_ranges(start, start + length) + anchor[owner[twice]].view(U64) * U64(0x9E3779B97F4A7C15) + lead[twice].astype(U64))
-    line = np.argsort(key, kind="stable")
-    k = key[line]
-    same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = k[1:] == k[:-1]
-    out[twice[line]] = same[1:] | same[:-1]
-    out |= many[owner]
-    return np.split(out, np.cumsum(count)[:-1])
+    text[np.arange(len(which)) + which] = names + len(size)
+    block = np.full(len(text), -1)
+    block[np.arange(len(which)) + which] = np.arange(len(which))
+    order = block[np.array(suffix_array(text.tolist()), np.int64)]
+    # suffixes long enough to hold the rest of a window, in lexical order
+    order = order[order >= 0]
+    order = order[room[order] > length - g]
+    begin, room, which = begin[order], room[order], which[order]
+    prefix = common_prefixes(data, begin, room, length)
+    # the g bytes before each suffix, the nearest last
+    back = begin[:, None] - np.arange(g, 0, -1)
+    before = _words_of(np.where(back >= base[which][:, None], data[np.maximum(back, 0)], 0).astype(np.uint8))
+    windows = size - length + 1
+    start = np.cumsum(windows) - windows
+    out = np.zeros(int(windows.sum()), bool)
+    for lead in range(g):
+        # windows that begin so many bytes before a suffix
+        shift = begin - base[which] - lead
+        here = (shift >= 0) & (shift < windows[which])
+        stretch = np.cumsum(prefix < length - lead)
+        i = np.flatnonzero(here)
+        i = i[np.bincount(stretch[i], minlength=1)[stretch[i]] > 1] if len(i) else i
+        if not len(i):
+            continue
+        keep = [min(max(lead - 8 * (2 - w), 0), 8) for w in range(3)]
+        columns = [stretch[i].astype(U64)] + [before[w][i] & U64((1 << 8 * keep[w]) - 1) for w in range(3) if keep[w]]
+        same = _ranks(columns)
+        out[(start[which] + shift)[i[np.bincount(same)[same] > 1]]] = True
+    out |= np.repeat(many, windows)
+    return np.split(out, np.cumsum(windows)[:-1])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,46 +238,98 @@ def _anchor_batches(batches, columns, budget: int = 1 << 21):
 def ranges_of(table: pa.Table, flags: list[np.ndarray], length: int) -> pa.RecordBatch:
     """RANGES of the flagged windows of each slice."""
     ids, at = (table.column(c).to_numpy() for c in ("doc_id", "at"))
-    doc, low, high = [], [], []
+    first, tags = first_of(at), tag_of(at)
+    doc, tag, low, high = [], [], [], []
     for i, f in enumerate(flags):
         if f.any():
             a, b = _runs(f)
             doc += [ids[i]] * len(a)
-            low += (a + (at[i] >> COUNT_BITS)).tolist()
-            high += (b + (at[i] >> COUNT_BITS) - 1 + length).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, low, high)], names=["doc_id", "low", "high"])
+            tag += [tags[i]] * len(a)
+            low += (a + first[i]).tolist()
+            high += (b + first[i] - 1 + length).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["doc_id", "tag", "low", "high"])
+
+
+def _flags(table: pa.Table) -> list[np.ndarray]:
+    return repeated_windows(table.column("content").to_pylist(), table.column("place").to_numpy().astype(np.int64), table.column("many").to_numpy(zero_copy_only=False))
 
 
 def _compare(batches):
     for table in _anchor_batches(batches, ("anchor",)):
-        flags = repeated_windows(table.column("content").to_pylist(), table.column("place").to_numpy().astype(np.int64), table.column("anchor").to_numpy(), table.column("many").to_numpy(zero_copy_only=False))
-        yield ranges_of(table, flags, LENGTH)
+        yield ranges_of(table, _flags(table), LENGTH)
 
 
-def _window_rows(batches):
-    """Every window of a crowded anchor's slices by its hashes."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            content = part.column("content").to_pylist()
-            size = np.fromiter(map(len, content), np.int64, len(content))
-            base = np.concatenate([[0], np.cumsum(size)])
-            t = Texts(pa.array([b"".join(content)], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
-            count = size - LENGTH + 1
-            owner = np.repeat(np.arange(len(size)), count)
-            shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            start = base[owner] + shift
-            key = t.hash_ranges(start, start + LENGTH)
-            anchor = part.column("anchor").to_numpy()[owner]
-            low = shift + (part.column("at").to_numpy() >> COUNT_BITS)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key.view(np.int64)), pa.array(part.column("doc_id").to_numpy()[owner]), pa.array(low), pa.array(np.asarray(part.column("many"))[owner])], names=["anchor", "key", "doc_id", "low", "many"])
+def _compare_classes(batches):
+    """Runs of repeated windows of each class: their first and last, from the first of the slice on."""
+    for table in _anchor_batches(batches, ("anchor",)):
+        flags = _flags(table)
+        runs = [_runs(f) for f in flags]
+        which = pa.array(np.repeat(np.arange(len(runs)), [len(a) for a, _ in runs]))
+        low, high = (np.concatenate([r[j] for r in runs]).astype(np.int64) for j in (0, 1))
+        yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(which) for c in ("anchor", "digest")] + [pa.array(low), pa.array(high - 1 + LENGTH)], names=["anchor", "digest", "low", "high"])
+
+
+PART = "anchor long, digest long, doc_id long, at long, many boolean, place int, content binary"
+
+
+def narrowed(step: int):
+    """A kernel that splits slices: windows that begin within ``step`` bytes, counted from the anchor, stay together.
+
+    The bytes that they share are the anchor of the part.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                content = part.column("content").to_pylist()
+                size = np.fromiter(map(len, content), np.int64, len(content))
+                base = np.concatenate([[0], np.cumsum(size)])
+                t = Texts(pa.array([b"".join(content)], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
+                count = size - LENGTH + 1
+                owner = np.repeat(np.arange(len(size)), count)
+                shift = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                place = part.column("place").to_numpy().astype(np.int64)
+                group = (place[owner] - shift) // step
+                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])))
+                own, first, many = owner[new], shift[new], np.diff(np.append(new, len(owner)))
+                # what all windows of the group have, whether or not the slice has all of them
+                core = place[own] - group[new] * step
+                a = base[own] + core
+                shared = t.hash_ranges(a, a + LENGTH - step + 1)
+                anchor = mix(part.column("anchor").to_numpy()[own].view(U64) + mix(shared + group[new].astype(U64)))
+                begin = base[own] + first
+                digest = mix(t.hash_ranges(begin, begin + many - 1 + LENGTH) + (core - first).astype(U64))
+                at = part.column("at").to_numpy()[own]
+                at = (at >> COUNT_BITS << COUNT_BITS) + (first << COUNT_BITS) + many
+                pieces_ = [content[o][f : f + m - 1 + LENGTH] for o, f, m in zip(own.tolist(), first.tolist(), many.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), part.column("doc_id").take(pa.array(own)), pa.array(at), part.column("many").take(pa.array(own)), pa.array((core - first).astype(np.int32)), pa.array(pieces_, pa.binary())], names=["anchor", "digest", "doc_id", "at", "many", "place", "content"])
+
+    return run
+
+
+def _crowded(rows: DataFrame, partitions: int) -> list[DataFrame]:
+    """RANGES of the repeated windows of crowded anchors, by shorter and shorter parts."""
+    out = []
+    for step in STEPS:
+        parts = stored(rows.mapInArrow(narrowed(step), PART))
+        classes = parts.groupBy("anchor", "digest").agg(F.min(F.struct("place", "content")).alias("m"), F.count("*").alias("n"), F.max("many").alias("any_many"))
+        classes = stored(classes.select("anchor", "digest", "m.place", "m.content", (F.col("any_many") | (F.col("n") > 1)).alias("many")))
+        full = classes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BATCH).select("anchor")
+        fine = classes.join(full, "anchor", "left_anti").repartition(partitions, "anchor").sortWithinPartitions("anchor")
+        found = fine.mapInArrow(_compare_classes, "anchor long, digest long, low long, high long")
+        out.append(parts.select("anchor", "digest", "doc_id", tag_column().alias("tag"), first_column().alias("first")).join(found, ["anchor", "digest"]).select("doc_id", "tag", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high")))
+        if step == 1 or full.isEmpty():
+            break
+        rows = parts.join(full, "anchor", "left_semi").select("anchor", "doc_id", "at", "many", "place", "content")
+    return out
 
 
 def _kept(batches):
     for batch in batches:
         for part in pieces(batch):
             t = Texts(part.column("text"))
-            gone = removed_units(part, t.offsets)
+            gone = removed_units(part, t, t.offsets)
             removed, spans, digest = [], [], []
             for i in range(t.n):
                 a, b = t.offsets[i], t.offsets[i + 1]
@@ -259,11 +349,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     found = settled(found, False)
     contents = slice_contents(found.where("kind = 1"), docs, False, LENGTH, GRAM)
     contents = stored(contents.repartition(partitions, F.when(F.col("classes") <= BATCH, F.col("anchor")).otherwise(F.xxhash64("anchor", "doc_id", "at"))).sortWithinPartitions("anchor"))
-    compared = contents.where(F.col("classes") <= BATCH).mapInArrow(_compare, RANGES)
-    windows = contents.where(F.col("classes") > BATCH).mapInArrow(_window_rows, "anchor long, key long, doc_id long, low long, many boolean")
-    twice = windows.groupBy("anchor", "key").agg(F.count("*").alias("n"), F.max("many").alias("any_many")).where("n > 1 or any_many").select("anchor", "key")
-    crowded = windows.join(twice, ["anchor", "key"]).select("doc_id", "low", (F.col("low") + LENGTH).alias("high"))
-    return whole_slices(found, LENGTH).unionByName(compared).unionByName(crowded)
+    ranges = whole_slices(found, LENGTH).unionByName(contents.where(F.col("classes") <= BATCH).mapInArrow(_compare, RANGES))
+    crowded = contents.where(F.col("classes") > BATCH).select("anchor", "doc_id", "at", "many", "place", "content")
+    if not crowded.isEmpty():
+        for more in _crowded(crowded, partitions):
+            ranges = ranges.unionByName(more)
+    return ranges
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

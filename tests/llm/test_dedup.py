@@ -217,3 +217,81 @@ def test_compacted_runs_match_brute_force(spark, monkeypatch):
     docs = corpus(2)
     got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(spark.createDataFrame(rows(docs), SCHEMA).repartition(5), 6).collect()}
     assert ran and got == brute.substring_dedup(docs)
+
+
+def slices_about_one_anchor(seed=11, n=60):
+    """Byte strings around a shared core, with its place, where windows start at every distance from the symbols."""
+    r = random.Random(seed)
+    core = bytes(r.choices(b"abc", k=64))
+    parts = [bytes(r.choices(b"abc\0", k=140)) for _ in range(4)]
+    content, place = [], []
+    for _ in range(n):
+        left = bytearray(r.choice(parts)[: r.randint(0, 136)])[::-1]
+        right = bytearray(r.choice(parts)[: 136 + r.randint(0, 3)])
+        for side in (left, right):
+            if side and r.random() < 0.4:
+                side[r.randrange(len(side))] = r.choice(b"abcd")
+        content.append(bytes(left) + core + bytes(right))
+        place.append(len(left))
+    return content, place
+
+
+def test_windows_are_judged_by_the_suffix_array(monkeypatch):
+    import numpy as np
+
+    from tessella.llm import suffixes
+
+    content, place = slices_about_one_anchor()
+    count = {}
+    for c, p in zip(content, place):
+        for s in range(len(c) - 199):
+            count[c[s : s + 200]] = count.get(c[s : s + 200], 0) + 1
+    want = [[count[c[s : s + 200]] > 1 for s in range(len(c) - 199)] for c in content]
+    judge = lambda: [f.tolist() for f in suffixes.repeated_windows(content, np.array(place), np.zeros(len(content), bool))]
+    assert any(map(any, want)) and not all(map(all, want))
+    assert judge() == want
+    # any other order than the lexical one loses repeats
+    def by_hash(text):
+        return sorted(range(len(text)), key=lambda i: hash(tuple(text[i : i + 7])))
+
+    monkeypatch.setattr(suffixes, "suffix_array", by_hash)
+    assert judge() != want
+
+
+def test_common_prefixes_are_counted_in_bytes():
+    import numpy as np
+
+    from tessella.llm.suffixes import common_prefixes
+
+    r = random.Random(2)
+    text = bytes(r.choices(b"ab", k=300))
+    order = sorted(range(300), key=lambda i: text[i:])
+    got = common_prefixes(np.frombuffer(text, np.uint8), np.array(order), 300 - np.array(order), 12)
+    for k in range(1, 300):
+        a, b = text[order[k - 1] :][:12], text[order[k] :][:12]
+        assert got[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("f", [suffix_dedup, substring_dedup])
+def test_two_texts_with_one_id(spark, f):
+    r = random.Random(12)
+    line = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    shared = line(60)
+    docs = [(1, shared + " " + line(50)), (1, line(300)), (1, "short"), (2, line(5) + " " + shared), (3, line(200))]
+    want = getattr(brute, f.__name__)([(10 * i + k, t) for k, (i, t) in enumerate(docs)])
+    got = sorted(tuple(x)[:3] for x in f(spark.createDataFrame(rows(docs), SCHEMA)).collect())
+    # each text loses its own repeats only
+    assert got == sorted((k // 10, *v[:2]) for k, v in want.items())
+
+
+@pytest.mark.parametrize("f", [suffix_dedup, substring_dedup])
+def test_a_very_long_text(spark, f):
+    r = random.Random(13)
+    text = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(200_000))
+    docs = [(1, text), (2, text[700_000:701_000]), (3, text[1_300_000:] + " end")]
+    got = {x["doc_id"]: x for x in f(spark.createDataFrame(rows(docs), SCHEMA)).collect()}
+    total = got[1][1]
+    if f is suffix_dedup:
+        assert (got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"]) == (1000 + total - 1_300_000, 1000, total - 1_300_000)
+    else:
+        assert (got[1]["n_removed"], total) == (0, 200_000) and got[2]["n_removed"] >= got[2]["n_words"] - 2 and got[3]["n_words"] - got[3]["n_removed"] <= 2
