@@ -63,12 +63,15 @@ def image_format(content) -> Column:
 
 
 def looks_like_tga(content) -> Column:
-    """A TGA footer, or a header whose fields agree with each other."""
+    """A TGA footer, or a header whose fields agree with each other and with the length."""
     c = _col(content)
-    footer = F.endswith(c, F.unhex(F.lit("54525545564953494F4E2D5846494C452E00")))
+    size = F.octet_length(c)
+    footer = (size >= 26) & F.endswith(c, F.unhex(F.lit("54525545564953494F4E2D5846494C452E00")))
     kind, has_map, depth = byte_at(c, 2), byte_at(c, 1), byte_at(c, 16)
     width, height = uint(c, 12, 2), uint(c, 14, 2)
     mapped = kind.isin(1, 9)
-    raw_size = 18 + byte_at(c, 0) + width * height * F.expr("1") * F.floor((depth + 7) / 8)
-    header = (F.octet_length(c) >= 18) & kind.isin(1, 2, 3, 9, 10, 11) & (mapped == (has_map == 1)) & has_map.isin(0, 1) & (width > 0) & (height > 0) & depth.isin(8, 15, 16, 24, 32)
-    return F.coalesce(footer, F.lit(False)) | F.coalesce(header & (~kind.isin(1, 2, 3) | (F.octet_length(c) >= raw_size)), F.lit(False))
+    whole_bytes = lambda bits: F.floor((bits + 7) / 8)
+    data = 18 + byte_at(c, 0) + F.when(mapped, uint(c, 5, 2) * whole_bytes(byte_at(c, 7))).otherwise(0)
+    fits = (data < size) & (~kind.isin(1, 2, 3) | (width * height * whole_bytes(depth) <= size - data))
+    header = (size >= 18) & kind.isin(1, 2, 3, 9, 10, 11) & (has_map == mapped.cast("int")) & (width > 0) & (height > 0) & depth.isin(8, 15, 16, 24, 32) & fits
+    return F.coalesce(footer, F.lit(False)) | F.coalesce(header, F.lit(False))

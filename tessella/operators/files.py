@@ -1,9 +1,11 @@
 """Encoded files as expressions: uncompressed writers and readers, headers, budgets.
 
-Writers gather the pixels of one image; readers explode positions, so a scan
-reads the headers first and only images within the budget are exploded.
-Compressed formats need sequential entropy decoders; they are not built here
-(see README) and decode to a null result with an error text.
+Writers work by lines: the pixels of a line are gathered first, and the check sums
+that a format needs come from sums over pixels; then the lines of an image make a
+file. Readers go the other way, lines first, and a scan reads the headers before
+that, so only images within the budget are exploded. Compressed formats need
+sequential entropy decoders; they are not built here (see README): ``outcomes``
+says of every file what becomes of it.
 """
 
 from __future__ import annotations
@@ -21,11 +23,22 @@ INCH = 39.37007874015748
 STORED = 65_535
 
 
-def _gathered(pixels: DataFrame, order: Column, channels: str) -> DataFrame:
-    """image_id, width, height and the hex digits of all pixels in the given order."""
-    digits = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in channels))
-    rows = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(F.struct(order.alias("at"), digits.alias("h")))).alias("p"))
-    return rows.select("image_id", "width", "height", F.concat_ws("", F.transform("p", lambda p: p["h"])).alias("body"))
+ADLER = 65_521
+
+
+def _gathered(pixels: DataFrame) -> DataFrame:
+    """image_id, width, height, the hex digits of all lines in both channel orders, and sums over the bytes of PNG rows."""
+    word = lambda *c: F.lpad(F.hex(sum(F.col(k).cast("long") * (1 << s) for k, s in zip(c, (24, 16, 8, 0)))), 8, "0")
+    v = [F.col(c).cast("long") for c in "rgba"]
+    weighted = sum((F.col("x").cast("long") * 4 + 1 + i) * c for i, c in enumerate(v))
+    joined = lambda at: F.concat_ws("", F.transform("p", lambda p: p[at]))
+    p = F.sort_array(F.collect_list(F.struct("x", word(*"rgba").alias("rgba"), word(*"bgra").alias("bgra"))))
+    lines = pixels.groupBy("image_id", "y").agg((F.max("x") + 1).alias("width"), p.alias("p"), F.sum(v[0] + v[1] + v[2] + v[3]).alias("s"), F.sum(weighted).alias("t"))
+    lines = lines.select("image_id", "y", "width", joined("rgba").alias("rgba"), joined("bgra").alias("bgra"), "s", F.col("t") % ADLER, (F.col("y") * F.col("s") % ADLER).alias("ys"))
+    lines = lines.withColumnRenamed(f"(t % {ADLER})", "t")
+    lists = [F.sort_array(F.collect_list(F.struct("y", F.col(c).alias("line")))).alias(c) for c in ("rgba", "bgra")]
+    rows = lines.groupBy("image_id").agg(F.max("width").alias("width"), (F.max("y") + 1).alias("height"), *lists, *(F.sum(c).alias(c) for c in ("s", "t", "ys")))
+    return rows.withColumns({c: F.transform(c, lambda line: line["line"]) for c in ("rgba", "bgra")})
 
 
 def once(value: Column) -> Column:
@@ -33,71 +46,85 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def write_bmp(pixels: DataFrame, ppi: float = 72.0) -> DataFrame:
-    """32-bit bitmaps with channel masks, bottom-up: image_id, width, height, content."""
-    g = _gathered(pixels, F.struct(-F.col("y"), F.col("x")), "bgra")
-    area = F.col("width").cast("long") * F.col("height") * 4
+def bmp_bytes(ppi: float = 72.0) -> Column:
+    """A 32-bit bitmap with channel masks, bottom-up, from a gathered image."""
+    w, h, zero = F.col("width").cast("long"), F.col("height").cast("long"), F.lit(0)
+    area = w * h * 4
     per_metre = F.round(F.lit(ppi * INCH)).cast("long")
-    w, h, zero = F.col("width"), F.col("height"), F.lit(0)
     fields = [(area + 122, 4), (zero, 4), (F.lit(122), 4), (F.lit(108), 4), (w, 4), (h, 4), (F.lit(1), 2), (F.lit(32), 2), (F.lit(3), 4), (area, 4), (per_metre, 4), (per_metre, 4), (zero, 4), (zero, 4)]
     masks = "0000FF00" + "00FF0000" + "FF000000" + "000000FF" + "42475273" + "00" * 48
-    head = F.concat(F.lit("424D"), *(hex_uint(v, n) for v, n in fields), F.lit(masks))
-    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body"))).alias("content"))
+    return F.unhex(F.concat(F.lit("424D"), *(hex_uint(v, n) for v, n in fields), F.lit(masks), F.concat_ws("", F.reverse("bgra"))))
 
 
-def write_tga(pixels: DataFrame) -> DataFrame:
-    """Uncompressed 32-bit TGA, top-left origin, with footer."""
-    g = _gathered(pixels, F.struct("y", "x"), "bgra")
+def tga_bytes() -> Column:
+    """An uncompressed 32-bit TGA, top-left origin, with footer."""
     head = F.concat(F.lit("000002" + "00" * 9), hex_uint(F.col("width"), 2), hex_uint(F.col("height"), 2), F.lit("2028"))
     foot = "00" * 8 + "TRUEVISION-XFILE.".encode().hex().upper() + "00"
-    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body", F.lit(foot)))).alias("content"))
+    return F.unhex(F.concat(head, F.concat_ws("", "bgra"), F.lit(foot)))
 
 
-def write_tiff(pixels: DataFrame) -> DataFrame:
-    """Little-endian TIFF, RGBA with straight alpha, one uncompressed strip before the directory."""
-    g = _gathered(pixels, F.struct("y", "x"), "rgba")
+def tiff_bytes() -> Column:
+    """A little-endian TIFF, RGBA with straight alpha, one uncompressed strip before the directory."""
     area = F.col("width").cast("long") * F.col("height") * 4
     short, long = "0300", "0400"
     one = lambda tag, kind, value: F.concat(hex_uint(F.lit(tag), 2), F.lit(kind + "01000000"), hex_uint(value, 4))
     entries = [one(256, long, F.col("width")), one(257, long, F.col("height")), F.concat(F.lit("0201" + short + "04000000"), hex_uint(area + 8, 4)), one(259, short, F.lit(1)), one(262, short, F.lit(2)), one(273, long, F.lit(8)), one(277, short, F.lit(4)), one(278, long, F.col("height")), one(279, long, area), one(338, short, F.lit(2))]
     head = F.concat(F.lit("49492A00"), hex_uint(area + 16, 4))
-    tail = F.concat(F.lit("0800" * 4), F.lit("0A00"), *entries, F.lit("00000000"))
-    return g.select("image_id", "width", "height", once(F.unhex(F.concat(head, "body", tail))).alias("content"))
+    return F.unhex(F.concat(head, F.concat_ws("", "rgba"), F.lit("0800" * 4), F.lit("0A00"), *entries, F.lit("00000000")))
+
+
+def png_bytes() -> Column:
+    """An 8-bit RGBA PNG with unfiltered rows in as many stored blocks as they need."""
+    row = F.col("width").cast("long") * 4 + 1
+    size = row * F.col("height")
+    # each byte v at place i of n adds v to the first sum and (n - i) v to the second
+    first = (F.col("s") + 1) % ADLER
+    second = (size % ADLER + (size % ADLER) * (F.col("s") % ADLER) - F.col("t") - (row % ADLER) * (F.col("ys") % ADLER)) % ADLER
+    adler = F.pmod(second, F.lit(ADLER)) * 65536 + first
+    raw = F.unhex(F.concat_ws("", F.transform("rgba", lambda line: F.concat(F.lit("00"), line))))
+    last = F.floor((size - 1) / STORED).cast("int")
 
+    def block(i, raw):
+        n = F.least(F.lit(STORED), size - i * STORED).cast("int")
+        return F.concat(F.when(i == last, "01").otherwise("00"), hex_uint(n, 2), hex_uint(STORED - n, 2), F.hex(F.substring(raw, i * STORED + 1, n)))
 
-def _adler32(bytes_: Column) -> Column:
-    start = F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    step = lambda s, v: F.struct(((s["a"] + v) % 65521).alias("a"), ((s["b"] + s["a"] + v) % 65521).alias("b"))
-    end = F.aggregate(bytes_, start, step)
-    return end["b"] * 65536 + end["a"]
+    # through a lambda the rows are put together once
+    blocks = F.transform(F.array(raw), lambda raw: F.concat_ws("", F.transform(F.sequence(F.lit(0), last), lambda i: block(i, raw))))[0]
 
+    def chunk(name: str, size: Column, data: Column) -> Column:
+        typed = F.concat(F.lit(name.encode().hex().upper()), data)
+        return F.transform(F.array(typed), lambda t: F.concat(hex_uint(size, 4, little=False), t, hex_uint(F.crc32(F.unhex(t)), 4, little=False)))[0]
 
-def write_png(pixels: DataFrame) -> DataFrame:
-    """8-bit RGBA PNG with unfiltered rows in as many stored blocks as they need."""
-    digits = F.concat(*(F.lpad(F.hex(F.col(c).cast("long")), 2, "0") for c in "rgba"))
-    rows = pixels.groupBy("image_id", "y").agg((F.max("x") + 1).alias("width"), F.sort_array(F.collect_list(F.struct("x", digits.alias("h")))).alias("p"))
-    rows = rows.select("image_id", "y", "width", F.concat(F.lit("00"), F.concat_ws("", F.transform("p", lambda p: p["h"]))).alias("line"))
-    g = rows.groupBy("image_id").agg(F.max("width").alias("width"), (F.max("y") + 1).alias("height"), F.sort_array(F.collect_list(F.struct("y", "line"))).alias("p"))
-    g = g.select("image_id", "width", "height", once(F.unhex(F.concat_ws("", F.transform("p", lambda p: p["line"])))).alias("raw"))
-    size = F.octet_length("raw")
-    values = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.conv(F.hex(F.substring(F.col("raw"), i + 1, F.lit(1))), 16, 10).cast("long"))
-    g = g.select("*", once(_adler32(values)).alias("adler"))
-    last = F.floor((size - 1) / STORED).cast("int")
+    head = F.concat(hex_uint(F.col("width"), 4, little=False), hex_uint(F.col("height"), 4, little=False), F.lit("0806000000"))
+    data = F.concat(F.lit("7801"), blocks, hex_uint(adler, 4, little=False))
+    return F.unhex(F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", F.lit(13), head), chunk("IDAT", size + 6 + (last + 1) * 5, data), chunk("IEND", F.lit(0), F.lit(""))))
 
-    def block(i):
-        n = F.least(F.lit(STORED), size - i * STORED)
-        return F.concat(F.when(i == last, "01").otherwise("00"), hex_uint(n, 2), hex_uint(STORED - n, 2), F.hex(F.substring(F.col("raw"), i * STORED + 1, n)))
 
-    blocks = F.concat_ws("", F.transform(F.sequence(F.lit(0), last), block))
-    g = g.select("image_id", "width", "height", once(F.concat(F.lit("7801"), blocks, hex_uint(F.col("adler"), 4, little=False))).alias("data"))
+def written(pixels: DataFrame, content: Column) -> DataFrame:
+    """image_id, width, height and the file of each image."""
+    return _gathered(pixels).select("image_id", "width", "height", once(content).alias("content"))
 
-    def chunk(name: str, data: Column) -> Column:
-        typed = F.concat(F.lit(name.encode().hex().upper()), data)
-        return F.concat(hex_uint(F.length(data) / 2, 4, little=False), typed, hex_uint(F.crc32(F.unhex(typed)), 4, little=False))
 
-    head = F.concat(hex_uint(F.col("width"), 4, little=False), hex_uint(F.col("height"), 4, little=False), F.lit("0806000000"))
-    whole = F.concat(F.lit("89504E470D0A1A0A"), chunk("IHDR", head), chunk("IDAT", F.col("data")), chunk("IEND", F.lit("")))
-    return g.select("image_id", "width", "height", once(F.unhex(whole)).alias("content"))
+def write_bmp(pixels: DataFrame, ppi: float = 72.0) -> DataFrame:
+    return written(pixels, bmp_bytes(ppi))
+
+
+def write_tga(pixels: DataFrame) -> DataFrame:
+    return written(pixels, tga_bytes())
+
+
+def write_tiff(pixels: DataFrame) -> DataFrame:
+    return written(pixels, tiff_bytes())
+
+
+def write_png(pixels: DataFrame) -> DataFrame:
+    return written(pixels, png_bytes())
+
+
+def write_all(pixels: DataFrame) -> DataFrame:
+    """image_id, format, content: each image in every writable format, from one pass over the pixels."""
+    made = (("bmp", bmp_bytes()), ("tga", tga_bytes()), ("tiff", tiff_bytes()), ("png", png_bytes()))
+    return _gathered(pixels).select("image_id", F.explode(F.array(*(F.struct(F.lit(n).alias("format"), c.alias("content")) for n, c in made))).alias("f")).select("image_id", "f.*")
 
 
 # --- headers ---------------------------------------------------------------------
@@ -135,9 +162,9 @@ def _exploded(files: DataFrame, offset: Column, order: str, bottom_up: Column) -
     head = F.struct(F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), offset.cast("int").alias("at"), bottom_up.alias("up"), "content")
     one = files.select("image_id", once(head).alias("f")).select("image_id", "f.*")
     line = F.expr("if(up, h - 1 - y, y)")
-    lines = one.select("*", F.explode(F.expr("sequence(0, h - 1)")).alias("y")).select("image_id", "y", "w", F.hex(F.substring(F.col("content"), F.col("at") + line * F.col("w") * 4 + 1, F.col("w") * 4)).alias("line"))
-    samples = lines.select("image_id", "y", F.posexplode(F.expr("transform(sequence(0, w - 1), i -> substring(line, 8 * i + 1, 8))")).alias("x", "s"))
-    value = {c: F.conv(F.substring("s", 2 * i + 1, 2), 16, 10).cast("int") for i, c in enumerate(order)}
+    lines = one.select("*", F.explode(F.expr("sequence(0, h - 1)")).alias("y")).select("image_id", "y", "w", F.substring(F.col("content"), F.col("at") + line * F.col("w") * 4 + 1, F.col("w") * 4).alias("line"))
+    samples = lines.select("image_id", "y", "line", F.explode(F.expr("sequence(0, w - 1)")).alias("x")).select("image_id", "y", "x", F.conv(F.hex(F.expr("substring(line, 4 * x + 1, 4)")), 16, 10).cast("long").alias("s"))
+    value = {c: F.shiftright("s", 8 * (3 - i)).bitwiseAND(255).cast("int") for i, c in enumerate(order)}
     return samples.select("image_id", "y", "x", *(value[c].alias(c) for c in "rgba"))
 
 
@@ -163,6 +190,23 @@ def read_tiff(files: DataFrame) -> DataFrame:
     return _exploded(within_budget(seen.where("coding = 1 and samples = 4")), F.col("strip"), "rgba", F.lit(False))
 
 
+def outcomes(files: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """image_id, format, status, error: whether a reader gives pixels for each file and, if not, why."""
+    seen = inspect(files)
+    c, form = F.col("content"), F.col("format")
+    area = F.col("width") * F.col("height")
+    reads = ((form == "bmp") & (uint(c, 28, 2) == 32)) | ((form == "tga") & (byte_at(c, 2) == 2) & (byte_at(c, 16) == 32)) | (form == "tiff")
+    error = (
+        F.when(form.isNull(), "unknown format")
+        .when(form.isin("bmp", "tga", "png", "qoi") & (F.col("width").isNull() | F.col("height").isNull()), "truncated header")
+        .when((F.col("width") == 0) | (F.col("height") == 0), "empty image")
+        .when((area > max_pixels) | (area * 4 * F.ceil(F.col("bits") / 8) > max_bytes), "over budget")
+        .when(~F.coalesce(reads, F.lit(False)), F.concat(F.lit("no reader for this "), form))
+        .when((form != "tiff") & (area * 4 > F.octet_length(c)), "truncated pixels")
+    )
+    return seen.select("image_id", "format", F.when(error.isNull(), "decoded").otherwise("skipped").alias("status"), error.alias("error"))
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """The chunks of PNG files: image_id, n, name, size, whether the check sum holds."""
     c = F.col("content")

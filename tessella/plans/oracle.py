@@ -2,9 +2,9 @@
 
 R2 = """r2 AS (SELECT image_id, CAST(i >> 4 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x, r, g, b, a FROM (
   SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS i,
-    count(*) OVER (PARTITION BY l_suppkey) AS n, CAST(l_orderkey % 256 AS INTEGER) AS r, CAST(l_partkey % 256 AS INTEGER) AS g,
+    CAST(l_orderkey % 256 AS INTEGER) AS r, CAST(l_partkey % 256 AS INTEGER) AS g,
     CAST(CAST(l_quantity AS INTEGER) * 5 % 256 AS INTEGER) AS b, CAST(CASE WHEN l_returnflag = 'R' THEN l_linenumber * 36 % 256 ELSE 255 END AS INTEGER) AS a
-  FROM lineitem) WHERE i < n - n % 16)"""
+  FROM lineitem UNION ALL SELECT l_suppkey, n + k, 0, 0, 0, 0 FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey), range(16) AS t(k) WHERE (n + k) // 16 = n // 16 AND n % 16 > 0))"""
 R3 = """r3 AS (SELECT CAST(n_nationkey AS INTEGER) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((x * 17 + y * 3 + n_nationkey) & 255 AS INTEGER) AS r,
   CAST((x * 5 + y * 11) & 255 AS INTEGER) AS g, CAST(xor(x * 7, y * 13) & 255 AS INTEGER) AS b, CAST(CASE WHEN (x + y) % 19 = 0 THEN 96 ELSE 255 END AS INTEGER) AS a
   FROM nation, range(22) AS ry(y), range(35) AS rx(x))"""
@@ -14,7 +14,7 @@ BLOCKS = """bl AS (SELECT CAST(n_nationkey AS INTEGER) AS image_id, CAST(y AS IN
 R1 = """r1 AS (SELECT vec_id AS image_id, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, CAST(embedding[4 * i + 1] AS DOUBLE) AS r, CAST(embedding[4 * i + 2] AS DOUBLE) AS g,
   CAST(embedding[4 * i + 3] AS DOUBLE) AS b, CAST(embedding[4 * i + 4] AS DOUBLE) AS a FROM embeddings, range(16) AS t(i) WHERE len(embedding) = 64)"""
 TEXT = """tb AS (SELECT doc_id AS image_id, CAST(i AS INTEGER) AS x, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS v FROM
-  (SELECT doc_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM documents WHERE octet_length(encode(text)) BETWEEN 1 AND 400))"""
+  (SELECT doc_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM documents WHERE octet_length(encode(text)) > 0))"""
 
 
 def _r2(select: str) -> str:
@@ -154,14 +154,19 @@ for _k in ("bmp", "tga", "tiff"):
 
 _SIZES = R2 + ", z AS (SELECT image_id, CAST(max(x) + 1 AS BIGINT) AS w, CAST(max(y) + 1 AS BIGINT) AS h FROM r2 GROUP BY image_id)"
 _META = f"""WITH {_SIZES}, m AS (SELECT image_id * 8 + k AS image_id, ['bmp', 'tga', 'tiff', 'png'][k + 1] AS format, w, h,
-   CASE k WHEN 0 THEN 122 + 4 * w * h WHEN 1 THEN 44 + 4 * w * h WHEN 2 THEN 8 + 4 * w * h + 8 + 2 + 120 + 4 ELSE 8 + 25 + 12 + 11 + h * (4 * w + 1) + 12 END AS length
-   FROM z, range(4) AS t(k) WHERE k < 3 OR h * (4 * w + 1) <= 65535
+   CASE k WHEN 0 THEN 122 + 4 * w * h WHEN 1 THEN 44 + 4 * w * h WHEN 2 THEN 8 + 4 * w * h + 8 + 2 + 120 + 4 ELSE 8 + 25 + 12 + 6 + 5 * ((h * (4 * w + 1) + 65534) // 65535) + h * (4 * w + 1) + 12 END AS length
+   FROM z, range(4) AS t(k)
    UNION ALL SELECT CAST(r_regionkey AS BIGINT) * 8 + 7, NULL, NULL, NULL, octet_length(encode(r_name)) FROM region)"""
 _SEEN = "CASE WHEN format <> 'tiff' THEN {0} END"
 ORACLE["sniff_formats"] = f"{_META} SELECT image_id, format FROM m"
 ORACLE["inspect_headers"] = f"{_META} SELECT image_id, format, {_SEEN.format('w')} AS width, {_SEEN.format('h')} AS height, CAST({_SEEN.format('8')} AS INTEGER) AS bits, CASE WHEN format = 'bmp' THEN round(2835 / 39.37007874015748, 6) END AS ppi_x FROM m WHERE format <> 'tiff'"
 ORACLE["budget_filter"] = f"{_META} SELECT image_id, w AS width, h AS height FROM m WHERE format <> 'tiff' AND w * h <= 600"
-ORACLE["png_chunks"] = f"""WITH {_SIZES} SELECT image_id, CAST(k AS INTEGER) AS n, ['IHDR', 'IDAT', 'IEND'][k + 1] AS name, CAST([13, 11 + h * (4 * w + 1), 0][k + 1] AS BIGINT) AS size, true AS ok FROM z, range(3) AS t(k) WHERE h * (4 * w + 1) <= 65535"""
+ORACLE["file_outcomes"] = f"""{_META}, c AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN length // 2 ELSE length END AS kept FROM m),
+ e AS (SELECT *, CASE WHEN format = 'tga' AND image_id % 3 = 0 THEN NULL ELSE format END AS seen FROM c),
+ o AS (SELECT image_id, seen, CASE WHEN seen IS NULL THEN 'unknown format' WHEN seen <> 'tiff' AND w * h > 640 THEN 'over budget' WHEN seen = 'png' THEN 'no reader for this png'
+   WHEN seen <> 'tiff' AND 4 * w * h > kept THEN 'truncated pixels' END AS error FROM e)
+ SELECT image_id, seen AS format, CASE WHEN error IS NULL THEN 'decoded' ELSE 'skipped' END AS status, error FROM o"""
+ORACLE["png_chunks"] = f"""WITH {_SIZES} SELECT image_id, CAST(k AS INTEGER) AS n, ['IHDR', 'IDAT', 'IEND'][k + 1] AS name, CAST([13, 6 + 5 * ((h * (4 * w + 1) + 65534) // 65535) + h * (4 * w + 1), 0][k + 1] AS BIGINT) AS size, true AS ok FROM z, range(3) AS t(k)"""
 ORACLE["format_inventory"] = f"{_META} SELECT coalesce(format, 'none') AS format, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, coalesce(CASE WHEN format <> 'tiff' THEN max(h) END, 0) AS tallest FROM m GROUP BY m.format"
 ORACLE["format_cube"] = f"{_META}, t AS (SELECT coalesce(format, 'none') AS f, CAST(coalesce({_SEEN.format('h')} > 38, false) AS INTEGER) AS t FROM m) SELECT coalesce(f, 'all') AS format, coalesce(t, -1) AS tall, count(*) AS n, CAST(grouping(f) * 2 + grouping(t) AS BIGINT) AS level FROM t GROUP BY CUBE (f, t)"
 ORACLE["top_k_largest"] = f"{_META} SELECT image_id, format, CAST(length AS BIGINT) AS length FROM m ORDER BY length DESC, image_id LIMIT 10"

@@ -24,20 +24,20 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
 
 
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An RGBA image 16 pixels wide for each supplier, from its line items in a total order."""
+    """An RGBA image 16 pixels wide for each supplier, from its line items in a total order; empty pixels fill up the last row."""
     by = Window.partitionBy("l_suppkey")
     order = by.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("image_id"),
         (F.row_number().over(order) - 1).alias("i"),
-        F.count("*").over(by).alias("n"),
         (F.col("l_orderkey") % 256).cast("int").alias("r"),
         (F.col("l_partkey") % 256).cast("int").alias("g"),
         (F.col("l_quantity").cast("int") * 5 % 256).cast("int").alias("b"),
         F.when(F.col("l_returnflag") == "R", F.col("l_linenumber").cast("int") * 36 % 256).otherwise(255).cast("int").alias("a"),
     )
-    whole = rows.where("i < n - n % 16")
-    return whole.select("image_id", F.shiftright("i", 4).cast("int").alias("y"), (F.col("i") % 16).cast("int").alias("x"), *CHANNELS)
+    fill = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id")).agg(F.count("*").alias("n")).where("n % 16 > 0")
+    empty = fill.select("image_id", F.explode(F.expr("sequence(n, n + 15 - n % 16)")).alias("i"), *(F.lit(0).alias(c) for c in CHANNELS))
+    return rows.unionByName(empty).select("image_id", F.shiftright("i", 4).cast("int").alias("y"), (F.col("i") % 16).cast("int").alias("x"), *CHANNELS)
 
 
 def image_sizes(pixels: DataFrame) -> DataFrame:
