@@ -166,6 +166,12 @@ ORACLE["file_outcomes"] = f"""{_META}, c AS (SELECT *, CASE WHEN image_id % 3 =
  o AS (SELECT image_id, seen, CASE WHEN seen IS NULL THEN 'unknown format' WHEN seen <> 'tiff' AND w * h > 640 THEN 'over budget' WHEN seen = 'png' THEN 'no reader for this png'
    WHEN seen <> 'tiff' AND 4 * w * h > kept THEN 'truncated pixels' END AS error FROM e)
  SELECT image_id, seen AS format, CASE WHEN error IS NULL THEN 'decoded' ELSE 'skipped' END AS status, error FROM o"""
+ORACLE["metadata_headers"] = """SELECT CAST(s_suppkey * 3 + k AS BIGINT) AS image_id, ['jpeg', 'webp', 'open_exr'][k + 1] AS format, CAST(s_suppkey % 4000 + 1 AS BIGINT) AS width, CAST(s_nationkey * 9 + 7 AS BIGINT) AS height,
+  CAST([8, 8, 32][k + 1] AS INTEGER) AS bits, 'rgb' AS model, CAST(CASE WHEN k = 0 THEN s_suppkey % 8 + 1 ELSE 1 END AS INTEGER) AS orientation,
+  CASE WHEN k = 0 THEN round(CAST(s_suppkey % 300 + 1 AS DOUBLE), 6) END AS ppi_x, CASE WHEN k = 0 THEN round(CAST(s_suppkey % 300 + 2 AS DOUBLE), 6) END AS ppi_y,
+  CAST(CASE WHEN k = 0 THEN 32 END AS BIGINT) AS exif_bytes, CAST(NULL AS VARCHAR) AS error FROM supplier, range(3) AS t(k)"""
+ORACLE["metadata_written"] = f"""{_META} SELECT image_id, format, CASE WHEN format IN ('tiff', 'png') THEN w END AS width, CASE WHEN format IN ('tiff', 'png') THEN h END AS height, CAST(CASE WHEN format IN ('tiff', 'png') THEN 8 END AS INTEGER) AS bits,
+  CASE WHEN format IS NULL THEN 'unknown format' WHEN format NOT IN ('tiff', 'png') THEN 'no reader of metadata for this format' END AS error FROM m"""
 ORACLE["png_chunks"] = f"""WITH {_SIZES} SELECT image_id, CAST(k AS INTEGER) AS n, ['IHDR', 'IDAT', 'IEND'][k + 1] AS name, CAST([13, 6 + 5 * ((h * (4 * w + 1) + 65534) // 65535) + h * (4 * w + 1), 0][k + 1] AS BIGINT) AS size, true AS ok FROM z, range(3) AS t(k)"""
 ORACLE["format_inventory"] = f"{_META} SELECT coalesce(format, 'none') AS format, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes, coalesce(CASE WHEN format <> 'tiff' THEN max(h) END, 0) AS tallest FROM m GROUP BY m.format"
 ORACLE["format_cube"] = f"{_META}, t AS (SELECT coalesce(format, 'none') AS f, CAST(coalesce({_SEEN.format('h')} > 38, false) AS INTEGER) AS t FROM m) SELECT coalesce(f, 'all') AS format, coalesce(t, -1) AS tall, count(*) AS n, CAST(grouping(f) * 2 + grouping(t) AS BIGINT) AS level FROM t GROUP BY CUBE (f, t)"

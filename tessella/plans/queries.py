@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour
 from tessella.functions.binary import image_format
-from tessella.operators import files, pixels
+from tessella.operators import files, metadata, pixels
 from tessella.sources import rasters
 from tessella.streaming import ingest
 
@@ -413,6 +413,18 @@ def file_outcomes(s, d):
     return files.outcomes(f, max_pixels=640)
 
 
+@query
+def metadata_headers(s, d):
+    """Headers of JPEG, WebP and OpenEXR files."""
+    return metadata.inspect_metadata(rasters.header_files(s, d)).select("image_id", "format", "width", "height", "bits", "model", "orientation", F.round("ppi_x", 6).alias("ppi_x"), F.round("ppi_y", 6).alias("ppi_y"), "exif_bytes", "error")
+
+
+@query
+def metadata_written(s, d):
+    """Headers of the written files, those in formats with a walk."""
+    return metadata.inspect_metadata(_all_files(s, d)).select("image_id", "format", "width", "height", "bits", "error")
+
+
 @query
 def png_chunks(s, d):
     return files.chunks(files.write_png(_r2(s, d)).select("image_id", "content"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.binary import hex_uint
+
 CHANNELS = ("r", "g", "b", "a")
 
 
@@ -71,3 +73,17 @@ def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "UTF-8")).where(F.octet_length("raw") > 0)
     rows = docs.select(F.col("doc_id").alias("image_id"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - 1)).alias("x"))
     return rows.select("image_id", "x", F.conv(F.hex(F.substring("raw", F.col("x") + 1, F.lit(1))), 16, 10).cast("int").alias("v"))
+
+
+def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JPEG, a WebP and an OpenEXR header without pixels for each supplier: image_id, content."""
+    key = F.col("s_suppkey")
+    w, h, dense, turn = key % 4000 + 1, F.col("s_nationkey") * 9 + 7, key % 300 + 1, key % 8 + 1
+    text = lambda t: t.encode("latin-1").hex().upper()
+    exif = F.concat(F.lit("FFE10022" + text("Exif\0\0II*\0") + "08000000" + "0100" + "1201" + "0300" + "01000000"), hex_uint(turn, 2), F.lit("0000" + "00000000"))
+    frame = F.concat(F.lit("FFC0001108"), hex_uint(h, 2, little=False), hex_uint(w, 2, little=False), F.lit("03" + "011100" + "021101" + "031101"))
+    jpeg = F.concat(F.lit("FFD8FFE00010" + text("JFIF\0") + "010101"), hex_uint(dense, 2, little=False), hex_uint(dense + 1, 2, little=False), F.lit("0000"), exif, frame, F.lit("FFDA000C03010002110311003F00FFD9"))
+    webp = F.concat(F.lit(text("RIFF") + "16000000" + text("WEBPVP8X") + "0A00000000000000"), hex_uint(w - 1, 3), hex_uint(h - 1, 3))
+    exr = F.concat(F.lit("762F310102000000" + text("channels\0chlist\0") + "25000000" + text("A\0") + "01000000" + "00" * 12 + text("R\0") + "02000000" + "00" * 12 + "00" + text("dataWindow\0box2i\0") + "10000000" + "FFFFFFFF" + "00000000"), hex_uint(w - 2, 4), hex_uint(h - 1, 4), F.lit("00"))
+    rows = table(spark, sf_dir, "supplier").select(key.cast("long").alias("image_id"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.alias("h")) for k, c in enumerate((jpeg, webp, exr))))).alias("f"))
+    return rows.select((F.col("image_id") * 3 + F.col("f.k")).alias("image_id"), F.unhex("f.h").alias("content"))

@@ -108,3 +108,32 @@ def test_text_bytes_are_of_whole_texts(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["byte_delta"](spark, str(tmp_path)).collect()}
     dealt = {k: b[::2] + b[1::2] for k, b in raw.items()}
     assert got == {(k, x, (v - b[x - 1] + 128) % 256 if x else v) for k, b in dealt.items() for x, v in enumerate(b)}
+
+
+def test_metadata_walks_and_damage(spark):
+    from tessella.operators.metadata import inspect_metadata
+
+    piece = lambda name, data: struct.pack(">I", len(data)) + name + data + bytes(4)
+    ihdr = piece(b"IHDR", struct.pack(">IIBBBBB", 70, 30, 16, 6, 0, 0, 0))
+    phys, xmp = piece(b"pHYs", struct.pack(">IIB", 2835, 5669, 1)), piece(b"iTXt", b"XML:com.adobe.xmp\0\0\0en\0\0<x/>")
+    png = b"\x89PNG\r\n\x1a\n" + ihdr + phys + xmp + piece(b"eXIf", b"II*\0") + piece(b"IDAT", b"x" * 99_999) + piece(b"IEND", b"")
+    entry = lambda tag, kind, n, value: struct.pack(">HHII", tag, kind, n, value)
+    tiff = b"MM\0*" + struct.pack(">IH", 8, 5) + entry(256, 3, 1, 9 << 16) + entry(257, 4, 1, 5) + entry(262, 3, 1, 8 << 16) + entry(282, 5, 1, 74) + entry(296, 3, 1, 3 << 16) + bytes(4) + struct.pack(">II", 100, 1)
+    vp8l = b"RIFF" + struct.pack("<I", 18) + b"WEBPVP8L" + struct.pack("<I", 5) + b"\x2f" + struct.pack("<I", 299 | 199 << 14) + b"\0"
+    jpeg = b"\xff\xd8\xff\xff\xe2" + struct.pack(">H", 2 + 14 + 3) + b"ICC_PROFILE\0\1\1abc" + b"\xff\xc2" + struct.pack(">HBHHB", 8 + 12, 12, 40, 50, 4) + bytes(12) + b"\xff\xda"
+    rows = [(1, png), (2, tiff), (3, vp8l), (4, jpeg), (5, png[:60]), (6, jpeg[:12]), (7, b""), (8, vp8l[:-2]), (9, None), (10, tiff[:30])]
+    got = {r["image_id"]: r for r in inspect_metadata(spark.createDataFrame(rows, "image_id long, content binary")).collect()}
+    assert (got[1]["width"], got[1]["height"], got[1]["bits"], got[1]["exif_bytes"], got[1]["xmp_bytes"]) == (70, 30, 16, 4, 4)
+    assert abs(got[1]["ppi_x"] - 72.009) < 1e-3 and abs(got[1]["ppi_y"] - 143.9926) < 1e-3
+    assert (got[2]["width"], got[2]["height"], got[2]["bits"], got[2]["model"], got[2]["ppi_x"], got[2]["orientation"]) == (9, 5, 1, "lab", 254.0, 1)
+    assert (got[3]["width"], got[3]["height"]) == (300, 200)
+    assert (got[4]["width"], got[4]["height"], got[4]["bits"], got[4]["model"], got[4]["icc_bytes"]) == (50, 40, 12, "cmyk", 3)
+    assert all(got[k]["error"] and got[k]["width"] is None for k in range(5, 11)) and not any(got[k]["error"] for k in range(1, 5))
+
+
+def test_tga_is_told_by_its_lengths(spark):
+    foot = bytes(8) + b"TRUEVISION-XFILE.\0"
+    head = lambda kind, w, h, depth, has_map=0, n=0, entry=0: struct.pack("<BBBHHBHHHHBB", 0, has_map, kind, 0, n, entry, 0, 0, w, h, depth, 0)
+    cases = [(foot[8:], None), (foot, "tga"), (head(10, 4, 4, 32), None), (head(10, 4, 4, 32) + b"x", "tga"), (head(2, 2, 1, 24) + bytes(5), None), (head(2, 2, 1, 24) + bytes(6), "tga"), (head(1, 2, 2, 8, 1, 3, 24) + bytes(12), None), (head(1, 2, 2, 8, 1, 3, 24) + bytes(13), "tga"), (head(3, 2, 2, 9) + bytes(99), None)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary").select("i", image_format("content").alias("f")).orderBy("i").collect()
+    assert [r["f"] for r in rows] == [f for _, f in cases]
