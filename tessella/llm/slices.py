@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessella.llm.packed import Texts, mix, pieces, sequence_hashes, window_starts
 
 U64 = np.uint64
-ROWS = "anchor long, digest long, doc_id long, at long"
+ROWS = "range long, anchor long, digest long, doc_id long, at long"
 #: ``at`` holds the number of windows of a slice in its low bits, above them its first window,
 #: and on top a few bits of the text's hash, which tell texts of one doc_id apart.
 COUNT_BITS, FIRST_BITS, TAG_BITS = 12, 36, 15
@@ -97,31 +97,69 @@ def cut(u: Units, length: int, k: int, stretch: int = STRETCH):
     return doc[new], starts[new], np.diff(np.append(new, len(starts))), anchor[new]
 
 
-def slice_rows(docs: DataFrame, words: bool, length: int, k: int) -> DataFrame:
-    """A row for each slice of each document (doc_id, text): anchor and digest hashes, doc_id, and ``at``."""
+class Layout:
+    """Ranges of anchors, by the leading bits of their hash. All rows of a range meet in one task.
+
+    A range with a frequent anchor is salted: its rows are dealt by their own hash, and
+    what meets there is settled in a second step. ``salts``: parts of the ranges by their first
+    16 bits. A range id ends in 1 if its anchors may go on in another range.
+    """
+
+    def __init__(self, bits: int, salts: np.ndarray):
+        self.bits, self.salts = bits, salts
+
+    def ranges(self, anchor: np.ndarray, digest: np.ndarray, doc_id: np.ndarray, at: np.ndarray) -> np.ndarray:
+        # anchors are smallest hashes, so their leading bits are mostly zeros
+        a = mix(anchor.view(U64) + U64(0x9E3779B97F4A7C15))
+        parts = self.salts[(a >> U64(48)).astype(np.int64)]
+        salt = mix(digest.view(U64) + mix(doc_id.view(U64) + mix(at.view(U64)))) % parts.astype(U64)
+        return ((a >> U64(64 - self.bits)).astype(np.int64) << 20) + (salt.astype(np.int64) << 1) + (parts > 1)
+
+    @classmethod
+    def planned(cls, docs: DataFrame, words: bool, length: int, k: int, partitions: int, one_of: int = 64, most: int = 1 << 18) -> Layout:
+        """For the slices of ``docs``, from the counts of those of every 64th document (by a hash of its id).
+
+        The sample decides where rows meet, not what is found.
+        """
+        seen = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(one_of)) == 0)
+        plain = cls(16, np.ones(1 << 16, np.int32))
+        counted = slice_rows(seen, words, length, k, plain).groupBy(F.shiftright("range", 20).cast("int").alias("first")).count().toArrow()
+        rows = np.zeros(1 << 16)
+        rows[counted.column("first").to_numpy()] = counted.column("count").to_numpy() * one_of
+        share = min(most, max(1.0, rows.sum() / (4 * partitions)))
+        bits = min(40, int(np.ceil(np.log2(max(4 * rows.sum() / share, 16 * partitions)))))
+        # ranges by 16 bits hold this much without frequent anchors
+        usual = max(share, rows.mean())
+        return cls(bits, np.minimum(np.ceil(np.maximum(rows, 1) / (2 * usual)), 1 << 18).astype(np.int32))
+
+
+def slice_rows(docs: DataFrame, words: bool, length: int, k: int, layout: Layout) -> DataFrame:
+    """A row for each slice of each document (doc_id, text): range, anchor and digest hashes, doc_id, and ``at``."""
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, budget=1 << 19):
                 u = Units(part.column("text"), words)
                 doc, first, count, anchor = cut(u, length, k)
-                keys = u.hash(anchor, anchor + k)
-                digest = u.hash(first, first + count - 1 + length, 7) + (anchor - first).astype(U64)
+                keys = u.hash(anchor, anchor + k).view(np.int64)
+                digest = (u.hash(first, first + count - 1 + length, 7) + (anchor - first).astype(U64)).view(np.int64)
                 at = (text_tags(u.texts)[doc] << (COUNT_BITS + FIRST_BITS)) | ((first - u.first[doc]) << COUNT_BITS) | count
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids, pa.int64()), pa.array(at, pa.int64())], names=["anchor", "digest", "doc_id", "at"])
+                ranges = layout.ranges(keys, digest, ids, at)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ranges, keys, digest, ids, at)], names=["range", "anchor", "digest", "doc_id", "at"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null").mapInArrow(run, ROWS)
 
 
 #: kind 0: a slice whose windows all start elsewhere (or earlier); 1: a slice to compare
 #: window by window; 2: the first row of a class whose anchor may go on in another
-#: partition, with the rows that the class has here in ``classes``.
+#: range, with the rows that the class has here in ``classes``; 3: the first row of a class
+#: that history doesn't have here.
 JUDGED = "kind int, anchor long, digest long, doc_id long, at long, old boolean, many boolean, classes int"
 
 
 def judge(rows: dict[str, np.ndarray], earlier: bool):
-    """Verdicts over whole anchor groups of rows sorted by (anchor, digest, doc_id, at): (row indices removed, indices of contested slices, is its class repeated, classes of its anchor)."""
+    """Verdicts over whole anchor groups of rows sorted by (anchor, digest, old first, doc_id, at): (row indices removed, indices of contested slices, is its class repeated, classes of its anchor)."""
     anchor, digest, old = rows["anchor"], rows["digest"], rows["old"]
     n = len(anchor)
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
@@ -141,83 +179,90 @@ def judge(rows: dict[str, np.ndarray], earlier: bool):
 
 
 def _sorted_groups(batches, columns, most: int = 1 << 20):
-    """Runs of whole anchor groups from a sorted partition, each with a mark: does its anchor go the other way.
+    """Runs of whole groups of one range and anchor from a sorted partition, and for each row a mark: does its anchor go on elsewhere.
 
-    Those are the first and the last anchor of the partition, and one with more than ``most``
-    rows. All rows of such an anchor have the mark, in however many runs they come.
+    Such are the anchors of salted ranges, and one with more than ``most`` rows, which is
+    handed out in several runs. All its rows have the mark.
     """
-    held, first, edge = None, True, None
+    held, cut = None, None
+
+    def marked(x):
+        edge = (x["range"] & 1) == 1
+        return x, edge if cut is None else edge | ((x["range"] == cut[0]) & (x["anchor"] == cut[1]))
+
     for batch in batches:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
         held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in columns}
-        a = held["anchor"]
-        if not len(a):
+        n = len(held["anchor"])
+        if not n:
             continue
-        if first:
-            edge, first = a[0], False
-        if edge is not None:
-            end = int(np.searchsorted(a, edge, "right"))
-            if end == len(a) and end < most:
-                continue  # it may go on
-            if end:
-                yield {c: x[:end] for c, x in held.items()}, True
-            if end == len(a):
-                held = None
-                continue  # what follows of it goes the same way
-            held, edge = {c: x[end:] for c, x in held.items()}, None
-            a = held["anchor"]
-        end = int(np.searchsorted(a, a[-1]))
+        last = (held["range"][-1], held["anchor"][-1])
+        other = np.flatnonzero((held["range"] != last[0]) | (held["anchor"] != last[1]))
+        end = int(other[-1]) + 1 if len(other) else 0
         if end:
-            yield {c: x[:end] for c, x in held.items()}, False
+            yield marked({c: x[:end] for c, x in held.items()})
             held = {c: x[end:] for c, x in held.items()}
-        if len(a) - end > most:
-            edge = a[-1]
-            yield held, True
+        if n - end > most or cut == last:
+            cut = last
+            yield marked(held)
             held = None
     if held is not None and len(held["anchor"]):
-        yield held, True
+        yield marked(held)
 
 
-def judged(rows: DataFrame, earlier: bool, partitions: int) -> DataFrame:
-    """Verdicts for slices of ``rows`` (ROWS and old: from history, never removed), as JUDGED.
+COLUMNS = ("anchor", "digest", "doc_id", "at", "old")
 
-    A range partitioning by (anchor, digest, doc_id) spreads frequent anchors
-    over partitions. What is equal within a partition is settled there. Of the
-    anchors at the ends of a partition, which includes all that fill more than
-    one, each class hands on its first row and its count.
-    """
-    columns = ("anchor", "digest", "doc_id", "at", "old")
 
-    def batch_of(kind, x, i, many, classes):
+def verdicts(x: dict[str, np.ndarray], edge: np.ndarray, earlier: bool, news: bool = False):
+    """JUDGED rows, with their range, for sorted whole groups; news: also those of kind 3."""
+
+    def rows_of(kind, y, i, many, classes):
         n = len(i)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(x[c][i], pa.bool_() if c == "old" else pa.int64()) for c in columns), pa.array(many, pa.bool_()), pa.array(classes, pa.int32())], names=["kind", *columns, "many", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(y["range"][i]), pa.array(np.full(n, kind, np.int32)), *(pa.array(y[c][i], pa.bool_() if c == "old" else pa.int64()) for c in COLUMNS), pa.array(many, pa.bool_()), pa.array(classes, pa.int32())], names=["range", "kind", *COLUMNS, "many", "classes"])
+
+    for part in (~edge, edge):
+        if not part.any():
+            continue
+        y = x if part.all() else {c: v[part] for c, v in x.items()}
+        gone, contested, many, classes = judge(y, earlier)
+        none = lambda i, v: np.full(len(i), v)
+        yield rows_of(0, y, gone, none(gone, False), none(gone, 0))
+        turn = (y["anchor"][1:] != y["anchor"][:-1]) | (y["digest"][1:] != y["digest"][:-1])
+        first = np.flatnonzero(np.append(True, turn))
+        if part is edge:
+            yield rows_of(2, y, first, none(first, False), np.diff(np.append(first, len(y["anchor"]))))
+        else:
+            yield rows_of(1, y, contested, many, classes)
+        if news:
+            new = first[~y["old"][first]]
+            yield rows_of(3, y, new, none(new, False), none(new, 0))
+
+
+def judged(rows: DataFrame, earlier: bool, partitions: int) -> DataFrame:
+    """Verdicts for slices of ``rows`` (ROWS, placed by a layout), as JUDGED.
+
+    Ranges are dealt by hash and sorted; what is equal within a range is settled there.
+    """
 
     def run(batches):
-        for x, edge in _sorted_groups(batches, columns):
-            gone, contested, many, classes = judge(x, earlier)
-            yield batch_of(0, x, gone, np.zeros(len(gone), bool), np.zeros(len(gone), np.int32))
-            if edge:
-                turn = (x["anchor"][1:] != x["anchor"][:-1]) | (x["digest"][1:] != x["digest"][:-1])
-                i = np.flatnonzero(np.append(True, turn))
-                yield batch_of(2, x, i, np.zeros(len(i), bool), np.diff(np.append(i, len(x["anchor"]))))
-                continue
-            yield batch_of(1, x, contested, many, classes)
+        for x, edge in _sorted_groups(batches, ("range", *COLUMNS)):
+            for out in verdicts(x, edge, earlier):
+                yield out.drop_columns(["range"])
 
-    order = ("anchor", "digest", "doc_id", "at")
-    return rows.select(*columns).repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, JUDGED)
+    order = ("range", "anchor", "digest", "doc_id", "at")
+    return rows.withColumn("old", F.lit(False)).repartition(partitions, "range").sortWithinPartitions(*order).mapInArrow(run, JUDGED)
 
 
 def settled(found: DataFrame, earlier: bool) -> DataFrame:
-    """Rows of kind 0 and 1 only: those of kind 2, one for each class and partition, are settled among themselves."""
+    """Rows of kind 0 and 1 only: those of kind 2, one for each class and range, are settled among themselves."""
     edge = found.where("kind = 2")
-    classes = edge.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "at", "old")).alias("m"), F.sum("classes").alias("n"))
+    classes = edge.groupBy("anchor", "digest").agg(F.min(F.struct((~F.col("old")).alias("new"), "doc_id", "at", "old")).alias("m"), F.sum("classes").alias("n"))
     per_anchor = classes.groupBy("anchor").agg(F.count("*").cast("int").alias("n_classes"))
     marked = edge.select("anchor", "digest", "doc_id", "at", "old").join(classes, ["anchor", "digest"])
     here = (F.col("doc_id") == F.col("m.doc_id")) & (F.col("at") == F.col("m.at"))
     gone = marked.where(~F.col("old") & (~here if earlier else F.col("n") > 1))
     gone = gone.select(F.lit(0).alias("kind"), "anchor", "digest", "doc_id", "at", "old", F.lit(False).alias("many"), F.lit(0).alias("classes"))
-    # anchors at the ends of partitions: at most two for each
-    contested = classes.join(F.broadcast(per_anchor.where("n_classes > 1")), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), F.col("n_classes").alias("classes"))
+    contested = classes.join(per_anchor.where("n_classes > 1"), "anchor").select(F.lit(1).alias("kind"), "anchor", "digest", "m.doc_id", "m.at", "m.old", (F.col("n") > 1).alias("many"), F.col("n_classes").alias("classes"))
     return found.where("kind < 2").unionByName(gone).unionByName(contested)
 
 

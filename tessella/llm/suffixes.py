@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.packed import Texts, mix, pieces
-from tessella.llm.slices import COUNT_BITS, RANGES, count_of, first_column, first_of, judged, per_document, removed_units, settled, slice_contents, slice_rows, tag_column, tag_of, whole_slices
+from tessella.llm.slices import COUNT_BITS, RANGES, Layout, first_column, first_of, judged, per_document, removed_units, settled, slice_contents, slice_rows, tag_column, tag_of, whole_slices
 from tessella.llm.store import stored
 
 U64 = np.uint64
@@ -344,8 +344,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """RANGES of bytes covered by a string of 200 bytes that starts at two places or more."""
     spark = docs.sparkSession
     partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = slice_rows(docs, False, LENGTH, GRAM).withColumn("old", F.lit(False))
-    found = stored(judged(rows, False, partitions))
+    layout = Layout.planned(docs, False, LENGTH, GRAM, partitions)
+    found = stored(judged(slice_rows(docs, False, LENGTH, GRAM, layout), False, partitions))
     found = settled(found, False)
     contents = slice_contents(found.where("kind = 1"), docs, False, LENGTH, GRAM)
     contents = stored(contents.repartition(partitions, F.when(F.col("classes") <= BATCH, F.col("anchor")).otherwise(F.xxhash64("anchor", "doc_id", "at"))).sortWithinPartitions("anchor"))

@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm.components import components
 from tessella.llm.minhash import near_duplicates
@@ -190,7 +191,7 @@ def test_anchors_of_a_very_long_text_lie_in_their_windows():
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 100])
-def test_all_rows_of_a_cut_anchor_go_the_other_way(size):
+def test_all_rows_of_a_cut_or_salted_anchor_go_the_other_way(size):
     import numpy as np
     import pyarrow as pa
 
@@ -198,15 +199,18 @@ def test_all_rows_of_a_cut_anchor_go_the_other_way(size):
 
     for counts in ([2, 1, 9, 1, 1], [9, 1, 1, 8, 2], [1, 9, 9, 3], [3], [9], [1] * 6, [2, 12]):
         anchor = np.repeat(np.arange(len(counts)), counts)
-        table = pa.table({"anchor": anchor, "at": np.arange(len(anchor))})
+        # the last anchor's range is salted
+        table = pa.table({"range": np.where(anchor == len(counts) - 1, 5, 2), "anchor": anchor, "at": np.arange(len(anchor))})
         ways, seen = {}, []
-        for x, edge in _sorted_groups(table.to_batches(size), ("anchor", "at"), 3):
+        for x, edge in _sorted_groups(table.to_batches(size), ("range", "anchor", "at"), 3):
             seen += x["at"].tolist()
-            for a in set(x["anchor"].tolist()):
-                ways.setdefault(a, []).append(edge)
+            for a, e in zip(x["anchor"].tolist(), edge.tolist()):
+                ways.setdefault(a, []).append(e)
+            # whole anchors, but for those that are cut
+            assert all(counts[a] == n or edge[x["anchor"] == a].all() for a, n in zip(*map(np.ndarray.tolist, np.unique(x["anchor"], return_counts=True))))
         assert seen == list(range(len(anchor)))
-        assert all(len(set(w)) == 1 and (w[0] or len(w) == 1) for w in ways.values()), (counts, ways)
-        assert ways[0][0] and ways[len(counts) - 1][0]
+        assert all(len(set(w)) == 1 for w in ways.values()), (counts, ways)
+        assert ways[len(counts) - 1][0]
 
 
 def test_compacted_runs_match_brute_force(spark, monkeypatch):
@@ -215,10 +219,61 @@ def test_compacted_runs_match_brute_force(spark, monkeypatch):
     ran, compact = [], FingerprintIndex.compact
     monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (ran.append(len(self.runs)), compact(self)))
     docs = corpus(2)
-    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(spark.createDataFrame(rows(docs), SCHEMA).repartition(5), 6).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(spark.createDataFrame(rows(docs), SCHEMA).repartition(5)).collect()}
     assert ran and got == brute.substring_dedup(docs)
 
 
+def test_a_second_job_goes_on_from_the_manifest(spark):
+    from tessella.llm.slices import Layout
+    from tessella.llm.store import folder
+    from tessella.llm.substrings import GRAM, LENGTH, FingerprintIndex
+
+    docs = corpus(9)
+    df = spark.createDataFrame(rows(docs), SCHEMA)
+    parts = [df.where(f"doc_id % 6 = {k}") for k in range(6)]
+    path = folder(spark)
+    index = FingerprintIndex(spark, path, Layout.planned(df, True, LENGTH, GRAM, 4), 4)
+    for p in parts[:3]:
+        index.add(p)
+    assert index.generation == 0 and len(index.runs) == 3
+    index.add(parts[3])
+    assert index.generation == 1 and len(index.runs) == 1  # compacted
+    again = FingerprintIndex.opened(spark, path)
+    assert again.history().count() == index.history().count()
+    moved = parts[4].withColumn("doc_id", F.col("doc_id") + 1000)
+    again.add(parts[4])
+    # the same texts once more are repeats from end to end
+    alone = FingerprintIndex(spark, folder(spark), Layout.planned(df, True, LENGTH, GRAM, 4), 4)
+    repeats = alone.add(moved).where("kind = 0").count()
+    assert again.add(moved).where("kind = 0").count() == repeats + alone.history().count() > repeats
+
+
+def test_history_is_not_shuffled(spark):
+    from tessella.llm.slices import JUDGED, Layout, slice_rows
+    from tessella.llm.store import folder
+    from tessella.llm.substrings import GRAM, LENGTH, FingerprintIndex, merged
+
+    df = spark.createDataFrame(rows(corpus(9)), SCHEMA)
+    index = FingerprintIndex(spark, folder(spark), Layout.planned(df, True, LENGTH, GRAM, 4), 4)
+    index.add(df)
+    new = slice_rows(df, True, LENGTH, GRAM, index.layout)
+    plan = new.groupBy("range").cogroup(index.history().groupBy("range")).applyInArrow(merged, f"range long, {JUDGED}")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_windows_are_named_by_their_words():
+    import numpy as np
+
+    from tessella.llm.substrings import _window_names
+
+    r = np.random.default_rng(3)
+    for length in (1, 2, 3, 7, 20):
+        ids = r.integers(0, 2, 400)
+        names = _window_names(ids, length)
+        words = [tuple(ids[i : i + length].tolist()) for i in range(400 - length + 1)]
+        assert len(names) == len(words) and len(set(zip(names.tolist(), words))) == len(set(words)) == len(set(names.tolist()))
+
+
 def slices_about_one_anchor(seed=11, n=60):
     """Byte strings around a shared core, with its place, where windows start at every distance from the symbols."""
     r = random.Random(seed)
