@@ -124,12 +124,18 @@ def cascade(texts: pa.Array, f: dict[str, np.ndarray], rules, alive: np.ndarray)
     return alive
 
 
-def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[int]:
-    """Rule indices by rejections per second, measured on at most ``sample_rows`` documents."""
-    sample = docs.select(F.col("text")).limit(sample_rows).toArrow().column("text")
+def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000, sample_bytes: int = 4 << 20) -> list[int]:
+    """Rule indices by rejections per second, measured on the first documents: at most ``sample_rows`` and about ``sample_bytes``, whole texts.
+
+    take() reads as many partitions as it needs, which is one for most tables.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sizes = [r[0] for r in docs.select(F.octet_length(text)).take(sample_rows)]
+    rows = int(np.searchsorted(np.cumsum(sizes), sample_bytes)) + 1
+    sample = [r[0] for r in docs.select(text).take(min(rows, len(sizes)))] if sizes else []
     if not len(sample):
         return list(range(len(rules)))
-    texts = pa.concat_arrays([c.cast(pa.string()) for c in sample.chunks]).fill_null("")
+    texts = pa.array(sample, pa.string())
     f = features(texts)
     rate = []
     for i, rule in enumerate(rules):
