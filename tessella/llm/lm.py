@@ -10,8 +10,9 @@ Counting and looking up are one exchange. Documents form blocks of a few
 megabytes. A block sends the hashes of its distinct words and word pairs, with
 its counts, to ranges of the hash space; each range adds up the counts of equal
 hashes and sends every block the totals of just what it asked for, in the same
-order. A frequent word or pair costs one entry a block. Word hashes have 64
-bits, pair hashes 48 below the range.
+order. A frequent word or pair costs one entry a block. There are as many ranges
+as keep the questions to one within ``RANGE_BYTES``, so a group doesn't grow with
+the corpus. Word hashes have 64 bits, pair hashes 48 below the range.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end;
 a null or empty text is the end alone. Repeated rows count and are scored as
@@ -32,8 +33,8 @@ from tessella.llm.store import stored
 
 U64 = np.uint64
 LEARN, DELETED, HELD_OUT = 0, 1, 2
-#: Text bytes of a block.
-BLOCK = 8 << 20
+#: Text bytes of a block; bytes of questions that one range gets at most, about.
+BLOCK, RANGE_BYTES = 8 << 20, 32 << 20
 END, BEGIN = U64(0x1D872B41A5C3E907), U64(0xC2B2AE3D27D4EB4F)
 BLOCKS = "block long, kind int, doc_ids array<long>, sizes array<int>, words binary, tokens binary"
 ASKED = "range int, block long, kind int, words binary, word_counts binary, pairs binary, pair_counts binary"
@@ -227,10 +228,13 @@ def lm_scores(docs: DataFrame, learns: Column, deleted: Column, ranges: int | No
     learns: rows to count; deleted: those of them that the weights are fitted on.
     """
     spark = docs.sparkSession
-    ranges = ranges or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = F.when(~F.coalesce(learns, F.lit(False)), HELD_OUT).when(F.coalesce(deleted, F.lit(False)), DELETED).otherwise(LEARN)
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("row"), F.col("text").cast("string").alias("text"), kind.cast("int").alias("kind"))
     blocks = stored(slim.mapInArrow(_blocks, BLOCKS))
+    if ranges is None:
+        # a question has ten bytes a pair and twelve a word, of which a block has no more than tokens (of four bytes) and words (of eight)
+        size = blocks.agg(F.sum(10 / 4 * F.octet_length("tokens") + 12 / 8 * F.octet_length("words"))).first()[0] or 0
+        ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // RANGE_BYTES))
     asked = blocks.select("block", "kind", "sizes", "words", "tokens").mapInArrow(_ask(ranges), ASKED)
     answers = stored(asked.groupBy("range").applyInArrow(_answer, ANSWER))
     n, n_deleted, v, v_rest = (int(x or 0) for x in answers.agg(*(F.sum(c) for c in ("n_all", "n_deleted", "v_all", "v_rest"))).first())
