@@ -9,9 +9,10 @@ groups are the connected components.
 2. Forest: each of 32 trees orders the representatives by its own sequence of
    signature values. A global sort per tree puts those with long common
    prefixes side by side. Documents that share the first four values form a
-   region; a small region proposes all its pairs, a larger one goes deeper: a
-   document is proposed with its neighbour in the order, which shares the
-   longest prefix.
+   region. Its depth adapts to what it holds: a small region proposes all its
+   pairs; a larger one is split by the next value, and the next, up to eight,
+   until its parts are small. In a large region a document is also proposed with
+   its neighbour in the order, which shares the longest prefix.
 3. Proposals that the signatures put far under the threshold go. Of the rest
    each document's most similar one is confirmed on the full texts first; links
    make components; then every proposal that still joins two components is
@@ -25,7 +26,9 @@ groups are the connected components.
    reach the threshold. A shingle whose documents are one component is left
    out; of the others only pairs across components are compared.
 
-Rows repeated with one doc_id are one document. Extra columns are ignored.
+Rows repeated with one doc_id are one document. A row without a doc_id is compared
+for equality only: it is kept unless a document with an id has the same set, whose
+component it gets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ U64 = np.uint64
 TREES, DEPTH = 32, 4
 HASHES = TREES * DEPTH
 SMALL_REGION, NEIGHBOURS = 8, 1
+#: Rows of a part of a large region that proposes all its pairs; parts of the rows of a class when labels are given out.
+SMALL_PART, SALTS = 4, 16
 #: Rows before and after one in a tree's order among which the most alike is sought, by the low bytes of so many values.
 REACH, GLANCE = 32, 64
 #: Equal signature values (of 128) below which a pair of 0.75 is five standard errors away.
@@ -135,20 +140,20 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _with_edges(regions):
-    """(region, rep, may the row's region go on elsewhere): the first and the last region of a partition, and one that was cut."""
+    """(region, tail, rep, may the row's region go on elsewhere): the first and the last region of a partition, and one that was cut."""
     held, before = None, None
-    for region, _, rep in regions:
+    for region, tail, rep in regions:
         if held is not None:
             yield *held, (held[0] == held[0][-1]) & (held[0][-1] == region[0]) | (True if before is None else held[0] == before) & (held[0] == held[0][0])
             before = held[0][-1]
-        held = (region, rep)
+        held = (region, tail, rep)
     if held is not None:
         yield *held, (held[0] == held[0][-1]) | (True if before is None else held[0] == before) & (held[0] == held[0][0])
 
 
 def _propose(batches):
     """Pairs from sorted (region, tail, rep); a document with itself marks that it stands in a large region, or one that may go on in another partition."""
-    for region, rep, cut in _with_edges(_regions(batches, ("region", "tail", "rep"))):
+    for region, tail, rep, cut in _with_edges(_regions(batches, ("region", "tail", "rep"))):
         start = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
         size = np.diff(np.append(start, len(region)))
         many = (np.repeat(size, size) > SMALL_REGION) | cut
@@ -157,6 +162,20 @@ def _propose(batches):
         for k in range(1, SMALL_REGION):
             i = np.flatnonzero((at >= k) & (~many | (k <= NEIGHBOURS)))
             a.append(rep[i]), b.append(rep[i - k])
+        # large regions, deeper and deeper until a part is small
+        open_ = many & ~cut
+        for depth in range(1, DEPTH + 1):
+            if not open_.any():
+                break
+            prefix = tail.view(U64) >> U64(16 * (DEPTH - depth))
+            start = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (prefix[1:] != prefix[:-1])))
+            size = np.diff(np.append(start, len(region)))
+            at = np.arange(len(region)) - np.repeat(start, size)
+            small = open_ & (np.repeat(size, size) <= SMALL_PART)
+            for k in range(1, SMALL_PART):
+                i = np.flatnonzero(small & (at >= k))
+                a.append(rep[i]), b.append(rep[i - k])
+            open_ &= ~small
         a.append(rep[many]), b.append(rep[many])
         yield _pairs(np.concatenate(a), np.concatenate(b))
 
@@ -295,8 +314,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stored(slim.mapInArrow(_sketches, SKETCH))
     slices = max(1, slim.sparkSession.sparkContext.defaultParallelism, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = stored(sketched.join(classes.hint("merge"), ["d1", "d2"]).where("doc_id = rep").select("rep", "signature").dropDuplicates(["rep"]))
+    # equal sets are brought together before they are shuffled
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "signature")).alias("m"), F.count("*").alias("n"))
+    classes = stored(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.signature", "n"))
+    # texts that share an id may make two classes: both stand for it
+    reps = classes.select("rep", "signature").dropDuplicates(["rep"])
 
     def sorted_forest(rows: DataFrame, kept: str) -> DataFrame:
         trees = rows.mapInArrow(_forest_rows, kept)
@@ -342,8 +364,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = _crossing(last.join(tried.select("a", "b"), ["a", "b"], "left_anti"), components(links))
         links = links.union(stored(_confirmed(rest, texts), slim=True).where("linked").select("a", "b"))
         comps = components(links)
-    label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "d1", "d2", (F.col("n_shingles") > 0).alias("full")).join(label, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("full"), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    dropped(texts, near, proposed, crowd, reps)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    # only classes of several rows or links; a frequent class is dealt to several tasks
+    label = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("told"))
+    nameless = sketched.where("doc_id is null and n_shingles > 0").select("d1", "d2").distinct()
+    label = label.where("told").drop("told").unionByName(label.where("not told").drop("told").join(nameless, ["d1", "d2"], "left_semi"))
+    label = label.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), "d2", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("salt"))
+    # rows without words have no key to meet under
+    full = own.where("d1 is not null").join(label, ["d1", "d2", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = full.unionByName(own.where("d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    dropped(texts, near, proposed, crowd)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

@@ -133,15 +133,42 @@ def test_links_of_a_crowded_region_are_all_found(spark):
     assert got == want
 
 
+def test_rows_without_an_id_and_two_texts_with_one_id(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    a, b, c = text(30), text(30), text(30)
+    docs = [(None, a), (None, b), (None, ""), (None, None), (5, a), (7, a + " tail"), (9, c), (9, c), (9, text(20)), (3, ""), (4, None)]
+    got = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0, x["kept"]) for x in near_duplicates(spark.createDataFrame(rows(docs), SCHEMA)).collect())
+    want = [(0, 26, 5, False), (0, 26, 0, True), (0, 0, 0, True), (0, 0, 0, True), (5, 26, 5, True), (7, 27, 5, False), (9, 26, 9, True), (9, 26, 9, True), (9, 16, 9, True), (3, 0, 3, True), (4, 0, 4, True)]
+    assert got == sorted(want)
+
+
+def test_large_regions_go_deeper():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm.minhash import _propose
+
+    # one region of 20 rows between two others; by the second value of the tail it falls into parts of 3
+    value = lambda *v: sum(x << (16 * (3 - i)) for i, x in enumerate(v))
+    region = np.repeat([1, 2, 3], [1, 20, 1])
+    tail = np.array([0, *(value(1, k // 3, k % 3, 0) for k in range(20)), 0])
+    table = pa.table({"region": region, "tail": tail, "rep": np.arange(22)})
+    got = {(a, b) for t in _propose(iter(table.to_batches())) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
+    inside = {(a, b) for a in range(1, 21) for b in range(a + 1, 21) if (a - 1) // 3 == (b - 1) // 3}
+    assert inside <= got and {(a, a + 1) for a in range(1, 20)} <= got and {(a, a) for a in range(1, 21)} <= got
+    assert len({(a, b) for a, b in got if a != b}) == len(inside | {(a, a + 1) for a in range(1, 20)})
+
+
 def test_regions_at_an_edge_count_as_large():
     import numpy as np
 
     from tessella.llm.minhash import _with_edges
 
     piece = lambda *x: [np.array(x), np.zeros(len(x)), np.arange(len(x))]
-    got = [cut.tolist() for _, _, cut in _with_edges(iter([piece(1, 1, 2, 3), piece(4, 5, 5), piece(5, 6), piece(7, 8)]))]
+    got = [cut.tolist() for *_, cut in _with_edges(iter([piece(1, 1, 2, 3), piece(4, 5, 5), piece(5, 6), piece(7, 8)]))]
     assert got == [[True, True, False, False], [False, True, True], [True, False], [False, True]]
-    assert [c.tolist() for _, _, c in _with_edges(iter([piece(1, 2, 2)]))] == [[True, True, True]]
+    assert [c.tolist() for *_, c in _with_edges(iter([piece(1, 2, 2)]))] == [[True, True, True]]
 
 
 def test_every_link_across_components_is_compared(spark):

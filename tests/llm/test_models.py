@@ -232,6 +232,32 @@ def test_ann_finds_the_nearest(spark):
     assert hits >= 0.9 * 40 and {g["query_id"] for g in got} == {0, 100, 200, 300}
 
 
+def test_code_products_are_those_of_the_signs():
+    from tessella.llm.ann import code_products
+
+    r = np.random.default_rng(2)
+    for dim in (1, 7, 8, 64, 100):
+        signs, y = r.integers(0, 2, (50, dim)), r.normal(size=dim)
+        assert np.allclose(code_products(np.packbits(signs, axis=1), y), (2 * signs - 1) @ y)
+
+
+def test_ann_fewer_candidates_than_asked_for_and_repeated_ids(spark):
+    from tessella.llm.ann import nearest
+
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 2.0])]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+
+
+def test_ann_recall_against_sql(spark, duck, sf_dir):
+    from tessella.llm.oracle import ORACLE
+    from tessella.llm.queries import op8_ann
+
+    got = {(r["query_id"], r["rank"], r["vec_id"]) for r in op8_ann(spark, sf_dir).collect()}
+    want = set(duck.execute(f"SELECT query_id, rank, vec_id FROM ({ORACLE['op8_ann']})").fetchall())
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def test_ann_empty(spark):
     from tessella.llm.ann import nearest
 
@@ -258,6 +284,17 @@ def test_quality_odd_cases_and_order(spark, odd):
     assert quality_rules(odd.limit(0)).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, sample, monkeypatch):
+    from tessella.llm import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "features", lambda texts, f=quality.features: (seen.append(texts.to_pylist()), f(texts))[1])
+    order = quality.plan_order(sample.repartition(7), sample_rows=50, sample_bytes=20_000)
+    assert sorted(order) == list(range(len(quality.RULES)))
+    texts, = seen
+    assert 0 < len(texts) <= 50 and sum(len(t.encode()) for t in texts[:-1]) < 20_000
+
+
 # mixing
 def test_mixing_matches_sql(spark, duck, sample):
     from tessella.llm.mixing import mix_sources
@@ -343,6 +380,41 @@ def test_lm_counts_pairs_exactly(spark):
     assert lm_scores(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
 
 
+def test_lm_scores_match_brute_force(spark):
+    """All of it once more with dictionaries: counts, the deleted part, the weights and the sums."""
+    from tessella.llm.lm import BUCKETS, NONE, STEP, fit_weights, lm_scores
+
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 30)))) for i in range(60)]
+    got = {x["doc_id"]: x["score"] for x in lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), F.col("doc_id") % 7 != 2, F.col("doc_id") % 7 == 3, ranges=5).collect()}
+    tokens = {i: [*t.split(), "</s>"] for i, t in docs}
+
+    def counts(ids):
+        words, pairs, begin = Counter(), Counter(), 0
+        for i in ids:
+            words.update(tokens[i])
+            pairs.update(zip(["<s>", *tokens[i]], tokens[i]))
+            begin += 1
+        return words + Counter({"<s>": begin}), pairs, sum(words.values()), len(words)
+
+    def estimates(ids, model):
+        words, pairs, n, v = model
+        for i in ids:
+            for a, b in zip(["<s>", *tokens[i]], tokens[i]):
+                yield i, min(int(math.log2(words[a] + 1)), BUCKETS - 1), 1 / (v + 1), words[b] / n, pairs[a, b] / max(words[a], 1)
+
+    learn = [i for i in tokens if i % 7 != 2]
+    deleted = [i for i in learn if i % 7 == 3]
+    grid = Counter()
+    for _, bucket, p0, p1, p2 in estimates(deleted, counts([i for i in learn if i % 7 != 3])):
+        grid[bucket, *(round(STEP * math.log2(p / p0)) if p else NONE for p in (p1, p2))] += 1
+    weights = fit_weights(np.array([[*k, c] for k, c in grid.items()], np.int64))
+    want = Counter()
+    for i, bucket, *p in estimates(tokens, counts(learn)):
+        want[i] += math.log10(sum(w * x for w, x in zip(weights[bucket], p)))
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in tokens)
+
+
 def test_em_finds_the_weights():
     from tessella.llm.lm import NONE, fit_weights
 
