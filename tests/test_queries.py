@@ -2,8 +2,13 @@
 
 import pytest
 
-from tessella.plans.oracle import ORACLE
-from tessella.plans.queries import QUERIES
+from tessella.plans import sample_queries
+from tessella.plans.oracle import ORACLE as CORE
+from tessella.plans.queries import QUERIES as CORE_QUERIES
+
+ORACLE, QUERIES = CORE | sample_queries.ORACLE, CORE_QUERIES | sample_queries.QUERIES
+#: Queries that have no SQL, with the test that holds them.
+NO_SQL = {"primaries_bt2020": "test_primaries_matrix"}
 
 #: One of each family; the driver compares all of them.
 SOME = ["raster_r1", "raster_r2", "raster_r3", "raster_r4", "channel_order_abgr", "orient_6", "oriented_dims", "white_composite", "matte_composite", "rgb_to_ycbcr", "ycbcr_to_rgb", "yuv_limited", "chroma_420", "rct_forward", "rct_roundtrip", "unpremultiply", "float_to_byte", "bilevel_threshold", "combine_xnor", "png_filter_choice", "gradient_residual", "horizontal_predictor_undo", "byte_delta", "runs_raster", "runs_rows", "hist555", "first_colour_cell", "channel_entropy", "box_downsample", "encode_bmp", "encode_tga", "encode_tiff", "roundtrip_bmp", "joined_segments", "stream_states", "arriving_totals", "sniff_signatures", "sniff_formats", "inspect_headers", "png_chunks", "file_outcomes", "metadata_headers", "metadata_written", "format_cube", "roundtrip_tga", "roundtrip_tiff", "flagship"]
@@ -13,7 +18,7 @@ def rows(values):
     return sorted(tuple(str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", [*SOME, *sample_queries.ORACLE])
 def test_query_matches_sql(spark, duck, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
@@ -23,7 +28,21 @@ def test_query_matches_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE) | set(NO_SQL) and all(f in globals() for f in NO_SQL.values())
+
+
+def test_primaries_matrix():
+    import numpy as np
+
+    from tessella.functions.light import D65, SRGB_PRIMARIES, primaries_matrix
+    from tessella.plans.sample_queries import BT2020
+
+    # fixed values: the published matrix from linear BT.2020 to linear sRGB
+    want = [[1.6605, -0.5876, -0.0728], [-0.1246, 1.1329, -0.0083], [-0.0182, -0.1006, 1.1187]]
+    assert np.abs(primaries_matrix(BT2020) - want).max() < 1e-4
+    assert np.allclose(primaries_matrix(SRGB_PRIMARIES, D65), np.eye(3))
+    # another white becomes white
+    assert np.allclose(primaries_matrix(SRGB_PRIMARIES, (0.3457, 0.3585)).sum(1), 1, atol=1e-9)
 
 
 def test_entry_has_a_row_per_image(spark):
