@@ -7,11 +7,11 @@ product of any query with the unit vector is estimated without bias, and its
 error is bounded by ``epsilon`` standard errors. The product of a query with a
 code is a sum of table entries, one for each byte of the packed code.
 
-Search, in blocks of codes against groups of queries; vectors stay at home:
-1. the best by estimate of every block are merged, their vectors are fetched,
-   and the k-th exact distance of each query is its limit;
-2. every vector whose lower bound does not exceed the limit is fetched and
-   reranked on the original vectors in double precision.
+Search meets blocks of the index with groups of queries. In a block the best few
+by estimate are computed exactly; every vector whose lower bound does not exceed
+the k-th exact distance is reranked on the original vectors in double precision.
+Each block returns k rows a query, which are merged. A vector is sent once for
+each group of queries and a query once for each block, both of bounded size.
 
 The centre is the mean of the first ``sample_rows`` rows; any centre gives right
 results, only tighter or wider bounds.
@@ -29,9 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.store import stored
-
-PAIR = "query_id long, vec_id long, estimate double"
+RESULT = "query_id long, vec_id long, score double"
 #: The signs of the bits of a byte, the first bit being the highest.
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1
 
@@ -59,14 +57,14 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
-    return np.concatenate([np.zeros(0), *flat]).reshape(-1, dim)
+    return (np.concatenate(flat) if flat else np.zeros(0)).reshape(-1, dim)
 
 
 def exact_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows in double precision, summed over dimensions in order."""
+    """Euclidean distances in double precision, summed over dimensions in order."""
     total = np.zeros(len(x))
     for j in range(x.shape[1]):
-        total += (x[:, j] - q[:, j]) ** 2
+        total += (x[:, j].astype(np.float64) - float(q[j])) ** 2
     return np.sqrt(total)
 
 
@@ -81,9 +79,17 @@ def code_products(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(ids, codes, norm, own, queries, query_ids, centre, turn, k: int, epsilon: float, limits: np.ndarray | None = None):
-    """(query ids, ids, estimated squared distances): the 2 k best by estimate of one block or, with limits, all whose lower bound does not exceed the query's."""
-    dim = queries.shape[1]
+def _nearest_ids(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest distinct ids with their distances."""
+    order = np.lexsort((ids, distances))
+    ids, distances = ids[order], distances[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], distances[first]
+
+
+def search_block(ids, x, codes, norm, own, queries, query_ids, centre, turn, k: int, epsilon: float):
+    """The k nearest rows of one block for each query: (query ids, ids, distances)."""
+    dim = x.shape[1]
     y = (queries - centre) @ turn
     q_norm = np.sqrt((y * y).sum(1))
     safe = np.where(own > 0, own, 1)
@@ -94,74 +100,54 @@ def search_block(ids, codes, norm, own, queries, query_ids, centre, turn, k: int
         inner = code_products(codes, y[i]) / np.sqrt(dim) / safe
         base = norm**2 + q_norm[i] ** 2
         estimate = base - 2 * norm * inner
-        estimate[ids == query_id] = np.inf
-        if limits is None:
-            at = np.argpartition(estimate, min(2 * k, len(ids) - 1))[: 2 * k]
-            at = at[np.isfinite(estimate[at])]
-        else:
-            at = np.flatnonzero(estimate - 2 * norm * q_norm[i] * spread <= limits[i] ** 2 + 1e-6 * base)
-            at = at[np.isfinite(estimate[at])]
-        out.append((np.full(len(at), query_id), ids[at], estimate[at]))
+        low = estimate - 2 * norm * q_norm[i] * spread
+        low[ids == query_id] = estimate[ids == query_id] = np.inf
+        first = np.argpartition(estimate, min(2 * k, len(ids) - 1))[: 2 * k]
+        first = first[np.isfinite(estimate[first])]
+        if not len(first):
+            continue
+        _, reach = _nearest_ids(ids[first], exact_distances(x[first], queries[i]), k)
+        at = np.flatnonzero(low <= reach[-1] ** 2 + 1e-6 * base) if len(reach) == k else np.flatnonzero(np.isfinite(low))
+        found, d = _nearest_ids(ids[at], exact_distances(x[at], queries[i]), k)
+        out.append((np.full(len(found), query_id), found, d))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int | None = None, seed: int = 5, epsilon: float = 4.0, sample_rows: int = 4_096, block_rows: int = 65_536, query_rows: int = 4_096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int | None = None, seed: int = 5, epsilon: float = 4.0, sample_rows: int = 4_096, block_rows: int = 65_536, query_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows for each row of ``vectors`` (vec_id, embedding) where ``is_query`` holds."""
-    rows = vectors.where(valid(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null")
+    rows = vectors.where(valid(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null")
     if dim is None:
         head = rows.agg(F.min_by(F.size("embedding"), "vec_id")).first()[0]
         dim = int(head) if head else 1
     rows = rows.where(F.size("embedding") == dim)
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     # take() reads as many partitions as it needs
-    sample = np.array([r[0] for r in rows.select("embedding").take(sample_rows)])
+    sample = np.array([r[0] for r in rows.select("embedding").take(sample_rows)], np.float64)
     centre = sample.mean(0) if len(sample) else np.zeros(dim)
     turn = rotation(dim, seed)
     blocks, groups = max(1, -(-n // block_rows), min(12, n // 1000)), max(1, -(-n_queries // query_rows))
 
     def index(batches):
         for b in batches:
-            codes, norm, own = encode(_matrix(b.column("embedding"), dim), centre, turn)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64()), pa.array(own, pa.float64())], names=["vec_id", "code", "norm", "own"])
+            codes, norm, own = encode(_matrix(b.column("embedding"), dim).astype(np.float64), centre, turn)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64()), pa.array(own, pa.float64())], names=["vec_id", "embedding", "code", "norm", "own"])
 
+    # vectors keep the width in which they are stored
+    stored_type = rows.schema["embedding"].dataType.simpleString()
     place = lambda count, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
-    coded = stored(rows.select("vec_id", "embedding").mapInArrow(index, "vec_id long, code binary, norm double, own double"))
+    coded = rows.select("vec_id", "embedding").mapInArrow(index, f"vec_id long, embedding {stored_type}, code binary, norm double, own double")
     coded = coded.withColumn("block", place(blocks, 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = stored(rows.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "embedding"))
-
-    def searched(queries: DataFrame) -> DataFrame:
-        limited = "reach" in queries.columns
-
-        def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            if left.num_rows and right.num_rows:
-                ids = left.column("vec_id").to_numpy()
-                codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
-                limits = right.column("reach").to_numpy() if limited else None
-                found = search_block(ids, codes, left.column("norm").to_numpy(), left.column("own").to_numpy(), _matrix(right.column("embedding"), dim), right.column("vec_id").to_numpy(), centre, turn, k, epsilon, limits)
-            return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "estimate": pa.array(found[2], pa.float64())})
-
-        dealt = queries.withColumn("part", place(groups, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return coded.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(search, PAIR)
-
-    def measure(batches):
-        for b in batches:
-            score = exact_distances(_matrix(b.column("x"), dim), _matrix(b.column("q"), dim))
-            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """The k nearest of the given pairs by exact distance, with their rank."""
-        both = pairs.select("query_id", "vec_id").distinct().join(rows.select("vec_id", F.col("embedding").alias("x")), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-        scored = both.select("query_id", "vec_id", "x", "q").mapInArrow(measure, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-        return _ranked(scored, "score", k)
-
-    first = measured(_ranked(searched(asked), "estimate", 2 * k))
-    reach = first.groupBy("query_id").agg(F.max("score").alias("far"), F.count("*").alias("n"))
-    # with fewer than k neighbours everything is within reach
-    limits = asked.join(reach.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").select("vec_id", "embedding", F.when(F.col("n") == k, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach"))
-    return measured(searched(stored(limits))).select("query_id", "rank", "vec_id", "score")
-
-
-def _ranked(rows: DataFrame, by: str, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(by, "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    asked = rows.where("asks").select("vec_id", "embedding", place(groups, 2).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            query_ids, first = np.unique(right.column("vec_id").to_numpy(), return_index=True)
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, -1)
+            queries = _matrix(right.column("embedding"), dim)[first].astype(np.float64)
+            found = search_block(left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), dim), codes, left.column("norm").to_numpy(), left.column("own").to_numpy(), queries, query_ids, centre, turn, k, epsilon)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    found = coded.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, RESULT)
+    by = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
