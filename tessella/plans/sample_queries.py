@@ -120,6 +120,19 @@ def predictor_guesses(s, d):
     return samples.predictions(_r2p(s, d), "g")
 
 
+_FOUR = "rgba"
+_BLOCK_COSTS = ", ".join("CAST(sum(" + " + ".join(f"least(({c} - p + 256) % 256, 256 - ({c} - p + 256) % 256)".replace("- p", f"- (CASE WHEN y = 0 AND x = 0 THEN {255 if c == 'a' else 0} WHEN y = 0 THEN {c}l WHEN x = 0 THEN {c}u ELSE {inner.format(c=c)} END)") for c in _FOUR) + f") AS BIGINT) AS m{m}" for m, inner in ((1, "{c}l"), (2, "{c}u"), (7, "({c}l + {c}u) // 2"), (11, "CASE WHEN lf <= uf THEN {c}u ELSE {c}l END")))
+
+
+@query(_r2(f""", u AS (SELECT *, {", ".join(f"coalesce(lag({c}) OVER w, 0) AS {c}u" for c in _FOUR)} FROM r2 WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+ n AS (SELECT *, {", ".join(f"coalesce(lag({c}) OVER w, 0) AS {c}l, coalesce(lag({c}u) OVER w, 0) AS {c}c" for c in _FOUR)} FROM u WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+ f AS (SELECT *, {" + ".join(f"abs({c}l - {c}c)" for c in _FOUR)} AS lf, {" + ".join(f"abs({c}u - {c}c)" for c in _FOUR)} AS uf FROM n),
+ k AS (SELECT image_id, CAST(y // 8 AS INTEGER) AS block_y, CAST(x // 8 AS INTEGER) AS block_x, {_BLOCK_COSTS} FROM f GROUP BY image_id, y // 8, x // 8)
+ SELECT image_id, block_y, block_x, CAST(CASE least(m1, m2, m7, m11) WHEN m1 THEN 1 WHEN m2 THEN 2 WHEN m7 THEN 7 ELSE 11 END AS INTEGER) AS mode, least(m1, m2, m7, m11) AS cost FROM k"""))
+def block_predictors(s, d):
+    return samples.block_predictors(_r2p(s, d), 8)
+
+
 def _spotted(s, d):
     """Runs of five with single pixels among them."""
     return rasters.block_pixels(s, d).withColumn("r", F.when(F.col("x") % 7 < 2, F.col("x") * 3).otherwise(F.col("r")).cast("int"))
