@@ -153,39 +153,58 @@ def within_budget(inspected: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes:
 # --- readers ---------------------------------------------------------------------
 
 
-def _exploded(files: DataFrame, offset: Column, order: str, bottom_up: Column) -> DataFrame:
+def _exploded(files: DataFrame, offset: Column, order: str, bottom_up: Column, size: Column | int = 4, padded: bool = False, mirrored: Column | bool = False) -> DataFrame:
     """Pixels from the bytes at ``offset``: first lines, then samples, so that no row carries a whole file.
 
-    The header fields pass through a generator, which keeps the optimizer from
-    working them out again for every line.
+    order: channels of a four-byte pixel; three bytes have them without alpha, one
+    byte is gray, both opaque. size: bytes of a pixel. padded: lines begin at
+    multiples of four bytes. The header fields pass through a generator, which
+    keeps the optimizer from working them out again for every line.
     """
-    head = F.struct(F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), offset.cast("int").alias("at"), bottom_up.alias("up"), "content")
-    one = files.select("image_id", once(head).alias("f")).select("image_id", "f.*")
-    line = F.expr("if(up, h - 1 - y, y)")
-    lines = one.select("*", F.explode(F.expr("sequence(0, h - 1)")).alias("y")).select("image_id", "y", "w", F.substring(F.col("content"), F.col("at") + line * F.col("w") * 4 + 1, F.col("w") * 4).alias("line"))
-    samples = lines.select("image_id", "y", "line", F.explode(F.expr("sequence(0, w - 1)")).alias("x")).select("image_id", "y", "x", F.conv(F.hex(F.expr("substring(line, 4 * x + 1, 4)")), 16, 10).cast("long").alias("s"))
-    value = {c: F.shiftright("s", 8 * (3 - i)).bitwiseAND(255).cast("int") for i, c in enumerate(order)}
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    fields = {"w": F.col("width").cast("int"), "h": F.col("height").cast("int"), "at": offset.cast("int"), "up": bottom_up, "n": as_column(size).cast("int"), "mirror": as_column(mirrored)}
+    one = files.select("image_id", once(F.struct(*(c.alias(k) for k, c in fields.items()), "content")).alias("f")).select("image_id", "f.*")
+    line, stride = F.expr("if(up, h - 1 - y, y)"), F.expr("(w * n + 3) div 4 * 4" if padded else "w * n").cast("int")
+    lines = one.select("*", F.explode(F.expr("sequence(0, h - 1)")).alias("y")).select("image_id", "y", "w", "n", "mirror", F.substring(F.col("content"), F.col("at") + line * stride + 1, F.col("w") * F.col("n")).alias("line"))
+    samples = lines.select("*", F.explode(F.expr("sequence(0, w - 1)")).alias("i"))
+    samples = samples.select("image_id", "y", F.expr("if(mirror, w - 1 - i, i)").alias("x"), "n", F.conv(F.hex(F.expr("substring(line, n * i + 1, n)")), 16, 10).cast("long").alias("s"))
+    byte = lambda k: F.shiftright("s", 8 * k).bitwiseAND(255).cast("int")
+    value = {c: F.when(F.col("n") == 4, byte(3 - i)).when(F.col("n") == 3, byte(2 - i) if i < 3 else F.lit(255)).otherwise(byte(0) if c != "a" else F.lit(255)) for i, c in enumerate(order)}
     return samples.select("image_id", "y", "x", *(value[c].alias(c) for c in "rgba"))
 
 
+def _readable_bmp() -> Column:
+    """24-bit, or 32-bit without compression or with the masks that the writer uses."""
+    c = F.col("content")
+    masks = F.hex(F.substring(c, 55, 16)) == "0000FF0000FF0000FF000000000000FF"
+    return (F.col("format") == "bmp") & (((uint(c, 28, 2) == 24) & (uint(c, 30, 4) == 0)) | ((uint(c, 28, 2) == 32) & ((uint(c, 30, 4) == 0) | ((uint(c, 30, 4) == 3) & masks))))
+
+
+def _readable_tga() -> Column:
+    """Uncompressed true colour of 24 or 32 bits, or gray of 8 bits."""
+    kind, depth = byte_at("content", 2), byte_at("content", 16)
+    return (F.col("format") == "tga") & (((kind == 2) & depth.isin(24, 32)) | ((kind == 3) & (depth == 8)))
+
+
 def read_bmp(files: DataFrame) -> DataFrame:
-    """Pixels of 32-bit bitmaps (image_id, content), bottom-up or top-down."""
-    seen = within_budget(inspect(files).where((F.col("format") == "bmp") & (uint("content", 28, 2) == 32)))
-    return _exploded(seen, uint("content", 10, 4), "bgra", uint("content", 22, 4) < 1 << 31)
+    """Pixels of 24- and 32-bit bitmaps (image_id, content), bottom-up or top-down."""
+    seen = within_budget(inspect(files).where(_readable_bmp()))
+    return _exploded(seen, uint("content", 10, 4), "bgra", uint("content", 22, 4) < 1 << 31, uint("content", 28, 2) / 8, padded=True)
 
 
 def read_tga(files: DataFrame) -> DataFrame:
-    """Pixels of uncompressed 32-bit true-colour TGA (image_id, content) with either vertical origin."""
-    seen = within_budget(inspect(files).where((F.col("format") == "tga") & (byte_at("content", 2) == 2) & (byte_at("content", 16) == 32)))
-    return _exploded(seen, F.lit(18) + byte_at("content", 0), "bgra", byte_at("content", 17).bitwiseAND(32) == 0)
+    """Pixels of uncompressed true-colour and gray TGA (image_id, content) with any origin."""
+    seen = within_budget(inspect(files).where(_readable_tga()))
+    flags = byte_at("content", 17)
+    return _exploded(seen, F.lit(18) + byte_at("content", 0), "bgra", flags.bitwiseAND(32) == 0, byte_at("content", 16) / 8, mirrored=flags.bitwiseAND(16) != 0)
 
 
 def read_tiff(files: DataFrame) -> DataFrame:
     """Pixels of little-endian RGBA TIFF of one uncompressed strip (image_id, content); the directory is walked as an array."""
     seen = files.where(image_format("content") == "tiff").where(F.hex(F.substring("content", 1, 2)) == "4949").select("*", once(uint("content", 4, 4)).alias("dir"))
-    entries = F.transform(F.sequence(F.lit(0), (uint("content", F.col("dir"), 2) - 1).cast("int")), lambda i: F.struct(uint("content", F.col("dir") + 2 + i * 12, 2).alias("tag"), uint("content", F.col("dir") + 10 + i * 12, 4).alias("value")))
+    entries = F.transform(F.sequence(F.lit(0), F.greatest(uint("content", F.col("dir"), 2) - 1, F.lit(0)).cast("int")), lambda i: F.struct(uint("content", F.col("dir") + 2 + i * 12, 2).alias("tag"), uint("content", F.col("dir") + 10 + i * 12, 4).alias("value")))
     seen = seen.select("*", once(entries).alias("entries"))
-    value = lambda tag: F.element_at(F.filter("entries", lambda e: e["tag"] == tag), 1)["value"]
+    value = lambda tag: F.get(F.filter("entries", lambda e: e["tag"] == tag), 0)["value"]
     seen = seen.withColumns({"width": value(256), "height": value(257), "strip": value(273), "coding": value(259), "samples": value(277), "bits": F.lit(8)})
     return _exploded(within_budget(seen.where("coding = 1 and samples = 4")), F.col("strip"), "rgba", F.lit(False))
 
@@ -195,14 +214,15 @@ def outcomes(files: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes: int = MA
     seen = inspect(files)
     c, form = F.col("content"), F.col("format")
     area = F.col("width") * F.col("height")
-    reads = ((form == "bmp") & (uint(c, 28, 2) == 32)) | ((form == "tga") & (byte_at(c, 2) == 2) & (byte_at(c, 16) == 32)) | (form == "tiff")
+    reads = _readable_bmp() | _readable_tga() | (form == "tiff")
+    pixel = F.when(form == "bmp", uint(c, 28, 2) / 8).when(form == "tga", byte_at(c, 16) / 8).otherwise(4)
     error = (
         F.when(form.isNull(), "unknown format")
         .when(form.isin("bmp", "tga", "png", "qoi") & (F.col("width").isNull() | F.col("height").isNull()), "truncated header")
         .when((F.col("width") == 0) | (F.col("height") == 0), "empty image")
         .when((area > max_pixels) | (area * 4 * F.ceil(F.col("bits") / 8) > max_bytes), "over budget")
         .when(~F.coalesce(reads, F.lit(False)), F.concat(F.lit("no reader for this "), form))
-        .when((form != "tiff") & (area * 4 > F.octet_length(c)), "truncated pixels")
+        .when((form != "tiff") & (area * pixel > F.octet_length(c)), "truncated pixels")
     )
     return seen.select("image_id", "format", F.when(error.isNull(), "decoded").otherwise("skipped").alias("status"), error.alias("error"))
 

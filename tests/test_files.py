@@ -137,3 +137,31 @@ def test_tga_is_told_by_its_lengths(spark):
     cases = [(foot[8:], None), (foot, "tga"), (head(10, 4, 4, 32), None), (head(10, 4, 4, 32) + b"x", "tga"), (head(2, 2, 1, 24) + bytes(5), None), (head(2, 2, 1, 24) + bytes(6), "tga"), (head(1, 2, 2, 8, 1, 3, 24) + bytes(12), None), (head(1, 2, 2, 8, 1, 3, 24) + bytes(13), "tga"), (head(3, 2, 2, 9) + bytes(99), None)]
     rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary").select("i", image_format("content").alias("f")).orderBy("i").collect()
     assert [r["f"] for r in rows] == [f for _, f in cases]
+
+
+def test_bitmaps_and_tga_of_other_depths(spark):
+    rgb = [[(1, 2, 3), (4, 5, 6), (7, 8, 9)], [(10, 11, 12), (13, 14, 15), (16, 17, 18)]]
+    info = lambda h, bits, comp=0: struct.pack("<IiiHHIIiiII", 40, 3, h, 1, bits, comp, 0, 0, 0, 0, 0)
+    bmp = lambda h, bits, body, comp=0: b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + info(h, bits, comp) + body
+    line24 = lambda row: b"".join(bytes(p[::-1]) for p in row) + bytes(3)
+    line32 = lambda row: b"".join(bytes((*p[::-1], 200)) for p in row)
+    tga = lambda kind, depth, flags, body: struct.pack("<BBBHHBHHHHBB", 2, 0, kind, 0, 0, 0, 0, 0, 3, 2, depth, flags) + b"id" + body
+    raw = lambda rows: b"".join(bytes(p[::-1]) for row in rows for p in row)
+    gray = [[(v[0],) * 3 for v in row] for row in rgb]
+    cases = [
+        ("bmp", bmp(2, 24, line24(rgb[1]) + line24(rgb[0])), rgb, 255),
+        ("bmp", bmp(-2, 24, line24(rgb[0]) + line24(rgb[1])), rgb, 255),
+        ("bmp", bmp(-2, 32, line32(rgb[0]) + line32(rgb[1])), rgb, 200),
+        ("tga", tga(2, 24, 32, raw(rgb)), rgb, 255),
+        ("tga", tga(2, 24, 0, raw(rgb[::-1])), rgb, 255),
+        ("tga", tga(2, 24, 48, raw([row[::-1] for row in rgb])), rgb, 255),
+        ("tga", tga(3, 8, 32, bytes(p[0] for row in rgb for p in row)), gray, 255),
+    ]
+    for kind, data, want, alpha in cases:
+        got = getattr(files, f"read_{kind}")(spark.createDataFrame([(1, data)], "image_id long, content binary")).collect()
+        assert {(r["y"], r["x"]): (r["r"], r["g"], r["b"], r["a"]) for r in got} == {(y, x): (*want[y][x], alpha) for y in range(2) for x in range(3)}
+    odd = [(1, bmp(2, 16, bytes(16))), (2, bmp(2, 32, bytes(24), 3)), (3, cases[0][1]), (4, cases[6][1]), (5, b"II*\0\x08\0\0\0\0\0")]
+    df = spark.createDataFrame(odd, "image_id long, content binary")
+    seen = {r["image_id"]: (r["status"], r["error"]) for r in files.outcomes(df).collect()}
+    assert seen[1] == seen[2] == ("skipped", "no reader for this bmp") and seen[3] == seen[4] == ("decoded", None)
+    assert {r["image_id"] for r in files.read_bmp(df).select("image_id").distinct().collect()} == {3} and files.read_tiff(df).count() == 0
