@@ -169,6 +169,21 @@ def blend(mode: str, new: Column, old: Column, alpha: Column) -> Column:
     return {"replace": new, "add": new + old, "blend": new * alpha + old * (1 - alpha), "multiply_add": old + new * alpha, "multiply": new * old}[mode]
 
 
+def blend_alpha(new: Column, old: Column, new_alpha: Column, old_alpha: Column, premultiplied: bool = False, clamp: bool = False, below: bool = False) -> tuple[Column, Column]:
+    """A sample with alpha over one with alpha, and the alpha of both (doubles in 0..1); nothing over nothing is 0.
+
+    premultiplied: samples are already weighted. clamp: the alpha of what lies on
+    top is held to 0..1. below: the new one lies under the old one.
+    """
+    top, bottom, cover, under = (old, new, old_alpha, new_alpha) if below else (new, old, new_alpha, old_alpha)
+    if clamp:
+        cover = F.least(F.greatest(cover, F.lit(0.0)), F.lit(1.0))
+    both = under + cover * (1 - under)
+    if premultiplied:
+        return top + bottom * (1 - cover), both
+    return F.when(both > 0, (top * cover + bottom * under * (1 - cover)) / F.when(both > 0, both)).otherwise(0.0), both
+
+
 def microseconds(ticks: Column, per_second: Column, scale: Column) -> Column:
     """Length of a frame; 0 if the image has no tick rate."""
     return F.when(per_second == 0, F.lit(0)).otherwise(F.floor(ticks * scale * 1_000_000 / per_second)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.functions import light
+from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
 from tessella.operators import metadata, pixels, samples
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
@@ -164,6 +164,20 @@ def qoi_runs(s, d):
     return samples.runs_from_opaque_black(dark)
 
 
+_OVER = "(n * na + o * oa * (1 - na)) / nullif(oa + na * (1 - oa), 0)"
+
+
+@query(_r2(f"""SELECT image_id, y, x, round(coalesce({_OVER}, 0), 9) AS above, round(coalesce((o * oa + n * na * (1 - oa)) / nullif(na + oa * (1 - na), 0), 0), 9) AS below, round(n + o * (1 - na), 9) AS premultiplied,
+ round(coalesce((n * c + o * oa * (1 - c)) / nullif(oa + c * (1 - oa), 0), 0), 9) AS clamped, round(oa + na * (1 - oa), 9) AS alpha
+ FROM (SELECT *, r::DOUBLE / 255 AS n, g::DOUBLE / 255 AS o, a::DOUBLE / 255 AS na, b::DOUBLE / 255 AS oa, least(a::DOUBLE / 128, 1) AS c FROM r2)"""))
+def alpha_blends(s, d):
+    """A frame with alpha on a canvas with alpha: over, under, weighted samples, alpha beyond 1 held."""
+    n, o, na, oa = _unit("r"), _unit("g"), _unit("a"), _unit("b")
+    above, alpha = colour.blend_alpha(n, o, na, oa)
+    out = {"above": above, "below": colour.blend_alpha(n, o, na, oa, below=True)[0], "premultiplied": colour.blend_alpha(n, o, na, oa, premultiplied=True)[0], "clamped": colour.blend_alpha(n, o, F.col("a").cast("double") / 128, oa, clamp=True)[0], "alpha": alpha}
+    return _columns(_r2p(s, d), **{k: F.round(c, 9) for k, c in out.items()})
+
+
 # resampling
 _HALF = f"""WITH {R3}, c AS (SELECT image_id, y, x, ((-38 * r - 74 * g + 112 * b + 128) >> 8) + 128 AS u FROM r3),
  h AS (SELECT image_id, y >> 1 AS y, x >> 1 AS x, (2 * sum(u) + count(*)) // (2 * count(*)) AS u FROM c GROUP BY ALL),
