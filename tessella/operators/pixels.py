@@ -79,17 +79,38 @@ def horizontal_sums(differences: DataFrame) -> DataFrame:
     return differences.select("image_id", "y", "x", *(F.sum(c).over(row).bitwiseAND(255).cast("int").alias(c) for c in RGBA))
 
 
-def runs(pixels: DataFrame, by_row: bool, longest: int, width: Column | None = None) -> DataFrame:
-    """Maximal runs of equal pixels, in raster order or within rows: image_id, y, x of the first pixel, length, packets of at most ``longest``."""
-    order = Window.partitionBy("image_id", *(["y"] if by_row else [])).orderBy(*([] if by_row else ["y"]), "x")
+def row_runs(pixels: DataFrame) -> DataFrame:
+    """Maximal runs of equal pixels within rows: image_id, y, x of the first pixel, length, value."""
+    order = Window.partitionBy("image_id", "y").orderBy("x")
     value = F.struct(*RGBA)
-    turn = (F.coalesce(F.lag(value).over(order) != value, F.lit(True))).cast("int")
-    marked = pixels.withColumn("turn", turn)
+    marked = pixels.select("image_id", "y", "x", value.alias("value"), F.coalesce(F.lag(value).over(order) != value, F.lit(True)).cast("int").alias("turn"))
     marked = marked.withColumn("run", F.sum("turn").over(order))
-    keys = ["image_id", *(["y"] if by_row else []), "run"]
-    first = F.min(F.struct("y", "x"))
-    out = marked.groupBy(*keys).agg(first.alias("first"), F.count("*").cast("int").alias("length"))
-    return out.select("image_id", F.col("first.y").alias("y"), F.col("first.x").alias("x"), "length", F.ceil(F.col("length") / longest).cast("int").alias("packets"))
+    out = marked.groupBy("image_id", "y", "run").agg(F.min("x").alias("x"), F.count("*").cast("int").alias("length"), F.first("value").alias("value"))
+    return out.drop("run")
+
+
+def raster_runs(pixels: DataFrame) -> DataFrame:
+    """Maximal runs in raster order: image_id, y and x of the first pixel, length, value.
+
+    Runs are found row by row and joined over the ends of rows: only one row a line
+    of the image goes through a window of the whole image.
+    """
+    rows = row_runs(pixels)
+    ends = Window.partitionBy("image_id").orderBy("y")
+    lines = rows.groupBy("image_id", "y").agg(F.min_by("value", "x").alias("first"), F.max_by("value", "x").alias("last"), F.max("x").alias("last_x"), F.count("*").alias("n"))
+    lines = lines.withColumn("linked", F.coalesce(F.lag("last").over(ends) == F.col("first"), F.lit(False)))
+    # the place of the run that is open at the end of each line
+    lines = lines.withColumn("open", F.last(F.when((F.col("n") > 1) | ~F.col("linked"), F.struct("y", F.col("last_x").alias("x"))), ignorenulls=True).over(ends))
+    lines = lines.select("image_id", "y", F.when(F.col("linked"), F.lag("open").over(ends)).alias("joins"))
+    keyed = rows.join(lines, ["image_id", "y"]).withColumn("head", F.when((F.col("x") == 0) & F.col("joins").isNotNull(), F.col("joins")).otherwise(F.struct("y", "x")))
+    out = keyed.groupBy("image_id", "head").agg(F.sum("length").cast("int").alias("length"), F.first("value").alias("value"))
+    return out.select("image_id", "head.y", "head.x", "length", "value")
+
+
+def runs(pixels: DataFrame, by_row: bool, longest: int) -> DataFrame:
+    """Maximal runs of equal pixels, in raster order or within rows: image_id, y, x of the first pixel, length, packets of at most ``longest``."""
+    found = row_runs(pixels) if by_row else raster_runs(pixels)
+    return found.select("image_id", "y", "x", "length", F.ceil(F.col("length") / longest).cast("int").alias("packets"))
 
 
 def cell555(pixels: DataFrame, matte: int = 255, threshold: int = 128) -> DataFrame:
@@ -169,8 +190,8 @@ def chroma_420(pixels: DataFrame) -> DataFrame:
 
 def opaque_if_empty(pixels: DataFrame) -> DataFrame:
     """Alpha 255 everywhere in images that are transparent everywhere."""
-    most = F.max("a").over(Window.partitionBy("image_id"))
-    return pixels.withColumn("a", F.when(most == 0, 255).otherwise(F.col("a")).cast("int"))
+    most = pixels.groupBy("image_id").agg(F.max("a").alias("most"))
+    return pixels.join(most, "image_id").withColumn("a", F.when(F.col("most") == 0, 255).otherwise(F.col("a")).cast("int")).drop("most")
 
 
 def mean_absolute_error(left: DataFrame, right: DataFrame) -> DataFrame:

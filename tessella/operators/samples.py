@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import colour
-from tessella.operators.pixels import RGBA, neighbours, runs
+from tessella.operators.pixels import RGBA, neighbours, raster_runs, runs
 
 
 def predictions(pixels: DataFrame, channel: str) -> DataFrame:
@@ -54,12 +54,14 @@ def packets(pixels: DataFrame, least: int, longest: int = 128) -> DataFrame:
 
 def runs_from_opaque_black(pixels: DataFrame, longest: int = 62) -> DataFrame:
     """Repeats of the pixel before, in raster order, the first one compared with opaque black: image_id, y, x, length, packets."""
-    order = Window.partitionBy("image_id").orderBy("y", "x")
-    rgba = F.struct("r", "g", "b", "a")
-    before = F.coalesce(F.lag(rgba).over(order), F.struct(*(F.lit(k).cast("int").alias(c) for c, k in zip("rgba", (0, 0, 0, 255)))))
-    marked = pixels.withColumn("same", rgba == before).withColumn("run", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(order))
-    out = marked.where("same").groupBy("image_id", "run").agg(F.min(F.struct("y", "x")).alias("first"), F.count("*").cast("int").alias("length"))
-    return out.select("image_id", "first.y", "first.x", "length", F.ceil(F.col("length") / longest).cast("int").alias("packets"))
+    widths = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"))
+    found = raster_runs(pixels).join(widths, "image_id")
+    black = F.struct(*(F.lit(k).cast("int").alias(c) for c, k in zip("rgba", (0, 0, 0, 255))))
+    whole = (F.col("y") == 0) & (F.col("x") == 0) & (F.col("value") == black)
+    # but for that one, a run repeats from its second pixel on
+    at = F.col("y") * F.col("width") + F.col("x") + F.when(whole, 0).otherwise(1)
+    found = found.select("image_id", "width", at.alias("at"), F.when(whole, F.col("length")).otherwise(F.col("length") - 1).cast("int").alias("length")).where("length > 0")
+    return found.select("image_id", F.expr("at div width").cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "length", F.ceil(F.col("length") / longest).cast("int").alias("packets"))
 
 
 def upsample_triangle(plane: DataFrame, channel: str, width: Column, height: Column) -> DataFrame:

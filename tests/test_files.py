@@ -165,3 +165,22 @@ def test_bitmaps_and_tga_of_other_depths(spark):
     seen = {r["image_id"]: (r["status"], r["error"]) for r in files.outcomes(df).collect()}
     assert seen[1] == seen[2] == ("skipped", "no reader for this bmp") and seen[3] == seen[4] == ("decoded", None)
     assert {r["image_id"] for r in files.read_bmp(df).select("image_id").distinct().collect()} == {3} and files.read_tiff(df).count() == 0
+
+
+def test_runs_go_on_over_the_ends_of_rows(spark):
+    import random
+
+    r = random.Random(4)
+    grids = {k: [[r.choice([0, 0, 0, 1]) if k % 2 else 0 if r.random() < 0.9 else 1 for _ in range(4)] for _ in range(6)] for k in range(12)}
+    rows = [(k, y, x, v, 0, 0, 255) for k, g in grids.items() for y, line in enumerate(g) for x, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int, a int").repartition(5)
+    got = {(t["image_id"], t["y"], t["x"]): t["length"] for t in pixels.runs(df, False, 62).collect()}
+    want = {}
+    for k, g in grids.items():
+        flat = [v for line in g for v in line]
+        start = 0
+        for i in range(1, len(flat) + 1):
+            if i == len(flat) or flat[i] != flat[start]:
+                want[k, start // 4, start % 4] = i - start
+                start = i
+    assert got == want
