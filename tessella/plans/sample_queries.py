@@ -306,3 +306,35 @@ def events_as_of(s, d):
     marked = e.join(F.broadcast(first)).select("event_id", "user_id", F.when(F.col("event_type") == F.col("first"), F.col("event_id")).alias("mark"))
     before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     return marked.select("event_id", F.last("mark", ignorenulls=True).over(before).alias("before_id"))
+
+
+# sets, approximate aggregates
+@query(_r2("SELECT r, g, b FROM r2 WHERE a = 255 INTERSECT SELECT r, g, b FROM r2 WHERE a < 255"))
+def colours_with_and_without_alpha(s, d):
+    """Colours that occur both opaque and not."""
+    p = _r2p(s, d)
+    return p.where("a = 255").select("r", "g", "b").intersect(p.where("a < 255").select("r", "g", "b"))
+
+
+@query(_r2("SELECT r, g, b FROM r2 WHERE a = 255 EXCEPT SELECT r, g, b FROM r2 WHERE a < 255"))
+def colours_only_opaque(s, d):
+    p = _r2p(s, d)
+    return p.where("a = 255").select("r", "g", "b").subtract(p.where("a < 255").select("r", "g", "b"))
+
+
+@query(_r2("SELECT x, count(*) AS n, true AS distinct_close, true AS median_close FROM r2 GROUP BY x"))
+def approximate_colours(s, d):
+    """Sketches of each column of pixels: distinct colours within a tenth, the median of red within two hundredths of the ranks."""
+    p = _r2p(s, d)
+    colour_ = F.struct("r", "g", "b")
+    near = p.groupBy("x").agg(F.count("*").alias("n"), F.approx_count_distinct(colour_, 0.02).alias("sketch"), F.count_distinct("r", "g", "b").alias("exact"), F.percentile_approx("r", 0.5, 1000).alias("median"))
+    ranks = p.join(near.select("x", "median"), "x").groupBy("x").agg(F.avg((F.col("r") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("r") <= F.col("median")).cast("int")).alias("up_to"))
+    close = F.abs(F.col("sketch") - F.col("exact")) <= F.col("exact") * 0.1
+    return near.join(ranks, "x").select("x", "n", close.alias("distinct_close"), ((F.col("below") <= 0.52) & (F.col("up_to") >= 0.48)).alias("median_close"))
+
+
+@query("SELECT event_type, k, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT event_type, 'k' AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events WHERE props IS NOT NULL) WHERE v IS NOT NULL GROUP BY event_type, k")
+def event_properties(s, d):
+    """JSON properties of events as a map, one row for each key."""
+    e = rasters.table(s, d, "events").select("event_type", F.explode(F.from_json("props", "map<string, bigint>")).alias("k", "v"))
+    return e.where("v is not null").groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
