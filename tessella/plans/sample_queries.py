@@ -65,7 +65,7 @@ def transfer_from_linear(s, d):
     return _columns(_r2p(s, d), **{k: F.round(light.from_linear(k, _unit("r")), 6) for k in ("srgb", "bt709", "pq", "dci")})
 
 
-@query(f"WITH {R1} SELECT image_id, y, x, " + ", ".join(f"round(sign({c}) * CASE WHEN abs({c}) <= 0.04045 THEN abs({c}) / 12.92 ELSE pow((abs({c}) + 0.055) / 1.055, 2.4) END, 6) AS c{i}" for i, c in enumerate("rgb")) + " FROM r1")
+@query(f"WITH {R1} SELECT image_id, y, x, " + ", ".join(f"round(sign({c}) * CASE WHEN abs({c}) <= 0.04045 THEN abs({c}) / 12.92 ELSE pow((abs({c}) + 0.055) / 1.055, 2.4) END, 6) + 0.0::DOUBLE AS c{i}" for i, c in enumerate("rgb")) + " FROM r1")
 def extended_srgb_inverse(s, d):
     return _columns(rasters.float_pixels(s, d), **{f"c{i}": F.round(light.srgb_decode(F.col(c)), 6) for i, c in enumerate("rgb")})
 
