@@ -82,6 +82,45 @@ def test_language_on_held_out_documents(sample):
     assert all(0 <= r["score"] <= 1 for r in held)
 
 
+def test_language_matches_brute_force(spark, sample):
+    """Profiles, ranks and out-of-place distances once more with strings and dictionaries."""
+    from tessella.llm.language import identify, learn
+    from tessella.llm.packed import mix
+
+    def order(gram):
+        code = 0
+        for c in gram:
+            code = (code << 21) | (0 if c == " " else ord(c))
+        return int(mix(np.array([code | {1: 1 << 62, 2: 2 << 62, 3: 0}[len(gram)]], np.uint64))[0])
+
+    def counted(text):
+        low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or ""]
+        joined = " " + " ".join("".join(low).split()) + " "
+        out = Counter(c for c in joined if c != " ")
+        out.update(p for p in (joined[i : i + 2] for i in range(len(joined) - 1)) if p.strip())
+        out.update(t for t in (joined[i : i + 3] for i in range(len(joined) - 2)) if t[1] != " " and (t[0] != " " or t[2] != " "))
+        return out
+
+    size, signed = 60, lambda h: h - (1 << 64) if h >> 63 else h
+    rows = [(r["doc_id"], r["lang"], r["text"][:400]) for r in sample.limit(70).collect()] + [(-1, None, "Straße İx  À"), (-2, "xx", "a"), (-3, "de", "12"), (-4, None, None), (-5, "fr", "")]
+    total = {}
+    for _, lang, text in rows:
+        if lang is not None:
+            total.setdefault(lang, Counter()).update(counted(text))
+    profiles = {k: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], signed(order(g))))[:size])} for k, c in sorted(total.items()) if c}
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in identify(docs.repartition(3), learn(docs.repartition(4), size), size).collect()}
+    for i, _, text in rows:
+        c = counted(text)
+        mine = sorted(c, key=lambda g: (-c[g], order(g)))[:size]
+        if not mine:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(mine)) / (size * len(mine)) for k, p in profiles.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert got[i]["lang_pred"] == best and math.isclose(got[i]["score"], 1 - far[best], abs_tol=1e-12), text
+
+
 def test_language_odd_cases(spark, odd):
     from tessella.llm.language import identify, learn
 
