@@ -165,16 +165,3 @@ def per_doc(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return np.diff(sums[bounds])
-
-
-def arrow_kernel(make_columns, schema: pa.Schema, columns: tuple[str, ...] = ("doc_id", "text"), budget: int = 1 << 20):
-    """A function for ``mapInArrow``: ``make_columns`` turns each small slice into a dict of columns."""
-
-    def run(batches):
-        for batch in batches:
-            for part in pieces(batch, columns[1], budget):
-                out = make_columns(part)
-                if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    return run

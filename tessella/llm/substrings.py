@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.packed import Texts, pieces, sequence_hashes
 from tessella.llm.slices import COLUMNS, JUDGED, RANGES, Layout, first_of, per_document, removed_units, settled, slice_contents, slice_rows, tag_of, verdicts, whole_slices
-from tessella.llm.store import deleted, folder, stored
+from tessella.llm.store import deleted, folder, small_batches, stored
 from tessella.llm.suffixes import BATCH, _anchor_batches, ranges_of
 
 U64 = np.uint64
@@ -101,7 +101,8 @@ class FingerprintIndex:
         new = slice_rows(docs, True, LENGTH, GRAM, self.layout)
         rows = new.groupBy("range").cogroup(self.history().groupBy("range")).applyInArrow(merged, f"range long, {JUDGED}")
         run, self.next = self.next, self.next + 1
-        rows.select(F.lit(run).alias("run"), "range", "kind", *COLUMNS, "many", "classes").write.insertInto(self._table())
+        with small_batches(self.spark):
+            rows.select(F.lit(run).alias("run"), "range", "kind", *COLUMNS, "many", "classes").write.insertInto(self._table())
         here = self.spark.table(self._table()).where((F.col("run") == run) & (F.col("kind") < 3))
         found = stored(settled(here.select("kind", *COLUMNS, "many", "classes"), True))
         self.runs.append(run)
