@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, language, minhash, mixing, pii
 from tessella.llm.queries import tokenizer_path
-from tessella.llm.store import stored
+from tessella.llm.store import dropped, released, so_far, stored
 
 #: Documents further from every profile than this are no language that was learnt.
 LEAST_SCORE = 0.1
@@ -77,5 +77,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each stored before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
+        before, mark = docs, so_far()
         docs = stored(stage(spark, docs, sf_dir))
+        # what the stage stored on its way, and its input
+        released(spark, mark, docs)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
