@@ -10,10 +10,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
-QUERIES = {"op7_pii": op7_pii, "op4_lm_scoring": op4_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op1_suffix_array_dedup": op1_suffix_array_dedup, "op2_minhash_lsh_forest": op2_minhash_lsh_forest, "op5_bpe": op5_bpe, "op6_language_id": op6_language_id, "op8_ann": op8_ann, "op9_quality_rules": op9_quality_rules, "op10_mixing": op10_mixing}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.warc import page_records
+
+    return page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.align import aligned
+
+    return aligned(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_minhash_lsh_forest": op2_minhash_lsh_forest,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_bpe": op5_bpe,
+    "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
+    "op8_ann": op8_ann,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
+    "op12_warc": op12_warc,
+    "op13_alignment": op13_alignment,
+}
