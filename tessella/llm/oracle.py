@@ -95,3 +95,42 @@ SELECT page_id, payload_bytes,
   CASE WHEN latest IS NOT NULL AND (page_id IS NULL OR page_id < latest) THEN latest END AS refers_to, true AS intact
 FROM d
 """
+
+# crc32 by bits (fixed value: its reflected polynomial), then the edits by dynamic programming over (row, state of the grammar)
+ORACLE["op11_conversation_repair"] = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT * EXCLUDE k, CAST(xor(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda acc, x:
+      list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS INT) AS how FROM raw),
+g AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role,
+      CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) FROM h WHERE how <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64), role, text) AS i FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+      regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM o),
+r AS (SELECT conv_id, turn, role, text, ini, i, before, CASE WHEN ending = '' THEN 1 WHEN again THEN 2 WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+n AS (SELECT conv_id, count(*) AS n, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+      count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+      count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+ins(st, k, nst) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),
+ops(op, st, ini, nst, price) AS (SELECT 'D', s, CAST(NULL AS VARCHAR), s, 3 FROM range(4) AS t(s) UNION ALL SELECT 'R', s, CAST(NULL AS VARCHAR), CASE s WHEN 2 THEN 3 ELSE 2 END, 2 FROM range(4) AS t(s)
+      UNION ALL VALUES ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0), ('K', 2, 'a', 3, 0)),
+way AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, '00000000' AS key FROM n
+  UNION ALL
+  SELECT way.conv_id, r.i, ops.nst, min(lpad(CAST(CAST(left(key, 8) AS INT) + 2 * k + price + CASE WHEN op <> 'D' AND fault = 3 THEN 1 ELSE 0 END AS VARCHAR), 8, '0') || substr(key, 9) || repeat('I', k) || op)
+  FROM way JOIN r ON r.conv_id IS NOT DISTINCT FROM way.conv_id AND r.i = way.i + 1 JOIN ins ON ins.st = way.st
+    JOIN ops ON ops.st = ins.nst AND (ops.ini IS NULL OR ops.ini = r.ini) AND (op = 'D' OR fault IN (0, 3))
+  GROUP BY way.conv_id, r.i, ops.nst),
+best AS (SELECT n.conv_id, min(lpad(CAST(CAST(left(key, 8) AS INT) + 2 * k AS VARCHAR), 8, '0') || substr(key, 9) || repeat('I', k)) AS key
+  FROM n JOIN way ON way.conv_id IS NOT DISTINCT FROM n.conv_id AND way.i = n.n JOIN ins ON ins.st = way.st AND ins.nst IN (0, 3) GROUP BY n.conv_id),
+letters AS (SELECT conv_id, unnest(string_split(substr(key, 9), '')) AS l, unnest(generate_series(1, length(key) - 8)) AS p FROM best),
+placed AS (SELECT conv_id, l, p, count(*) FILTER (l <> 'I') OVER w AS i, count(*) FILTER (l <> 'D') OVER w AS q FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+lines AS (SELECT placed.conv_id, l, p, q, r.role, r.text, max(CASE WHEN l = 'K' AND q = 1 AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY placed.conv_id) AS s
+  FROM placed LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM placed.conv_id AND r.i = placed.i AND l <> 'I' WHERE l <> 'D'),
+whole AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (q - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p)) AS digest FROM lines GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(CAST(left(key, 8) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(key, 9), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

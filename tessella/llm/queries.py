@@ -81,6 +81,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.repair import damaged, repaired
+
+    return repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "dropped")
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.warc import page_records
 
@@ -104,6 +110,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_warc": op12_warc,
     "op13_alignment": op13_alignment,
 }
