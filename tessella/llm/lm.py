@@ -12,7 +12,8 @@ its counts, to ranges of the hash space; each range adds up the counts of equal
 hashes and sends every block the totals of just what it asked for, in the same
 order. A frequent word or pair costs one entry a block. There are as many ranges
 as keep the questions to one within ``RANGE_BYTES``, so a group doesn't grow with
-the corpus. Word hashes have 64 bits, pair hashes 48 below the range.
+the corpus. Word hashes have 64 bits, pair hashes 48 below the range. Blocks are named by
+the partition that made them and their number there, never by what they hold.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end;
 a null or empty text is the end alone. Repeated rows count and are scored as
@@ -21,10 +22,12 @@ often as they occur. With nothing to learn from, N is 0 and all mass is uniform.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,11 +50,13 @@ def _blocks(batches):
     """Documents as positions in the block's sorted distinct word hashes."""
     held = {kind: [] for kind in (LEARN, DELETED, HELD_OUT)}
     size = defaultdict(int)
+    # no two blocks of the stored table have one name, whatever ids they hold
+    names = itertools.count(TaskContext.get().partitionId() << 32)
 
     def flush(kind):
         ids, sizes, hashes = (np.concatenate(x) for x in zip(*held[kind]))
         words, tokens = np.unique(hashes, return_inverse=True)
-        name = int(mix(np.array([mix(ids.view(U64) + np.arange(len(ids), dtype=U64)).sum() + U64(kind + 1)], U64)).view(np.int64)[0])
+        name = next(names)
         held[kind], size[kind] = [], 0
         return pa.RecordBatch.from_arrays(
             [pa.array([name]), pa.array([kind], pa.int32()), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary()), pa.array([tokens.astype("<u4").tobytes()], pa.binary())],
@@ -241,8 +246,7 @@ def lm_scores(docs: DataFrame, learns: Column, deleted: Column, ranges: int | No
     lean = answers.select("block", "kind", "range", "words", "pairs")
 
     def held_out_counts(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = np.zeros((0, 4), np.int64)
-        for row in left.to_pylist():
+        for row in left.to_pylist():  # one block
             b = _Block(row, right, True)
             bucket, p0, p1, p2 = _estimates(b, n - n_deleted, v_rest)
             with np.errstate(divide="ignore"):
@@ -259,8 +263,7 @@ def lm_scores(docs: DataFrame, learns: Column, deleted: Column, ranges: int | No
     weights = fit_weights(np.array([tuple(r) for r in table], np.int64).reshape(-1, 4))
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
-        for row in left.to_pylist():
+        for row in left.to_pylist():  # one block
             b = _Block(row, _all_only(right, row["kind"]), False)
             bucket, p0, p1, p2 = _estimates(b, n, v)
             a = weights[bucket]

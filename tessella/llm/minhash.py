@@ -26,9 +26,10 @@ groups are the connected components.
    reach the threshold. A shingle whose documents are one component is left
    out; of the others only pairs across components are compared.
 
-Rows repeated with one doc_id are one document. A row without a doc_id is compared
-for equality only: it is kept unless a document with an id has the same set, whose
-component it gets. Extra columns are ignored.
+Rows with one doc_id are one document, whatever their order: it links with another if
+any of its texts does, and all its rows have one component. A row without a doc_id is
+compared for equality only: it is kept unless a document with an id has the same set,
+whose component it gets. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -318,7 +319,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "signature")).alias("m"), F.count("*").alias("n"))
     classes = stored(classes.select("d1", "d2", F.col("m.doc_id").alias("rep"), "m.signature", "n"))
     # texts that share an id may make two classes: both stand for it
-    reps = classes.select("rep", "signature").dropDuplicates(["rep"])
+    reps = classes.select("rep", "signature")
+    # an id with several sets brings the classes of all of them together
+    several = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("low"), F.max(F.struct("d1", "d2")).alias("high"))
+    several = several.where("low <> high").select("doc_id")
+    same = sketched.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = stored(same.where("a <> b").distinct(), slim=True)
 
     def sorted_forest(rows: DataFrame, kept: str) -> DataFrame:
         trees = rows.mapInArrow(_forest_rows, kept)
@@ -329,14 +335,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = proposed.where("a = b").select(F.col("a").alias("rep"))
     # only texts that a proposal needs, now or later
     ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowded).distinct()
-    texts = stored(slim.where("doc_id is not null").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = stored(slim.where("doc_id is not null").join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     # the most similar partner of each document first
     tried = stored(_confirmed(_best_partners(near), texts), slim=True)
     # two rounds find most of the components, which is enough to see what is left to try
     rough = components(tried.where("linked"), rounds=2)
     rest = _crossing(near.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rough)
     tried_more = stored(_confirmed(rest, texts), slim=True)
-    links = tried.where("linked").select("a", "b").union(tried_more.where("linked").select("a", "b"))
+    links = tried.where("linked").select("a", "b").union(tried_more.where("linked").select("a", "b")).union(same)
     known = proposed.where("a <> b")
     comps = components(links)
     crowd = stored(reps.join(crowded.hint("merge"), "rep", "left_semi"))

@@ -143,6 +143,20 @@ def test_rows_without_an_id_and_two_texts_with_one_id(spark):
     assert got == sorted(want)
 
 
+def test_clashing_ids_do_not_depend_on_the_order(spark):
+    """Texts with one id are one document: it links if any of them does."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    a, b, d = text(40), text(40), text(40)
+    docs = [(1, b), (1, a), (2, a + " tail"), (3, b + " end"), (4, d), (9, d), (9, text(12))]
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (9, 4, False), (9, 4, False)]
+    for parts in (1, 3):
+        for _ in range(2):
+            r.shuffle(docs)
+            got = near_duplicates(spark.createDataFrame(rows(docs), SCHEMA).repartition(parts)).collect()
+            assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in got) == want
+
+
 def test_large_regions_go_deeper():
     import numpy as np
     import pyarrow as pa

@@ -454,6 +454,22 @@ def test_lm_scores_match_brute_force(spark):
     assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in tokens)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_lm_blocks_with_the_same_ids(spark, parts):
+    """Repeated and null ids over several partitions: every row has its score, whatever the partitions."""
+    from tessella.llm.lm import lm_scores
+
+    def scores(docs, n):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        kinds = F.coalesce(F.col("doc_id") != 6, F.lit(True)), F.lit(False)
+        return sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in lm_scores(df, *kinds, ranges=3).collect())
+
+    for docs in ([(5, "a b"), (5, "c d e"), (6, "x")], [(None, "a b"), (None, "c d e")], [(5, "a"), (5, "a")], [(1, f"w{k % 7} x") for k in range(1000)]):
+        got = scores(docs, parts)
+        assert len(got) == len(docs) and got == scores(docs, 1)
+        assert [x[1] for x in got] == [n for _, n in sorted((str(i), len(t.split()) + 1) for i, t in docs)]
+
+
 def test_em_finds_the_weights():
     from tessella.llm.lm import NONE, fit_weights
 

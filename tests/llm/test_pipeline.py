@@ -56,6 +56,21 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert {i: sorted(rows[rows.doc_id == i].text) for i in chosen} == {i: sorted(v) for i, v in chosen.items()}
 
 
+def test_near_dedup_keeps_every_text_that_is_no_copy(spark):
+    import random
+
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(40))
+    a, b = text(), text()
+    docs = [(1, b, "x", "s2"), (1, b, "x", "s1"), (1, a, "x", "s1"), (2, a + " tail", "x", "s1"), (None, b, "x", "s1"), (None, b, "x", "s1")]
+    want = sorted([(1, b, "x", "s1"), (1, a, "x", "s1"), (None, b, "x", "s1"), (None, b, "x", "s1")], key=str)
+    for parts in (1, 2, 4):
+        r.shuffle(docs)
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(parts)
+        got = corpus_pipeline.near_dedup(spark, df, "")
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_stored_tables_are_released(spark, tmp_path):
     import os
 
