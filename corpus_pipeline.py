@@ -6,7 +6,9 @@ ones included.
 
 1. language_id: profiles are learnt from the documents with a language; texts
    without a letter, or far from every profile, go. A missing ``lang`` is filled.
-2. near_dedup: of each group of near-duplicates the smallest doc_id stays.
+2. near_dedup: of each group of near-duplicates the smallest doc_id stays. Of rows
+   that share that id and the text, the least one by the other columns stays; texts
+   that differ stay, as neither is a copy of the other.
 3. pii: personal data and secrets in the text are replaced by their kind.
 4. mixing: documents are chosen to meet the target weights of the tree of
    domains, languages and sources; a second epoch of a document is a second row.
@@ -43,8 +45,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = docs.join(kept, "doc_id", "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        one = rows.dropDuplicates()
+    else:
+        least = F.min_by(F.struct(*rest), F.to_json(F.struct(*rest)))
+        one = rows.groupBy("doc_id", "text").agg(least.alias("_rest")).select("doc_id", "text", "_rest.*")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
