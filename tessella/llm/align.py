@@ -7,13 +7,12 @@ one of A, one of B, or both. A regular expression finds the spans up to each byt
 where both end, and the counts of labels in a span say how many tokens of A and of B
 form a group. The last tokens of a group are linked.
 
-A text is cut at single spaces between two ASCII letters and its parts are encoded
-on their own, each with the space before it. That changes no id: no match of A's
-splitter goes on over such a space (its expression has white space inside a match
+A long text is cut at single spaces between two ASCII letters and its parts are
+encoded on their own, each with the space before it. That changes no id: no match of
+A's splitter goes on over such a space (its expression has white space inside a match
 only after white space, and looks at nothing on its left), and no piece of B has a
-space after another character (``Aligner`` checks the vocabulary). Both tokens end
-at a cut, so groups don't reach over it either, and a worker remembers what frequent
-parts give, by a bounded number of bytes that changes only the time.
+space after another character (``Aligner`` checks the vocabulary). It bounds what the
+libraries hold at a time.
 
 How often a pair of ids is linked in the corpus is counted once for each block of
 texts, then by pair; blocks ask for the counts of their distinct pairs, so a pair
@@ -29,7 +28,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,8 @@ CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Labels of a byte, and the spans up to a byte where both tokenizers end a token.
 NONE, A_ENDS, B_ENDS, BOTH = b"-ab*"
 SPAN = re.compile(rb"[^*]*\*")
-#: Bytes of parts and their alignments that a worker remembers, and the longest such part.
-KEPT_BYTES, KEPT_PART = 64 << 20, 200
+#: Characters of a part, at least, and of the parts that are encoded at once.
+PART, AT_ONCE = 32 << 10, 1 << 20
 #: Ids of B, which the lower bits of a pair hold.
 B_BITS = 20
 #: Bytes of texts in a block.
@@ -63,63 +64,105 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # tasks run side by side already
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        size = self.a.get_vocab_size(with_added_tokens=False)
-        self.a_bytes = [bytes(byte_of[c] for c in self.a.id_to_token(i)) if i < size and all(c in byte_of for c in self.a.id_to_token(i)) else b"" for i in range(self.a.get_vocab_size())]
+        plain = self.a.get_vocab_size(with_added_tokens=False)
+        names = [self.a.id_to_token(i) if i < plain else "" for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else b"" for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         #: cuts keep the ids of B only if no piece has a space after another character
         self.cuts = all("▁" not in p.lstrip("▁") for p in pieces)
-        self.kept: dict[str, tuple] = {}
-        self.kept_size = 0
-
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of A, of B, groups, the groups written out, linked pairs as bytes) of a part of a text."""
-        raw = b" " + part.encode()
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        labels = np.full(len(raw), NONE, np.uint8)
-        ends_a, ends_b = np.cumsum([len(t) for t in left]) - 1, np.cumsum([len(t) for t in right]) - 1
+        # decimal digits of all ids, with room for a separator
+        numbers = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.array([len(x) for x in numbers])
+        self.width = int(self.digits.max()) + 1
+        self.decimals = np.frombuffer(b"".join(x.ljust(self.width) for x in numbers), np.uint8).reshape(-1, self.width)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A text in parts of PART characters or, where no cut follows, more."""
+        at = 0
+        while self.cuts and len(text) - at > PART:
+            cut = CUT.search(text, at + PART)
+            if cut is None:
+                break
+            yield text[at : cut.start()]
+            at = cut.end()
+        yield text[at:] if at else text
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B of every text; none for a text that they don't give back byte for byte."""
+        waiting: list[tuple[int, str]] = []
+        held, size = {}, 0
+
+        def run():
+            parts = [p for _, p in waiting]
+            left = self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)
+            for (i, p), x, b in zip(waiting, left, self.b.encode(parts, num_threads=1)):
+                a, raw = x.ids, b" " + p.encode()
+                fits = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+                held.setdefault(i, []).append((np.array(a, np.int64), np.array(b, np.int64)) if fits else None)
+            waiting.clear()
+
+        done = 0
+        nothing = np.zeros(0, np.int64)
+
+        def results(to):
+            nonlocal done
+            while done < to:
+                got = held.pop(done, [])
+                # a part that isn't given back has lost bytes, and no other part can make up for them
+                yield tuple(map(np.concatenate, zip(*got))) if got and None not in got else (nothing, nothing)
+                done += 1
+
+        for i, text in enumerate(texts):
+            for part in self.parts(text) if text else ():
+                waiting.append((i, part))
+                size += len(part)
+                if size >= AT_ONCE:
+                    run()
+                    size = 0
+            if not waiting:
+                yield from results(i + 1)
+        run()
+        yield from results(len(texts))
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+        """(number of groups, the groups written out, linked pairs) of the ids of a text."""
+        if not len(a):
+            return 0, b"", np.zeros(0, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_size[a]) - 1, np.cumsum(self.b_size[b]) - 1
+        labels = np.full(ends_a[-1] + 1, NONE, np.uint8)
         labels[ends_a] = A_ENDS
         labels[ends_b] = np.where(labels[ends_b] == A_ENDS, BOTH, B_ENDS)
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        i = j = 0
-        groups, pairs = [], []
-        for span in SPAN.findall(labels.tobytes()):
-            to_i, to_j = i + span.count(A_ENDS) + 1, j + span.count(B_ENDS) + 1
-            groups.append(f"{','.join(text_a[i:to_i])}|{','.join(text_b[j:to_j])}")
-            pairs.append(a[to_i - 1] << B_BITS | b[to_j - 1])
-            i, j = to_i, to_j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64).tobytes()
-
-    def parts(self, text: str) -> list[tuple | None]:
-        """Alignments of the parts of a text, in order."""
-        cut = CUT.split(text) if self.cuts else [text]
-        new = list({p for p in cut if p not in self.kept})
-        found = {}
-        if new:
-            a = self.a.encode_batch([" " + p for p in new], add_special_tokens=False)
-            for p, x, y in zip(new, a, self.b.encode(new, num_threads=1)):
-                found[p] = got = self.align(p, x.ids, y)
-                if len(p) <= KEPT_PART and self.kept_size < KEPT_BYTES:
-                    self.kept[p] = got
-                    self.kept_size += 300 + 4 * len(p) + (len(got[3]) + len(got[4]) if got else 0)
-        return [self.kept[p] if p in self.kept else found[p] for p in cut] if found else [self.kept[p] for p in cut]
-
-    def text(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """(tokens of A, of B, groups, the groups written out, linked pairs) of a whole text."""
-        got = self.parts(text) if text else []
-        # a part that isn't given back has lost bytes, and no other part can make up for them
-        if not got or None in got:
-            return 0, 0, 0, "", np.zeros(0, np.int64)
-        n_a, n_b, n_groups, groups, pairs = zip(*got)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), np.frombuffer(b"".join(pairs), np.int64)
+        spans = SPAN.findall(labels.tobytes())
+        ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans))) - 1
+        # labels of either kind up to the end of each span are the tokens up to the end of its group
+        both = labels == BOTH
+        to_a, to_b = (np.cumsum((labels == one) | both)[ends] for one in (A_ENDS, B_ENDS))
+        pairs = a[to_a - 1] << B_BITS | b[to_b - 1]
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        at_a = np.arange(len(a)) + np.repeat(to_b - n_b, n_a)
+        at_b = np.arange(len(b)) + np.repeat(to_a, n_b)
+        ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        mark[at_a[to_a - 1]], mark[at_b[to_b - 1]] = ord("|"), ord(";")
+        digits = self.digits[ids]
+        shown = self.decimals[ids]
+        shown[np.arange(len(ids)), digits] = mark
+        return len(spans), shown[np.arange(self.width) <= digits[:, None]].tobytes()[:-1], pairs
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
+        """(tokens of A, of B, groups, the groups written out, linked pairs) of whole texts."""
+        for a, b in self.encode(texts):
+            yield len(a), len(b), *self.align(a, b)
 
 
 @functools.lru_cache(2)
@@ -135,8 +178,8 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for part in pieces(batch):
                 out = []
-                for t in part.column("text").to_pylist():
-                    written = c.text(t)[3]
+                for _, _, _, written, _ in c.texts(part.column("text").to_pylist()):
+                    written = written.decode()
                     sides = [g.split("|") for g in written.split(";")] if written else []
                     out.append([{"a": [int(x) for x in a.split(",")], "b": [int(x) for x in b.split(",")]} for a, b in sides])
                 ids = pa.list_(pa.int32())
@@ -159,9 +202,9 @@ def encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, budget=BLOCK_BYTES):
                 rows, pairs, times = [], [], []
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()):
-                    n_a, n_b, n_groups, written, links = c.text(text)
-                    rows.append((0, number, doc_id, n_a, n_b, n_groups, hashlib.sha256(written.encode()).hexdigest() if n_groups else ""))
+                texts = c.texts(piece.column("text").to_pylist())
+                for doc_id, (n_a, n_b, n_groups, written, links) in zip(piece.column("doc_id").to_pylist(), texts):
+                    rows.append((0, number, doc_id, n_a, n_b, n_groups, hashlib.sha256(written).hexdigest() if n_groups else ""))
                     distinct, counts = np.unique(links, return_counts=True)
                     pairs.append(distinct)
                     times.append(counts)

@@ -92,28 +92,22 @@ def test_odd_texts(spark, libraries):
     assert align.aligned(df.limit(0), *PATHS).collect() == []
 
 
-def test_parts_give_the_ids_of_the_whole(libraries):
+@pytest.mark.parametrize("part, at_once", [(1, 1), (3, 40), (10, 1 << 20)])
+def test_parts_give_the_ids_of_the_whole(libraries, monkeypatch, part, at_once):
+    monkeypatch.setattr(align, "PART", part)
+    monkeypatch.setattr(align, "AT_ONCE", at_once)
     r = random.Random(7)
-    pool = ["a", "b", "Z", "the", "ing", " ", " ", "  ", "\n", "'s", "'", "é", "中", "1", ".", "<s>", "<|endoftext|>", "🎉", " ", "İ", "ſ"]
-    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    pool = ["a", "b", "Z", "the", "ing", " ", " ", "  ", "\n", "'s", "'", "é", "中", "1", ".", "<s>", "<|endoftext|>", "🎉", "\u00a0", "İ", "ſ", "▁"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(1, 30))) for _ in range(1500)] + [None, "", "a b"]
     c = align.Aligner(*PATHS)
     assert c.cuts
     want = {x[0]: x for x in brute(libraries, list(enumerate(texts)))}
-    for i, t in enumerate(texts):
-        n_a, n_b, n_groups, written, _ = c.text(t)
-        assert (n_a, n_b, n_groups, hashlib.sha256(written.encode()).hexdigest() if n_groups else "") == (*want[i][1:4], want[i][7]), t
-
-
-def test_bounded_memory_changes_nothing(monkeypatch):
-    texts = ["one two three two one", "two three four", "one two three two one"]
-    whole = [align.Aligner(*PATHS).text(t)[:4] for t in texts]
-    monkeypatch.setattr(align, "KEPT_BYTES", 1)
-    c = align.Aligner(*PATHS)
-    assert [c.text(t)[:4] for t in texts] == whole and len(c.kept) <= 1
+    for i, (n_a, n_b, n_groups, written, _) in enumerate(c.texts(texts)):
+        assert (n_a, n_b, n_groups, hashlib.sha256(written).hexdigest() if n_groups else "") == (*want[i][1:4], want[i][7]), texts[i]
 
 
 def test_groups_are_the_written_ones(spark):
     rows = [(1, "hello world, indeed"), (2, None)]
     got = {r.doc_id: r.groups for r in align.groups(spark.createDataFrame(rows, "doc_id long, text string"), *PATHS).collect()}
     c = align.aligner(*PATHS)
-    assert ";".join(f"{','.join(map(str, g.a))}|{','.join(map(str, g.b))}" for g in got[1]) == c.text(rows[0][1])[3] and got[2] == []
+    assert ";".join(f"{','.join(map(str, g.a))}|{','.join(map(str, g.b))}" for g in got[1]) == next(c.texts([rows[0][1]]))[3].decode() and got[2] == []
