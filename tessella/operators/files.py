@@ -173,58 +173,88 @@ def _exploded(files: DataFrame, offset: Column, order: str, bottom_up: Column, s
     return samples.select("image_id", "y", "x", *(value[c].alias(c) for c in "rgba"))
 
 
-def _readable_bmp() -> Column:
-    """24-bit, or 32-bit without compression or with the masks that the writer uses."""
+def _with_directory(files: DataFrame) -> DataFrame:
+    """inspect() with sizes of little-endian TIFF and ``tiff``, what its first directory says, which is walked as an array."""
+    seen = inspect(files)
     c = F.col("content")
+    here = (F.col("format") == "tiff") & (F.hex(F.substring(c, 1, 2)) == "4949")
+    seen = seen.select("*", once(F.when(here, uint(c, 4, 4))).alias("_dir"))
+    many = uint(c, F.col("_dir"), 2)
+    # a directory that the file doesn't hold says nothing
+    whole = here & (F.col("_dir") + 2 + many * 12 <= F.octet_length(c))
+    field = lambda i: F.struct(*(uint(c, F.col("_dir") + at + i * 12, n).alias(k) for k, at, n in (("tag", 2, 2), ("kind", 4, 2), ("count", 6, 4), ("value", 10, 4))))
+    entries = F.when(whole & (many > 0), F.transform(F.sequence(F.lit(0), many.cast("int") - 1), field))
+    seen = seen.select("*", once(entries).alias("_entries"))
+    entry = lambda tag: F.get(F.filter("_entries", lambda e: e["tag"] == tag), 0)
+    # shorts fill the lower half of a little-endian value
+    number = lambda tag: F.when(entry(tag)["kind"] == 3, entry(tag)["value"].bitwiseAND(0xFFFF)).otherwise(entry(tag)["value"])
+    depth = F.when(entry(258)["count"] <= 2, number(258)).otherwise(uint(c, entry(258)["value"], 2))
+    fields = {"width": number(256), "height": number(257), "strip": number(273), "strips": entry(273)["count"], "coding": F.coalesce(number(259), F.lit(1)), "samples": number(277), "depth": depth, "model": number(262)}
+    seen = seen.select("*", once(F.when(F.col("_entries").isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))).alias("tiff")).drop("_dir", "_entries")
+    own = lambda name, like: F.when(F.col("format") == "tiff", F.col(f"tiff.{name}").cast("long")).otherwise(F.col(like)).alias(like)
+    kept = [c for c in seen.columns if c not in ("width", "height", "bits")]
+    return seen.select(*kept, own("width", "width"), own("height", "height"), own("depth", "bits"))
+
+
+def _readable() -> Column:
+    """Bitmaps of 24 bits, or of 32 without compression or with the masks of the writer; raw true-colour or gray TGA; TIFF of one raw RGBA strip."""
+    c, form = F.col("content"), F.col("format")
     masks = F.hex(F.substring(c, 55, 16)) == "0000FF0000FF0000FF000000000000FF"
-    return (F.col("format") == "bmp") & (((uint(c, 28, 2) == 24) & (uint(c, 30, 4) == 0)) | ((uint(c, 28, 2) == 32) & ((uint(c, 30, 4) == 0) | ((uint(c, 30, 4) == 3) & masks))))
+    depth, coding = uint(c, 28, 2), uint(c, 30, 4)
+    bmp = ((depth == 24) & (coding == 0)) | ((depth == 32) & ((coding == 0) | ((coding == 3) & masks)))
+    kind, tga_depth = byte_at(c, 2), byte_at(c, 16)
+    tga = ((kind == 2) & tga_depth.isin(24, 32)) | ((kind == 3) & (tga_depth == 8))
+    tiff = F.expr("tiff.coding = 1 and tiff.samples = 4 and tiff.depth = 8 and tiff.model = 2 and tiff.strips = 1")
+    return F.coalesce(F.when(form == "bmp", bmp).when(form == "tga", tga).when(form == "tiff", tiff), F.lit(False))
+
+
+def _pixels_end() -> Column:
+    """Where the pixels of a readable file end."""
+    c, form, w, h = F.col("content"), F.col("format"), F.col("width"), F.col("height")
+    lines = F.floor((w * F.floor(uint(c, 28, 2) / 8) + 3) / 4) * 4 * h
+    return F.when(form == "bmp", uint(c, 10, 4) + lines).when(form == "tga", 18 + byte_at(c, 0) + w * h * F.floor(byte_at(c, 16) / 8)).otherwise(F.col("tiff.strip") + w * h * 4)
+
+
+def _error(max_pixels: int, max_bytes: int) -> Column:
+    """Why a file gives no pixels; null if a reader gives them. The one rule of ``outcomes`` and of the readers."""
+    form, area = F.col("format"), F.col("width") * F.col("height")
+    sized = form.isin("bmp", "tga", "png", "qoi", "tiff")
+    return (
+        F.when(form.isNull(), "unknown format")
+        .when(sized & (F.col("width").isNull() | F.col("height").isNull()), "truncated header")
+        .when((F.col("width") <= 0) | (F.col("height") <= 0), "empty image")
+        .when((area > max_pixels) | (area * 4 * F.ceil(F.col("bits") / 8) > max_bytes), "over budget")
+        .when(~_readable(), F.concat(F.lit("no reader for this "), form))
+        .when(_pixels_end() > F.octet_length("content"), "truncated pixels")
+    )
 
 
-def _readable_tga() -> Column:
-    """Uncompressed true colour of 24 or 32 bits, or gray of 8 bits."""
-    kind, depth = byte_at("content", 2), byte_at("content", 16)
-    return (F.col("format") == "tga") & (((kind == 2) & depth.isin(24, 32)) | ((kind == 3) & (depth == 8)))
+def _decodable(files: DataFrame, form: str) -> DataFrame:
+    return _with_directory(files).where((F.col("format") == form) & _error(MAX_PIXELS, MAX_BYTES).isNull())
 
 
 def read_bmp(files: DataFrame) -> DataFrame:
     """Pixels of 24- and 32-bit bitmaps (image_id, content), bottom-up or top-down."""
-    seen = within_budget(inspect(files).where(_readable_bmp()))
+    seen = _decodable(files, "bmp")
     return _exploded(seen, uint("content", 10, 4), "bgra", uint("content", 22, 4) < 1 << 31, uint("content", 28, 2) / 8, padded=True)
 
 
 def read_tga(files: DataFrame) -> DataFrame:
     """Pixels of uncompressed true-colour and gray TGA (image_id, content) with any origin."""
-    seen = within_budget(inspect(files).where(_readable_tga()))
+    seen = _decodable(files, "tga")
     flags = byte_at("content", 17)
     return _exploded(seen, F.lit(18) + byte_at("content", 0), "bgra", flags.bitwiseAND(32) == 0, byte_at("content", 16) / 8, mirrored=flags.bitwiseAND(16) != 0)
 
 
 def read_tiff(files: DataFrame) -> DataFrame:
-    """Pixels of little-endian RGBA TIFF of one uncompressed strip (image_id, content); the directory is walked as an array."""
-    seen = files.where(image_format("content") == "tiff").where(F.hex(F.substring("content", 1, 2)) == "4949").select("*", once(uint("content", 4, 4)).alias("dir"))
-    entries = F.transform(F.sequence(F.lit(0), F.greatest(uint("content", F.col("dir"), 2) - 1, F.lit(0)).cast("int")), lambda i: F.struct(uint("content", F.col("dir") + 2 + i * 12, 2).alias("tag"), uint("content", F.col("dir") + 10 + i * 12, 4).alias("value")))
-    seen = seen.select("*", once(entries).alias("entries"))
-    value = lambda tag: F.get(F.filter("entries", lambda e: e["tag"] == tag), 0)["value"]
-    seen = seen.withColumns({"width": value(256), "height": value(257), "strip": value(273), "coding": value(259), "samples": value(277), "bits": F.lit(8)})
-    return _exploded(within_budget(seen.where("coding = 1 and samples = 4")), F.col("strip"), "rgba", F.lit(False))
+    """Pixels of little-endian RGBA TIFF of one uncompressed strip (image_id, content)."""
+    return _exploded(_decodable(files, "tiff"), F.col("tiff.strip"), "rgba", F.lit(False))
 
 
 def outcomes(files: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """image_id, format, status, error: whether a reader gives pixels for each file and, if not, why."""
-    seen = inspect(files)
-    c, form = F.col("content"), F.col("format")
-    area = F.col("width") * F.col("height")
-    reads = _readable_bmp() | _readable_tga() | (form == "tiff")
-    pixel = F.when(form == "bmp", uint(c, 28, 2) / 8).when(form == "tga", byte_at(c, 16) / 8).otherwise(4)
-    error = (
-        F.when(form.isNull(), "unknown format")
-        .when(form.isin("bmp", "tga", "png", "qoi") & (F.col("width").isNull() | F.col("height").isNull()), "truncated header")
-        .when((F.col("width") == 0) | (F.col("height") == 0), "empty image")
-        .when((area > max_pixels) | (area * 4 * F.ceil(F.col("bits") / 8) > max_bytes), "over budget")
-        .when(~F.coalesce(reads, F.lit(False)), F.concat(F.lit("no reader for this "), form))
-        .when((form != "tiff") & (area * pixel > F.octet_length(c)), "truncated pixels")
-    )
-    return seen.select("image_id", "format", F.when(error.isNull(), "decoded").otherwise("skipped").alias("status"), error.alias("error"))
+    seen = _with_directory(files).withColumn("error", _error(max_pixels, max_bytes))
+    return seen.select("image_id", "format", F.when(F.col("error").isNull(), "decoded").otherwise("skipped").alias("status"), "error")
 
 
 def chunks(files: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ size, so each file is walked once by a small helper over Arrow batches: markers
 up to the scan in JPEG, RIFF chunks, PNG chunks, directory entries in TIFF and
 in EXIF packets, attributes in OpenEXR. Nothing of the pixels is touched.
 
-A damaged or foreign file gives nulls and an ``error``. Packets are reported by
+A damaged or foreign file gives nulls and an ``error``; so do an ICC profile or an
+extended XMP packet of JPEG with missing parts, and senseless values in TIFF. Packets are reported by
 their sizes in bytes, null if absent.
 """
 
@@ -19,13 +20,19 @@ from pyspark.sql import functions as F
 
 from tessella.functions.binary import image_format
 
-FIELDS = ("width", "height", "bits", "model", "orientation", "ppi_x", "ppi_y", "icc_bytes", "exif_bytes", "xmp_bytes", "error")
-SCHEMA = "image_id long, format string, width long, height long, bits int, model string, orientation int, ppi_x double, ppi_y double, icc_bytes long, exif_bytes long, xmp_bytes long, error string"
-TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+PACKETS = ("icc_bytes", "exif_bytes", "xmp_bytes", "extended_xmp_bytes", "iptc_bytes")
+FIELDS = ("width", "height", "bits", "model", "orientation", "ppi_x", "ppi_y", *PACKETS, "error")
+SCHEMA = (
+    "image_id long, format string, width long, height long, bits int, model string, orientation int, ppi_x double, ppi_y double, "
+    + ", ".join(f"{c} long" for c in PACKETS)
+    + ", error string"
+)
+TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.float64(), *[pa.int64()] * len(PACKETS), pa.string()]
 #: Pixels per metre of one pixel per inch, and bytes of TIFF value types 1 to 12, fixed values.
 INCH = 39.37007874015748
 TIFF_SIZES = (1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
 XMP_IN_JPEG, XMP_IN_PNG = b"http://ns.adobe.com/xap/1.0/\0", b"XML:com.adobe.xmp\0"
+MORE_XMP, IPTC_IN_JPEG, IPTC = b"http://ns.adobe.com/xmp/extension/\0", b"Photoshop 3.0\0", 0x0404
 
 
 class Damaged(ValueError):
@@ -64,14 +71,21 @@ def _number(data: bytes, entry, kinds: str = "BHI") -> int | None:
     return _at(entry[3] + layout, data, entry[2], "value")[0] if layout in tuple(kinds) else None
 
 
-def _densities(data: bytes, entries: dict) -> dict:
-    """Orientation and pixels per inch from directory entries."""
+def _densities(data: bytes, entries: dict, strict: bool) -> dict:
+    """Orientation and pixels per inch from directory entries; strict: senseless values are errors."""
     scale = 2.54 if _number(data, entries.get(296), "H") == 3 else 1.0
-    out = {"orientation": _number(data, entries.get(274), "H") or 1}
+    turn = _number(data, entries.get(274), "H")
+    out = {"orientation": 1 if turn is None else turn}
+    if not 1 <= out["orientation"] <= 8:
+        if strict:
+            raise Damaged(f"unsupported orientation {turn}")
+        out["orientation"] = 1
     for name, tag in (("ppi_x", 282), ("ppi_y", 283)):
         kind, count, place, order = entries.get(tag, (0, 0, 0, ""))
         if kind == 5 and count:
             top, bottom = _at(f"{order}II", data, place, "value")
+            if strict and not bottom:
+                raise Damaged("a rational with a zero denominator")
             if top and bottom:
                 out[name] = top / bottom * scale
     return out
@@ -81,14 +95,56 @@ def exif(packet: bytes) -> dict:
     """Orientation (1 if it has none) and densities of an EXIF packet; a damaged packet says nothing."""
     try:
         base = 6 if packet[:6] == b"Exif\0\0" else 0
-        found = _densities(packet, directory(packet, base))
-        return found | ({} if 1 <= found["orientation"] <= 8 else {"orientation": 1})
+        return _densities(packet, directory(packet, base), strict=False)
     except Damaged:
         return {"orientation": 1}
 
 
+def _profile(parts: list[tuple[int, int, int]]) -> int | None:
+    """Bytes of an ICC profile of (number, parts in all, bytes), which must be complete and agree."""
+    if not parts:
+        return None
+    numbers = [n for n, _, _ in parts]
+    if len({total for _, total, _ in parts}) > 1 or sorted(numbers) != list(range(1, parts[0][1] + 1)):
+        raise Damaged("incomplete ICC profile")
+    return sum(size for _, _, size in parts)
+
+
+def _extended_xmp(parts: dict[bytes, list[tuple[int, int, int]]], standard: bytes) -> int | None:
+    """Bytes of the extended packet that the standard one names: (whole size, place, bytes) in any order, without a gap."""
+    of = next((v for name, v in parts.items() if name in standard), [])
+    if not of:
+        return None
+    end = 0
+    for whole, place, size in sorted(of, key=lambda x: x[1]):
+        if place != end or whole != of[0][0]:
+            raise Damaged("incomplete extended XMP")
+        end += size
+    if end != of[0][0]:
+        raise Damaged("incomplete extended XMP")
+    return end
+
+
+def _iptc(body: bytes) -> int | None:
+    """Bytes of the IPTC resource among the image resources of a segment."""
+    at = len(IPTC_IN_JPEG)
+    while body[at : at + 4] == b"8BIM" and at + 7 <= len(body):
+        number, name = struct.unpack_from(">HB", body, at + 4)
+        at += 6 + name + 1 + (name + 1) % 2
+        if at + 4 > len(body):
+            return None
+        (size,) = struct.unpack_from(">I", body, at)
+        at += 4
+        if size > len(body) - at:
+            return None
+        if number == IPTC:
+            return size
+        at += size + size % 2
+    return None
+
+
 def jpeg(data: bytes) -> dict:
-    out, icc, at, own, density = {"orientation": 1}, None, 2, {}, {}
+    out, icc, more, standard, at, own, density = {"orientation": 1}, [], {}, b"", 2, {}, {}
     while True:
         at = data.find(b"\xff", at)
         while 0 <= at < len(data) and data[at] == 0xFF:
@@ -113,13 +169,19 @@ def jpeg(data: bytes) -> dict:
         elif marker == 0xE1 and body[:6] == b"Exif\0\0":
             own, out["exif_bytes"] = exif(body), len(body)
         elif marker == 0xE1 and body.startswith(XMP_IN_JPEG):
-            out["xmp_bytes"] = len(body) - len(XMP_IN_JPEG)
+            standard, out["xmp_bytes"] = body, len(body) - len(XMP_IN_JPEG)
+        elif marker == 0xE1 and body.startswith(MORE_XMP) and len(body) >= len(MORE_XMP) + 40:
+            name, whole, place = _at(">32sII", body, len(MORE_XMP), "segment")
+            more.setdefault(name, []).append((whole, place, len(body) - len(MORE_XMP) - 40))
         elif marker == 0xE2 and body[:12] == b"ICC_PROFILE\0" and len(body) >= 14:
-            icc = (icc or 0) + len(body) - 14
+            icc.append((body[12], body[13], len(body) - 14))
+        elif marker == 0xED and body.startswith(IPTC_IN_JPEG) and "iptc_bytes" not in out:
+            found = _iptc(body)
+            out |= {} if found is None else {"iptc_bytes": found}
         at += size
     if "width" not in out:
         raise Damaged("no frame header")
-    return out | {"icc_bytes": icc} | density | own
+    return out | {"icc_bytes": _profile(icc), "extended_xmp_bytes": _extended_xmp(more, standard)} | density | own
 
 
 def webp(data: bytes) -> dict:
@@ -185,14 +247,24 @@ def png(data: bytes) -> dict:
     return out
 
 
+def _depth(data: bytes, entry) -> int:
+    """Bits of a sample, which all channels must share."""
+    if entry is None or entry[0] != 3 or not entry[1]:
+        return 1
+    depths = set(_at(f"{entry[3]}{entry[1]}H", data, entry[2], "value"))
+    if len(depths) > 1:
+        raise Damaged("channels of different depths")
+    return depths.pop()
+
+
 def tiff(data: bytes) -> dict:
     e = directory(data)
     size = [_number(data, e.get(tag), "HI") for tag in (256, 257)]
     if None in size or 262 not in e:
         raise Damaged("no dimensions")
-    bits, photometric = _number(data, e.get(258), "H") or 1, _number(data, e[262], "H")
+    bits, photometric = _depth(data, e.get(258)), _number(data, e[262], "H")
     length = lambda tag: e[tag][1] * TIFF_SIZES[e[tag][0] - 1] if tag in e else None
-    return {"width": size[0], "height": size[1], "bits": bits, "model": {5: "cmyk", 8: "lab", 9: "lab"}.get(photometric, "rgb"), "icc_bytes": length(34675), "xmp_bytes": length(700)} | _densities(data, e)
+    return {"width": size[0], "height": size[1], "bits": bits, "model": {5: "cmyk", 8: "lab", 9: "lab"}.get(photometric, "rgb"), "icc_bytes": length(34675), "xmp_bytes": length(700)} | _densities(data, e, strict=True)
 
 
 def open_exr(data: bytes) -> dict:
@@ -213,9 +285,11 @@ def open_exr(data: bytes) -> dict:
         elif name == b"channels":
             place, widest = at, 0
             while place < at + size and data[place]:
-                place = data.find(b"\0", place, at + size) + 1
-                (kind,) = _at("<i", data, place, "channel")
-                widest, place = max(widest, 16 if kind == 1 else 32), place + 16
+                ends = data.find(b"\0", place, at + size)
+                if ends < 0:
+                    raise Damaged("truncated channel list")
+                (kind,) = _at("<i", data, ends + 1, "channel")
+                widest, place = max(widest, 16 if kind == 1 else 32), ends + 17
             out["bits"] = widest
         at += size
     if "width" not in out:

@@ -163,8 +163,8 @@ ORACLE["inspect_headers"] = f"{_META} SELECT image_id, format, {_SEEN.format('w'
 ORACLE["budget_filter"] = f"{_META} SELECT image_id, w AS width, h AS height FROM m WHERE format <> 'tiff' AND w * h <= 600"
 ORACLE["file_outcomes"] = f"""{_META}, c AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN length // 2 ELSE length END AS kept FROM m),
  e AS (SELECT *, CASE WHEN format = 'tga' AND image_id % 3 = 0 THEN NULL ELSE format END AS seen FROM c),
- o AS (SELECT image_id, seen, CASE WHEN seen IS NULL THEN 'unknown format' WHEN seen <> 'tiff' AND w * h > 640 THEN 'over budget' WHEN seen = 'png' THEN 'no reader for this png'
-   WHEN seen <> 'tiff' AND 4 * w * h > kept THEN 'truncated pixels' END AS error FROM e)
+ o AS (SELECT image_id, seen, CASE WHEN seen IS NULL THEN 'unknown format' WHEN seen = 'tiff' AND kept < length THEN 'truncated header' WHEN w * h > 640 THEN 'over budget'
+   WHEN seen = 'png' THEN 'no reader for this png' WHEN 4 * w * h + CASE seen WHEN 'bmp' THEN 122 WHEN 'tga' THEN 18 ELSE 8 END > kept THEN 'truncated pixels' END AS error FROM e)
  SELECT image_id, seen AS format, CASE WHEN error IS NULL THEN 'decoded' ELSE 'skipped' END AS status, error FROM o"""
 ORACLE["metadata_headers"] = """SELECT CAST(s_suppkey * 3 + k AS BIGINT) AS image_id, ['jpeg', 'webp', 'open_exr'][k + 1] AS format, CAST(s_suppkey % 4000 + 1 AS BIGINT) AS width, CAST(s_nationkey * 9 + 7 AS BIGINT) AS height,
   CAST([8, 8, 32][k + 1] AS INTEGER) AS bits, 'rgb' AS model, CAST(CASE WHEN k = 0 THEN s_suppkey % 8 + 1 ELSE 1 END AS INTEGER) AS orientation,
