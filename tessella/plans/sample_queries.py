@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import metadata, pixels, samples
+from tessella.operators import files, metadata, pixels, samples
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
-from tessella.sources import rasters
+from tessella.sources import datasource, rasters
+from tessella.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -258,9 +259,7 @@ def rct_permutations(s, d):
 @query(_r2("SELECT image_id, w, h, CAST(max(CASE WHEN y = h // 2 AND x = 3 THEN CAST(r AS BIGINT) * 16777216 + g * 65536 + b * 256 + a END) AS BIGINT) AS pixel, max(w) * 4 AS row_bytes FROM (SELECT r2.*, w, h FROM r2 JOIN (SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS w, CAST(max(y) + 1 AS INTEGER) AS h FROM r2 GROUP BY image_id) USING (image_id)) GROUP BY image_id, w, h"))
 def pixel_access(s, d):
     """One pixel of each image out of its packed bytes, read from a row that is cut out by its stride."""
-    from tessella.operators.files import _gathered
-
-    g = _gathered(_r2p(s, d)).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.unhex(F.concat_ws("", "rgba")).alias("content"))
+    g = files._gathered(_r2p(s, d)).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"), F.unhex(F.concat_ws("", "rgba")).alias("content"))
     row = samples.packed_row(F.col("content"), F.col("w") * 4, F.expr("h div 2"), F.col("w"))
     pixel = F.conv(F.hex(F.substring(row, 13, 4)), 16, 10).cast("long")
     return g.select("image_id", "w", "h", pixel.alias("pixel"), F.octet_length(row).alias("row_bytes"))
@@ -308,6 +307,20 @@ def events_as_of(s, d):
     return marked.select("event_id", F.last("mark", ignorenulls=True).over(before).alias("before_id"))
 
 
+# the data source
+@query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
+ FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))
+def raster_source(s, d):
+    """Images written as files by the data source and read back by it, with the wanted lines pushed down."""
+    datasource.register(s)
+    folder = shared_folder(s, "rasters")
+    files.write_tga(_r2p(s, d)).select("image_id", "content").write.format("raster").option("kind", "tga").mode("append").save(folder)
+    p = s.read.format("raster").load(folder).where("y >= 1 and y <= 30")
+    image = F.regexp_extract("path", r"([0-9]+)-[0-9]+\.tga$", 1).cast("long").alias("image_id")
+    total = lambda c, alias: F.sum(c).cast("long").alias(alias)
+    return p.groupBy(image).agg(F.max("width").alias("width"), F.count("*").alias("n"), total(F.col("r"), "r"), total(F.col("g") * (F.col("x") + 1), "g"), total(F.col("b") * (F.col("y") + 1), "b"), total(F.col("a"), "a"))
+
+
 # sets, approximate aggregates
 @query(_r2("SELECT r, g, b FROM r2 WHERE a = 255 INTERSECT SELECT r, g, b FROM r2 WHERE a < 255"))
 def colours_with_and_without_alpha(s, d):
