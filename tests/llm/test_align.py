@@ -106,6 +106,21 @@ def test_parts_give_the_ids_of_the_whole(libraries, monkeypatch, part, at_once):
         assert (n_a, n_b, n_groups, hashlib.sha256(written).hexdigest() if n_groups else "") == (*want[i][1:4], want[i][7]), texts[i]
 
 
+def test_the_quicker_library_gives_the_same_ids(libraries):
+    """Every plain character among letters, digits, spaces and signs, and at random."""
+    c, r = align.Aligner(*PATHS), random.Random(3)
+    assert c.fast is not None
+    plain = [x for x in map(chr, range(0x2030)) if align.PLAIN.fullmatch(x)]
+    assert len(plain) == 0x250 + 0x18
+    texts = [t for x in plain for t in (x, f"a{x}b", f"1{x}2", f" {x} ", f".{x}.", f"{x}{x} {x}'s", f"\n{x}\n\n{x}")]
+    texts += ["".join(r.choice(plain[:128] if r.random() < 0.7 else plain) for _ in range(r.randint(0, 60))) for _ in range(4000)]
+    texts += [" " * 5000, "\n \t" * 3000, "x" * 5000, "'" * 900]
+    want = [e.ids for e in libraries[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert c.left(texts) == want
+    c.fast = None
+    assert c.left(texts[:50]) == want[:50]
+
+
 def test_groups_are_the_written_ones(spark):
     rows = [(1, "hello world, indeed"), (2, None)]
     got = {r.doc_id: r.groups for r in align.groups(spark.createDataFrame(rows, "doc_id long, text string"), *PATHS).collect()}
