@@ -34,6 +34,19 @@ def paeth(a: Column, b: Column, c: Column) -> Column:
     return F.when((pa <= pb) & (pa <= pc), a).when(pb <= pc, b).otherwise(c)
 
 
+def block_mode_guess(mode: int, c: str) -> Column:
+    """The guess of a block's mode (1 left, 2 up, 7 their mean, 11 the one that the corner speaks for) for channel c among ``neighbours``.
+
+    The first row is predicted from the left, the first column from above, the first pixel from opaque black.
+    """
+    first_row, first_column = F.col("y") == 0, F.col("x") == 0
+    left, up = F.col(f"{c}_l"), F.col(f"{c}_u")
+    left_far = sum((F.abs(F.col(f"{k}_l") - F.col(f"{k}_ul")) for k in RGBA), F.lit(0))
+    up_far = sum((F.abs(F.col(f"{k}_u") - F.col(f"{k}_ul")) for k in RGBA), F.lit(0))
+    inner = {1: left, 2: up, 7: F.shiftright(left + up, 1), 11: F.when(left_far <= up_far, up).otherwise(left)}[mode]
+    return F.when(first_row & first_column, 255 if c == "a" else 0).when(first_row, left).when(first_column, up).otherwise(inner)
+
+
 def png_filters(pixels: DataFrame) -> DataFrame:
     """The filter of each row with the least sum of absolute residuals, the lowest number on a tie; up and Paeth not on the first row."""
     near = neighbours(pixels, RGBA)

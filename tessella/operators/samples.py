@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import colour
-from tessella.operators.pixels import RGBA, neighbours, raster_runs, runs
+from tessella.operators.pixels import RGBA, block_mode_guess, neighbours, raster_runs, runs
 
 
 def predictions(pixels: DataFrame, channel: str) -> DataFrame:
@@ -116,17 +116,11 @@ def block_predictors(pixels: DataFrame, size: int = 32) -> DataFrame:
     column from above, the first pixel is opaque black.
     """
     near = neighbours(pixels, RGBA)
-    first_row, first_column = F.col("y") == 0, F.col("x") == 0
-    left_far = sum((F.abs(F.col(f"{c}_l") - F.col(f"{c}_ul")) for c in RGBA), F.lit(0))
-    up_far = sum((F.abs(F.col(f"{c}_u") - F.col(f"{c}_ul")) for c in RGBA), F.lit(0))
 
     def cost(mode: int) -> Column:
         total = F.lit(0)
         for c in RGBA:
-            left, up = F.col(f"{c}_l"), F.col(f"{c}_u")
-            inner = {1: left, 2: up, 7: F.shiftright(left + up, 1), 11: F.when(left_far <= up_far, up).otherwise(left)}[mode]
-            guess = F.when(first_row & first_column, 255 if c == "a" else 0).when(first_row, left).when(first_column, up).otherwise(inner)
-            off = (F.col(c) - guess).bitwiseAND(255)
+            off = (F.col(c) - block_mode_guess(mode, c)).bitwiseAND(255)
             total = total + F.least(off, 256 - off)
         return total
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import files, metadata, pixels, samples
+from tessella.operators import files, lines, metadata, pixels, samples
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
@@ -307,6 +307,31 @@ def events_as_of(s, d):
     return marked.select("event_id", F.last("mark", ignorenulls=True).over(before).alias("before_id"))
 
 
+# inverse predictors: what was predicted comes back
+@query(_r2("SELECT image_id, y, x, r, g, b, a FROM r2"))
+def png_unfilter(s, d):
+    """Residuals under the chosen filter of each row, restored row by row."""
+    return lines.png_restored(lines.png_residuals(_r2p(s, d)))
+
+
+@query(_r2("SELECT image_id, y, x, r, g, b, a FROM r2"))
+def block_predictors_undo(s, d):
+    """Residuals under the chosen mode of each block of 8, restored row by row."""
+    p = _r2p(s, d)
+    return lines.block_restored(lines.block_residuals(p, samples.block_predictors(p, 8), 8))
+
+
+@query(_r2("SELECT kind, image_id, y, x, a FROM r2, (VALUES ('horizontal'), ('vertical'), ('gradient')) AS t(kind)"))
+def alpha_filters_undo(s, d):
+    """Residuals of the alpha plane under each filter, restored row by row."""
+    p = _r2p(s, d).select("image_id", "y", "x", "a")
+    out = None
+    for kind in lines.ALPHA_FILTERS:
+        one = lines.alpha_restored(lines.alpha_residuals(p, kind), kind).select(F.lit(kind).alias("kind"), "image_id", "y", "x", "a")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # the data source
 @query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
  FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))
