@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import files, lines, metadata, pixels, samples
+from tessella.operators import files, lines, metadata, pixels, pyramid, samples, transforms
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
@@ -332,6 +332,112 @@ def alpha_filters_undo(s, d):
     return out
 
 
+# block transforms and pyramids
+def _red_plane(s, d):
+    """The red plane of the line-item images, filled up to whole blocks of 8."""
+    p = _r2p(s, d)
+    return samples.edge_replicated(p, rasters.image_sizes(p), 8).select("image_id", "y", "x", F.col("r").alias("v"))
+
+
+_GROWN = """, z AS (SELECT image_id, max(y) + 1 AS h FROM r2 GROUP BY image_id),
+ gr AS (SELECT z.image_id, CAST(py AS INTEGER) AS y, x, r AS v FROM z, range(1, 8) AS e(k), LATERAL (SELECT h - 1 + k AS py) JOIN r2 ON r2.image_id = z.image_id AND r2.y = h - 1 WHERE py < (h + 7) // 8 * 8
+   UNION ALL SELECT image_id, y, x, r FROM r2)"""
+_QUALITY = 75
+_TABLE = transforms.quality_table(_QUALITY)
+_STEPS = ", ".join(f"({v}, {h}, {e}, {transforms.zigzag(8)[v][h]})" for v, row in enumerate(_TABLE) for h, e in enumerate(row))
+
+
+@query(_r2(_GROWN + f""", st(u, w, e, place) AS (VALUES {_STEPS}), basis AS (SELECT CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, sqrt(CASE WHEN k = 0 THEN 0.125 ELSE 0.25 END) * cos(pi() * (2 * i + 1) * k / 16) AS c FROM range(8) AS a(k), range(8) AS b(i)),
+ across AS (SELECT image_id, y, x // 8 AS bx, k AS w, sum(v * c) AS s FROM gr JOIN basis ON i = x % 8 GROUP BY ALL),
+ down AS (SELECT image_id, y // 8 AS by_, bx, k AS u, w, round(sum(s * c), 6) AS s FROM across JOIN basis ON i = y % 8 GROUP BY ALL),
+ q AS (SELECT image_id, CAST(by_ AS INTEGER) AS block_y, CAST(bx AS INTEGER) AS block_x, place, CAST(sign(s) * floor(abs(s / e) + 0.5) AS INTEGER) AS q FROM down JOIN st ON st.u = down.u AND st.w = down.w)
+ SELECT image_id, block_y, block_x, place, q FROM q WHERE q <> 0"""))
+def dct8_quantised(s, d):
+    """Cosine coefficients of 8 by 8 blocks over a table of quality 75, by their place on the zigzag way."""
+    return transforms.quantised(transforms.cosine(_red_plane(s, d)), _TABLE)
+
+
+@query(_r2(_GROWN + " SELECT image_id, y, x, v FROM gr"))
+def dct8_roundtrip(s, d):
+    """Cosine coefficients and back, rounded."""
+    return transforms.cosine_inverse(transforms.cosine(_red_plane(s, d))).select("image_id", "y", "x", F.round("v").cast("int").alias("v"))
+
+
+@query(_r2(_GROWN + " SELECT image_id, y, x, v FROM gr"))
+def dct4_roundtrip(s, d):
+    """The same with blocks of 4."""
+    return transforms.cosine_inverse(transforms.cosine(_red_plane(s, d), 4), 4).select("image_id", "y", "x", F.round("v").cast("int").alias("v"))
+
+
+def _cells(pick: str = "v") -> str:
+    return ", ".join(f"max(CASE WHEN y % 4 = {k // 4} AND x % 4 = {k % 4} THEN {pick} END) AS c{k}" for k in range(16))
+
+
+def _four(table: str, step, rows: bool) -> str:
+    """One pass over the four rows or columns of blocks c0 to c15; ``step`` gives the SQL of four results."""
+    out = {}
+    for i in range(4):
+        at = [4 * i + j if rows else 4 * j + i for j in range(4)]
+        out |= dict(zip(at, step(*(f"c{k}" for k in at))))
+    return f"(SELECT image_id, by_, bx, {', '.join(f'({v}) AS c{k}' for k, v in sorted(out.items()))} FROM {table})"
+
+
+def _spread(table: str) -> str:
+    return f"SELECT image_id, CAST(by_ * 4 + k // 4 AS INTEGER) AS y, CAST(bx * 4 + k % 4 AS INTEGER) AS x, CAST([{', '.join(f'c{k}' for k in range(16))}][k + 1] AS INTEGER) AS v FROM {table}, range(16) AS kk(k)"
+
+
+_FOURS = _GROWN + f", b4 AS (SELECT image_id, y // 4 AS by_, x // 4 AS bx, {_cells('CAST(v AS BIGINT) - 128')} FROM gr GROUP BY ALL)"
+_FORWARD4 = _four(
+    _four("b4", lambda a, b, c, d: (f"8 * ({a} + {b} + {c} + {d})", f"(({b} - {c}) * 2217 + ({a} - {d}) * 5352 + 1812) >> 9", f"8 * ({a} - {b} - {c} + {d})", f"(({a} - {d}) * 2217 - ({b} - {c}) * 5352 + 937) >> 9"), True),
+    lambda a, b, c, d: (f"({a} + {b} + {c} + {d} + 7) >> 4", f"((({b} - {c}) * 2217 + ({a} - {d}) * 5352 + 12000) >> 16) + CASE WHEN {a} <> {d} THEN 1 ELSE 0 END", f"({a} - {b} - {c} + {d} + 7) >> 4", f"(({a} - {d}) * 2217 - ({b} - {c}) * 5352 + 51000) >> 16"),
+    False,
+)
+
+
+def _inverse4_sql(add: int, shift: int):
+    def step(a, b, c, d):
+        up, down = f"({b} + ({b} * 20091 >> 16) + ({d} * 35468 >> 16))", f"(({b} * 35468 >> 16) - {d} - ({d} * 20091 >> 16))"
+        return [f"({v}) >> {shift}" for v in (f"{a} + {c} + {add} + {up}", f"{a} - {c} + {add} + {down}", f"{a} - {c} + {add} - {down}", f"{a} + {c} + {add} - {up}")]
+
+    return step
+
+
+def _centred(s, d):
+    return transforms.gathered4(_red_plane(s, d).withColumn("v", F.col("v") - 128))
+
+
+@query(_r2(_FOURS + " " + _spread(_FORWARD4)))
+def residual_dct4(s, d):
+    """Integer coefficients of 4 by 4 blocks of residuals."""
+    return transforms.spread4(transforms.residual_forward(_centred(s, d)))
+
+
+@query(_r2(_FOURS + " " + _spread(_four(_four(_FORWARD4, _inverse4_sql(0, 0), False), _inverse4_sql(4, 3), True))))
+def residual_dct4_inverse(s, d):
+    """Residuals from those coefficients."""
+    return transforms.spread4(transforms.residual_inverse(transforms.residual_forward(_centred(s, d))))
+
+
+_WHT = _four(
+    _four("b4", lambda a, b, c, d: (f"{a} + {b} + {c} + {d}", f"{a} + {b} - {c} - {d}", f"{a} - {b} - {c} + {d}", f"{a} - {b} + {c} - {d}"), True),
+    lambda a, b, c, d: [f"({v}) >> 1" for v in (f"{a} + {b} + {c} + {d}", f"{a} + {b} - {c} - {d}", f"{a} - {b} - {c} + {d}", f"{a} - {b} + {c} - {d}")],
+    False,
+)
+
+
+@query(_r2(_FOURS + " " + _spread(_WHT)))
+def hadamard4(s, d):
+    """Walsh-Hadamard coefficients of 4 by 4 blocks."""
+    return transforms.spread4(transforms.hadamard_forward(_centred(s, d)))
+
+
+@query(_r2("SELECT image_id, y, x, r AS v FROM r2"))
+def squeeze_roundtrip(s, d):
+    """The red plane through a pyramid of six steps and back."""
+    plane = _r2p(s, d).select("image_id", "y", "x", F.col("r").alias("v"))
+    return pyramid.unsqueezed(pyramid.squeezed(plane, 6), 6)
+
+
 # the data source
 @query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
  FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))
