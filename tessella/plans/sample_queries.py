@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import files, lines, metadata, pixels, pyramid, samples, transforms
+from tessella.operators import codes, files, lines, metadata, pixels, pyramid, samples, transforms
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
@@ -438,6 +438,41 @@ def squeeze_roundtrip(s, d):
     return pyramid.unsqueezed(pyramid.squeezed(plane, 6), 6)
 
 
+# what entropy coders need
+_SYMBOLS = ", s AS (SELECT image_id, channel, symbol, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT image_id, '{c}' AS channel, {c} AS symbol FROM r2" for c in "rgba") + ") GROUP BY ALL)"
+
+
+@query(_r2(_SYMBOLS + """, t AS (SELECT *, sum(n) OVER w AS total, count(*) OVER w AS used, least(greatest(n * 4096 // sum(n) OVER w, 1), 4095) AS f FROM s WINDOW w AS (PARTITION BY image_id, channel)),
+ u AS (SELECT *, 4096 - sum(f) OVER w AS rest, row_number() OVER (PARTITION BY image_id, channel ORDER BY f DESC, symbol) AS k FROM t WINDOW w AS (PARTITION BY image_id, channel))
+ SELECT image_id, channel, symbol, n, CAST(CASE WHEN used = 1 THEN 4096 ELSE f + CASE WHEN k = 1 THEN rest ELSE 0 END END AS INTEGER) AS frequency FROM u"""))
+def normalised_counts(s, d):
+    """Counts of the samples of each channel, scaled to 4,096."""
+    return codes.normalised(codes.symbol_counts(_r2p(s, d)), ["image_id", "channel"])
+
+
+@query(_r2(_SYMBOLS + " SELECT image_id, channel, count(*) AS symbols, CASE WHEN count(*) = 1 THEN 0.5 ELSE 1.0::DOUBLE END AS kraft, CAST(sum(n) AS BIGINT) AS n, true AS near_entropy FROM s GROUP BY image_id, channel"))
+def prefix_codes(s, d):
+    """Optimal code lengths of each channel's samples: their Kraft sum, and whether they cost less than a bit a sample over the entropy."""
+    made = codes.with_lengths(codes.symbol_counts(_r2p(s, d)), ["image_id", "channel"])
+    g = made.groupBy("image_id", "channel").agg(F.count("*").alias("symbols"), F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("kraft"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("length")).alias("bits"), F.sum(F.col("n") * F.log2("n")).alias("own"))
+    entropy = F.col("n") * F.log2("n") - F.col("own")
+    near = F.when(F.col("symbols") == 1, F.col("bits") == F.col("n")).otherwise((F.col("bits") >= entropy - 1e-6) & (F.col("bits") < entropy + F.col("n")))
+    return g.select("image_id", "channel", "symbols", "kraft", "n", near.alias("near_entropy"))
+
+
+def context_trees(s, d):
+    """A tree of cuts for each channel over all images: tokens are sizes of left differences, properties the samples above and on the left and their difference."""
+    near = pixels.neighbours(_r2p(s, d), tuple("rgb"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("channel"), F.col(c).alias("v"), F.col(f"{c}_l").alias("left"), F.col(f"{c}_u").alias("up")) for k, c in enumerate("rgb"))))
+    e = near.select(each.alias("e")).select("e.*")
+    token = F.length(F.bin(F.abs(F.col("v") - F.col("left"))))
+    samples_ = e.select("channel", "left", "up", (F.col("left") - F.col("up")).alias("turn"), token.alias("token"))
+    return codes.context_tree(samples_, "channel", ["left", "up", "turn"], "token", contexts=16).withColumnRenamed("grp", "channel")
+
+
+QUERIES["context_trees"] = context_trees
+
+
 # the data source
 @query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
  FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))

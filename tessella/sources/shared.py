@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -24,3 +24,10 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to a new shared folder and reads it back, which cuts its lineage for good."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
