@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import colour, light
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import codes, files, lines, metadata, pixels, pyramid, samples, transforms
+from tessella.operators import codes, files, lines, metadata, pixels, pyramid, samples, stencils, transforms
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
@@ -438,6 +438,35 @@ def squeeze_roundtrip(s, d):
     return pyramid.unsqueezed(pyramid.squeezed(plane, 6), 6)
 
 
+# neighbourhoods
+_AROUND = """, z AS (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM r2 GROUP BY image_id),
+ nb AS (SELECT p.image_id, p.y, p.x, dy, dx, p.r / 255.0 AS pr, p.g / 255.0 AS pg, p.b / 255.0 AS pb, q.r / 255.0 AS r, q.g / 255.0 AS g, q.b / 255.0 AS b FROM r2 p JOIN z USING (image_id), range(-1, 2) AS a(dy), range(-1, 2) AS c(dx), r2 q
+   WHERE q.image_id = p.image_id AND q.y = least(greatest(p.y + dy, 0), h - 1) AND q.x = least(greatest(p.x + dx, 0), w - 1))"""
+_SMOOTH_W = f"CASE abs(dy) + abs(dx) WHEN 0 THEN 1 WHEN 1 THEN {stencils.SMOOTH[0]} ELSE {stencils.SMOOTH[1]} END"
+_EDGE_W = f"greatest(0, 1 - (40 * abs(r - pr) + 5 * abs(g - pg) + 3.5 * abs(b - pb)) * {stencils.STEP * 6.5!r} / 30 * CASE WHEN y % 8 IN (0, 7) OR x % 8 IN (0, 7) THEN {2 / 3!r} ELSE 1 END)"
+
+
+def _unit_planes(s, d):
+    p = _r2p(s, d)
+    return p.select("image_id", "y", "x", *(_unit(c).alias(c) for c in "rgb")), rasters.image_sizes(p)
+
+
+def _rounded(p):
+    return p.select("image_id", "y", "x", *(F.round(c, 6).alias(c) for c in "rgb"))
+
+
+@query(_r2(_AROUND + " SELECT image_id, y, x, " + ", ".join(f"round(sum({c} * {_SMOOTH_W}) / {1 + 4 * sum(stencils.SMOOTH)!r}, 6) AS {c}" for c in "rgb") + " FROM nb GROUP BY image_id, y, x"))
+def smoothed_planes(s, d):
+    """Weighted means of three by three, by tiles of 8 that exchange their edges."""
+    return _rounded(stencils.smoothed(*_unit_planes(s, d), ("r", "g", "b"), tile=8))
+
+
+@query(_r2(_AROUND + " SELECT image_id, y, x, " + ", ".join(f"round(sum({c} * w) / sum(w), 6) AS {c}" for c in "rgb") + f" FROM (SELECT *, {_EDGE_W} AS w FROM nb WHERE abs(dy) + abs(dx) < 2) GROUP BY image_id, y, x"))
+def edge_preserving_planes(s, d):
+    """Means that weigh less what differs more, by tiles of 8."""
+    return _rounded(stencils.edge_preserving_pass(*_unit_planes(s, d), ("r", "g", "b"), 2, 30.0, tile=8))
+
+
 # what entropy coders need
 _SYMBOLS = ", s AS (SELECT image_id, channel, symbol, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT image_id, '{c}' AS channel, {c} AS symbol FROM r2" for c in "rgba") + ") GROUP BY ALL)"
 
