@@ -10,10 +10,14 @@ says of every file what becomes of it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.binary import byte_at, hex_uint, image_format, uint
+from tessella.functions.tables import png_chunks
 
 #: Default limits of every reader.
 MAX_PIXELS, MAX_BYTES = 100_000_000, 400_000_000
@@ -258,18 +262,16 @@ def outcomes(files: DataFrame, max_pixels: int = MAX_PIXELS, max_bytes: int = MA
 
 
 def chunks(files: DataFrame) -> DataFrame:
-    """The chunks of PNG files: image_id, n, name, size, whether the check sum holds."""
-    c = F.col("content")
-    start = F.struct(F.lit(8).cast("long").alias("at"), F.array().cast("array<struct<name:string,size:long,ok:boolean>>").alias("found"))
+    """The chunks of PNG files: image_id, n, name, size, whether the check sum holds. Each place depends on the size before, so a file is walked."""
 
-    def step(s, _):
-        size = uint(c, s["at"], 4, little=False)
-        name = F.decode(F.substring(c, (s["at"] + 5).cast("int"), F.lit(4)), "US-ASCII")
-        good = F.crc32(F.substring(c, (s["at"] + 5).cast("int"), (size + 4).cast("int"))) == uint(c, s["at"] + 8 + size, 4, little=False)
-        return F.when(s["at"] + 12 > F.octet_length(c), s).otherwise(F.struct((s["at"] + size + 12).alias("at"), F.concat(s["found"], F.array(F.struct(name.alias("name"), size.alias("size"), good.alias("ok")))).alias("found")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(image, *c) for image, data in zip(*(c.to_pylist() for c in batch.columns)) for c in png_chunks(data)]
+            types = {"image_id": pa.int64(), "n": pa.int32(), "name": pa.string(), "size": pa.int64(), "ok": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
-    walked = files.where(image_format(c) == "png").withColumn("w", F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.expr("octet_length(content) div 12").cast("int"))), start, step))
-    return walked.select("image_id", F.posexplode("w.found").alias("n", "k")).select("image_id", "n", "k.name", "k.size", "k.ok")
+    seen = files.where(image_format("content") == "png").select(F.col("image_id").cast("long").alias("image_id"), "content")
+    return seen.mapInArrow(run, "image_id long, n int, name string, size long, ok boolean")
 
 
 def joined_segments(segments: DataFrame) -> DataFrame:

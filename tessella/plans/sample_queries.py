@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.functions import colour, light
+from tessella.functions import colour, light, tables
+from tessella.functions.binary import hex_uint
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
 from tessella.operators import codes, files, lines, metadata, pixels, pyramid, samples, stencils, transforms
+from tessella.plans.oracle import ORACLE as CORE_ORACLE
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
+from tessella.streaming import containers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -502,6 +505,36 @@ def context_trees(s, d):
 QUERIES["context_trees"] = context_trees
 
 
+# containers and table functions
+def _container_files(s, d):
+    """For each document a container of a type box, an EXIF box and two parts of a codestream, the second open-ended for every third one."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    of = lambda tag, size: F.concat(hex_uint(size, 4, little=False), F.lit(tag.encode().hex()))
+    n = F.octet_length("raw")
+    half = F.expr("octet_length(raw) div 2")
+    docs = rasters.table(s, d, "documents").select(F.col("doc_id").alias("image_id"), text.alias("raw"))
+    first = F.concat(of("jxlp", half + 12), F.lit("00000000"), F.hex(F.expr("substring(raw, 1, octet_length(raw) div 2)")))
+    last = F.concat(of("jxlp", F.when(F.col("image_id") % 3 == 0, 0).otherwise(n - half + 12)), F.lit("80000001"), F.hex(F.expr("substring(raw, octet_length(raw) div 2 + 1)")))
+    head = containers.SIGNATURE.hex() + "00000014" + b"ftypjxl ".hex() + "00" * 8 + "00000001" + b"Exif".hex() + "0000000000000015" + "00" * 5
+    return docs.select("image_id", F.unhex(F.concat(F.lit(head), first, last)).alias("content"))
+
+
+@query("""WITH t AS (SELECT doc_id AS image_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+ SELECT image_id, CAST(k AS INTEGER) AS n, ['ftyp', 'Exif', 'jxlp', 'jxlp'][k + 1] AS tag, CAST([12, 32, 53, 65 + t.n // 2][k + 1] AS BIGINT) AS "at",
+   CAST(CASE k WHEN 0 THEN 20 WHEN 1 THEN 21 WHEN 2 THEN t.n // 2 + 12 ELSE CASE WHEN image_id % 3 = 0 THEN NULL ELSE t.n - t.n // 2 + 12 END END AS BIGINT) AS size FROM t, range(4) AS kk(k)""")
+def container_boxes(s, d):
+    """The boxes of containers, without their payloads."""
+    return containers.boxes(_container_files(s, d))
+
+
+@query(CORE_ORACLE["png_chunks"])
+def chunk_table_function(s, d):
+    """PNG chunks by a table function called from SQL, a partition an image."""
+    tables.register(s)
+    files.write_png(_r2p(s, d)).createOrReplaceTempView("tessella_chunk_files")
+    return s.sql("SELECT image_id, n, name, size, ok FROM image_chunks(TABLE(tessella_chunk_files) PARTITION BY image_id)")
+
+
 # the data source
 @query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
  FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))
