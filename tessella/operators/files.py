@@ -135,8 +135,8 @@ def write_all(pixels: DataFrame) -> DataFrame:
 
 
 def inspect(files: DataFrame) -> DataFrame:
-    """Adds format, width, height, bits, ppi_x and ppi_y from headers, without reading pixels."""
-    files = files.select("*", once(image_format("content")).alias("format"))
+    """Adds format, width, height, bits, ppi_x and ppi_y from headers, without reading pixels; columns of those names are replaced."""
+    files = files.drop("format", "width", "height", "bits", "ppi_x", "ppi_y", "tiff").select("*", once(image_format("content")).alias("format"))
     c, form = F.col("content"), F.col("format")
     be = lambda at, n: uint(c, at, n, little=False)
     signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
