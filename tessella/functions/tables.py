@@ -1,7 +1,7 @@
 """Table functions for SQL: chunks and pixels of files.
 
     SELECT * FROM image_chunks(TABLE(files) PARTITION BY image_id)
-    SELECT * FROM image_pixels(TABLE(files) PARTITION BY image_id, 1000000)
+    SELECT * FROM image_pixels(TABLE(files) PARTITION BY (image_id), 1000000)
 
 ``files`` has image_id and content, and may have more columns. Each file is one call, so
 rows of one image_id are separate files and nothing is held between them.

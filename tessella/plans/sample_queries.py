@@ -520,11 +520,11 @@ def _container_files(s, d):
 
 
 @query("""WITH t AS (SELECT doc_id AS image_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
- SELECT image_id, CAST(k AS INTEGER) AS n, ['ftyp', 'Exif', 'jxlp', 'jxlp'][k + 1] AS tag, CAST([12, 32, 53, 65 + t.n // 2][k + 1] AS BIGINT) AS "at",
+ SELECT image_id, CAST(k AS INTEGER) AS n, ['ftyp', 'Exif', 'jxlp', 'jxlp'][k + 1] AS tag, CAST([12, 32, 53, 65 + t.n // 2][k + 1] AS BIGINT) AS place,
    CAST(CASE k WHEN 0 THEN 20 WHEN 1 THEN 21 WHEN 2 THEN t.n // 2 + 12 ELSE CASE WHEN image_id % 3 = 0 THEN NULL ELSE t.n - t.n // 2 + 12 END END AS BIGINT) AS size FROM t, range(4) AS kk(k)""")
 def container_boxes(s, d):
     """The boxes of containers, without their payloads."""
-    return containers.boxes(_container_files(s, d))
+    return containers.boxes(_container_files(s, d)).withColumnRenamed("at", "place")
 
 
 @query(CORE_ORACLE["png_chunks"])

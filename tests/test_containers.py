@@ -111,7 +111,7 @@ def test_table_functions(spark, sf_dir):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, files.chunks(made).collect())) and got.count() == 12
     pixels = spark.sql("SELECT image_id, y, x, r, g, b, a FROM image_pixels(TABLE(SELECT * FROM tf_files WHERE format = 'tga') PARTITION BY image_id)")
     assert sorted(map(tuple, pixels.collect())) == sorted(map(tuple, files.read_tga(made).select(*pixels.columns).collect()))
-    assert spark.sql("SELECT count(*) FROM image_pixels(TABLE(tf_files) PARTITION BY image_id, 5)").first()[0] == 0
+    assert spark.sql("SELECT count(*) FROM image_pixels(TABLE(tf_files) PARTITION BY (image_id), 5)").first()[0] == 0
     for bad, words in (("image_chunks(5)", "table"), ("image_chunks(TABLE(SELECT 1 AS image_id))", "content")):
         with pytest.raises(Exception, match=words):
             spark.sql(f"SELECT * FROM {bad}").collect()
