@@ -1,16 +1,17 @@
 """DuckDB SQL for the queries of queries.py."""
 
-R2 = """r2 AS (SELECT image_id, CAST(i >> 4 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x, r, g, b, a FROM (
+R2 = """r2 AS MATERIALIZED (SELECT image_id, CAST(i >> 4 AS INTEGER) AS y, CAST(i % 16 AS INTEGER) AS x, r, g, b, a FROM (
   SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) - 1 AS i,
     CAST(l_orderkey % 256 AS INTEGER) AS r, CAST(l_partkey % 256 AS INTEGER) AS g,
     CAST(CAST(l_quantity AS INTEGER) * 5 % 256 AS INTEGER) AS b, CAST(CASE WHEN l_returnflag = 'R' THEN l_linenumber * 36 % 256 ELSE 255 END AS INTEGER) AS a
   FROM lineitem UNION ALL SELECT l_suppkey, n + k, 0, 0, 0, 0 FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey), range(16) AS t(k) WHERE (n + k) // 16 = n // 16 AND n % 16 > 0))"""
-R3 = """r3 AS (SELECT CAST(n_nationkey AS INTEGER) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((x * 17 + y * 3 + n_nationkey) & 255 AS INTEGER) AS r,
+_SEED = "(s_suppkey + s_nationkey * 31)"
+R3 = f"""r3 AS MATERIALIZED (SELECT CAST(s_suppkey AS INTEGER) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((x * 17 + y * 3 + {_SEED}) & 255 AS INTEGER) AS r,
   CAST((x * 5 + y * 11) & 255 AS INTEGER) AS g, CAST(xor(x * 7, y * 13) & 255 AS INTEGER) AS b, CAST(CASE WHEN (x + y) % 19 = 0 THEN 96 ELSE 255 END AS INTEGER) AS a
-  FROM nation, range(22) AS ry(y), range(35) AS rx(x))"""
-BLOCKS = """bl AS (SELECT CAST(n_nationkey AS INTEGER) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((x // 5 * 51 + n_nationkey) & 255 AS INTEGER) AS r,
+  FROM supplier, range(22) AS ry(y), range(35) AS rx(x))"""
+BLOCKS = f"""bl AS MATERIALIZED (SELECT CAST(s_suppkey AS INTEGER) AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST((x // 5 * 51 + {_SEED}) & 255 AS INTEGER) AS r,
   CAST((y // 3 * 29) & 255 AS INTEGER) AS g, CAST(((x // 5 + y // 3) * 13) & 255 AS INTEGER) AS b, 255 AS a
-  FROM nation, range(22) AS ry(y), range(35) AS rx(x))"""
+  FROM supplier, range(22) AS ry(y), range(35) AS rx(x))"""
 R1 = """r1 AS (SELECT vec_id AS image_id, CAST(i // 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, CAST(embedding[4 * i + 1] AS DOUBLE) AS r, CAST(embedding[4 * i + 2] AS DOUBLE) AS g,
   CAST(embedding[4 * i + 3] AS DOUBLE) AS b, CAST(embedding[4 * i + 4] AS DOUBLE) AS a FROM embeddings, range(16) AS t(i) WHERE len(embedding) = 64)"""
 TEXT = """tb AS (SELECT doc_id AS image_id, CAST(i AS INTEGER) AS x, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS v FROM

@@ -294,8 +294,14 @@ def byte_delta_undo(s, d):
     """The bytes of texts again from their differences: running sums, then even and odd places woven together."""
     from tessella.plans.queries import byte_delta
 
-    total = F.sum(F.col("v") - F.when(F.col("x") > 0, 128).otherwise(0)).over(Window.partitionBy("image_id").orderBy("x"))
-    t = byte_delta(s, d).withColumn("n", F.count("*").over(Window.partitionBy("image_id"))).select("image_id", "x", F.pmod(total, F.lit(256)).cast("int").alias("v"), F.expr("(n + 1) div 2").alias("half"))
+    # sums within ranges of places, and sums of ranges before them: no window holds a whole text
+    t = byte_delta(s, d).select("image_id", "x", F.expr(f"x div {rasters.PIECE}").alias("range"), (F.col("v") - F.when(F.col("x") > 0, 128).otherwise(0)).alias("v"))
+    ranges = t.groupBy("image_id", "range").agg(F.sum("v").alias("sum"), F.count("*").alias("k"))
+    up_to = Window.partitionBy("image_id").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.select("image_id", "range", (F.sum("sum").over(up_to) - F.col("sum")).alias("before"), F.sum("k").over(Window.partitionBy("image_id")).alias("n"))
+    within = F.sum("v").over(Window.partitionBy("image_id", "range").orderBy("x"))
+    t = t.withColumn("w", within).join(ranges, ["image_id", "range"])
+    t = t.select("image_id", "x", F.pmod(F.col("w") + F.col("before"), F.lit(256)).cast("int").alias("v"), F.expr("(n + 1) div 2").alias("half"))
     return t.select("image_id", F.when(F.col("x") < F.col("half"), F.col("x") * 2).otherwise((F.col("x") - F.col("half")) * 2 + 1).cast("int").alias("x"), "v")
 
 

@@ -7,7 +7,7 @@ relation (path, content) is the form in which rasters are stored and moved.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.binary import hex_uint
@@ -25,21 +25,33 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> Da
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+#: Order keys of a range within which line items are numbered; an order has 7 items at most.
+KEYS = 8192
+
+
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An RGBA image 16 pixels wide for each supplier, from its line items in a total order; empty pixels fill up the last row."""
-    by = Window.partitionBy("l_suppkey")
-    order = by.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").select(
+    """An RGBA image 16 pixels wide for each supplier, from its line items in a total order; empty pixels fill up the last row.
+
+    Items are numbered within ranges of order keys; what comes before a range is a sum over
+    the counts of ranges. So no task sorts all items of a supplier.
+    """
+    items = table(spark, sf_dir, "lineitem").withColumn("range", F.expr(f"l_orderkey div {KEYS}"))
+    counts = items.groupBy(F.col("l_suppkey").alias("image_id"), "range").agg(F.count("*").alias("n"))
+    of, up_to = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.select("image_id", "range", (F.sum("n").over(up_to) - F.col("n")).alias("before"), F.sum("n").over(of).alias("total"), F.max("range").over(of).alias("last"))
+    order = Window.partitionBy("image_id", "range").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
+    rows = items.select(
         F.col("l_suppkey").alias("image_id"),
-        (F.row_number().over(order) - 1).alias("i"),
+        *("range", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"),
         (F.col("l_orderkey") % 256).cast("int").alias("r"),
         (F.col("l_partkey") % 256).cast("int").alias("g"),
         (F.col("l_quantity").cast("int") * 5 % 256).cast("int").alias("b"),
         F.when(F.col("l_returnflag") == "R", F.col("l_linenumber").cast("int") * 36 % 256).otherwise(255).cast("int").alias("a"),
     )
-    fill = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("image_id")).agg(F.count("*").alias("n")).where("n % 16 > 0")
-    empty = fill.select("image_id", F.explode(F.expr("sequence(n, n + 15 - n % 16)")).alias("i"), *(F.lit(0).alias(c) for c in CHANNELS))
-    return rows.unionByName(empty).select("image_id", F.shiftright("i", 4).cast("int").alias("y"), (F.col("i") % 16).cast("int").alias("x"), *CHANNELS)
+    numbered = rows.withColumn("k", F.row_number().over(order) - 1).join(counts.select("image_id", "range", "before"), ["image_id", "range"])
+    numbered = numbered.select("image_id", (F.col("before") + F.col("k")).alias("i"), *CHANNELS)
+    fill = counts.where("range = last and total % 16 > 0").select("image_id", F.explode(F.expr("sequence(total, total + 15 - total % 16)")).alias("i"), *(F.lit(0).alias(c) for c in CHANNELS))
+    return numbered.unionByName(fill).select("image_id", F.shiftright("i", 4).cast("int").alias("y"), (F.col("i") % 16).cast("int").alias("x"), *CHANNELS)
 
 
 def image_sizes(pixels: DataFrame) -> DataFrame:
@@ -55,24 +67,45 @@ def float_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formula_pixels(spark: SparkSession, sf_dir: str, width: int = 35, height: int = 22) -> DataFrame:
-    """An image from closed formulas for each nation."""
-    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    x, y, n = F.col("x"), F.col("y"), F.col("image_id")
+    """An image from closed formulas over the keys of each supplier."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"), (F.col("s_suppkey") + F.col("s_nationkey") * 31).cast("int").alias("n"))
+    grid = keys.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
     return grid.select("image_id", "y", "x", (x * 17 + y * 3 + n).bitwiseAND(255).alias("r"), (x * 5 + y * 11).bitwiseAND(255).alias("g"), (x * 7).bitwiseXOR(y * 13).bitwiseAND(255).alias("b"), F.when((x + y) % 19 == 0, 96).otherwise(255).alias("a"))
 
 
 def block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images with runs: blocks of 5 by 3 equal pixels."""
-    p = formula_pixels(spark, sf_dir)
+    """Images with runs: blocks of 5 by 3 equal pixels, for each supplier."""
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("image_id"), (F.col("s_suppkey") + F.col("s_nationkey") * 31).cast("int").alias("n"))
+    p = keys.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(21)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(34))))
     bx, by = F.expr("x div 5").cast("int"), F.expr("y div 3").cast("int")
-    return p.select("image_id", "y", "x", (bx * 51 + F.col("image_id")).bitwiseAND(255).alias("r"), (by * 29).bitwiseAND(255).alias("g"), ((bx + by) * 13).bitwiseAND(255).alias("b"), F.lit(255).alias("a"))
+    return p.select("image_id", "y", "x", (bx * 51 + F.col("n")).bitwiseAND(255).alias("r"), (by * 29).bitwiseAND(255).alias("g"), ((bx + by) * 13).bitwiseAND(255).alias("b"), F.lit(255).alias("a"))
+
+
+#: Bytes of a text that are taken apart at once.
+PIECE = 1024
+
+
+def text_pieces(spark: SparkSession, sf_dir: str, before: int = 0) -> DataFrame:
+    """image_id, n (bytes of the text), at, piece: texts in pieces, each with ``before`` bytes ahead of it.
+
+    Pieces are made inside the row of the text, so that no later row carries the whole text.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.encode("text", "UTF-8").alias("raw")).where(F.octet_length("raw") > 0)
+    piece = lambda i: F.struct((i * PIECE).alias("at"), F.substring("raw", F.greatest(i * PIECE - before, F.lit(0)) + 1, F.least(i * PIECE, F.lit(before)) + PIECE).alias("piece"))
+    made = docs.select("image_id", F.octet_length("raw").alias("n"), F.transform(F.expr(f"sequence(0, (octet_length(raw) - 1) div {PIECE})"), piece).alias("p"))
+    return made.select("image_id", "n", F.explode("p").alias("p")).select("image_id", "n", "p.at", "p.piece")
+
+
+def byte_values(piece: str) -> Column:
+    """The bytes of a binary column as an array of integers."""
+    return F.expr(f"transform(sequence(1, octet_length({piece})), i -> cast(conv(hex(substring({piece}, i, 1)), 16, 10) as int))")
 
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rows of gray bytes: image_id, x, v."""
-    docs = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "UTF-8")).where(F.octet_length("raw") > 0)
-    rows = docs.select(F.col("doc_id").alias("image_id"), "raw", F.explode(F.sequence(F.lit(0), F.octet_length("raw") - 1)).alias("x"))
-    return rows.select("image_id", "x", F.conv(F.hex(F.substring("raw", F.col("x") + 1, F.lit(1))), 16, 10).cast("int").alias("v"))
+    rows = text_pieces(spark, sf_dir).select("image_id", "at", F.posexplode(byte_values("piece")).alias("i", "v"))
+    return rows.select("image_id", (F.col("at") + F.col("i")).cast("int").alias("x"), "v")
 
 
 def header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
