@@ -6,14 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import colour, light, tables
-from tessella.functions.binary import hex_uint
+from tessella.functions.binary import SIGNATURES, hex_uint, image_format
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import codes, files, lines, metadata, pixels, pyramid, samples, stencils, transforms
+from tessella.operators import codes, files, lines, metadata, pixels, png, pyramid, samples, stencils, transforms
 from tessella.plans.oracle import ORACLE as CORE_ORACLE
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
 from tessella.sources.shared import shared_folder
-from tessella.streaming import containers
+from tessella.streaming import containers, ingest
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -511,6 +511,63 @@ def context_trees(s, d):
 QUERIES["context_trees"] = context_trees
 
 
+# compressed files by bands
+@query(_r2("SELECT image_id, y, x, r, g, b, a FROM r2"))
+def png_filtered_roundtrip(s, d):
+    """Files with the chosen filters, compressed by bands of 16 rows, and their pixels again."""
+    return png.read_png_filtered(png.write_png_filtered(_r2p(s, d), band=16))
+
+
+@query(_r2("SELECT image_id, CAST(y // 16 AS INTEGER) AS band, CAST(max(x) + 1 AS INTEGER) AS width, CAST(count(DISTINCT y) AS INTEGER) AS n_rows, CAST(count(DISTINCT y) * (4 * (max(x) + 1) + 1) AS BIGINT) AS size FROM r2 GROUP BY image_id, y // 16"))
+def png_bands(s, d):
+    """The bands of each image that are compressed apart."""
+    return png.compressed_bands(_r2p(s, d), band=16).select("image_id", "band", "width", F.col("rows").alias("n_rows"), "size")
+
+
+# streams of bitmaps, signatures of all formats
+@query(_r2(""", z AS (SELECT image_id, CAST(max(y) + 1 AS BIGINT) AS h FROM r2 GROUP BY image_id), c AS (SELECT image_id, h, 122 + 64 * h AS whole, image_id % 3 AS k FROM z),
+ e AS (SELECT *, CASE k WHEN 0 THEN whole WHEN 1 THEN least(whole, (whole // 2 + 999) // 1000 * 1000) ELSE least(whole, 20) END AS got FROM c)
+ SELECT CAST(image_id AS BIGINT) AS stream_id, CAST(got AS BIGINT) AS bytes_received, CAST(CASE WHEN got >= 30 THEN 16 END AS BIGINT) AS width, CASE WHEN got >= 30 THEN h END AS height,
+   CAST(CASE WHEN got >= 30 THEN least(h, greatest(got - 122, 0) // 64) END AS BIGINT) AS rows_ready, CASE WHEN got < 30 THEN 'needs_bytes' WHEN least(h, greatest(got - 122, 0) // 64) = h THEN 'complete' WHEN got >= 186 THEN 'rows_ready' ELSE 'needs_bytes' END AS state FROM e"""))
+def bitmap_states(s, d):
+    """A stream run over what is there: how far bitmaps are that have come in chunks of 1,000 bytes: every third one whole, one by half, one with its first 20 bytes."""
+    f = files.write_bmp(_r2p(s, d)).select("image_id", "content").withColumn("size", F.octet_length("content"))
+    come = F.when(F.col("image_id") % 3 == 0, F.col("size")).when(F.col("image_id") % 3 == 1, F.least(F.col("size"), F.expr("(size div 2 + 999) div 1000 * 1000"))).otherwise(F.least(F.col("size"), F.lit(20))).cast("int")
+    parts = F.expr("transform(sequence(0, (octet_length(content) - 1) div 1000), i -> named_struct('seq', cast(i as bigint), 'chunk', substring(content, i * 1000 + 1, 1000)))")
+    cut = f.withColumn("content", F.substring(F.col("content"), F.lit(1), come))
+    chunks = cut.select(F.col("image_id").cast("long").alias("stream_id"), F.explode(parts).alias("p")).select("stream_id", "p.seq", "p.chunk")
+    come_in, out, log = (shared_folder(s, f"bitmaps-{k}") for k in ("in", "out", "log"))
+    chunks.write.parquet(come_in)
+    stream = ingest.bitmap_progress(s.readStream.schema(chunks.schema).parquet(come_in))
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/trigger={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    last = F.max_by(F.struct("bytes_received", "width", "height", "rows_ready", "state"), "trigger").alias("l")
+    return s.read.parquet(out).groupBy("stream_id").agg(last).select("stream_id", "l.*")
+
+
+_STARTS = [(i * 10 + j, name, h) for i, (name, starts) in enumerate(SIGNATURES) for j, h in enumerate(starts)]
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) * 1000 + k AS image_id, name AS format FROM supplier, (VALUES " + ", ".join(f"({k}, '{name}')" for k, name, _ in _STARTS) + ") AS t(k, name)")
+def sniff_all_signatures(s, d):
+    """For each supplier a file of every signature, with the supplier's key behind it."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(h).alias("h")) for k, _, h in _STARTS)))
+    rows = rasters.table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), each.alias("e"))
+    content = F.unhex(F.concat("e.h", F.when(F.col("e.h") == "52494646", F.lit("0000000057454250")).otherwise(""), hex_uint(F.col("key"), 4)))
+    return rows.select((F.col("key") * 1000 + F.col("e.k")).alias("image_id"), image_format(content).alias("format"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS image_id, 'qoi' AS format, CAST(s_suppkey % 5000 + 1 AS BIGINT) AS width, CAST(s_nationkey * 3 + 2 AS BIGINT) AS height, CAST(8 AS INTEGER) AS bits FROM supplier")
+def qoi_headers(s, d):
+    """Headers of QOI files, one for each supplier."""
+    rows = rasters.table(s, d, "supplier")
+    head = F.unhex(F.concat(F.lit(b"qoif".hex()), hex_uint(F.col("s_suppkey") % 5000 + 1, 4, little=False), hex_uint(F.col("s_nationkey") * 3 + 2, 4, little=False), F.lit("0400" + "00" * 7 + "01")))
+    return files.inspect(rows.select(F.col("s_suppkey").cast("long").alias("image_id"), head.alias("content"))).select("image_id", "format", "width", "height", "bits")
+
+
 # containers and table functions
 def _container_files(s, d):
     """For each document a container of a type box, an EXIF box and two parts of a codestream, the second open-ended for every third one."""
