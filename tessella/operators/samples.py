@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,49 @@ def packets(pixels: DataFrame, least: int, longest: int = 128) -> DataFrame:
     return rows.select("image_id", "y", F.explode(made).alias("k")).select("image_id", "y", "k.x", "k.n", "k.literal")
 
 
+def byte_packets(pixels: DataFrame, least: int = 3, longest: int = 128) -> DataFrame:
+    """Packets of the interleaved bytes of each row: image_id, y, place (byte), n, literal.
+
+    A run is cut into parts of ``longest`` bytes. Parts of ``least`` bytes or more repeat a
+    byte; shorter ones are put together to literals of at most ``longest`` bytes, no part
+    divided. Rows are packed on their own, so they are walked a row at a time.
+    """
+
+    def walk(data: np.ndarray):
+        turns = np.flatnonzero(np.diff(data)) + 1
+        starts = np.concatenate([[0], turns])
+        literal = None
+        for start, size in zip(starts.tolist(), np.diff(np.append(starts, len(data))).tolist()):
+            for at in range(start, start + size, longest):
+                n = min(longest, start + size - at)
+                if n < least and literal is not None and literal[1] + n <= longest:
+                    literal = (literal[0], literal[1] + n)
+                    continue
+                if literal is not None:
+                    yield *literal, True
+                    literal = None
+                if n < least:
+                    literal = (at, n)
+                else:
+                    yield at, n, False
+        if literal is not None:
+            yield *literal, True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                p = batch.column("p")[i].values
+                data = np.stack([p.field(c).to_numpy(zero_copy_only=False) for c in RGBA], axis=1).ravel()
+                image, y = batch.column("image_id")[i].as_py(), batch.column("y")[i].as_py()
+                rows += [(image, y, *packet) for packet in walk(data)]
+            types = {"image_id": pa.int64(), "y": pa.int32(), "place": pa.int32(), "n": pa.int32(), "literal": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
+
+    lines = pixels.groupBy(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y")).agg(F.sort_array(F.collect_list(F.struct("x", *RGBA))).alias("p"))
+    return lines.mapInArrow(run, "image_id long, y int, place int, n int, literal boolean")
+
+
 def runs_from_opaque_black(pixels: DataFrame, longest: int = 62) -> DataFrame:
     """Repeats of the pixel before, in raster order, the first one compared with opaque black: image_id, y, x, length, packets."""
     widths = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"))

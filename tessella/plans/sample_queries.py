@@ -106,8 +106,9 @@ def primaries_bt2020(s, d):
     return _columns(_r2p(s, d), **{f"c{i}": F.round(c, 6) for i, c in enumerate(out)})
 
 
-# no SQL: the matrix is worked out in the library, a test holds it against the published one
+# a test holds the matrix against the published one
 QUERIES["primaries_bt2020"] = primaries_bt2020
+ORACLE["primaries_bt2020"] = _r2("SELECT image_id, y, x, " + ", ".join(f"round({' + '.join(f'{v} / 255.0::DOUBLE * ({float(k)!r})' for v, k in zip('rgb', row))}, 6) AS c{i}" for i, row in enumerate(light.primaries_matrix(BT2020))) + " FROM r2")
 
 
 # predictors and packets
@@ -159,6 +160,17 @@ def packbits_packets(s, d):
     return samples.packets(_spotted(s, d), 3)
 
 
+@query(_r2(""", each AS (SELECT image_id, y, CAST(x * 4 + k AS INTEGER) AS i, [r // 64, g // 64, b // 64, a // 64][k + 1] AS v FROM r2, range(4) AS kk(k)),
+ t AS (SELECT *, CASE WHEN lag(v) OVER w = v THEN 0 ELSE 1 END AS turn FROM each WINDOW w AS (PARTITION BY image_id, y ORDER BY i)), u AS (SELECT *, sum(turn) OVER (PARTITION BY image_id, y ORDER BY i) AS run FROM t),
+ q AS (SELECT image_id, y, run, min(i) AS i, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT *, CASE WHEN n < 3 AND lag(n) OVER w < 3 THEN 0 ELSE 1 END AS fresh FROM q WINDOW w AS (PARTITION BY image_id, y ORDER BY run)),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY image_id, y ORDER BY run) AS packet FROM s)
+ SELECT image_id, y, CAST(min(i) AS INTEGER) AS place, CAST(sum(n) AS INTEGER) AS n, min(n) < 3 AS literal FROM g GROUP BY image_id, y, packet"""))
+def packbits_bytes(s, d):
+    """Run and literal packets over the interleaved bytes of rows, of two bits each."""
+    p = _r2p(s, d)
+    return samples.byte_packets(p.select("image_id", "y", "x", *(F.shiftright(c, 6).alias(c) for c in "rgba")))
+
+
 @query(_r2(""", z AS (SELECT image_id, y, x, (r // 128, g // 128) AS k, r // 128 = 0 AND g // 128 = 0 AS black FROM r2),
  t AS (SELECT *, CASE WHEN coalesce(lag(k) OVER w = k, black) THEN 1 ELSE 0 END AS same FROM z WINDOW w AS (PARTITION BY image_id ORDER BY y, x)),
  u AS (SELECT *, sum(1 - same) OVER (PARTITION BY image_id ORDER BY y, x) AS run FROM t)

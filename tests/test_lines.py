@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessella.operators import lines
+from tessella.operators import lines, samples
 
 
 def picture(r, w, h, channels):
@@ -90,3 +90,43 @@ def test_alpha_planes(spark, kind):
                 guess = left if y == 0 else up if x == 0 else {"horizontal": left, "vertical": up, "gradient": min(255, max(0, left + up - corner))}[kind]
                 assert got[i][y, x] == ((v - guess) % 256,)
     assert rows_of(lines.alpha_restored(residuals, kind), 1) == flat(images)
+
+
+def plain_packets(data, longest=128):
+    """Greedy from the left: repeats of three bytes or more, literals up to the next one."""
+
+    def run(at):
+        n = 1
+        while n < longest and at + n < len(data) and data[at + n] == data[at]:
+            n += 1
+        return n
+
+    out, at = [], 0
+    while at < len(data):
+        n = run(at)
+        if n >= 3:
+            out.append((at, n, False))
+            at += n
+            continue
+        start = at
+        at += n
+        while at < len(data) and run(at) < 3 and at - start + run(at) <= longest:
+            at += run(at)
+        out.append((start, at - start, True))
+    return out
+
+
+def test_byte_packets_of_wide_rows(spark):
+    """Rows of up to 3,600 bytes, so that both limits are met."""
+    r = random.Random(9)
+    images = {}
+    for i in range(6):
+        w = r.choice((1, 40, 300, 900))
+        images[i] = [[tuple(r.choice(((7,), range(256), (1, 2))[(i + y) % 3]) for _ in range(4)) for _ in range(w)] for y in range(3)]
+    df = spark.createDataFrame([(i, y, x, *v) for i, img in images.items() for y, row in enumerate(img) for x, v in enumerate(row)], "image_id int, y int, x int, r int, g int, b int, a int").repartition(4)
+    got = {}
+    for k in samples.byte_packets(df).collect():
+        got.setdefault((k.image_id, k.y), []).append((k.place, k.n, k.literal))
+    want = {(i, y): plain_packets([c for v in row for c in v]) for i, img in images.items() for y, row in enumerate(img)}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert any(n == 128 and literal for v in want.values() for _, n, literal in v) and any(n == 128 and not literal for v in want.values() for _, n, literal in v)

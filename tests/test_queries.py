@@ -9,7 +9,7 @@ from tessella.plans.queries import QUERIES as CORE_QUERIES
 
 ORACLE, QUERIES = CORE | sample_queries.ORACLE, CORE_QUERIES | sample_queries.QUERIES
 #: Queries that have no SQL, with the test that holds them.
-NO_SQL = {"primaries_bt2020": "test_primaries_matrix", "context_trees": "test_context_trees_match_a_plain_learner"}
+NO_SQL = {"context_trees": "test_context_trees_match_a_plain_learner"}
 
 #: One of each family; the driver compares all of them.
 SOME = ["raster_r1", "raster_r2", "raster_r3", "raster_r4", "channel_order_abgr", "orient_6", "oriented_dims", "white_composite", "matte_composite", "rgb_to_ycbcr", "ycbcr_to_rgb", "yuv_limited", "chroma_420", "rct_forward", "rct_roundtrip", "unpremultiply", "float_to_byte", "bilevel_threshold", "combine_xnor", "png_filter_choice", "gradient_residual", "horizontal_predictor_undo", "byte_delta", "runs_raster", "runs_rows", "hist555", "first_colour_cell", "channel_entropy", "box_downsample", "encode_bmp", "encode_tga", "encode_tiff", "roundtrip_bmp", "joined_segments", "stream_states", "arriving_totals", "sniff_signatures", "sniff_formats", "inspect_headers", "png_chunks", "file_outcomes", "metadata_headers", "metadata_written", "format_cube", "roundtrip_tga", "roundtrip_tiff", "flagship"]
