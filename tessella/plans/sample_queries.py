@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import colour, light, tables
 from tessella.functions.binary import SIGNATURES, hex_uint, image_format
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import codes, files, lines, metadata, pixels, png, pyramid, samples, stencils, transforms
+from tessella.operators import codes, files, lines, metadata, palettes, pixels, png, pyramid, samples, stencils, transforms
 from tessella.plans.oracle import ORACLE as CORE_ORACLE
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
@@ -610,6 +610,21 @@ def chunk_table_function(s, d):
     return s.sql("SELECT image_id, n, name, size, ok FROM image_chunks(TABLE(tessella_chunk_files) PARTITION BY image_id)")
 
 
+# palettes; no SQL, as boxes are split and errors diffused one after the other
+def median_cut_palettes(s, d):
+    """Sixteen colours for each image."""
+    return palettes.palettes(_r2p(s, d), 16)
+
+
+def dithered_indices(s, d):
+    """Pixels as entries of sixteen colours, errors diffused."""
+    p = _r2p(s, d)
+    return palettes.dithered(p, palettes.palettes(p, 16))
+
+
+QUERIES |= {"median_cut_palettes": median_cut_palettes, "dithered_indices": dithered_indices}
+
+
 # the data source
 @query(_r2("""SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS width, count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g * (x + 1)) AS BIGINT) AS g, CAST(sum(b * (y + 1)) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a
  FROM r2 WHERE y BETWEEN 1 AND 30 GROUP BY image_id"""))
