@@ -229,8 +229,10 @@ def repeated_ranges(docs: DataFrame, batches: int = 5) -> DataFrame:
     contents = stored(contents.repartition(partitions, F.when(F.col("classes") <= BATCH, F.col("anchor")).otherwise(F.xxhash64("anchor", "doc_id", "at"))).sortWithinPartitions("anchor"))
     compared = contents.where(F.col("classes") <= BATCH).mapInArrow(_compare, RANGES)
     windows = contents.where(F.col("classes") > BATCH).mapInArrow(_window_rows, "anchor long, key long, doc_id long, tag int, low long, old boolean")
-    first = windows.groupBy("anchor", "key").agg(F.min(F.struct("doc_id", "low")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    crowded = windows.join(first, ["anchor", "key"]).where((F.col("doc_id") != F.col("m.doc_id")) | (F.col("low") != F.col("m.low"))).select("doc_id", "tag", "low", (F.col("low") + LENGTH).alias("high"))
+    # the order of later_windows: what is old, then by doc_id, text and place
+    place = F.struct((~F.col("old")).alias("new"), "doc_id", "tag", "low")
+    first = windows.groupBy("anchor", "key").agg(F.min(place).alias("m"), F.count("*").alias("n")).where("n > 1")
+    crowded = windows.join(first, ["anchor", "key"]).where(~F.col("old") & (place != F.col("m"))).select("doc_id", "tag", "low", (F.col("low") + LENGTH).alias("high"))
     return whole_slices(found, LENGTH).unionByName(compared).unionByName(crowded)
 
 

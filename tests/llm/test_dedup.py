@@ -67,6 +67,23 @@ def test_crowded_anchors_go_the_other_way(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup(df).collect()} == brute.substring_dedup(docs)
 
 
+def test_two_texts_of_one_id_at_one_place_whatever_the_bound(spark, monkeypatch):
+    """The same words at the same place in both texts of an id are two places, above the bound and below."""
+    from tessella.llm import substrings, suffixes
+
+    r = random.Random(21)
+    line = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    shared = line(40)
+    docs = [(1, shared + " " + line(30)), (1, shared + " " + line(25)), (2, line(7) + " " + shared), (3, line(60))]
+    seen = []
+    for bound in (8192, 0):
+        monkeypatch.setattr(suffixes, "BATCH", bound)
+        monkeypatch.setattr(substrings, "BATCH", bound)
+        seen.append(sorted(tuple(x)[:3] for x in substring_dedup(spark.createDataFrame(rows(docs), SCHEMA)).collect()))
+    # one text of id 1 keeps all, the other one and doc 2 lose the shared words
+    assert seen[0] == seen[1] and sorted(x[2] for x in seen[0]) == [0, 0, 40, 40]
+
+
 def test_near_duplicates_match_brute_force(spark):
     docs = corpus(4)
     got = {r["doc_id"]: tuple(r)[1:] for r in near_duplicates(spark.createDataFrame(rows(docs), SCHEMA).repartition(3)).collect()}
