@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import colour
-from tessella.operators.pixels import RGBA, block_mode_guess, neighbours, raster_runs, runs
+from tessella.operators.pixels import RGBA, block_mode_guess, neighbours, raster_runs, runs, with_sizes
 
 
 def predictions(pixels: DataFrame, channel: str) -> DataFrame:
@@ -102,7 +102,7 @@ def byte_packets(pixels: DataFrame, least: int = 3, longest: int = 128) -> DataF
 def runs_from_opaque_black(pixels: DataFrame, longest: int = 62) -> DataFrame:
     """Repeats of the pixel before, in raster order, the first one compared with opaque black: image_id, y, x, length, packets."""
     widths = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("width"))
-    found = raster_runs(pixels).join(widths, "image_id")
+    found = with_sizes(raster_runs(pixels), widths)
     black = F.struct(*(F.lit(k).cast("int").alias(c) for c, k in zip("rgba", (0, 0, 0, 255))))
     whole = (F.col("y") == 0) & (F.col("x") == 0) & (F.col("value") == black)
     # but for that one, a run repeats from its second pixel on
@@ -126,6 +126,16 @@ def upsample_triangle(plane: DataFrame, channel: str, width: Column, height: Col
     return out.where((F.col("y") < height) & (F.col("x") < width))
 
 
+def upsample_replicated(plane: DataFrame, channel: str, width: Column, height: Column) -> DataFrame:
+    """A plane doubled in both directions, each sample four times: image_id, y, x, channel.
+
+    width, height: size of the result, by which it is cut.
+    """
+    doubled = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1))
+    out = plane.select("image_id", doubled("y").alias("y"), "x", channel).select("image_id", "y", doubled("x").alias("x"), channel)
+    return out.where((F.col("y") < height) & (F.col("x") < width))
+
+
 def chroma_mean(pixels: DataFrame) -> DataFrame:
     """Full-range chroma over white, the mean of two by two pixels, around 0 (double)."""
     white = [colour.over_white(F.col(c), F.col("a")) for c in "rgb"]
@@ -136,7 +146,7 @@ def chroma_mean(pixels: DataFrame) -> DataFrame:
 
 def edge_replicated(pixels: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """Images filled up to whole blocks with their last column and row."""
-    both = pixels.join(sizes, "image_id")
+    both = with_sizes(pixels, sizes)
     along = lambda at, size: F.when(F.col(at) == F.col(size) - 1, F.sequence(F.col(at), F.expr(f"(({size} + {block - 1}) div {block}) * {block} - 1").cast("int"))).otherwise(F.array(at))
     grown = both.withColumn("y", F.explode(along("y", "height"))).withColumn("x", F.explode(along("x", "width")))
     return grown.select("image_id", "y", "x", "r", "g", "b", "a")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.pixels import with_sizes
+
 #: Pixels a side of a tile.
 TILE = 256
 # fixed values: weights of the smoothing filter, scales and steps of the edge-preserving one
@@ -41,7 +43,7 @@ def stencil(planes: DataFrame, sizes: DataFrame, columns: tuple[str, ...], halo:
     y, x: places of the tile's own rows and columns. The kernel gives (channels, rows, columns).
     """
     near = lambda c: F.expr(f"array_distinct(array(({c} - {halo}) div {tile} - if({c} < {halo}, 1, 0), {c} div {tile}, ({c} + {halo}) div {tile}))")
-    each = planes.join(sizes.select("image_id", "width", "height"), "image_id").withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
+    each = with_sizes(planes, sizes.select("image_id", "width", "height")).withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
     each = each.where(f"ty >= 0 and tx >= 0 and ty * {tile} < height and tx * {tile} < width")
     each = each.select(F.col("image_id").cast("long").alias("image_id"), "ty", "tx", "y", "x", "width", "height", *(F.col(c).cast("double").alias(c) for c in columns))
 
