@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import colour, light, tables
 from tessella.functions.binary import SIGNATURES, hex_uint, image_format
 from tessella.functions.light import BT709, DCI_GAMMA, OPSIN, OPSIN_BIAS, PQ, SRGB
-from tessella.operators import codes, files, lines, metadata, palettes, pixels, png, pyramid, samples, stencils, transforms
+from tessella.operators import codes, files, lines, metadata, palettes, pieces, pixels, png, pyramid, samples, stencils, transforms
 from tessella.plans.oracle import ORACLE as CORE_ORACLE
 from tessella.plans.oracle import BLOCKS, R1, R3, _clip, _r2
 from tessella.sources import datasource, rasters
@@ -304,17 +304,9 @@ def exact_decoding(s, d):
 @query("SELECT doc_id AS image_id, CAST(i AS INTEGER) AS x, CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS v FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(octet_length(encode(text)))) AS i FROM documents WHERE octet_length(encode(text)) > 0)")
 def byte_delta_undo(s, d):
     """The bytes of texts again from their differences: running sums, then even and odd places woven together."""
-    from tessella.plans.queries import byte_delta
-
-    # sums within ranges of places, and sums of ranges before them: no window holds a whole text
-    t = byte_delta(s, d).select("image_id", "x", F.expr(f"x div {rasters.PIECE}").alias("range"), (F.col("v") - F.when(F.col("x") > 0, 128).otherwise(0)).alias("v"))
-    ranges = t.groupBy("image_id", "range").agg(F.sum("v").alias("sum"), F.count("*").alias("k"))
-    up_to = Window.partitionBy("image_id").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = ranges.select("image_id", "range", (F.sum("sum").over(up_to) - F.col("sum")).alias("before"), F.sum("k").over(Window.partitionBy("image_id")).alias("n"))
-    within = F.sum("v").over(Window.partitionBy("image_id", "range").orderBy("x"))
-    t = t.withColumn("w", within).join(ranges, ["image_id", "range"])
-    t = t.select("image_id", "x", F.pmod(F.col("w") + F.col("before"), F.lit(256)).cast("int").alias("v"), F.expr("(n + 1) div 2").alias("half"))
-    return t.select("image_id", F.when(F.col("x") < F.col("half"), F.col("x") * 2).otherwise((F.col("x") - F.col("half")) * 2 + 1).cast("int").alias("x"), "v")
+    from tessella.plans.queries import delta_pieces
+
+    return pieces.undone(delta_pieces(s, d))
 
 
 # relations in time

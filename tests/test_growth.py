@@ -45,3 +45,24 @@ def test_replicated_samples_are_cut_to_the_size(spark):
     plane = spark.createDataFrame([(1, y, x, y * 10 + x) for y in range(2) for x in range(3)], "image_id int, y int, x int, u int")
     got = {tuple(r) for r in upsample_replicated(plane, "u", F.lit(5), F.lit(3)).collect()}
     assert got == {(1, y, x, y // 2 * 10 + x // 2) for y in range(3) for x in range(5)}
+
+
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    texts = [(1, "ab"), (2, "x"), (3, ""), (4, None), (5, "é" * 4 * rasters.PIECE + "x"), (None, "abc"), *((k, "".join(chr(33 + k * j * j % 90) for j in range(rasters.PIECE + k % 5))) for k in range(10, 60))]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), {(k, x, v) for k, t in texts if t for x, v in enumerate(t.encode())}
+
+
+@pytest.mark.parametrize("name", ["raster_r4", "byte_delta_undo"])
+def test_bytes_of_texts_come_back(spark, long_texts, name):
+    folder, want = long_texts
+    got = [tuple(r) for r in QUERIES[name](spark, folder).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["raster_r4", "byte_delta", "byte_delta_undo"])
+def test_pieces_of_texts_are_shuffled_but_not_bytes(spark, long_texts, name):
+    # a file of one row group is one task; bytes get their rows in the last step
+    lines = [line for line in plan(QUERIES[name](spark, long_texts[0])).splitlines() if any(k in line for k in ("MapInArrow", "Exchange", "Broadcast"))]
+    assert "MapInArrow" in lines[0] and any("Exchange hashpartitioning(image_id" in line for line in lines) and not any("Broadcast" in line for line in lines)
