@@ -20,6 +20,8 @@ from tessella.operators.pixels import RGBA, block_mode_guess, neighbours, paeth,
 
 #: Samples are bytes.
 BYTE = 256
+#: Pixels that leave a task in one batch: a batch for each row of an image takes longer than its pixels.
+TOGETHER = 1 << 16
 
 
 def gathered(samples: DataFrame, *columns: str) -> DataFrame:
@@ -27,6 +29,15 @@ def gathered(samples: DataFrame, *columns: str) -> DataFrame:
     return samples.groupBy(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y")).agg(F.sort_array(F.collect_list(F.struct("x", *columns))).alias("p"))
 
 
+def together(offsets: np.ndarray, pixels: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``pixels`` pixels, at least a row each, from the offsets of their lists."""
+    start, last = 0, len(offsets) - 1
+    while start < last:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + pixels, "right")) - 1)
+        yield start, end
+        start = end
+
+
 def folded(rows: DataFrame, restore: Callable[[np.ndarray, np.ndarray | None], np.ndarray], names: tuple[str, ...]) -> DataFrame:
     """image_id, y, x and ``names`` of gathered rows; restore(values of a row, restored row above or None) gives (pixels, names)."""
     columns = [f for f in rows.schema["p"].dataType.elementType.names if f != "x"]
@@ -34,16 +45,19 @@ def folded(rows: DataFrame, restore: Callable[[np.ndarray, np.ndarray | None], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         image, above = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                now, y, p = (batch.column(c)[i] for c in ("image_id", "y", "p"))
-                flat = p.values
+            images, p = batch.column("image_id").to_pylist(), batch.column("p")
+            offsets = p.offsets.to_numpy()
+            for start, end in together(offsets):
+                flat = p.values.slice(offsets[start], offsets[end] - offsets[start])
                 values = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], axis=1)
-                if now.as_py() != image:
-                    image, above = now.as_py(), None
-                above = restore(values, above)
-                n = len(values)
-                same = [pa.array(np.full(n, v), t) for v, t in ((image, pa.int64()), (y.as_py(), pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*same, flat.field("x").cast(pa.int32()), *(pa.array(above[:, k].astype(np.int32)) for k in range(len(names)))], names=["image_id", "y", "x", *names])
+                out, at = [], offsets[start : end + 1] - offsets[start]
+                for i in range(start, end):
+                    if images[i] != image:
+                        image, above = images[i], None
+                    above = restore(values[at[i - start] : at[i - start + 1]], above)
+                    out.append(above)
+                done, of = np.concatenate(out).astype(np.int32), pa.array(np.repeat(np.arange(start, end), np.diff(at)))
+                yield pa.RecordBatch.from_arrays([batch.column("image_id").take(of), batch.column("y").take(of), flat.field("x").cast(pa.int32()), *(pa.array(done[:, k]) for k in range(len(names)))], names=["image_id", "y", "x", *names])
 
     schema = "image_id long, y int, x int, " + ", ".join(f"{n} int" for n in names)
     return rows.repartition("image_id").sortWithinPartitions("image_id", "y").mapInArrow(run, schema)
