@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import colour
+from tessella.operators.lines import together
 
 PALETTE = "image_id long, entry int, r int, g int, b int, a int"
 INDICES = "image_id long, y int, x int, entry int"
@@ -117,11 +118,6 @@ def indexed(pixels: DataFrame, palette: DataFrame, matte: int = 255, threshold:
     return seen.join(cells, ["image_id", "cell"], "left").select("image_id", "y", "x", F.coalesce("found", F.lit(0)).cast("int").alias("entry"))
 
 
-def _sixteenth(v: int) -> int:
-    """A sixteenth, rounded half away from zero."""
-    return (v + 8) // 16 if v >= 0 else -((8 - v) // 16)
-
-
 class _Diffusion:
     """The errors of an image on their way down its rows."""
 
@@ -135,12 +131,12 @@ class _Diffusion:
         cell = r >> 3 << 10 | g >> 3 << 5 | b >> 3
         if cell not in self.known:
             # the first colour of a cell decides for all of it
-            self.known[cell] = min((3 * (r - x) ** 2 + 4 * (g - y) ** 2 + 2 * (b - z) ** 2, i) for i, x, y, z in self.entries)[1]
+            self.known[cell] = min([(3 * (r - x) * (r - x) + 4 * (g - y) * (g - y) + 2 * (b - z) * (b - z), i) for i, x, y, z in self.entries])[1]
         return self.known[cell]
 
     def line(self, y: int, cells: list[int], colours: list[tuple[int, int, int]]) -> list[int]:
         """Indices of the next row. A row that is missing passes no errors on."""
-        n = len(cells)
+        n, amount = len(cells), self.amount
         above = self.below if self.below is not None and self.row == y - 1 and len(self.below) == n + 2 else [[0, 0, 0] for _ in range(n + 2)]
         below = [[0, 0, 0] for _ in range(n + 2)]
         out = []
@@ -148,18 +144,22 @@ class _Diffusion:
             if cells[x] == TRANSPARENT:
                 out.append(0)
                 continue
-            here = above[x + 1]
-            now = [min(255, max(0, v + _sixteenth(e))) for v, e in zip(colours[x], here)]
+            now = []
+            for v, e in zip(colours[x], above[x + 1]):
+                v += (e + 8) >> 4 if e >= 0 else -((8 - e) >> 4)  # a sixteenth, rounded half away from zero
+                now.append(0 if v < 0 else 255 if v > 255 else v)
             found = self._find(*now)
             out.append(found)
             right, left_below, under, right_below = above[x + 2], below[x], below[x + 1], below[x + 2]
-            for c, (v, to) in enumerate(zip(now, self.colours[found])):
-                part = (v - to) * self.amount
+            to = self.colours[found]
+            for c in (0, 1, 2):
+                part = (now[c] - to[c]) * amount
                 error = part // 100 if part >= 0 else -(-part // 100)
-                right[c] += error * 7
-                left_below[c] += error * 3
-                under[c] += error * 5
-                right_below[c] += error
+                if error:
+                    right[c] += error * 7
+                    left_below[c] += error * 3
+                    under[c] += error * 5
+                    right_below[c] += error
         self.below, self.row = below, y
         return out
 
@@ -180,13 +180,19 @@ def dithered(pixels: DataFrame, palette: DataFrame, amount: int = 100, matte: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for image, y, entries, p in zip(*(batch.column(c).to_pylist() for c in ("image_id", "y", "palette", "p"))):
-                if entries is not None:
-                    work = _Diffusion(entries, amount)
-                    continue
-                got = work.line(y, [q["cell"] for q in p], [(q["r"], q["g"], q["b"]) for q in p])
-                n = len(p)
-                columns = [pa.array([image] * n, pa.int64()), pa.array([y] * n, pa.int32()), pa.array([q["x"] for q in p], pa.int32()), pa.array(got, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "y", "x", "entry"])
+            y, entries, p = batch.column("y").to_pylist(), batch.column("palette").to_pylist(), batch.column("p")
+            offsets = p.offsets.to_numpy()
+            for start, end in together(offsets):
+                flat = p.values.slice(offsets[start], offsets[end] - offsets[start])
+                cells, colours = flat.field("cell").to_pylist(), list(zip(*(flat.field(c).to_pylist() for c in "rgb")))
+                got, at = [], (offsets[start : end + 1] - offsets[start]).tolist()
+                for i in range(start, end):
+                    if entries[i] is not None:
+                        work = _Diffusion(entries[i], amount)
+                        continue
+                    mine = slice(at[i - start], at[i - start + 1])
+                    got += work.line(y[i], cells[mine], colours[mine])
+                of = pa.array(np.repeat(np.arange(start, end), np.diff(at)))
+                yield pa.RecordBatch.from_arrays([batch.column("image_id").take(of), batch.column("y").take(of), flat.field("x").cast(pa.int32()), pa.array(got, pa.int32())], names=["image_id", "y", "x", "entry"])
 
     return both.repartition("image_id").sortWithinPartitions("image_id", "y").mapInArrow(run, INDICES)
