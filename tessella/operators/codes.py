@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,36 +30,42 @@ def symbol_counts(pixels: DataFrame, channels: tuple[str, ...] = tuple("rgba"))
 def code_lengths(counts: list[int], limit: int = LONGEST) -> list[int]:
     """Lengths of an optimal prefix code of at most ``limit`` bits for positive counts; a single symbol has length 1.
 
-    Package-merge: ``limit`` times, the symbols are merged with pairs of the packages
-    before; a symbol's length is the number of the cheapest packages that hold it.
+    Package-merge: ``limit`` times, the symbols are merged with pairs of the packages before,
+    symbols first on a tie. A symbol's length is the number of the cheapest packages that hold
+    it: the cheapest of a round are its first symbols and pairs of the cheapest of the round before.
     """
     n = len(counts)
     if n == 1:
         return [1]
     if n > 1 << limit:
         raise ValueError("more symbols than codes")
-    single = sorted((c, (i,)) for i, c in enumerate(counts))
-    packages: list[tuple[int, tuple[int, ...]]] = []
+    counts = np.asarray(counts, np.int64)
+    by_count = np.argsort(counts, kind="stable")
+    single = counts[by_count]
+    packages, rounds = single[:0], []
     for _ in range(limit):
-        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(packages[::2], packages[1::2])]
-        packages = sorted(single + pairs, key=lambda p: p[0])
-    lengths = [0] * n
-    for _, symbols in packages[: 2 * n - 2]:
-        for i in symbols:
-            lengths[i] += 1
-    return lengths
+        both = np.concatenate([single, packages[: len(packages) // 2 * 2].reshape(-1, 2).sum(1)])
+        order = np.argsort(both, kind="stable")
+        packages = both[order]
+        rounds.append(np.concatenate([[0], np.cumsum(order < n)]))
+    lengths, taken = np.zeros(n, np.int64), 2 * n - 2
+    for singles in reversed(rounds):
+        symbols = int(singles[taken])
+        lengths[by_count[:symbols]] += 1
+        taken = 2 * (taken - symbols)
+    return lengths.tolist()
 
 
 def with_lengths(counts: DataFrame, keys: list[str], limit: int = LONGEST) -> DataFrame:
     """Adds ``length`` to symbol, n of each group; symbols that don't occur are left out."""
     kept = counts.where("n > 0").select(*keys, F.col("symbol").cast("int").alias("symbol"), F.col("n").cast("long").alias("n"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("symbol")
-        return frame.assign(length=np.array(code_lengths(frame["n"].tolist(), limit), np.int32))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("symbol")
+        return table.append_column("length", pa.array(code_lengths(table.column("n").to_numpy(), limit), pa.int32()))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.groupBy(*keys).applyInPandas(run, f"{fields}, length int")
+    return kept.groupBy(*keys).applyInArrow(run, f"{fields}, length int")
 
 
 def normalised(counts: DataFrame, keys: list[str], precision: int = PRECISION) -> DataFrame:
