@@ -649,9 +649,14 @@ def colours_only_opaque(s, d):
 def approximate_colours(s, d):
     """Sketches of each column of pixels: distinct colours within a tenth, the median of red within two hundredths of the ranks."""
     p = _r2p(s, d)
-    colour_ = F.struct("r", "g", "b")
-    near = p.groupBy("x").agg(F.count("*").alias("n"), F.approx_count_distinct(colour_, 0.02).alias("sketch"), F.count_distinct("r", "g", "b").alias("exact"), F.percentile_approx("r", 0.5, 1000).alias("median"))
-    ranks = p.join(near.select("x", "median"), "x").groupBy("x").agg(F.avg((F.col("r") < F.col("median")).cast("int")).alias("below"), F.avg((F.col("r") <= F.col("median")).cast("int")).alias("up_to"))
+    # apart from the sketches: beside an exact distinct count there would be a sketch for each colour
+    exact = p.select("x", "r", "g", "b").dropna().distinct().groupBy("x").agg(F.count("*").alias("exact"))
+    near = p.groupBy("x").agg(F.count("*").alias("n"), F.approx_count_distinct(F.struct("r", "g", "b"), 0.02).alias("sketch"), F.percentile_approx("r", 0.5, 1000).alias("median"))
+    # a row for each column of 16, then one for each of its 256 values
+    near = near.join(F.broadcast(exact), "x")
+    counts = p.groupBy("x", "r").agg(F.count("*").alias("k"))
+    share = lambda test: F.sum(F.when(test, F.col("k")).otherwise(0)) / F.sum("k")
+    ranks = counts.join(F.broadcast(near.select("x", "median")), "x").groupBy("x").agg(share(F.col("r") < F.col("median")).alias("below"), share(F.col("r") <= F.col("median")).alias("up_to"))
     close = F.abs(F.col("sketch") - F.col("exact")) <= F.col("exact") * 0.1
     return near.join(ranks, "x").select("x", "n", close.alias("distinct_close"), ((F.col("below") <= 0.52) & (F.col("up_to") >= 0.48)).alias("median_close"))
 

@@ -66,3 +66,28 @@ def test_pieces_of_texts_are_shuffled_but_not_bytes(spark, long_texts, name):
     # a file of one row group is one task; bytes get their rows in the last step
     lines = [line for line in plan(QUERIES[name](spark, long_texts[0])).splitlines() if any(k in line for k in ("MapInArrow", "Exchange", "Broadcast"))]
     assert "MapInArrow" in lines[0] and any("Exchange hashpartitioning(image_id" in line for line in lines) and not any("Broadcast" in line for line in lines)
+
+
+def test_no_sketch_for_each_colour(spark, sf_dir):
+    sketched = [line for line in plan(QUERIES["approximate_colours"](spark, sf_dir)).splitlines() if "approx_count_distinct" in line]
+    assert sketched and all("keys=[x#" in line and ", r#" not in line.split("functions=")[0] for line in sketched)
+
+
+def test_counts_before_ranges_are_not_broadcast(spark, sf_dir):
+    assert "Broadcast" not in plan(rasters.lineitem_pixels(spark, sf_dir))
+
+
+def test_rows_leave_folds_together(spark):
+    import numpy as np
+
+    from tessella.operators.lines import together
+
+    assert list(together(np.array([0, 3, 6, 7, 20, 21]), 7)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(together(np.array([5, 5, 5]), 7)) == [(0, 2)]
+    assert list(together(np.array([0]), 7)) == []
+
+
+def test_groups_of_symbols_are_arrow_tables(spark, sf_dir):
+    # a pandas frame for each of many small groups takes longer than its code lengths
+    text = plan(QUERIES["prefix_codes"](spark, sf_dir))
+    assert "FlatMapGroupsInArrow" in text and "FlatMapGroupsInPandas" not in text
