@@ -39,6 +39,8 @@ from pyspark.sql import datasource as ds
 
 from tessella.sources.shared import file_system
 
+#: What opening a file costs, in bytes that could be read instead.
+OPEN = 256 << 10
 SCHEMA = "path string, format string, width int, height int, y int, x int, r int, g int, b int, a int"
 ARROW = pa.schema([("path", pa.string()), ("format", pa.string())] + [(c, pa.int32()) for c in ("width", "height", "y", "x", *"rgba")])
 #: Bytes of a header that are read first; pixels of a batch; columns whose filters are pushed.
@@ -162,13 +164,13 @@ class Ranges(ds.InputPartition):
 
 
 def ranges(found: list[tuple[str, int, float]], split: int) -> list[Ranges]:
-    """Partitions of about ``split`` bytes."""
+    """Partitions of about ``split`` bytes; a file counts for OPEN bytes more, as many small ones take their time."""
     out, held, size = [], [], 0
     for path, length, _ in found:
         for begin in range(0, max(length, 1), split):
             end = min(length, begin + split)
             held.append((path, begin, end, length))
-            size += end - begin
+            size += end - begin + OPEN
             if size >= split:
                 out.append(Ranges(held))
                 held, size = [], 0
@@ -182,6 +184,18 @@ class _Pixels:
         self.options, self.tests = options, []
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """Small files leave together."""
+        held, n = [], 0
+        for batch in self._batches(partition):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BATCH_PIXELS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _batches(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         files, _ = file_system(self.options.path)
         for path, begin, end, length in partition.ranges:
             with files.open_input_file(path) as f:

@@ -91,3 +91,13 @@ def test_groups_of_symbols_are_arrow_tables(spark, sf_dir):
     # a pandas frame for each of many small groups takes longer than its code lengths
     text = plan(QUERIES["prefix_codes"](spark, sf_dir))
     assert "FlatMapGroupsInArrow" in text and "FlatMapGroupsInPandas" not in text
+
+
+def test_small_files_are_dealt_to_tasks():
+    from tessella.sources.datasource import OPEN, ranges
+
+    split = 64 << 20
+    made = ranges([(f"{k}.tga", 1500, 0.0) for k in range(2000)], split)
+    assert max(len(r.ranges) for r in made) <= split // OPEN and sum(len(r.ranges) for r in made) == 2000
+    # a large file is cut as before
+    assert [r.ranges for r in ranges([("a", 3 * split, 0.0)], split)] == [[("a", k * split, (k + 1) * split, 3 * split)] for k in range(3)]
