@@ -1,8 +1,9 @@
 """Filters that look at a pixel's neighbourhood, by tiles that exchange their edges.
 
 An image is cut into square tiles. A pixel goes to its own tile and, if it lies near an
-edge, also to the tiles beside it, so that each tile has all it needs: one shuffle, a
-bounded group, no window over a row or an image, and a large image spreads over tasks.
+edge, also to the tiles beside it, so that each tile has all it needs: no window over a row
+or an image, and a large image spreads over tasks. Pixels of a tile that come together
+travel as one row, and tiles of one shape go through a kernel together.
 Beyond the image its pixels are mirrored.
 
 Planes are image_id, y, x and double columns; ``sizes`` has image_id, width, height.
@@ -10,17 +11,22 @@ Planes are image_id, y, x and double columns; ``sizes`` has image_id, width, hei
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.lines import together
 from tessella.operators.pixels import with_sizes
 
 #: Pixels a side of a tile.
 TILE = 256
+#: Pixels of a tile that travel in one row, at most.
+PIECE = 1024
 # fixed values: weights of the smoothing filter, scales and steps of the edge-preserving one
 SMOOTH = (0.115169525, 0.061248592)
 CHANNEL_SCALES, BORDER, STEP, PASS_SCALES = (40.0, 5.0, 3.5), 2 / 3, 1.65 * 4 * (1 - 0.5**0.5), (0.9, 1.0, 6.5)
@@ -36,40 +42,115 @@ def mirrored(at: np.ndarray, size: int) -> np.ndarray:
     return np.where(at < size, at, 2 * size - 1 - at)
 
 
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """The places where a key differs from the one before it, the first one included."""
+    differs = np.zeros(len(keys[0]), bool)
+    differs[:1] = True
+    for k in keys:
+        differs[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(differs)
+
+
+def tile_pieces(planes: DataFrame, columns: tuple[str, ...], halo: int, tile: int) -> DataFrame:
+    """image_id, ty, tx and lists of y, x and columns: the pixels that a tile needs, those of a batch in one row.
+
+    A tile beyond the image gets rows too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.column(c).to_numpy() for c in ("image_id", "y", "x")}
+            of = np.arange(batch.num_rows)
+            tiles = {}
+            for t, c in (("ty", "y"), ("tx", "x")):
+                first, last = (at[c][of] - halo) // tile, (at[c][of] + halo) // tile
+                n = last - first + 1
+                # a pixel once for each of its tiles along this axis
+                each = np.repeat(np.arange(len(of)), n)
+                tiles = {k: v[each] for k, v in tiles.items()} | {t: first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)}
+                of = of[each]
+            keep = (tiles["ty"] >= 0) & (tiles["tx"] >= 0)
+            of, ty, tx = of[keep], tiles["ty"][keep], tiles["tx"][keep]
+            order = np.lexsort((tx, ty, at["image_id"][of]))
+            of, ty, tx = of[order], ty[order], tx[order]
+            starts = _changes(at["image_id"][of], ty, tx)
+            sizes = np.diff(np.append(starts, len(of)))
+            cuts = np.concatenate([np.arange(s, s + n, PIECE) for s, n in zip(starts.tolist(), sizes.tolist())]) if len(of) and sizes.max() > PIECE else starts
+            offsets, taken = pa.array(np.append(cuts, len(of)).astype(np.int32)), pa.array(of)
+            keys = [pa.array(at["image_id"][of[cuts]]), pa.array(ty[cuts].astype(np.int32)), pa.array(tx[cuts].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, batch.column(c).take(taken)) for c in ("y", "x", *columns))], names=["image_id", "ty", "tx", "y", "x", *columns])
+
+    rows = planes.where("image_id is not null").select(F.col("image_id").cast("long").alias("image_id"), *(F.col(c).cast("int").alias(c) for c in ("y", "x")), *(F.col(c).cast("double").alias(c) for c in columns))
+    return rows.mapInArrow(run, "image_id long, ty int, tx int, y array<int>, x array<int>, " + ", ".join(f"{c} array<double>" for c in columns))
+
+
 def stencil(planes: DataFrame, sizes: DataFrame, columns: tuple[str, ...], halo: int, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
     """image_id, y, x, columns after kernel(values, y, x).
 
-    values: (channels, rows + 2 halo, columns + 2 halo) of a tile with its surroundings;
-    y, x: places of the tile's own rows and columns. The kernel gives (channels, rows, columns).
+    values: (channels, tiles, rows + 2 halo, columns + 2 halo) of tiles with their surroundings;
+    y, x: places of each tile's own rows and columns. The kernel gives (channels, tiles, rows, columns).
     """
-    near = lambda c: F.expr(f"array_distinct(array(({c} - {halo}) div {tile} - if({c} < {halo}, 1, 0), {c} div {tile}, ({c} + {halo}) div {tile}))")
-    each = with_sizes(planes, sizes.select("image_id", "width", "height")).withColumn("ty", F.explode(near("y"))).withColumn("tx", F.explode(near("x")))
-    each = each.where(f"ty >= 0 and tx >= 0 and ty * {tile} < height and tx * {tile} < width")
-    each = each.select(F.col("image_id").cast("long").alias("image_id"), "ty", "tx", "y", "x", "width", "height", *(F.col(c).cast("double").alias(c) for c in columns))
-
-    def run(key, table):
-        image, ty, tx = (k.as_py() for k in key)
-        width, height = table.column("width")[0].as_py(), table.column("height")[0].as_py()
-        at = {c: table.column(c).to_numpy() for c in ("y", "x")}
-        own = {c: np.arange(t * tile, min((t + 1) * tile, size)) for c, t, size in (("y", ty, height), ("x", tx, width))}
-        around = {c: mirrored(np.arange(own[c][0] - halo, own[c][-1] + halo + 1), size) for c, size in (("y", height), ("x", width))}
-        low = {c: int(at[c].min()) for c in at}
-        grid = np.zeros((len(columns), *(int(at[c].max()) - low[c] + 1 for c in ("y", "x"))))
-        for k, c in enumerate(columns):
-            grid[k, at["y"] - low["y"], at["x"] - low["x"]] = table.column(c).to_numpy()
-        values = grid[:, (around["y"] - low["y"])[:, None], (around["x"] - low["x"])[None, :]]
-        out = kernel(values, own["y"], own["x"])
-        rows, cols = len(own["y"]), len(own["x"])
-        names = {"image_id": pa.array(np.full(rows * cols, image)), "y": pa.array(np.repeat(own["y"], cols).astype(np.int32)), "x": pa.array(np.tile(own["x"], rows).astype(np.int32))}
-        return pa.table(names | {c: pa.array(out[k].ravel()) for k, c in enumerate(columns)})
-
-    return each.groupBy("image_id", "ty", "tx").applyInArrow(run, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in columns))
+    each = with_sizes(tile_pieces(planes, columns, halo, tile), sizes.select("image_id", "width", "height")).where(f"ty * {tile} < height and tx * {tile} < width")
+
+    def filtered(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole tiles, from the rows where each starts."""
+        lists = {c: table.column(c).combine_chunks() for c in ("y", "x", *columns)}
+        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+        sizes = np.add.reduceat(pc.list_value_length(lists["y"]).to_numpy(), starts)
+        of = np.repeat(np.arange(len(starts)), sizes)
+        key = {c: table.column(c).to_numpy()[starts].astype(np.int64) for c in ("image_id", "ty", "tx", "width", "height")}
+        shape, low = [], {}
+        for c, t, size in (("y", "ty", "height"), ("x", "tx", "width")):
+            begin = key[t] * tile
+            end = np.minimum(begin + tile, key[size])
+            before = np.minimum(begin, halo)
+            low[c] = begin - before
+            # what lies before, own and behind says where pixels are mirrored
+            shape += [before, end - begin, np.minimum(key[size] - end, halo)]
+        kinds, kind = np.unique(np.stack(shape, axis=1), axis=0, return_inverse=True)
+        kind, number = kind.ravel(), np.zeros(len(starts), np.int64)
+        for k, (above, rows, below, left, cols, right) in enumerate(kinds.tolist()):
+            mine = np.flatnonzero(kind == k)
+            number[mine] = np.arange(len(mine))
+            grid = np.zeros((len(columns), len(mine), above + rows + below, left + cols + right))
+            here = kind[of] == k
+            y, x = (flat[c][here] - low[c][of[here]] for c in ("y", "x"))
+            inside = (y >= 0) & (y < grid.shape[2]) & (x >= 0) & (x < grid.shape[3])
+            at = number[of[here]][inside], y[inside], x[inside]
+            for i, c in enumerate(columns):
+                grid[i][at] = flat[c][here][inside]
+            around = [mirrored(np.arange(before - halo, before + own + halo), before + own + behind) for before, own, behind in ((above, rows, below), (left, cols, right))]
+            values = grid[:, :, around[0][:, None], around[1][None, :]]
+            own = [(key[t][mine] * tile)[:, None] + np.arange(n) for t, n in (("ty", rows), ("tx", cols))]
+            out = kernel(values, *own)
+            whole = (len(mine), rows, cols)
+            names = {"image_id": np.broadcast_to(key["image_id"][mine][:, None, None], whole), "y": np.broadcast_to(own[0][:, :, None], whole).astype(np.int32), "x": np.broadcast_to(own[1][:, None, :], whole).astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (*names.values(), *out)], names=[*names, *columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in chain(batches, (None,)):
+            # the last tile of a batch may go on in the next one
+            table = kept if batch is None else pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            if table is None or not len(table):
+                continue
+            starts = _changes(*(table.column(c).to_numpy() for c in ("image_id", "ty", "tx")))
+            ends = np.append(starts[1:], len(table))
+            whole = len(starts) if batch is None else len(starts) - 1
+            pixels = np.append(0, np.cumsum(pc.list_value_length(table.column("y")).to_numpy()))
+            for first, last in together(pixels[np.append(starts[:whole], ends[whole - 1])]) if whole else ():
+                begin = starts[first]
+                yield from filtered(table.slice(begin, ends[last - 1] - begin), starts[first:last] - begin)
+            kept = table.slice(starts[whole]) if whole < len(starts) else None
+
+    dealt = each.repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx")
+    return dealt.mapInArrow(run, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in columns))
 
 
 def _shifted(values: np.ndarray, halo: int, dy: int, dx: int, more: int = 0) -> np.ndarray:
-    """The tile and ``more`` pixels around it, moved by (dy, dx)."""
-    rows, cols = values.shape[1] - 2 * halo, values.shape[2] - 2 * halo
-    return values[:, halo + dy - more : halo + dy + rows + more, halo + dx - more : halo + dx + cols + more]
+    """The tiles and ``more`` pixels around them, moved by (dy, dx)."""
+    rows, cols = values.shape[2] - 2 * halo, values.shape[3] - 2 * halo
+    return values[:, :, halo + dy - more : halo + dy + rows + more, halo + dx - more : halo + dx + cols + more]
 
 
 def smoothed(planes: DataFrame, sizes: DataFrame, columns: tuple[str, ...], weights: tuple[float, float] = SMOOTH, tile: int = TILE) -> DataFrame:
@@ -94,14 +175,14 @@ def edge_preserving_pass(planes: DataFrame, sizes: DataFrame, columns: tuple[str
     taps, compared = (DOUBLE_CROSS if step == 0 else CROSS)[1:], ((0, 0),) if step == 2 else CROSS
     halo = (3, 2, 1)[step]
     # a single channel stands for all of them
-    scales = np.array(CHANNEL_SCALES if len(columns) == 3 else [sum(CHANNEL_SCALES)] * len(columns))[:, None, None]
+    scales = np.array(CHANNEL_SCALES if len(columns) == 3 else [sum(CHANNEL_SCALES)] * len(columns))[:, None, None, None]
     strength = STEP * PASS_SCALES[step] / sigma
 
     def kernel(v: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         middle = _shifted(v, halo, 0, 0)
         if 1 / sigma > NO_FILTER:
             return middle
-        edge = np.isin(y % 8, (0, 7))[:, None] | np.isin(x % 8, (0, 7))[None, :]
+        edge = np.isin(y % 8, (0, 7))[:, :, None] | np.isin(x % 8, (0, 7))[:, None, :]
         factor = strength * np.where(edge, BORDER, 1.0)
         total, weight = middle.copy(), np.ones(middle.shape[1:])
         for dy, dx in taps:

@@ -101,3 +101,11 @@ def test_small_files_are_dealt_to_tasks():
     assert max(len(r.ranges) for r in made) <= split // OPEN and sum(len(r.ranges) for r in made) == 2000
     # a large file is cut as before
     assert [r.ranges for r in ranges([("a", 3 * split, 0.0)], split)] == [[("a", k * split, (k + 1) * split, 3 * split)] for k in range(3)]
+
+
+@pytest.mark.parametrize("name", ["smoothed_planes"])
+def test_pixels_of_tiles_are_neither_sorted_nor_grouped_one_by_one(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert "Exchange hashpartitioning(image_id#" in text and "FlatMapGroupsInArrow" not in text
+    dealt = [line for line in text.splitlines() if "Exchange hashpartitioning(image_id" in line and ", ty#" in line and ", tx#" in line]
+    assert len(dealt) == 1 and text.count("MapInArrow") == 2

@@ -88,3 +88,24 @@ def test_all_passes_and_one_channel(images):
     near(found(got, "g"), want)
     same = stencils.edge_preserved(df, sizes, ("g",), 1, 0.2)
     near(found(same, "g"), {i: [[(v[1],) for v in row] for row in img] for i, img in data.items()})
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_tiles_go_on_over_batches_and_pieces(spark, batch):
+    df = spark.range(2 * 70 * 45).selectExpr("id % 2 image_id", "cast(id div 2 div 70 as int) y", "cast(id div 2 % 70 as int) x", "rand(3) g").unionByName(spark.sql("SELECT CAST(NULL AS LONG) image_id, 0 y, 0 x, 1d g"))
+    data = {i: [[None] * 70 for _ in range(45)] for i in range(2)}
+    for r in df.where("image_id is not null").collect():
+        data[r.image_id][r.y][r.x] = (r.g,)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = stencils.edge_preserving_pass(df, spark.createDataFrame([(i, 70, 45) for i in range(2)], "image_id long, width int, height int"), ("g",), 1, 9.0, 64)
+        near(found(got, "g"), {i: one_pass(img, 1, 9.0, (48.5,)) for i, img in data.items()})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pixels_of_a_tile_travel_as_one_row(images):
+    _, df, _ = images
+    made = stencils.tile_pieces(df.coalesce(1), ("r", "g", "b"), 1, 8)
+    # one batch: a row for each tile, those beyond an edge too
+    assert made.count() == made.select("image_id", "ty", "tx").distinct().count() < df.count() // 8
