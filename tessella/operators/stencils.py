@@ -12,21 +12,17 @@ Planes are image_id, y, x and double columns; ``sizes`` has image_id, width, hei
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.lines import together
+from tessella.operators.bundles import bundled, flat, whole
 from tessella.operators.pixels import with_sizes
 
 #: Pixels a side of a tile.
 TILE = 256
-#: Pixels of a tile that travel in one row, at most.
-PIECE = 1024
 # fixed values: weights of the smoothing filter, scales and steps of the edge-preserving one
 SMOOTH = (0.115169525, 0.061248592)
 CHANNEL_SCALES, BORDER, STEP, PASS_SCALES = (40.0, 5.0, 3.5), 2 / 3, 1.65 * 4 * (1 - 0.5**0.5), (0.9, 1.0, 6.5)
@@ -42,24 +38,15 @@ def mirrored(at: np.ndarray, size: int) -> np.ndarray:
     return np.where(at < size, at, 2 * size - 1 - at)
 
 
-def _changes(*keys: np.ndarray) -> np.ndarray:
-    """The places where a key differs from the one before it, the first one included."""
-    differs = np.zeros(len(keys[0]), bool)
-    differs[:1] = True
-    for k in keys:
-        differs[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(differs)
-
-
 def tile_pieces(planes: DataFrame, columns: tuple[str, ...], halo: int, tile: int) -> DataFrame:
-    """image_id, ty, tx and lists of y, x and columns: the pixels that a tile needs, those of a batch in one row.
+    """image_id, ty, tx and lists of y, x and columns: bundles of the pixels that a tile needs.
 
     A tile beyond the image gets rows too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {c: batch.column(c).to_numpy() for c in ("image_id", "y", "x")}
+            at = {c: batch.column(c).to_numpy() for c in ("y", "x")}
             of = np.arange(batch.num_rows)
             tiles = {}
             for t, c in (("ty", "y"), ("tx", "x")):
@@ -71,14 +58,9 @@ def tile_pieces(planes: DataFrame, columns: tuple[str, ...], halo: int, tile: in
                 of = of[each]
             keep = (tiles["ty"] >= 0) & (tiles["tx"] >= 0)
             of, ty, tx = of[keep], tiles["ty"][keep], tiles["tx"][keep]
-            order = np.lexsort((tx, ty, at["image_id"][of]))
-            of, ty, tx = of[order], ty[order], tx[order]
-            starts = _changes(at["image_id"][of], ty, tx)
-            sizes = np.diff(np.append(starts, len(of)))
-            cuts = np.concatenate([np.arange(s, s + n, PIECE) for s, n in zip(starts.tolist(), sizes.tolist())]) if len(of) and sizes.max() > PIECE else starts
-            offsets, taken = pa.array(np.append(cuts, len(of)).astype(np.int32)), pa.array(of)
-            keys = [pa.array(at["image_id"][of[cuts]]), pa.array(ty[cuts].astype(np.int32)), pa.array(tx[cuts].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, batch.column(c).take(taken)) for c in ("y", "x", *columns))], names=["image_id", "ty", "tx", "y", "x", *columns])
+            taken = pa.array(of)
+            keys = {"image_id": batch.column("image_id").take(taken), "ty": pa.array(ty.astype(np.int32)), "tx": pa.array(tx.astype(np.int32))}
+            yield bundled(keys, {c: batch.column(c).take(taken) for c in ("y", "x", *columns)})
 
     rows = planes.where("image_id is not null").select(F.col("image_id").cast("long").alias("image_id"), *(F.col(c).cast("int").alias(c) for c in ("y", "x")), *(F.col(c).cast("double").alias(c) for c in columns))
     return rows.mapInArrow(run, "image_id long, ty int, tx int, y array<int>, x array<int>, " + ", ".join(f"{c} array<double>" for c in columns))
@@ -92,12 +74,10 @@ def stencil(planes: DataFrame, sizes: DataFrame, columns: tuple[str, ...], halo:
     """
     each = with_sizes(tile_pieces(planes, columns, halo, tile), sizes.select("image_id", "width", "height")).where(f"ty * {tile} < height and tx * {tile} < width")
 
-    def filtered(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def filtered(table: pa.Table, starts: np.ndarray, pixels: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole tiles, from the rows where each starts."""
-        lists = {c: table.column(c).combine_chunks() for c in ("y", "x", *columns)}
-        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
-        sizes = np.add.reduceat(pc.list_value_length(lists["y"]).to_numpy(), starts)
-        of = np.repeat(np.arange(len(starts)), sizes)
+        value = {c: flat(table, c) for c in ("y", "x", *columns)}
+        of = np.repeat(np.arange(len(starts)), np.add.reduceat(pixels, starts))
         key = {c: table.column(c).to_numpy()[starts].astype(np.int64) for c in ("image_id", "ty", "tx", "width", "height")}
         shape, low = [], {}
         for c, t, size in (("y", "ty", "height"), ("x", "tx", "width")):
@@ -114,34 +94,22 @@ def stencil(planes: DataFrame, sizes: DataFrame, columns: tuple[str, ...], halo:
             number[mine] = np.arange(len(mine))
             grid = np.zeros((len(columns), len(mine), above + rows + below, left + cols + right))
             here = kind[of] == k
-            y, x = (flat[c][here] - low[c][of[here]] for c in ("y", "x"))
+            y, x = (value[c][here] - low[c][of[here]] for c in ("y", "x"))
             inside = (y >= 0) & (y < grid.shape[2]) & (x >= 0) & (x < grid.shape[3])
             at = number[of[here]][inside], y[inside], x[inside]
             for i, c in enumerate(columns):
-                grid[i][at] = flat[c][here][inside]
+                grid[i][at] = value[c][here][inside]
             around = [mirrored(np.arange(before - halo, before + own + halo), before + own + behind) for before, own, behind in ((above, rows, below), (left, cols, right))]
             values = grid[:, :, around[0][:, None], around[1][None, :]]
             own = [(key[t][mine] * tile)[:, None] + np.arange(n) for t, n in (("ty", rows), ("tx", cols))]
             out = kernel(values, *own)
-            whole = (len(mine), rows, cols)
-            names = {"image_id": np.broadcast_to(key["image_id"][mine][:, None, None], whole), "y": np.broadcast_to(own[0][:, :, None], whole).astype(np.int32), "x": np.broadcast_to(own[1][:, None, :], whole).astype(np.int32)}
+            size = (len(mine), rows, cols)
+            names = {"image_id": np.broadcast_to(key["image_id"][mine][:, None, None], size), "y": np.broadcast_to(own[0][:, :, None], size).astype(np.int32), "x": np.broadcast_to(own[1][:, None, :], size).astype(np.int32)}
             yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (*names.values(), *out)], names=[*names, *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in chain(batches, (None,)):
-            # the last tile of a batch may go on in the next one
-            table = kept if batch is None else pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
-            if table is None or not len(table):
-                continue
-            starts = _changes(*(table.column(c).to_numpy() for c in ("image_id", "ty", "tx")))
-            ends = np.append(starts[1:], len(table))
-            whole = len(starts) if batch is None else len(starts) - 1
-            pixels = np.append(0, np.cumsum(pc.list_value_length(table.column("y")).to_numpy()))
-            for first, last in together(pixels[np.append(starts[:whole], ends[whole - 1])]) if whole else ():
-                begin = starts[first]
-                yield from filtered(table.slice(begin, ends[last - 1] - begin), starts[first:last] - begin)
-            kept = table.slice(starts[whole]) if whole < len(starts) else None
+        for tiles in whole(batches, ("image_id", "ty", "tx"), "y"):
+            yield from filtered(*tiles)
 
     dealt = each.repartition("image_id", "ty", "tx").sortWithinPartitions("image_id", "ty", "tx")
     return dealt.mapInArrow(run, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in columns))

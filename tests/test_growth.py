@@ -109,3 +109,10 @@ def test_pixels_of_tiles_are_neither_sorted_nor_grouped_one_by_one(spark, sf_dir
     assert "Exchange hashpartitioning(image_id#" in text and "FlatMapGroupsInArrow" not in text
     dealt = [line for line in text.splitlines() if "Exchange hashpartitioning(image_id" in line and ", ty#" in line and ", tx#" in line]
     assert len(dealt) == 1 and text.count("MapInArrow") == 2
+
+
+def test_samples_of_a_pyramid_are_shuffled_in_bundles(spark, sf_dir):
+    text = plan(QUERIES["squeeze_roundtrip"](spark, sf_dir))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(image_id" in line and ", band#" in line]
+    # six steps back, each over the steps that lead to its rests; windows only number line items
+    assert len(moved) >= 12 and "collect_list" not in text and "lead(" not in text

@@ -146,3 +146,21 @@ def test_pyramids_are_lossless(spark, levels):
     if levels == 5:
         small, _ = pyramid.halved(df, "x")
         assert back(pyramid.unsqueezed(made, levels, down_to=1)) == back(small)
+
+
+@pytest.mark.parametrize("batch", [5, 10_000])
+def test_bands_go_on_over_batches_and_pieces(spark, batch):
+    images = planes(10, [(2500, 2), (3, 40), (11, 11)], -300, 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert back(pyramid.unsqueezed(pyramid.squeezed(frame(spark, images), 6), 6)) == flat(images)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_samples_of_lines_travel_as_one_row(spark):
+    images = planes(11, [(16, 38), (5, 9)], 0, 255)
+    made = pyramid.bundles(frame(spark, images).coalesce(1), "x")
+    assert made.count() == 5 + 2 and {(r.image_id, y // 8) for r in made.collect() for y in r.y} == {(r.image_id, r.band) for r in made.collect()}
+    made = pyramid.squeezed(frame(spark, images), 3)
+    assert pyramid.samples(made).count() == sum(len(p) for p in flat(images).values())
