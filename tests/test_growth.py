@@ -103,7 +103,7 @@ def test_small_files_are_dealt_to_tasks():
     assert [r.ranges for r in ranges([("a", 3 * split, 0.0)], split)] == [[("a", k * split, (k + 1) * split, 3 * split)] for k in range(3)]
 
 
-@pytest.mark.parametrize("name", ["smoothed_planes"])
+@pytest.mark.parametrize("name", ["smoothed_planes", "edge_preserving_planes"])
 def test_pixels_of_tiles_are_neither_sorted_nor_grouped_one_by_one(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert "Exchange hashpartitioning(image_id#" in text and "FlatMapGroupsInArrow" not in text
